@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm import hash_tree, line_dedup, mixing, pieces, simhash
+from visitframe.llm import crf_language, hash_tree, html_density, line_dedup, mixing, pieces, simhash, telephony
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -32,6 +32,11 @@ def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op3_html(spark: SparkSession, sf_dir: str) -> DataFrame:
+    pages = spark.read.parquet(f"{sf_dir}/pages.parquet").select("page_id", "url", "html")
+    return html_density.extract(pages).withColumn("n_chars", F.length("text").cast("long"))
+
+
 def op4_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.op4_simhash(_documents(spark, sf_dir))
 
@@ -48,13 +53,34 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return line_dedup.op7_line_dedup(_documents(spark, sf_dir))
 
 
+def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
+    media = telephony.to_media(_documents(spark, sf_dir))
+    return telephony.decode_media(media, keep_pcm=False).select(
+        "doc_id",
+        "n_bytes",
+        F.octet_length("payload").cast("long").alias("payload_bytes"),
+        F.sha2("payload", 256).alias("payload_sha256"),
+        F.crc32(F.substring("payload", -32, 32)).alias("tail_crc32"),
+        F.octet_length("media").cast("long").alias("media_bytes"),
+        F.sha2("media", 256).alias("media_sha256"),
+        "feature",
+    )
+
+
+def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return crf_language.op9_language_id(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
+        "op3_html": op3_html,
         "op4_simhash": op4_simhash,
         "op5_mixing": op5_mixing,
         "op6_hash_tree": op6_hash_tree,
         "op7_line_dedup": op7_line_dedup,
+        "op8_telephony": op8_telephony,
+        "op9_language_id": op9_language_id,
     }
 
 
