@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm import crf_language, hash_tree, html_density, line_dedup, mixing, pieces, simhash, telephony
+from visitframe.llm import crf_language, e8_neighbors, hash_tree, html_density, line_dedup, mixing, pieces, simhash, telephony
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -71,6 +71,10 @@ def op9_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     return crf_language.op9_language_id(_documents(spark, sf_dir))
 
 
+def op10_e8_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return e8_neighbors.op10_e8_neighbors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_sentencepiece": op2_sentencepiece,
@@ -81,8 +85,13 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_line_dedup": op7_line_dedup,
         "op8_telephony": op8_telephony,
         "op9_language_id": op9_language_id,
+        "op10_e8_neighbors": op10_e8_neighbors,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op5_mixing": mixing.ORACLE, "op7_line_dedup": line_dedup.ORACLE}
+    return {
+        "op5_mixing": mixing.ORACLE,
+        "op7_line_dedup": line_dedup.ORACLE,
+        "op10_e8_neighbors": e8_neighbors.ORACLE,
+    }
