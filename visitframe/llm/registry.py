@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm import crf_language, e8_neighbors, hash_tree, html_density, line_dedup, mixing, pieces, simhash, telephony
+from visitframe.llm import crf_language, e8_neighbors, hash_tree, html_density, kneser_ney, line_dedup, mixing, pieces, simhash, telephony
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -22,6 +22,10 @@ def piece_model_bytes(name: str = "piece_bpe_32k.model") -> bytes:
         return f.read()
 
 
+def op1_kneser_ney(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return kneser_ney.op1_kneser_ney(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     coded = pieces.encode_and_decode(_documents(spark, sf_dir).select("doc_id", "text"), piece_model_bytes())
     return coded.select(
@@ -77,6 +81,7 @@ def op10_e8_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_kneser_ney": op1_kneser_ney,
         "op2_sentencepiece": op2_sentencepiece,
         "op3_html": op3_html,
         "op4_simhash": op4_simhash,
