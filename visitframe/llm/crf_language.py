@@ -27,6 +27,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
@@ -295,13 +296,17 @@ def identify(
     per_language: int = 400,
     window_chars: int = 600,
     with_spans: bool = False,
+    carry: bool = False,
 ) -> DataFrame:
     """(doc_id, lang_pred, score[, spans]) per row of docs; spans are arrays of (start, end,
-    language) in characters of the lower-cased text."""
+    language) in characters of the lower-cased text. With carry, all columns of docs instead of
+    the id alone; columns of docs named like an output are replaced."""
     model = fit(training_sample(docs, id_col, text, lang, per_language, window_chars))
     shared = docs.sparkSession.sparkContext.broadcast(model)
-    picked = docs.select(id_col, text)
-    kind = picked.schema[0].dataType.simpleString()
+    added = ["lang_pred", "score"] + (["spans"] if with_spans else [])
+    kept = [f for f in docs.schema.fields if f.name not in added] if carry else [docs.schema[id_col]]
+    n = len(kept)
+    picked = docs.select(*[f"`{f.name}`" for f in kept], F.col(text).alias("__text"))
     spans = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("lang", pa.string())]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -309,12 +314,12 @@ def identify(
         for whole in batches:
             for lo in range(0, whole.num_rows, 2000):
                 batch = whole.slice(lo, 2000)
-                texts = batch.column(1).to_pylist()
+                texts = batch.column(n).to_pylist()
                 if model is None:
                     langs, scores, post = [UNKNOWN] * len(texts), np.zeros(len(texts)), [np.zeros((0, 0))] * len(texts)
                 else:
                     langs, scores, post = predict_texts(model, texts, memory)
-                arrays = [batch.column(0), pa.array(langs), pa.array(scores)]
+                arrays = [*batch.columns[:n], pa.array(langs), pa.array(scores)]
                 if with_spans:
                     cut = [
                         [dict(zip(("start", "end", "lang"), s, strict=True)) for s in spans_of(model, t, p)] if len(p) else []
@@ -323,9 +328,19 @@ def identify(
                     arrays.append(pa.array(cut, spans))
                 yield pa.RecordBatch.from_arrays(arrays, names=names)
 
-    names = [id_col, "lang_pred", "score"] + (["spans"] if with_spans else [])
-    extra = ", spans array<struct<start: int, end: int, lang: string>>" if with_spans else ""
-    return picked.mapInArrow(run, f"`{id_col}` {kind}, lang_pred string, score double{extra}")
+    names = [f.name for f in kept] + added
+    schema = StructType(kept).add("lang_pred", StringType()).add("score", DoubleType())
+    if with_spans:
+        one = StructType().add("start", IntegerType()).add("end", IntegerType()).add("lang", StringType())
+        schema = schema.add("spans", ArrayType(one))
+    return picked.mapInArrow(run, schema)
+
+
+def keep_identified(docs: DataFrame, least_score: float = 0.3, **kw) -> DataFrame:
+    """docs without the documents that identification rejects (no language, or a score below
+    least_score), `lang` being what was identified."""
+    found = identify(docs, carry=True, **kw).where((F.col("lang_pred") != UNKNOWN) & (F.col("score") >= least_score))
+    return found.withColumn(kw.get("lang", "lang"), F.col("lang_pred")).select(docs.columns)
 
 
 def op9_language_id(docs: DataFrame) -> DataFrame:

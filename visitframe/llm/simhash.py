@@ -132,16 +132,9 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", word
     found = near_duplicates(docs, id_col, text, words, distance)
     keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
     kept = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    again = kept.groupBy(id_col).count().where("count > 1").select(F.col(id_col).alias("__again"))
-    single = kept.join(again, F.col(id_col) == F.col("__again"), "left_anti")
-    w = Window.partitionBy(id_col).orderBy(F.xxhash64(text))
-    repeated = (
-        kept.join(again, F.col(id_col) == F.col("__again"), "left_semi")
-        .withColumn("__no", F.row_number().over(w))
-        .where("__no = 1")
-        .drop("__no")
-    )
-    return single.unionByName(repeated)
+    # rows that repeat an id lie together already
+    again = Window.partitionBy(id_col).orderBy(F.xxhash64(text))
+    return kept.withColumn("__no", F.row_number().over(again)).where("__no = 1").drop("__no")
 
 
 def op4_simhash(docs: DataFrame) -> DataFrame:
