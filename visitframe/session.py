@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,12 @@ def build_session(cpus: str = "8", shuffle_partitions: int = 8, app: str = "visi
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One parquet table of a data directory; any path Spark can read."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def materialize(df: DataFrame) -> DataFrame:
+    """df computed once and kept under spark.checkpoint.dir, its lineage cut: for results that
+    several branches of a plan read. Where the setting is unset a temporary folder serves."""
+    sc = df.sparkSession.sparkContext
+    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        sc.setCheckpointDir(tempfile.mkdtemp(prefix="visitframe-"))
+    return df.checkpoint()
