@@ -33,7 +33,9 @@ UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 LONGEST = 32
-WORDS_KEPT = 300_000
+WORDS_KEPT = 200_000
+#: Documents that go through prediction together.
+SLICE = 400
 
 
 def words_of(text: str | None) -> list[str]:
@@ -51,7 +53,7 @@ def _hash(parts: list[np.ndarray], salt: int) -> np.ndarray:
         for p in parts:
             h = (h ^ p.astype(np.uint64)) * np.uint64(0x9E3779B97F4A7C15)
             h ^= h >> np.uint64(29)
-    return (h >> np.uint64(20)).astype(np.int64) & (BUCKETS - 1)
+    return (h >> np.uint64(20)).astype(np.int32) & (BUCKETS - 1)
 
 
 def feature_groups(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -61,7 +63,8 @@ def feature_groups(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     short = [w if len(w) <= LONGEST else w[: LONGEST // 2] + w[-LONGEST // 2 :] for w in words]
     for i, w in enumerate(short):
         by_length.setdefault(len(w), []).append(i)
-    for length, members in by_length.items():
+    groups = [(n, own[lo : lo + 20_000]) for n, own in by_length.items() for lo in range(0, len(own), 20_000)]
+    for length, members in groups:
         text = "".join([short[i] for i in members])
         raw = np.frombuffer(text.encode("utf-32-le"), np.uint32).reshape(-1, length)
         m = np.zeros((len(members), length + 2), np.uint32)
@@ -87,8 +90,8 @@ class Crf:
         k = len(self.languages)
         out = np.zeros((len(words), k), np.float32)
         for at, features in feature_groups(words):
-            for lo in range(0, len(at), 20_000):
-                out[at[lo : lo + 20_000]] = self.weights[features[lo : lo + 20_000]].sum(axis=1)
+            for column in features.T:
+                out[at] += self.weights[column]
         sets = np.array([self.lexicon.get(w, 0) for w in words], np.int64)
         for j in range(k):
             hit = sets >> j & 1 == 1
@@ -312,8 +315,8 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memory = shared.value, {}
         for whole in batches:
-            for lo in range(0, whole.num_rows, 2000):
-                batch = whole.slice(lo, 2000)
+            for lo in range(0, whole.num_rows, SLICE):
+                batch = whole.slice(lo, SLICE)
                 texts = batch.column(n).to_pylist()
                 if model is None:
                     langs, scores, post = [UNKNOWN] * len(texts), np.zeros(len(texts)), [np.zeros((0, 0))] * len(texts)

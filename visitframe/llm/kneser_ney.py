@@ -37,6 +37,9 @@ START, END = "\x02", "\x03"
 QUANTILE = 0.99
 #: One trusted document in so many is held out of the counts for the threshold.
 HELD_OUT = 5
+#: Bytes of text in a bucket, on average. A bucket asks for each n-gram once, so larger ones move
+#: less; a task holds one.
+BUCKET_BYTES = 16 << 20
 #: Codes of characters in a bucket; characters beyond the most frequent ones share the last.
 ALPHABET = 1 << 16
 
@@ -48,7 +51,7 @@ def clean(text: str | None) -> str:
 def _pack(columns: list[pa.Array], names: list[str]) -> bytes:
     sink = pa.BufferOutputStream()
     batch = pa.RecordBatch.from_arrays(columns, names=names)
-    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as w:
+    with pa.ipc.new_stream(sink, batch.schema, options=pa.ipc.IpcWriteOptions(compression=pa.Codec("zstd", compression_level=6))) as w:
         w.write_batch(batch)
     return sink.getvalue().to_pybytes()
 
@@ -326,18 +329,20 @@ def classify(
 ) -> DataFrame:
     """(doc_id, lang, n_tokens, log_prob, perplexity, threshold, kept) per row of docs. Trusted are
     the ids that labels holds with quality 1 and toxic 0."""
-    spark = docs.sparkSession
-    buckets = partitions(spark)
+    tasks = partitions(docs.sparkSession)
+    size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
+    buckets = max(1, -(-size // BUCKET_BYTES))
     id_type = docs.select(id_col).schema[0].dataType.simpleString()
     trusted = (
         labels.where("quality = 1 and toxic = 0").select(F.col(id_col).cast(id_type).alias("id")).where("id is not null").distinct()
     )
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
-    packed = pack_documents(docs, id_col, lang, text, buckets).repartition(buckets, "bucket")
+    packed = pack_documents(docs, id_col, lang, text, buckets).repartition(max(tasks, buckets), "bucket")
     # two passes, counting and scoring, go over the same buckets
     packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
     counts = checkpoint(count_grams(packed, trusted.where(~held_out("id")).select(bucket, "id")))
-    requests = _requests(packed)
+    # one exchange serves the distinct requests and the way back to the buckets
+    requests = _requests(packed).repartition(tasks, "lang", "gram")
     answers = requests.join(probabilities(requests.select("lang", "gram").distinct(), counts), ["lang", "gram"])
     scored = checkpoint(_scores(packed, answers, id_type)).withColumn(
         "perplexity", F.exp(-F.col("log_prob") / F.col("n_tokens"))
