@@ -12,8 +12,9 @@ exactly inside each component, where all of them lie, by blocks of members again
 partner is capped, and no task holds more than two blocks.
 
 Defined cases: rows whose label or vector is null, whose vector is zero, or holds a null or a
-value that isn't finite link with nothing; vectors of different lengths never link; repeated
-rows count as separate vectors; an empty table gives an empty result.
+value that isn't finite link with nothing, and so do rows without an id; vectors of different
+lengths never link; rows that repeat, in all or in the id alone, count as separate vectors; an
+empty table gives an empty result.
 
 With the defaults, two vectors at the threshold 0.93 meet in one of the tables with a
 probability over 0.999 (measured in the tests), closer ones more surely.
@@ -237,7 +238,7 @@ def near_neighbors(
     """(vec_id, n_links, component_id, kept) per row of vectors; ids are integers."""
     rows = vectors.select(
         F.col(id_col).cast("long").alias("__id"), F.col(label).alias("__label"), F.col(vector).alias("__vec")
-    ).withColumn("__fine", usable("__label", "__vec"))
+    ).withColumn("__fine", usable("__label", "__vec") & F.col("__id").isNotNull())
     fine = rows.where("__fine").select(
         "__id",
         F.xxhash64("__label").alias("label"),
@@ -247,27 +248,28 @@ def near_neighbors(
     )
     classes = checkpoint(
         fine.groupBy("k1", "k2").agg(
-            F.min("__id").alias("node"),
+            F.min("__id").alias("first_id"),
             F.count("*").alias("copies"),
             F.first("label").alias("label"),
             F.first("vector").alias("vector"),
-        )
+        ).withColumn("node", F.monotonically_increasing_id())
     )
     # floats are doubles' values in half the bytes
     kind = "<f4" if vectors.schema[vector].dataType.elementType == FloatType() else "<f8"
     edges = linked_runs(_index(classes, threshold, tables, probes, seed, kind), _cosine_linker(threshold, kind))
     parts = checkpoint(connected_components(edges))
-    members = classes.join(parts, "node").select("component", "node", "copies", "vector")
+    members = classes.join(parts, "node").select("component", "node", "first_id", "copies", "vector")
+    named = members.groupBy("component").agg(F.min("first_id").alias("component_id"))
     links = _count_links(members, threshold)
     by_class = (
-        classes.select("k1", "k2", "node", "copies")
-        .join(parts, "node", "left")
+        classes.select("k1", "k2", "node", "first_id", "copies")
+        .join(parts.join(named, "component"), "node", "left")
         .join(links, "node", "left")
         .select(
             "k1",
             "k2",
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
-            F.coalesce("component", "node").alias("component_id"),
+            F.coalesce("component_id", "first_id").alias("component_id"),
         )
     )
     linked = fine.select("__id", "k1", "k2").join(by_class, ["k1", "k2"]).select("__id", "n_links", "component_id")

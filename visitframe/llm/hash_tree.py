@@ -99,7 +99,7 @@ def with_slots(df: DataFrame, key: str, rows: int, out: str = "slot") -> DataFra
 
 def write_shards(docs: DataFrame, path: str, key: str = "doc_id", tree: list[Shard] | None = None) -> None:
     """docs as Parquet under region=/rack=/shard= folders."""
-    placed = place(docs, key, tree or even_tree(16), "shard")
+    placed = place(docs.drop("region", "rack", "shard"), key, tree or even_tree(16), "shard")
     placed.withColumnsRenamed({"shard_region": "region", "shard_rack": "rack"}).write.partitionBy(
         "region", "rack", "shard"
     ).parquet(path)

@@ -9,7 +9,8 @@ minimum, so a window that a third of all documents share is no bottleneck.
 Defined cases: a null text stays null and has no lines; documents with fewer lines than a
 window have no window and stay whole; windows of blank lines only don't count; rows that
 repeat both id and text are one document and keep the same lines; a document whose lines
-all go is left with an empty text; an empty table gives an empty result.
+all go is left with an empty text; null ids come first in the order; columns of the input
+named like an output are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -64,23 +65,23 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
 
 def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
     """docs with `text` without the lines that repeat, plus `n_lines` and `n_removed`."""
-    removed = repeated_lines(docs, id_col, text, window)
+    removed = repeated_lines(docs, id_col, text, window).withColumnRenamed("removed", "__removed")
     lines = F.split(text, "\n")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("removed"))
+    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
     joined = docs.join(
         removed, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__text_hash")), "left"
     )
     return (
         joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("n_removed", F.coalesce(F.size("removed"), F.lit(0)))
+        .withColumn("n_removed", F.coalesce(F.size("__removed"), F.lit(0)))
         .withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
         .withColumn(
             text,
-            F.when(F.col("removed").isNull(), F.col(text)).otherwise(
+            F.when(F.col("__removed").isNull(), F.col(text)).otherwise(
                 F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
             ),
         )
-        .drop("__id", "__text_hash", "removed")
+        .drop("__id", "__text_hash", "__removed")
     )
 
 

@@ -12,8 +12,8 @@ no target exceeds `epochs` times its source's words, and what lies above is shar
 weight among the others until none is above.
 
 Defined cases: a null text has size 0 and is never taken; null sources are one source; equal
-ids tie by size and rows equal in both are interchangeable; an empty table gives an empty
-result; a budget of zero takes nothing. Reruns agree: the shuffle is a hash of the id.
+ids tie by size and text hash, and rows equal in all are interchangeable; an empty table gives
+an empty result; a budget of zero takes nothing. Reruns agree: the shuffle is a hash of the id.
 """
 
 from __future__ import annotations
@@ -78,11 +78,13 @@ def mix(
     epochs: int = 3,
     seed: str = "mix",
 ) -> DataFrame:
-    """(doc_id, size, source_size, target, taken) per row of docs."""
+    """(doc_id, text_hash, size, source_size, target, taken) per row of docs; text_hash is that of
+    text and source."""
     light = checkpoint(
         docs.select(
             F.col(id_col),
             F.col(source).alias("__src"),
+            F.xxhash64(text, source).alias("text_hash"),
             word_count(text).alias("size"),
             shuffle_hash(id_col, seed).alias("__hash"),
         )
@@ -96,7 +98,7 @@ def mix(
         with_target.withColumn("__bucket", F.floor(F.col("__hash") / F.lit(width))),
         ["rank"],
         "__bucket",
-        [F.col("__hash"), F.col(id_col), F.col("size")],
+        [F.col("__hash"), F.col(id_col), F.col("size"), F.col("text_hash")],
         "size",
         "end",
     ).drop("__bucket")
@@ -120,26 +122,37 @@ def mix(
         play, [], "__time", [F.col("finish"), F.col("rank"), F.col("end")], "__words", "__played"
     )
     kept = F.when(F.col("offered") & (F.col("__played") <= F.lit(total or 0)), F.col("size")).otherwise(F.lit(0))
-    taken = sorted_play.groupBy(id_col, "rank", "end", "size", "source_size", "target").agg(F.sum(kept).alias("taken"))
-    return taken.select(id_col, "size", "source_size", "target", "taken").unionByName(
-        queued.where("size = 0").select(id_col, "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
+    taken = sorted_play.groupBy(id_col, "text_hash", "rank", "end", "size", "source_size", "target").agg(F.sum(kept).alias("taken"))
+    return taken.select(id_col, "text_hash", "size", "source_size", "target", "taken").unionByName(
+        queued.where("size = 0").select(id_col, "text_hash", "size", "source_size", "target", F.lit(0).cast("long").alias("taken"))
     )
 
 
 def repeat_documents(docs: DataFrame, id_col: str = "doc_id", text: str = "text", source: str = "source", **kw) -> DataFrame:
     """The mixed corpus itself: each document as often as the mix takes it, columns as they
-    were. docs needs unique ids; documents that the mix doesn't take are left out."""
-    taken = mix(docs, id_col, text, source, **kw).where("taken > 0")
-    times = taken.select(F.col(id_col).alias("__id"), (F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    were; documents that the mix doesn't take are left out. Rows that repeat id, text and source
+    share what the mix takes of them evenly."""
+    times = (
+        mix(docs, id_col, text, source, **kw)
+        .where("taken > 0")
+        .groupBy(F.xxhash64(F.lit("id"), id_col).alias("__id_hash"), F.col("text_hash").alias("__hash"))
+        .agg(F.sum(F.col("taken") / F.col("size")).cast("int").alias("__times"))
+    )
+    # two hashes that are never null: the windows and the join share one exchange of the texts
+    own = docs.withColumn("__id_hash", F.xxhash64(F.lit("id"), id_col)).withColumn("__hash", F.xxhash64(text, source))
+    rows = Window.partitionBy("__id_hash", "__hash")
+    share = F.floor(F.col("__times") / F.col("__rows")) + (F.col("__no") <= F.col("__times") % F.col("__rows")).cast("int")
     return (
-        docs.join(times, F.col(id_col) == F.col("__id"))
-        .withColumn("__copy", F.explode(F.sequence(F.lit(1), F.col("__times"))))
-        .drop("__id", "__times", "__copy")
+        own.withColumn("__no", F.row_number().over(rows.orderBy(F.lit(0))))
+        .withColumn("__rows", F.count("*").over(rows))
+        .join(times, ["__id_hash", "__hash"])
+        .withColumn("__copy", F.explode(F.array_repeat(F.lit(1), share.cast("int"))))
+        .select(*[f"`{c}`" for c in docs.columns])
     )
 
 
 def op5_mixing(docs: DataFrame) -> DataFrame:
-    return mix(docs)
+    return mix(docs).drop("text_hash")
 
 
 ORACLE = r"""

@@ -11,7 +11,8 @@ per word and round, in numpy. Every word that was not met before is checked agai
 sentencepiece library, and a difference stops the job.
 
 Defined cases: null text counts as empty; an empty text has only the begin and end ids and
-decodes to the empty string; rows, repeated or not, keep their multiplicity.
+decodes to the empty string; rows, repeated or not, keep their multiplicity; columns of the
+input named like an output are replaced; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -305,8 +306,8 @@ def encode_and_decode(docs: DataFrame, proto: bytes, text: str = "text", slice_r
     travel with the job as a broadcast variable: their size is the vocabulary file's, it
     doesn't grow with the data. `text` itself isn't carried along.
     """
-    kept = [c for c in docs.columns if c != text]
-    carried = docs.select(*[f"`{c}`" for c in kept], text)
+    kept = [c for c in docs.columns if c not in (text, "ids", "decoded")]
+    carried = docs.select(*[f"`{c}`" for c in kept], f"`{text}`")
     shared = docs.sparkSession.sparkContext.broadcast(proto)
     n = len(kept)
     from pyspark.sql.types import BinaryType, StringType, StructType

@@ -15,7 +15,8 @@ is false.
 Defined cases: a null or wordless text has fingerprint zero and links like any other; fewer
 words than a shingle make one shingle of the whole sequence; equal fingerprints (exact copies
 among them) are one node, so copies are never expanded into pairs; repeated rows share the
-component; an empty table gives an empty result.
+component; rows with a null id link like others, but name a component only if it has no other
+id; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -60,17 +61,19 @@ def fingerprint_batch(texts: list[str | None], words: int) -> np.ndarray:
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
-    """(doc_id, fp): fp is the fingerprint as a signed long."""
+    """(doc_id, text_hash, fp): fp is the fingerprint as a signed long."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for lo in range(0, whole.num_rows, 256):
                 batch = whole.slice(lo, 256)
-                fp = fingerprint_batch(batch.column(1).to_pylist(), words)
-                yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(fp.view(np.int64))], names=[id_col, "fp"])
+                fp = fingerprint_batch(batch.column(2).to_pylist(), words)
+                yield pa.RecordBatch.from_arrays(
+                    [batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=[id_col, "text_hash", "fp"]
+                )
 
-    picked = docs.select(id_col, text)
-    return picked.mapInArrow(run, f"`{id_col}` {picked.schema[0].dataType.simpleString()}, fp long")
+    picked = docs.select(id_col, F.xxhash64(text).alias("text_hash"), text)
+    return picked.mapInArrow(run, f"`{id_col}` {picked.schema[0].dataType.simpleString()}, text_hash long, fp long")
 
 
 def signatures(distinct: DataFrame) -> DataFrame:
@@ -107,18 +110,24 @@ def _linker(distance: int):
     return link
 
 
+def _components(known: DataFrame, id_col: str, distance: int) -> DataFrame:
+    """(fp, root, first_id) per distinct fp of known: root is the smallest fp of its component,
+    first_id the smallest id of its rows."""
+    if not 0 <= distance <= 2 * len(SEGMENTS) - 1:
+        raise ValueError("with three segments and one wildcard the distance is 5 at most")
+    distinct = known.groupBy("fp").agg(F.min(id_col).alias("first_id"))
+    edges = linked_runs(signatures(distinct), _linker(distance))
+    parts = connected_components(edges).withColumnRenamed("node", "fp")
+    return distinct.join(parts, "fp", "left").select("fp", "component", "first_id")
+
+
 def near_duplicates(
     docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4, distance: int = 4
 ) -> DataFrame:
     """(doc_id, fp, component_id) per row of docs; component_id is the smallest id reachable
     over links, itself included. distance may be 0 to 5: one bit per segment at most."""
-    if not 0 <= distance <= 2 * len(SEGMENTS) - 1:
-        raise ValueError("with three segments and one wildcard the distance is 5 at most")
     known = checkpoint(fingerprints(docs, id_col, text, words))
-    distinct = known.groupBy("fp").agg(F.min(id_col).alias("first_id"))
-    edges = linked_runs(signatures(distinct), _linker(distance))
-    parts = connected_components(edges).withColumnRenamed("node", "fp")
-    linked = distinct.join(parts, "fp", "left")
+    linked = _components(known, id_col, distance)
     smallest = linked.where("component is not null").groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_fp = linked.join(smallest, "component", "left").select(
         "fp", F.coalesce("component_id", "first_id").alias("component_id")
@@ -127,14 +136,24 @@ def near_duplicates(
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each component the row with the smallest id stays,
-    of repeated rows with that id one."""
-    found = near_duplicates(docs, id_col, text, words, distance)
-    keep = found.where(F.col(id_col) == F.col("component_id")).select(F.col(id_col).alias("__keep")).distinct()
-    kept = docs.join(keep, F.col(id_col) == F.col("__keep"), "left_semi")
-    # rows that repeat an id lie together already
-    again = Window.partitionBy(id_col).orderBy(F.xxhash64(text))
-    return kept.withColumn("__no", F.row_number().over(again)).where("__no = 1").drop("__no")
+    """docs without near-duplicates: of each component exactly one row stays, that with the
+    smallest id (null last), then text hash."""
+    known = checkpoint(fingerprints(docs, id_col, text, words))
+    root = _components(known, id_col, distance).select("fp", F.coalesce("component", "fp").alias("root"))
+    # the first row of each fingerprint is a map-side combined minimum; its component's follows
+    place = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("text_hash"))
+    firsts = known.groupBy("fp").agg(F.min(place).alias("place"))
+    keep = (
+        firsts.join(root, "fp")
+        .groupBy("root")
+        .agg(F.min("place").alias("place"))
+        .select(F.xxhash64(F.lit("id"), "place.id").alias("__id_hash"), F.col("place.text_hash").alias("__hash"))
+    )
+    # two hashes that are never null: the join and the window share one exchange of the texts
+    own = docs.withColumn("__id_hash", F.xxhash64(F.lit("id"), id_col)).withColumn("__hash", F.xxhash64(text))
+    kept = own.join(keep, ["__id_hash", "__hash"], "left_semi")
+    again = Window.partitionBy("__id_hash", "__hash").orderBy(F.lit(0))
+    return kept.withColumn("__no", F.row_number().over(again)).where("__no = 1").select(*[f"`{c}`" for c in docs.columns])
 
 
 def op4_simhash(docs: DataFrame) -> DataFrame:
