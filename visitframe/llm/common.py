@@ -8,6 +8,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -76,6 +77,17 @@ def running_total(
     )
 
 
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+    """batch in slices whose texts have about `most` bytes; a longer text has one of its own."""
+    ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False) + 8)
+    lo = 0
+    while lo < batch.num_rows:
+        reach = most + (ends[lo - 1] if lo else 0)
+        hi = max(lo + 1, int(np.searchsorted(ends, reach, "right")))
+        yield batch.slice(lo, hi - lo)
+        lo = hi
+
+
 # ---------------------------------------------------------------- linked runs
 
 

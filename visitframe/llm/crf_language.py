@@ -22,6 +22,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -29,13 +30,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, IntegerType, StringType, StructType
 
+from visitframe.llm.common import text_slices
+
 UNKNOWN = "und"
 WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 LONGEST = 32
+DRAW_BITS = 30
 WORDS_KEPT = 200_000
-#: Documents that go through prediction together.
-SLICE = 400
+#: Words of a block of forward-backward.
+BLOCK = 64
+#: Languages learned at most, the most frequent ones: it bounds the model.
+MOST_LANGUAGES = 64
 
 
 def words_of(text: str | None) -> list[str]:
@@ -98,9 +104,70 @@ class Crf:
             out[hit] += self.lexicon_weights[j]
         return out
 
-    def posteriors(self, e: np.ndarray, mask: np.ndarray) -> np.ndarray:
-        """Posteriors of padded chains: e is chains x steps x languages, mask chains x steps."""
-        return _forward_backward(e, mask, self.transitions, self.first)[0]
+    def posteriors(self, e: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Posteriors (words x languages) of chains that lie one after the other in e.
+
+        Chains are cut in blocks of BLOCK words. The product of a block's transfer matrices is
+        found for all blocks at once, step by step; a scan over each chain's blocks gives what
+        enters a block from either side; then forward and backward run in all blocks at once.
+        """
+        k = len(self.languages)
+        a = np.exp(self.transitions - self.transitions.max()).astype(np.float32)
+        first = np.exp(self.first - self.first.max()).astype(np.float32)
+        ones = np.ones(k, np.float32)
+
+        def scaled(v: np.ndarray) -> np.ndarray:
+            return v / (v @ ones)[:, None]
+
+        blocks = -(-sizes // BLOCK)
+        begin = np.concatenate([[0], np.cumsum(blocks)])
+        word = np.arange(len(e)) + np.repeat(begin[:-1] * BLOCK - np.cumsum(sizes) + sizes, sizes)
+        n, at, step = int(begin[-1]), word // BLOCK, word % BLOCK
+        p = np.ones((BLOCK, n, k), np.float32)
+        p[step, at] = np.exp(e - e.max(axis=1, keepdims=True))
+        full = np.full(n, BLOCK)
+        full[begin[1:] - 1] = sizes - (blocks - 1) * BLOCK
+        # blocks with a word at step t are those before live[t], longest first
+        order = np.argsort(-full, kind="stable")
+        place = np.empty(n, np.int64)
+        place[order] = np.arange(n)
+        p = p[:, order]
+        live = np.searchsorted(-full[order], -np.arange(BLOCK), "left")
+        starts, ends = place[begin[:-1]], place[begin[1:] - 1]
+        whole = np.tile(a, (n, 1, 1))
+        whole[starts] = np.eye(k, dtype=np.float32)
+        whole *= p[0][:, None, :]
+        for t in range(1, BLOCK):
+            m = live[t]
+            if not m:
+                break
+            own = (whole[:m].reshape(-1, k) @ a).reshape(m, k, k) * p[t, :m, None, :]
+            whole[:m] = own / (own.reshape(m, -1) @ np.ones(k * k, np.float32))[:, None, None]
+        enters, leaves = np.empty((n, k), np.float32), np.empty((n, k), np.float32)
+        enters[starts], leaves[ends] = first, 1
+        chains = np.argsort(-blocks, kind="stable")
+        still = np.searchsorted(-blocks[chains], -np.arange(1, blocks.max(initial=0) + 1), "left")
+        for j, m in enumerate(still.tolist(), 1):
+            if m:
+                c = chains[:m]
+                before, here = place[begin[c] + j - 1], place[begin[c] + j]
+                enters[here] = scaled(np.einsum("ni,nij->nj", enters[before], whole[before]))
+                here, after = place[begin[c + 1] - 1 - j], place[begin[c + 1] - j]
+                leaves[here] = scaled(np.einsum("nij,nj->ni", whole[after], leaves[after]))
+        alpha = np.ones_like(p)
+        now = enters @ a
+        now[starts] = first
+        alpha[0] = now = scaled(now * p[0])
+        for t in range(1, BLOCK):
+            m = live[t]
+            now[:m] = scaled((now[:m] @ a) * p[t, :m])
+            alpha[t, :m] = now[:m]
+        beta = leaves
+        for t in range(BLOCK - 1, -1, -1):
+            m = live[t]
+            alpha[t, :m] *= beta[:m]
+            beta[:m] = scaled((p[t, :m] * beta[:m]) @ a.T)
+        return scaled(alpha[step, place[at]])
 
 
 def _forward_backward(
@@ -212,41 +279,29 @@ def predict_texts(model: Crf, texts: list[str | None], memory: dict) -> tuple[li
     k = len(model.languages)
     docs = [words_of(t) for t in texts]
     known, table = memory.setdefault("row", {}), memory.get("table")
-    fresh = list({w for d in docs for w in d if w not in known})
+    types = set().union(*docs)
+    fresh = list(types - known.keys())
     if table is None or len(known) + len(fresh) > len(table):
         known.clear()
-        fresh = list({w for d in docs for w in d})
+        fresh = list(types)
         table = memory["table"] = np.empty((max(WORDS_KEPT, len(fresh)), k), np.float32)
     if fresh:
         lo = len(known)
         table[lo : lo + len(fresh)] = model.emissions(fresh)
         known.update(zip(fresh, range(lo, lo + len(fresh)), strict=True))
     sizes = np.array([len(d) for d in docs], np.int64)
-    order = np.argsort(sizes, kind="stable")
-    order = order[sizes[order] > 0]
     langs, scores = [UNKNOWN] * len(texts), np.zeros(len(texts))
     posteriors: list[np.ndarray] = [np.zeros((0, k), np.float32)] * len(texts)
-    at = 0
-    while at < len(order):
-        # chains of about equal length go through together, within a bound of cells
-        end = at + 1
-        while end < len(order) and end - at < 256 and sizes[order[end]] * (end - at + 1) <= 1 << 20:
-            end += 1
-        own = order[at:end]
-        steps = int(sizes[own[-1]])
-        rows = np.zeros((len(own), steps), np.int64)
-        for r, i in enumerate(own.tolist()):
-            rows[r, : sizes[i]] = [known[w] for w in docs[i]]
-        mask = np.arange(steps) < sizes[own][:, None]
-        e = table[rows]
-        e[~mask] = 0
-        post = model.posteriors(e, mask)
-        mean = (post * mask[:, :, None]).sum(axis=1, dtype=np.float64) / sizes[own][:, None]
+    full = np.flatnonzero(sizes)
+    if len(full):
+        rows = np.fromiter(map(known.__getitem__, chain.from_iterable(docs)), np.int64, int(sizes.sum()))
+        post = model.posteriors(table[rows], sizes[full])
+        ends = np.cumsum(sizes[full])
+        mean = np.add.reduceat(post, ends - sizes[full], axis=0, dtype=np.float64) / sizes[full][:, None]
         best = mean.argmax(axis=1)
-        for r, i in enumerate(own.tolist()):
-            langs[i], scores[i] = model.languages[best[r]], min(1.0, mean[r, best[r]])
-            posteriors[i] = post[r, : sizes[i]]
-        at = end
+        scores[full] = np.minimum(mean[np.arange(len(full)), best], 1)
+        for i, j, own in zip(full.tolist(), best.tolist(), np.split(post, ends[:-1]), strict=True):
+            langs[i], posteriors[i] = model.languages[j], own
     return langs, scores, posteriors
 
 
@@ -273,15 +328,23 @@ def training_sample(
     labelled = docs.where(F.col(lang).isNotNull() & ~held_out(id_col)).select(
         F.col(lang).alias("__lang"), F.col(id_col).alias("__id"), F.col(text).alias("__text")
     )
-    labelled = labelled.withColumn("__draw", F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << 30)))
-    share = labelled.groupBy("__lang").agg(
-        F.least(F.lit(1.0), F.lit(2.0 * per_language) / F.count("*")).alias("__share")
-    )
-    drawn = labelled.join(share, "__lang").where(F.col("__draw") < F.col("__share") * (1 << 30))
+    labelled = labelled.withColumn("__draw", F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << DRAW_BITS)))
+    top = labelled.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MOST_LANGUAGES).collect()
+    learned = labelled.where(F.col("__lang").isin([r["__lang"] for r in top]))
+    # rows with draws below 2^level, per level: the lowest level that holds enough bounds the draw
+    level = F.length(F.bin("__draw"))
+    below: dict[str, dict[int, int]] = {}
+    for r in learned.groupBy("__lang", level.alias("level")).count().collect():
+        below.setdefault(r["__lang"], {})[r["level"]] = r["count"]
+    bound = F.lit(None)
+    for name, levels in sorted(below.items()):
+        enough = (x for x in range(DRAW_BITS) if sum(c for at, c in levels.items() if at <= x) >= per_language)
+        bound = F.when(F.col("__lang") == name, F.lit(1 << next(enough, DRAW_BITS))).otherwise(bound)
     w = Window.partitionBy("__lang").orderBy("__draw", "__id", F.xxhash64("__text"))
     start = F.pmod(F.col("__draw"), F.greatest(F.length("__text") - window_chars, F.lit(1))) + 1
     rows = (
-        drawn.select("__lang", "__id", "__draw", F.col("__text").substr(start.cast("int"), F.lit(window_chars)).alias("__text"))
+        learned.where(F.col("__draw") < bound)
+        .select("__lang", "__id", "__draw", F.col("__text").substr(start.cast("int"), F.lit(window_chars)).alias("__text"))
         .withColumn("__no", F.row_number().over(w))
         .where(F.col("__no") <= per_language)
         .select("__lang", "__text", "__draw", "__id")
@@ -315,8 +378,7 @@ def identify(
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, memory = shared.value, {}
         for whole in batches:
-            for lo in range(0, whole.num_rows, SLICE):
-                batch = whole.slice(lo, SLICE)
+            for batch in text_slices(whole, n):
                 texts = batch.column(n).to_pylist()
                 if model is None:
                     langs, scores, post = [UNKNOWN] * len(texts), np.zeros(len(texts)), [np.zeros((0, 0))] * len(texts)
