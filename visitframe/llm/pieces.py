@@ -25,8 +25,11 @@ import numpy as np
 import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
+from pyspark.sql.types import BinaryType, StringType, StructType
 from sentencepiece import sentencepiece_model_pb2
 
+from visitframe.llm.common import text_slices
+
 MARK = "▁"
 #: Codes of symbols that are no piece: this plus the code point.
 LOOSE = 1 << 17
@@ -299,7 +302,7 @@ def encode_texts(model: PieceModel, known: dict[str, bytes], texts: list[str]) -
     return [head + b"".join([known[w] for w in ws]) + tail for ws in cut]
 
 
-def encode_and_decode(docs: DataFrame, proto: bytes, text: str = "text", slice_rows: int = 2000) -> DataFrame:
+def encode_and_decode(docs: DataFrame, proto: bytes, text: str = "text") -> DataFrame:
     """docs plus `ids` (binary: little-endian unsigned 32-bit) and `decoded` (string).
 
     Every whole text is encoded with begin and end ids and decoded again. The model's bytes
@@ -310,15 +313,12 @@ def encode_and_decode(docs: DataFrame, proto: bytes, text: str = "text", slice_r
     carried = docs.select(*[f"`{c}`" for c in kept], f"`{text}`")
     shared = docs.sparkSession.sparkContext.broadcast(proto)
     n = len(kept)
-    from pyspark.sql.types import BinaryType, StringType, StructType
-
     schema = StructType(carried.schema.fields[:n]).add("ids", BinaryType()).add("decoded", StringType())
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         model, known = _model(shared.value)
         for whole in batches:
-            for lo in range(0, whole.num_rows, slice_rows):
-                batch = whole.slice(lo, slice_rows)
+            for batch in text_slices(whole, n):
                 coded = encode_texts(model, known, [t or "" for t in batch.column(n).to_pylist()])
                 decoded = [model.decode(np.frombuffer(c, "<u4").astype(np.int64)) for c in coded]
                 yield pa.RecordBatch.from_arrays(

@@ -29,9 +29,11 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitframe.llm.common import checkpoint, connected_components, linked_runs, pair_positions
+from visitframe.llm.common import checkpoint, connected_components, linked_runs, pair_positions, text_slices
 
 SEED = 42
+#: Hashes whose bits are added up at once.
+FLUSH = 1 << 16
 #: Bits of the segments; one fewer than half the distance would suffice for exact segments.
 SEGMENTS = (22, 21, 21)
 
@@ -40,24 +42,31 @@ def fingerprint_batch(texts: list[str | None], words: int) -> np.ndarray:
     """Unsigned 64-bit fingerprints. Bytes are split at 0x20 and 0x09-0x0D, which is what
     bytes.split() does; bytes.lower() changes A-Z alone."""
     digest = xxhash.xxh64_intdigest
+    ones, counts = np.zeros((len(texts), 64), np.int64), np.zeros(len(texts), np.int64)
     hashes: list[int] = []
-    counts = np.zeros(len(texts), np.int64)
+    parts: list[tuple[int, int]] = []
+
+    def add_up() -> None:
+        if hashes:
+            bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8)).reshape(-1, 64)
+            at, sizes = np.array(parts).T
+            # a text may have come in several parts, the parts of one flush are of different texts
+            ones[at] += np.add.reduceat(bits, np.cumsum(sizes) - sizes, axis=0, dtype=np.int32)
+            counts[at] += sizes
+            hashes.clear()
+            parts.clear()
+
     for i, text in enumerate(texts):
         w = text.encode().lower().split() if text else []
-        if len(w) > words:
-            own = [digest(b" ".join(w[k : k + words]), SEED) for k in range(len(w) - words + 1)]
-        else:
-            own = [digest(b" ".join(w), SEED)] if w else []
-        counts[i] = len(own)
-        hashes += own
-    out = np.zeros(len(texts), np.uint64)
-    full = np.flatnonzero(counts)
-    if len(full):
-        bits = np.unpackbits(np.array(hashes, ">u8").view(np.uint8)).reshape(-1, 64)
-        starts = np.concatenate([[0], np.cumsum(counts[full])[:-1]])
-        ones = np.add.reduceat(bits, starts, axis=0, dtype=np.int32)
-        out[full] = np.packbits(ones * 2 > counts[full][:, None], axis=1).view(">u8").ravel()
-    return out
+        shingles = max(len(w) - words + 1, min(len(w), 1))
+        for lo in range(0, shingles, FLUSH):
+            own = [digest(b" ".join(w[k : k + words]), SEED) for k in range(lo, min(lo + FLUSH, shingles))]
+            hashes += own
+            parts.append((i, len(own)))
+            if len(hashes) >= FLUSH:
+                add_up()
+    add_up()
+    return np.packbits(ones * 2 > counts[:, None], axis=1).view(">u8").ravel().astype(np.uint64)
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 4) -> DataFrame:
@@ -65,8 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 256):
-                batch = whole.slice(lo, 256)
+            for batch in text_slices(whole, 2, 1 << 20):
                 fp = fingerprint_batch(batch.column(2).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=[id_col, "text_hash", "fp"]

@@ -22,6 +22,8 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
+from visitframe.llm.common import text_slices
+
 RATE = 8000
 #: Fixed values of the WAVE format: the tags of the three codings.
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
@@ -170,8 +172,7 @@ def to_media(docs: DataFrame, id_col: str = "doc_id", text: str = "text") -> Dat
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for batch in text_slices(whole, 1):
                 raw = [(t or "").encode() for t in batch.column(1).to_pylist()]
                 coding = [("mulaw", "alaw", "adpcm")[zlib.crc32(r) % 3] for r in raw]
                 media = [store(pad(r), c) for r, c in zip(raw, coding, strict=True)]
@@ -192,8 +193,7 @@ def decode_media(media: DataFrame, target_rate: int = 2 * RATE, keep_pcm: bool =
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for lo in range(0, whole.num_rows, 512):
-                batch = whole.slice(lo, 512)
+            for batch in text_slices(whole, at):
                 coded = [read_back(m) for m in batch.column(at).to_pylist()]
                 # the ADPCM blocks of all files go through the decoder together
                 blocks = [d for c, d in coded if c == "adpcm"]
