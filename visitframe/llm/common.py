@@ -44,6 +44,16 @@ def partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 
 
+def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, how: str = "inner") -> DataFrame:
+    """big with the one row of small for each value of `on`. Both sides are dealt by a hash of
+    big's `spread` as well, so that a value with a third of all rows goes to many tasks."""
+    n = partitions(big.sparkSession)
+    salted = small.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(n - 1))))
+    return (
+        big.withColumn("__salt", F.pmod(F.xxhash64(spread), F.lit(n)).cast("int")).join(salted, [*on, "__salt"], how).drop("__salt")
+    )
+
+
 def size_buckets(rows: int, per_bucket: int = 2000, least: int = 64, most: int = 16384) -> int:
     """Buckets for a two-level prefix sum: they grow with the rows, within a proven bound."""
     return max(least, min(most, rows // per_bucket))

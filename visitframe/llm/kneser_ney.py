@@ -23,14 +23,15 @@ an id count as trusted if any of them is; empty tables give an empty result.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitframe.llm.common import checkpoint, partitions
+from visitframe.llm.common import checkpoint, partitions, salted_join, written
 
 ORDER = 4
 START, END = "\x02", "\x03"
@@ -207,56 +208,68 @@ def count_grams(packed: DataFrame, trusted: DataFrame) -> DataFrame:
     return per_bucket.groupBy("lang", "gram").agg(F.sum("n").alias("n"))
 
 
-def _discounts(table: DataFrame) -> DataFrame:
-    """Per language the discounts d1, d2, d3 of counts 1, 2 and above, from counts of counts.
-    Where those don't determine a discount (tiny corpora), half a count is taken off."""
-    n = [F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
-    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
-    out = table.groupBy("lang").agg(*n)
-    for k in (1, 2, 3):
-        d = F.lit(k) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
-        out = out.withColumn(f"d{k}", F.when((d > 0) & (d < k), d).otherwise(F.lit(0.5)))
-    return out.select("lang", "d1", "d2", "d3")
+def gram_table(counts: DataFrame) -> DataFrame:
+    """(order, lang, context, gram, n, d) of all orders: n is the count, below the highest order
+    the continuation count, d the discount that is taken off.
 
-
-def gram_tables(counts: DataFrame) -> dict[int, tuple[DataFrame, DataFrame]]:
-    """For each order its grams (lang, gram, alpha) and contexts (lang, context, gamma): alpha
-    is the discounted share of the context's count, gamma the mass left for the order below."""
-    tables: dict[int, tuple[DataFrame, DataFrame]] = {}
-    own = counts
+    The discounts d1, d2, d3 of counts 1, 2 and above come from the counts of counts of each order
+    and language. Where those don't determine a discount (tiny corpora), half a count is taken
+    off."""
+    own, parts = counts, []
     for order in range(ORDER, 0, -1):
-        d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
-        with_d = own.join(_discounts(own), "lang").select(
-            "lang", "gram", F.substring("gram", 1, order - 1).alias("context"), "n", F.least(d, F.col("n")).alias("d")
-        )
-        contexts = with_d.groupBy("lang", "context").agg(F.sum("n").alias("total"), F.sum("d").alias("left"))
-        grams = with_d.join(contexts, ["lang", "context"]).select(
-            "lang", "gram", ((F.col("n") - F.col("d")) / F.col("total")).alias("alpha")
-        )
-        tables[order] = (grams, contexts.select("lang", "context", (F.col("left") / F.col("total")).alias("gamma")))
+        context = F.substring("gram", 1, order - 1).alias("context")
+        parts.append(own.select(F.lit(order).alias("order"), "lang", context, "gram", "n"))
         own = own.groupBy("lang", F.substring("gram", 2, order).alias("gram")).agg(F.count("*").alias("n"))
-    return tables
+    table = checkpoint(reduce(DataFrame.unionByName, parts))
+    of_counts = [F.count_if(F.col("n") == k).cast("double").alias(f"n{k}") for k in (1, 2, 3, 4)]
+    y = F.try_divide(F.col("n1"), F.col("n1") + 2 * F.col("n2"))
+    taken = []
+    for k in (1, 2, 3):
+        d = F.lit(k) - (k + 1) * y * F.try_divide(F.col(f"n{k + 1}"), F.col(f"n{k}"))
+        taken.append(F.when((d > 0) & (d < k), d).otherwise(F.lit(0.5)).alias(f"d{k}"))
+    discounts = table.groupBy("order", "lang").agg(*of_counts).select("order", "lang", *taken)
+    d = F.when(F.col("n") == 1, F.col("d1")).when(F.col("n") == 2, F.col("d2")).otherwise(F.col("d3"))
+    return salted_join(table, discounts, ["order", "lang"], "gram").select(
+        "order", "lang", "context", "gram", "n", F.least(d, F.col("n")).alias("d")
+    )
 
 
 def probabilities(wanted: DataFrame, counts: DataFrame) -> DataFrame:
     """(lang, gram, logp) of distinct requests (lang, gram); logp is null where the language
-    has no counts."""
-    tables = gram_tables(counts)
-    chars = counts.groupBy("lang").agg(F.countDistinct(F.substring("gram", ORDER, 1)).alias("chars"))
-    # one more character for all that was never seen
-    out = wanted.join(chars, "lang", "left").withColumn("p", F.lit(1.0) / (F.col("chars") + 1))
-    for order in range(1, ORDER + 1):
-        grams, contexts = tables[order]
-        suffix = F.substring("gram", ORDER - order + 1, order)
-        out = (
-            out.withColumn("__g", suffix)
-            .withColumn("__c", F.substring("__g", 1, order - 1))
-            .join(grams.withColumnsRenamed({"gram": "__g"}), ["lang", "__g"], "left")
-            .join(contexts.withColumnsRenamed({"context": "__c"}), ["lang", "__c"], "left")
-            .withColumn("p", F.coalesce("alpha", F.lit(0.0)) + F.coalesce("gamma", F.lit(1.0)) * F.col("p"))
-            .select("lang", "gram", "p")
+    has no counts.
+
+    All orders meet their counts in one exchange by context: alpha, the discounted share of the
+    context's count, and gamma, the mass left for the order below, are windows over it. A
+    context has no more n-grams than the language has characters. Then each order joins the one
+    below."""
+    suffixes = [
+        F.struct(F.lit(k).alias("order"), F.substring("gram", ORDER - k + 1, k).alias("gram")) for k in range(1, ORDER + 1)
+    ]
+    asked = wanted.select("lang", F.explode(F.array(*suffixes)).alias("s")).select("s.order", "lang", "s.gram").distinct()
+    both = asked.select(
+        "order", "lang", F.expr("substring(gram, 1, order - 1)").alias("context"), "gram", F.lit(True).alias("asked")
+    ).unionByName(gram_table(counts).withColumn("asked", F.lit(False)), allowMissingColumns=True)
+    context = Window.partitionBy("order", "lang", "context")
+    own = Window.partitionBy("order", "lang", "context", "gram")
+    found = checkpoint(
+        both.withColumn("total", F.sum("n").over(context))
+        .withColumn("gamma", F.sum("d").over(context) / F.col("total"))
+        .withColumn("grams", F.count("n").over(context))
+        .withColumn("alpha", (F.max("n").over(own) - F.max("d").over(own)) / F.col("total"))
+        .where("asked")
+        .select("order", "lang", "gram", F.coalesce("alpha", F.lit(0.0)).alias("alpha"), "gamma", "grams")
+    )
+    # below the single characters all are equally likely, with one more for what was never seen
+    p = found.where("order = 1").select("lang", "gram", (F.col("alpha") + F.col("gamma") / (F.col("grams") + 1)).alias("p"))
+    for order in range(2, ORDER + 1):
+        below = p.select("lang", F.col("gram").alias("__suffix"), F.col("p").alias("__p"))
+        p = (
+            found.where(F.col("order") == order)
+            .withColumn("__suffix", F.substring("gram", 2, order - 1))
+            .join(below, ["lang", "__suffix"])
+            .select("lang", "gram", (F.col("alpha") + F.coalesce("gamma", F.lit(1.0)) * F.col("__p")).alias("p"))
         )
-    return out.select("lang", "gram", F.log("p").alias("logp"))
+    return p.select("lang", "gram", F.log("p").alias("logp"))
 
 
 def _requests(packed: DataFrame) -> DataFrame:
@@ -294,14 +307,17 @@ def _scores(packed: DataFrame, answers: DataFrame, id_type: str) -> DataFrame:
             if grams.dense:
                 table = np.full(len(grams.pairs) ** 2, np.nan)
                 table[number] = value
-                found = np.concatenate([table[n] for n in grams.numbers()])
+                found = (table[n] for n in grams.numbers())
             else:
                 order = np.argsort(number)
                 number, value = number[order], value[order]
-                found = np.concatenate([value[np.searchsorted(number, n)] for n in grams.numbers()])
-            sizes = np.array([len(texts[i]) + 1 for i in own])
-            total[own] = np.add.reduceat(found, np.concatenate([[0], np.cumsum(sizes)[:-1]]))
-            tokens[own] = sizes
+                found = (value[np.searchsorted(number, n)] for n in grams.numbers())
+            tokens[own] = sizes = np.array([len(texts[i]) + 1 for i in own])
+            ends, done = np.cumsum(sizes), 0
+            for part in found:  # the positions of some whole texts
+                more = int(np.searchsorted(ends, (ends[done - 1] if done else 0) + len(part), "right"))
+                total[own[done:more]] = np.add.reduceat(part, ends[done:more] - sizes[done:more] - ends[done] + sizes[done])
+                done = more
         return pa.table(
             {
                 "id": docs["id"].combine_chunks(),
@@ -341,8 +357,8 @@ def classify(
     # two passes, counting and scoring, go over the same buckets
     packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
     counts = checkpoint(count_grams(packed, trusted.where(~held_out("id")).select(bucket, "id")))
-    # one exchange serves the distinct requests and the way back to the buckets
-    requests = _requests(packed).repartition(tasks, "lang", "gram")
+    # the distinct requests and the way back to the buckets read what is written here
+    requests = written(_requests(packed))
     answers = requests.join(probabilities(requests.select("lang", "gram").distinct(), counts), ["lang", "gram"])
     scored = checkpoint(_scores(packed, answers, id_type)).withColumn(
         "perplexity", F.exp(-F.col("log_prob") / F.col("n_tokens"))
@@ -350,7 +366,7 @@ def classify(
     packed.unpersist()
     held = scored.where(held_out("id")).join(trusted, "id", "left_semi").where("perplexity is not null")
     thresholds = held.groupBy("lang").agg(F.percentile_approx("perplexity", quantile, 10_000).alias("threshold"))
-    return scored.join(thresholds, "lang", "left").select(
+    return salted_join(scored, thresholds, ["lang"], "id", "left").select(
         F.col("id").alias(id_col),
         F.when(F.col("lang") != "", F.col("lang")).alias("lang"),
         "n_tokens",
