@@ -87,7 +87,7 @@ def running_total(
     )
 
 
-def text_slices(batch: pa.RecordBatch, column: int, most: int = 4 << 20) -> Iterator[pa.RecordBatch]:
+def text_slices(batch: pa.RecordBatch, column: int, most: int = 1 << 20) -> Iterator[pa.RecordBatch]:
     """batch in slices whose texts have about `most` bytes; a longer text has one of its own."""
     ends = np.cumsum(pc.binary_length(batch.column(column)).fill_null(0).to_numpy(zero_copy_only=False) + 8)
     lo = 0

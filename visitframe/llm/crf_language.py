@@ -37,7 +37,7 @@ WORDS = re.compile(r"[^\W\d_]+")
 BUCKETS = 1 << 16
 LONGEST = 32
 DRAW_BITS = 30
-WORDS_KEPT = 200_000
+WORDS_KEPT = 100_000
 #: Words of a block of forward-backward.
 BLOCK = 64
 #: Languages learned at most, the most frequent ones: it bounds the model.

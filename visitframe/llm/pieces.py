@@ -37,7 +37,7 @@ NO_PAIR = np.int32(2**31 - 1)
 #: Words longer than this take the one-word agenda with a heap.
 LONG_WORD = 40
 #: Words a Python worker remembers; beyond it the memory is emptied.
-WORDS_KEPT = 400_000
+WORDS_KEPT = 150_000
 
 
 class PieceModel:

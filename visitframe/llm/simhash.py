@@ -74,7 +74,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
-            for batch in text_slices(whole, 2, 1 << 20):
+            for batch in text_slices(whole, 2):
                 fp = fingerprint_batch(batch.column(2).to_pylist(), words)
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0), batch.column(1), pa.array(fp.view(np.int64))], names=[id_col, "text_hash", "fp"]
