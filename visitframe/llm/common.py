@@ -179,7 +179,9 @@ def linked_runs(
         for c in t.column_names:
             whole = t[c].combine_chunks()
             if pa.types.is_binary(whole.type) or pa.types.is_large_binary(whole.type):
-                out[c] = np.frombuffer(b"".join(whole.to_pylist()), np.uint8).reshape(len(whole), -1)
+                # values of several lengths (of different runs) are filled up with zeros
+                width = pc.max(pc.binary_length(whole)).as_py() or 0
+                out[c] = np.frombuffer(b"".join([v.ljust(width, b"\0") for v in whole.to_pylist()]), np.uint8).reshape(len(whole), width)
             else:
                 out[c] = whole.to_numpy(zero_copy_only=False)
         return out

@@ -236,7 +236,7 @@ class PieceModel:
             return ""
         surface = self.surface
         parts = [surface[i] for i in ids.tolist()]
-        if not self.is_byte[ids[0]] and parts[0][:1] == b" ":
+        if not self.is_byte[ids[0]] and ids[0] != self.unk and parts[0][:1] == b" ":
             parts[0] = parts[0][1:]
         try:
             return b"".join(parts).decode()
