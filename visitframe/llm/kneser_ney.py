@@ -108,12 +108,12 @@ class Grams:
         self.size = size
 
     def _points(self) -> Iterator[np.ndarray]:
-        """Code points of about 2M characters at a time, whole texts with their paddings."""
+        """Code points of about 1M characters at a time, whole texts with their paddings."""
         held, n = [], 0
         for t in self.texts:
             held.append(START * (ORDER - 1) + t + END)
             n += len(held[-1])
-            if n > 2_000_000:
+            if n > 1_000_000:
                 yield np.frombuffer("".join(held).encode("utf-32-le"), np.uint32)
                 held, n = [], 0
         if held:
@@ -135,7 +135,7 @@ class Grams:
 
     @property
     def dense(self) -> bool:
-        return len(self.pairs) ** 2 <= 1 << 24
+        return len(self.pairs) ** 2 <= 1 << 22
 
     def counts(self) -> tuple[np.ndarray, np.ndarray]:
         """Distinct n-grams and how often they occur."""
