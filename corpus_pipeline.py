@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm import crf_language, line_dedup, mixing, pieces, simhash
+from visitframe.llm import crf_language, line_dedup, mixing, near_copies, pieces
 from visitframe.llm.common import written
 from visitframe.llm.registry import piece_model_bytes
 
@@ -30,8 +30,9 @@ def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near-duplicates (five-word shingles) the smallest id stays."""
-    return simhash.keep_first(docs, words=5)
+    """Of each group of near copies (Jaccard similarity of five-word shingles from 0.8) the
+    smallest id stays."""
+    return near_copies.keep_first(docs, words=5)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

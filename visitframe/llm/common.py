@@ -156,13 +156,15 @@ def _runs(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[tuple[pa.Tabl
 def linked_runs(
     rows: DataFrame,
     link: Callable[[dict[str, np.ndarray], np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]],
+    ragged: tuple[str, ...] = (),
 ) -> DataFrame:
     """Edges (a, b) between rows with an equal `key` that `link` accepts.
 
     rows: `key` long, `node` long, and payload columns. `link(columns, starts)` gets the
     columns of several runs (starts: where each begins, and the end) and yields the accepted
     pairs of row positions. Of each run only spanning edges leave the task, one
-    at most per row, which keeps connectivity and never emits all pairs of a group.
+    at most per row, which keeps connectivity and never emits all pairs of a group. Columns
+    named in `ragged` reach `link` as Arrow arrays, others as numpy arrays.
 
     Runs of up to RUN_CHUNK rows are compared where they lie. Longer runs are cut into
     chunks, and each pair of chunks is compared in a task of its own, so that no task
@@ -178,7 +180,9 @@ def linked_runs(
         out = {}
         for c in t.column_names:
             whole = t[c].combine_chunks()
-            if pa.types.is_binary(whole.type) or pa.types.is_large_binary(whole.type):
+            if c in ragged:
+                out[c] = whole
+            elif pa.types.is_binary(whole.type) or pa.types.is_large_binary(whole.type):
                 # values of several lengths (of different runs) are filled up with zeros
                 width = pc.max(pc.binary_length(whole)).as_py() or 0
                 out[c] = np.frombuffer(b"".join([v.ljust(width, b"\0") for v in whole.to_pylist()]), np.uint8).reshape(len(whole), width)
