@@ -23,9 +23,9 @@ def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def dedup_lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Later occurrences of repeated three-line windows go from the texts, and documents of
-    which nothing is left go altogether."""
-    found = line_dedup.remove_repeated_lines(docs).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
+    """Later occurrences of repeated three-line windows, marks at both ends of a document
+    included, go from the texts, and documents of which nothing is left go altogether."""
+    found = line_dedup.remove_repeated_lines(docs, ends=True).where((F.col("n_removed") == 0) | (F.trim("text") != ""))
     return found.withColumn("n_chars", F.length("text").cast("long")).select(docs.columns)
 
 

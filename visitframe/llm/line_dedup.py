@@ -6,8 +6,13 @@ all later occurrences are covered, overlapping windows merge, and covered lines
 but column expressions, aggregates and joins; the first occurrence is a map-side combined
 minimum, so a window that a third of all documents share is no bottleneck.
 
+With `ends` (the corpus pipeline; op7 is defined by its SQL, without) a mark stands before the
+first and after the last line: the first two and the last two lines are windows as well, and a
+document of one line or two is covered if another one repeats it whole, or begins or ends with
+its two lines.
+
 Defined cases: a null text stays null and has no lines; documents with fewer lines than a
-window have no window and stay whole; windows of blank lines only don't count; rows that
+window have no window and stay whole, but for `ends`; windows of blank lines only don't count; rows that
 repeat both id and text are one document and keep the same lines; a document whose lines
 all go is left with an empty text; null ids come first in the order; columns of the input
 named like an output are replaced; an empty table gives an empty result.
@@ -19,28 +24,33 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 
-def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
+def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3, ends: bool = False) -> DataFrame:
     """(__id, __text_hash, removed): the sorted positions, from 0, of the lines that go, for
-    the documents that lose any."""
+    the documents that lose any. With `ends` the positions of the marks (-1 and the number of
+    lines) may be among them."""
     lines = docs.where(F.col(text).isNotNull()).select(
         F.col(id_col).alias("__id"), F.xxhash64(text).alias("__text_hash"), F.split(text, "\n").alias("__lines")
     )
 
+    pad = 1 if ends else 0
+
     def at(i):
         own = [F.get("__lines", i + k) for k in range(window)]
+        if ends:  # hashes skip nulls, so the marks are told apart by flags
+            own = [F.coalesce(line, F.lit("")) for line in own] + [(i < 0).cast("string"), (i + window > F.size("__lines")).cast("string")]
         return F.struct(
             i.alias("pos"),
             F.xxhash64(*own).alias("h1"),
             F.xxhash64(F.lit("second"), *own).alias("h2"),
-            (F.trim(F.concat(*own)) != "").alias("full"),
+            (F.trim(F.concat(*own[:window])) != "").alias("full"),
         )
 
     windows = (
-        lines.where(F.size("__lines") >= window)
+        lines.where(F.size("__lines") + 2 * pad >= window)
         .select(
             "__id",
             "__text_hash",
-            F.explode(F.transform(F.sequence(F.lit(0), F.size("__lines") - window), at)).alias("w"),
+            F.explode(F.transform(F.sequence(F.lit(-pad), F.size("__lines") + (pad - window)), at)).alias("w"),
         )
         .where("w.full")
         .select("w.h1", "w.h2", F.struct("__id", "__text_hash", "w.pos").alias("place"))
@@ -63,17 +73,20 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
     )
 
 
-def remove_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3) -> DataFrame:
+def remove_repeated_lines(
+    docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3, ends: bool = False
+) -> DataFrame:
     """docs with `text` without the lines that repeat, plus `n_lines` and `n_removed`."""
-    removed = repeated_lines(docs, id_col, text, window).withColumnRenamed("removed", "__removed")
+    removed = repeated_lines(docs, id_col, text, window, ends).withColumnRenamed("removed", "__removed")
     lines = F.split(text, "\n")
+    gone = F.filter("__removed", lambda i: (i >= 0) & (i < F.size(lines))) if ends else F.col("__removed")
     kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
     joined = docs.join(
         removed, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__text_hash")), "left"
     )
     return (
         joined.withColumn("n_lines", F.when(F.col(text).isNull(), 0).otherwise(F.size(lines)))
-        .withColumn("n_removed", F.coalesce(F.size("__removed"), F.lit(0)))
+        .withColumn("n_removed", F.coalesce(F.size(gone), F.lit(0)))
         .withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
         .withColumn(
             text,
