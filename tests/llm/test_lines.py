@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+import time
+
 from pyspark.sql import functions as F
 
 from visitframe.llm import line_dedup
+from visitframe.llm.common import hot_join
 
 
 def brute(rows: list[tuple[int, str | None]]) -> dict[int, str | None]:
@@ -39,3 +42,26 @@ def test_defined_cases(spark):
     got = sorted((r["doc_id"] or 0, r["text"]) for r in line_dedup.remove_repeated_lines(docs).collect())
     assert got == [(0, text), (1, ""), (1, ""), (2, "five")]
     assert line_dedup.op7_line_dedup(docs.limit(0)).count() == 0
+
+
+def test_long_documents_are_rebuilt_in_linear_time(spark):
+    n = 200_000
+    rows = [(1, "a\nb\nc"), (2, "\n".join([f"line {k}" for k in range(n)] + ["a", "b", "c"]))]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    start = time.monotonic()
+    got = {r["doc_id"]: r for r in line_dedup.remove_repeated_lines(docs).collect()}
+    assert time.monotonic() - start < 30  # 56 s at a tenth of the lines where the text is split for every kept line
+    assert got[2]["n_removed"] == 3 and got[2]["text"] == "\n".join(f"line {k}" for k in range(n))
+
+
+def test_very_common_windows_are_dealt_over_all_tasks(spark):
+    big = spark.range(30_000).select(F.when(F.col("id") % 3 == 0, 7).otherwise(F.col("id")).alias("k"), F.col("id").alias("at"))
+    counted = big.groupBy("k").agg(F.count("*").alias("n")).withColumn("found", F.col("k") * 2)
+    spark.conf.set("spark.sql.adaptive.enabled", "false")
+    try:
+        got = hot_join(big, counted, ["k"], ["at"])
+        assert got.count() == 30_000 and got.where("found != k * 2").isEmpty()
+        assert got.where("k = 7").select(F.spark_partition_id().alias("p")).distinct().count() > 1
+        assert got.where("k = 8").select(F.spark_partition_id().alias("p")).distinct().count() == 1
+    finally:
+        spark.conf.set("spark.sql.adaptive.enabled", "true")

@@ -17,24 +17,29 @@ from pyspark.sql import functions as F
 RUN_CHUNK = 4096
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """Materialise df in the folder of spark.checkpoint.dir, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of spark.checkpoint.dir, which all executors share. Where it is unset a temporary
+    folder serves on one machine; on a cluster that is an error."""
+    sc = spark.sparkContext
+    root = sc.getConf().get("spark.checkpoint.dir") or sc.getCheckpointDir()
+    if not root:
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
+        root = tempfile.mkdtemp(prefix="visitframe-")
+        sc.setCheckpointDir(root)
+    return root
 
-    Where the setting is unset (tests, one machine) a temporary folder serves.
-    """
-    sc = df.sparkSession.sparkContext
-    if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
-        sc.setCheckpointDir(tempfile.mkdtemp(prefix="visitframe-"))
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """Materialise df in the folder of spark.checkpoint.dir."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
 def written(df: DataFrame) -> DataFrame:
     """df written as a Parquet table under spark.checkpoint.dir, and read again."""
     spark = df.sparkSession
-    root = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.sparkContext.getCheckpointDir()
-    if not root:
-        root = tempfile.mkdtemp(prefix="visitframe-")
-        spark.sparkContext.setCheckpointDir(root)
+    root = shared_folder(spark)
     path = f"{root.rstrip('/')}/stage-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
@@ -54,6 +59,25 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, ho
     )
 
 
+#: Keys held as hot by hot_join at most; so many can each hold their share of all rows.
+HOT_KEYS = 4096
+
+
+def hot_join(big: DataFrame, counted: DataFrame, on: list[str], spread: list[str], rows: str = "n") -> DataFrame:
+    """Inner join of big with counted, one row per key `on` whose column `rows` says how many rows
+    of big have it. Keys with over 1/HOT_KEYS of those rows are hot: there are HOT_KEYS at most,
+    whatever the input, so the list of them is broadcast. Their rows are dealt over all tasks by a hash of
+    `spread`; the others join by `on` alone and aren't replicated. counted is read twice."""
+    n = partitions(big.sparkSession)
+    total = counted.agg(F.sum(rows)).first()[0] or 0
+    bound = max(total // HOT_KEYS, 1000)
+    hot = counted.where(F.col(rows) > bound).select(*on, F.lit(True).alias("__hot"))
+    salts = F.when(F.col(rows) > bound, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
+    salt = F.when(F.col("__hot"), F.pmod(F.xxhash64(*spread), F.lit(n)).cast("int")).otherwise(0)
+    marked = big.join(F.broadcast(hot), on, "left").withColumn("__salt", salt).drop("__hot")
+    return marked.join(counted.withColumn("__salt", F.explode(salts)), [*on, "__salt"]).drop("__salt")
+
+
 def size_buckets(rows: int, per_bucket: int = 2000, least: int = 64, most: int = 16384) -> int:
     """Buckets for a two-level prefix sum: they grow with the rows, within a proven bound."""
     return max(least, min(most, rows // per_bucket))

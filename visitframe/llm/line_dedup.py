@@ -20,9 +20,11 @@ named like an output are replaced; an empty table gives an empty result.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from visitframe.llm.common import checkpoint, hot_join
+
 
 def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text", window: int = 3, ends: bool = False) -> DataFrame:
     """(__id, __text_hash, removed): the sorted positions, from 0, of the lines that go, for
@@ -55,9 +57,9 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         .where("w.full")
         .select("w.h1", "w.h2", F.struct("__id", "__text_hash", "w.pos").alias("place"))
     )
-    first = (
+    first = checkpoint(
         windows.groupBy("h1", "h2")
-        .agg(F.min("place").alias("first"), F.max("place").alias("last"))
+        .agg(F.min("place").alias("first"), F.max("place").alias("last"), F.count("*").alias("n"))
         .where("first != last")
         .drop("last")
     )
@@ -65,7 +67,7 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text: str = "text",
         F.flatten(F.transform("starts", lambda p: F.sequence(p, p + (window - 1))))
     )
     return (
-        windows.join(first, ["h1", "h2"])
+        hot_join(windows, first, ["h1", "h2"], ["place"])
         .where("place > first")
         .groupBy("place.__id", "place.__text_hash")
         .agg(F.collect_set("place.pos").alias("starts"))
@@ -80,7 +82,11 @@ def remove_repeated_lines(
     removed = repeated_lines(docs, id_col, text, window, ends).withColumnRenamed("removed", "__removed")
     lines = F.split(text, "\n")
     gone = F.filter("__removed", lambda i: (i >= 0) & (i < F.size(lines))) if ends else F.col("__removed")
-    kept = F.array_except(F.sequence(F.lit(0), F.size(lines) - 1), F.col("__removed"))
+
+    def rebuilt(own: Column) -> Column:
+        kept = F.array_except(F.sequence(F.lit(0), F.size(own) - 1), F.col("__removed"))
+        return F.array_join(F.transform(kept, lambda i: F.get(own, i)), "\n")
+
     joined = docs.join(
         removed, F.col(id_col).eqNullSafe(F.col("__id")) & (F.xxhash64(text) == F.col("__text_hash")), "left"
     )
@@ -90,9 +96,8 @@ def remove_repeated_lines(
         .withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
         .withColumn(
             text,
-            F.when(F.col("__removed").isNull(), F.col(text)).otherwise(
-                F.array_join(F.transform(kept, lambda i: F.get(lines, i)), "\n")
-            ),
+            # the outer function binds the lines to its variable, so that a text is split once
+            F.when(F.col("__removed").isNull(), F.col(text)).otherwise(F.get(F.transform(F.array(lines), rebuilt), F.lit(0))),
         )
         .drop("__id", "__text_hash", "__removed")
     )
