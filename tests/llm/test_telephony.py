@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import hashlib
+import struct
 import zlib
 
 import numpy as np
@@ -56,6 +57,43 @@ def test_resampling():
     assert telephony.resample(pcm, 8000, 8000) is pcm
 
 
+def riff(tag: int, rate: int, byte_rate: int, align: int, bits: int, extra: bytes, data: bytes) -> bytes:
+    head = struct.pack("<HHIIHH", tag, 1, rate, byte_rate, align, bits) + extra
+    body = b"WAVE" + b"fmt " + struct.pack("<I", len(head)) + head + b"data" + struct.pack("<I", len(data)) + data
+    return b"RIFF" + struct.pack("<I", len(body)) + body
+
+
+def one_sample(coding: str, code: int) -> int:
+    if coding == "mulaw":
+        code ^= 0xFF
+        size = (((code & 15) * 2 + 33) << (code >> 4 & 7)) * 4 - 132
+        return -size if code & 0x80 else size
+    code ^= 0x55
+    exponent, mantissa = code >> 4 & 7, code & 15
+    size = mantissa * 16 + 8 if not exponent else (mantissa * 16 + 264) << (exponent - 1)
+    return size if code & 0x80 else -size
+
+
+def plainly(raw: bytes, payload: bytes) -> tuple[bytes, bytes, str]:
+    """The stored file, the resampled PCM file and the feature, sample by sample."""
+    coding = ("mulaw", "alaw", "adpcm")[zlib.crc32(raw) % 3]
+    if coding == "adpcm":
+        blocks = [bytes(4) + payload[k : k + 32] for k in range(0, len(payload), 32)]
+        media = riff(17, 8000, 8000 * 36 // 65, 36, 4, struct.pack("<HH", 2, 65), b"".join(blocks))
+        heard = [x for b in blocks for x in one_block(b)]
+    else:
+        media = riff({"mulaw": 7, "alaw": 6}[coding], 8000, 8000, 1, 8, struct.pack("<H", 0), payload)
+        heard = [one_sample(coding, c) for c in payload]
+    wide = []
+    for here, after in zip(heard, [*heard[1:], heard[-1]], strict=True):
+        wide += [here, (here + after) // 2]
+    data = struct.pack(f"<{len(wide)}h", *wide)
+    crossings = sum((a < 0) != (b < 0) for a, b in zip(wide, wide[1:], strict=False))
+    square = sum(x * x for x in wide) // len(wide)
+    feature = f"n={len(wide)};peak={max(map(abs, wide))};ms={square};zc={crossings};crc={zlib.crc32(data)}"
+    return media, riff(1, 16000, 32000, 2, 16, b"", data), feature
+
+
 def test_query_against_plain_python(spark):
     rows = {r["doc_id"]: r["text"] for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()}
     for r in op8_telephony(spark, "/root/testdata/sf0.001").collect():
@@ -63,6 +101,10 @@ def test_query_against_plain_python(spark):
         payload = telephony.pad(raw)
         assert (r["n_bytes"], r["payload_bytes"], r["tail_crc32"]) == (len(raw), len(payload), zlib.crc32(payload[-32:]))
         assert r["payload_sha256"] == hashlib.sha256(payload).hexdigest()
+        media, pcm, feature = plainly(raw, payload)
+        assert (r["media_bytes"], r["media_sha256"]) == (len(media), hashlib.sha256(media).hexdigest())
+        assert (r["pcm_bytes"], r["pcm_sha256"]) == (len(pcm), hashlib.sha256(pcm).hexdigest())
+        assert r["feature"] == feature
 
 
 def test_defined_cases(spark):

@@ -59,7 +59,7 @@ def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
     media = telephony.to_media(_documents(spark, sf_dir))
-    return telephony.decode_media(media, keep_pcm=False).select(
+    return telephony.decode_media(media).select(
         "doc_id",
         "n_bytes",
         F.octet_length("payload").cast("long").alias("payload_bytes"),
@@ -68,6 +68,8 @@ def op8_telephony(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.octet_length("media").cast("long").alias("media_bytes"),
         F.sha2("media", 256).alias("media_sha256"),
         "feature",
+        F.octet_length("pcm").cast("long").alias("pcm_bytes"),
+        F.sha2("pcm", 256).alias("pcm_sha256"),
     )
 
 

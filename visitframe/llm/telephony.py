@@ -8,7 +8,9 @@ resampler doubles or otherwise changes the rate by linear interpolation.
 the file's chunks again.
 
 Defined cases: a null text counts as empty and is padded to one unit; equal texts give equal
-files and features; an empty table gives an empty result.
+files and features; rows with a null or repeated id are rows like others; columns of the input
+named like an output are replaced; a long text is a file of its own slice, whole; an empty
+table gives an empty result.
 """
 
 from __future__ import annotations
