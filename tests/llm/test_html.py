@@ -2,6 +2,13 @@
 
 from __future__ import annotations
 
+import math
+import random
+import time
+
+import pyarrow.parquet as pq
+import pytest
+
 from visitframe.llm import html_density
 
 BODY = "".join(f"<p>Sentence {k} of the article has some <b>words</b> &amp; more text to read, so it is dense.</p>" for k in range(6))
@@ -32,3 +39,136 @@ def test_defined_cases(spark):
     assert got[1] == got[2] == got[6] == "" and got[3] == "plain text, no tag" and got[4] == "open tags" and got[5] == "deep text"
     assert got[7].count("\n\n") == 6 * 2000 - 1 and got[None]
     assert html_density.extract(pages).count() == len(rows) and html_density.extract(pages.limit(0)).count() == 0
+
+
+LAYOUT_NAMES = [
+    "layout has-sidebar", "page-with-menu", "col content no-sidebar", "post social-post", "commentary-article", "article-share-wrapper",
+    "site search-page", "social-science", "page-with-nav", "promotion-of-science",
+]
+
+
+@pytest.mark.parametrize("name", LAYOUT_NAMES)
+def test_wrappers_keep_their_article(name):
+    for inside in (BODY, f"<article>{BODY}</article>"):
+        for page in (f"<div class='{name}'>{inside}</div>", f"<div id='{name.replace(' ', '-')}'>{inside}</div>"):
+            assert html_density.main_text(AROUND.replace("{}", page)) == WANT
+
+
+@pytest.mark.parametrize("name", ["sidebar", "left-sidebar", "ad", "ad-slot", "cookie-banner", "comment-list", "main-nav", "related", "siteFooter", "x newsletter y"])
+def test_named_furniture_goes(name):
+    extra = f"<div class='{name}'><p>This text is not of the article, and it is of some length too.</p></div>"
+    for inside in (BODY, f"<article>{BODY}</article>", f"<h1>T</h1>{BODY}"):
+        got = html_density.main_text(f"<body>{extra}<div>{inside}</div>{extra}</body>")
+        assert got.removeprefix("T\n\n") == WANT
+
+
+def test_a_form_around_the_page():
+    assert html_density.main_text(f"<body><form><nav>menu</nav><div>{BODY}</div><input><label>Name</label></form></body>") == WANT
+    assert html_density.main_text(f"<body><h1>T</h1><div>{BODY}</div><form><p>Please write your name here and send it.</p></form></body>") == "T\n\n" + WANT
+
+
+def test_title_and_short_paragraphs_stay():
+    long = "A very long text of the page. " * 60
+    for core in (BODY, long):
+        got = html_density.main_text(f"<div><h1>Title</h1><div class=a>{core}</div><p>Short end.</p></div>").split("\n\n")
+        assert got[0] == "Title" and got[-1] == "Short end."
+
+
+def test_many_comments_under_a_short_article():
+    comments = "".join(f"<article class='comment'><p>{'I think otherwise about that. ' * 9}</p></article>" for _ in range(30))
+    assert html_density.main_text(f"<body><article><h1>T</h1>{BODY}</article><div id='comments'>{comments}</div></body>") == "T\n\n" + WANT
+    assert html_density.main_text(f"<body><div><h1>T</h1>{BODY}</div><div class='comments'>{comments}</div></body>") == "T\n\n" + WANT
+
+
+def test_menus_without_names_go_by_density():
+    menu = "<div>" + "".join(f"<a href=x>entry number {k}</a> " for k in range(30)) + "</div>"
+    assert html_density.main_text(f"<body>{menu}<div><h1>T</h1>{BODY}</div>{menu}</body>") == "T\n\n" + WANT
+
+
+def test_references_are_decoded_in_each_text_node():
+    assert html_density.main_text("<p>AT&<b>amp;</b> &lt<i>;</i> &am<!-- x -->p; &amp;lt;</p>") == "AT&amp; <; &amp; &lt;"
+
+
+K = 1 << 20
+HOSTILE = {
+    "inline ends": "<b>" * (K // 7) + "</i>" * (K // 8),
+    "ends through a block": "<i><div>" + "<b>" * (K // 6) + "</i>" * (K // 8),
+    "headers": "<main>" + "<header>" * (K // 8) + "<h2>x",
+    "quotes": '<a ">"' * (K // 6),
+    "attributes": "<a " + "a=' " * (K // 4) + ">",
+    "items": "<li><ul>" + "<div>" * (K // 10) + "<li></li>" * (K // 18),
+    "rules": "<b>" * (K // 6) + "<hr>" * (K // 8),
+    "cells": "<table>" + "<tr><td>" * (K // 8),
+    "paragraphs": "<p>x" * (K // 4),
+    "comments": "<!-" * (K // 3),
+    "scripts": "<script></script" * (K // 16),
+    "ampersands": "&" * K,
+    "less": "<" * K,
+}
+
+
+@pytest.mark.parametrize("name", sorted(HOSTILE))
+def test_hostile_pages_take_linear_time(name):
+    start = time.monotonic()
+    html_density.main_text(HOSTILE[name])
+    assert time.monotonic() - start < 15  # 1 to 2 s on an idle core; hours where tags search the stack
+
+
+def random_page(rng: random.Random, depth: int = 0) -> str:
+    out = []
+    for _ in range(rng.randint(1, 5)):
+        kind = rng.random()
+        if kind < 0.4 or depth > 4:
+            out.append(" ".join("w" * rng.randint(1, 9) for _ in range(rng.randint(1, 12))))
+        elif kind < 0.55:
+            out.append(f"<a href=x>{'link ' * rng.randint(1, 4)}</a>")
+        else:
+            tag = rng.choice(["div", "section", "span", "ul", "b"])
+            out.append(f"<{tag}>{random_page(rng, depth + 1)}</{tag}>")
+    return "".join(out)
+
+
+def test_densities_against_the_formula():
+    def plain(node) -> tuple[int, int, int, int]:
+        """Characters, tags, and those in links, by recursion."""
+        c = t = lc = lt = 0
+        for part in node.parts:
+            if isinstance(part, str):
+                c += sum(not x.isspace() for x in part)
+            else:
+                own = plain(part)
+                c, t, lc, lt = c + own[0], t + own[1] + 1, lc + own[2], lt + own[3] + (part.tag == "a")
+        return (c, t, c, t) if node.tag == "a" else (c, t, lc, lt)
+
+    def density(node, ratio: float) -> float:
+        c, t, lc, lt = plain(node)
+        if not c:
+            return 0.0
+        t = max(t, 1)
+        base = math.log(math.log(c / max(c - lc, 1) * lc + ratio * c + math.e))
+        return c / t * (math.log(c / max(lc, 1) * t / max(lt, 1)) / base if base > 1e-12 else 1.0)
+
+    rng = random.Random(5)
+    for _ in range(200):
+        order = html_density.prune(html_density.parse(random_page(rng)))
+        html_density.measure(order)
+        c, _, lc, _ = plain(order[0])
+        ratio = lc / max(c, 1)
+        sums = []
+        for node in order:
+            assert math.isclose(node.density, density(node, ratio), rel_tol=1e-12)
+            sums.append(sum(density(p, ratio) for p in node.parts if not isinstance(p, str)))
+            assert math.isclose(node.sum, sums[-1], rel_tol=1e-12)
+        best = max(order, key=lambda v: v.sum)
+        assert math.isclose(best.sum, max(sums), rel_tol=1e-12)
+
+
+def test_density_alone_finds_the_articles():
+    """Without any use of article and main elements the given pages have the same texts."""
+    for page in pq.read_table("/root/testdata/sf0.01/pages.parquet", columns=["html"])["html"].to_pylist():
+        if page:
+            order = html_density.prune(html_density.parse(page))
+            html_density.measure(order)
+            assert html_density.render(html_density.choose(order, semantic=False)) == html_density.main_text(page)
+            bare = page.replace("<article>", "<div>").replace("</article>", "</div>")
+            assert html_density.main_text(bare) == html_density.main_text(page)

@@ -1,19 +1,33 @@
 """Main text of web pages by composite text density.
 
-A page becomes a DOM; furniture (menus, headers, footers, sidebars, notices, adverts, forms,
-scripts, styles, comments by readers) goes by tag, role, class or id. Every remaining node
-gets its composite text density: characters per tag, adjusted by the share of characters and
-tags in links against the page's. The densities of a node's children are summed; the node
-with the largest sum is the core of the article. The smallest density on its path to the body
-is the threshold: siblings along the path that reach it belong to the article as well, and an
-enclosing article or main element is taken whole.
-
-Blocks: text between block elements; character references are decoded, white space runs turn
-into one space, blocks are trimmed and joined by two line breaks in page order.
+A page becomes a DOM. Every node gets its composite text density: characters per tag, adjusted by
+the share of characters and tags in links against the page's. The densities of a node's children
+are summed; the node with the largest sum (of equal ones the first in page order) is the core of
+the article. The smallest density on its path to the body is the threshold: what lies beside the
+path and reaches it belongs to the article as well. So do headings beside the path, text that lies
+directly in a node of the path, and, in the innermost node of the path that holds other text, all that isn't
+mostly links: titles and short paragraphs around the core. If the core lies in an article or
+main element, that element is taken whole; if it holds some, those that reach the threshold
+stand for it.
+
+Furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments by readers)
+goes before. Tags such as nav, footer or script go always. Roles, class or id names, form and header only mark
+an element; it stays nevertheless if it holds a top heading or main element, or most of the body's text that is in no
+link while no top heading, article or main element lies outside of it. A name counts if a whole class token
+is one (`sidebar`), ends in one (`left-sidebar`) or is one with words of layout (`comment-list`), and not if it
+says `has`, `no` or `with` (`has-sidebar`).
+
+Blocks: text between block elements; character references are decoded in each text node, white
+space runs turn into one space, blocks are trimmed and joined by two line breaks in page order.
+
+Parsing, pruning and measuring are linear in the page: each node knows which open element a tag
+would close, so no tag searches the stack.
 
 Defined cases: null or empty html, or a page without text, gives the empty string; unclosed and
-misnested tags close as browsers close them; text outside any tag belongs to the body; equal
-rows give equal results; an empty table gives an empty result.
+misnested tags close as browsers close them; text outside any tag belongs to the body; from a tag
+whose quotes never close, the rest of the page is read without quotes; equal rows, null ids included,
+give equal results; a column of the input named `text` is replaced; long pages are taken whole, each in a slice
+of its own; an empty table gives an empty result.
 """
 
 from __future__ import annotations
@@ -21,6 +35,7 @@ from __future__ import annotations
 import html as entities
 import math
 import re
+from collections import Counter
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -35,6 +50,8 @@ TOKEN = re.compile(
     r"|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)",
     re.S,
 )
+#: The same without quotes.
+PLAIN_TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<[!?][^>]*+(?:>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)([^>]*+)(?:>|\Z)()()()", re.S)
 ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
 NAME_PART = re.compile(r"[A-Z]?[a-z]+|[A-Z]+")
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
@@ -44,39 +61,45 @@ BLOCK = frozenset(
     "form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup option p pre section summary table "
     "tbody td tfoot th thead tr ul".split()
 )
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 CLOSES_P = BLOCK - frozenset("caption tbody td tfoot th thead tr option optgroup html body legend".split())
-#: A start tag closes these open elements, up to one of the second set.
-IMPLIED = {
-    "li": ({"li"}, {"ul", "ol", "menu"}),
-    "dt": ({"dt", "dd"}, {"dl"}),
-    "dd": ({"dt", "dd"}, {"dl"}),
-    "tr": ({"tr", "td", "th"}, {"table"}),
-    "td": ({"td", "th"}, {"tr", "table"}),
-    "th": ({"td", "th"}, {"tr", "table"}),
-    "option": ({"option"}, {"select"}),
-}
+#: Start tags that close an open element, and which: the nearest in the reach of Node's fields.
+IMPLIED = {"li": "li", "dt": "dd", "dd": "dd", "tr": "row", "td": "cell", "th": "cell", "option": "option"}
+#: Elements that go always.
 FURNITURE = frozenset(
-    "head script style noscript template svg math iframe object canvas audio video nav footer aside form button select "
+    "head script style noscript template svg math iframe object canvas audio video nav footer aside button select "
     "textarea input label dialog menu title noembed noframes".split()
 )
+#: Elements and roles that mark what probably isn't the article.
+MARKS = frozenset("form header".split())
 ROLES = frozenset(
     "navigation banner contentinfo complementary search dialog alertdialog alert status form menu menubar toolbar "
     "tablist tooltip".split()
 )
-WORDS = frozenset(
-    "ad ads adbox adslot banner notice notices alert sidebar menu nav navbar footer masthead share sharing social related "
-    "popup modal overlay pagination pager toolbar widget widgets respond reply replies login signup search skip gdpr "
-    "consent teaser teasers topbar".split()
+#: Class and id names that mark.
+NAMES = frozenset(
+    "ad ads adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored promo promotion promotions banner "
+    "notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing related "
+    "popup modal overlay pagination pager toolbar widget widgets comment comments disqus respond reply replies login signup search "
+    "skip gdpr consent cookie cookies newsletter subscribe subscription teaser teasers topbar recommended recommendations".split()
+)
+#: Words of layout that may follow a name, and words that turn it round.
+LAYOUT = frozenset(
+    "area bar banner block body box button buttons container content entry form header inner item items left links list main message "
+    "notice outer overlay popup primary right row section slot text thread title top unit wrap wrapper x".split()
 )
-PREFIXES = ("advert", "sponsor", "promo", "cookie", "comment", "disqus", "newsletter", "subscri", "recommend", "breadcrumb", "navig")
-KEEP = frozenset("html body article main".split())
+TURNED = frozenset("has no not non with without".split())
 
 
 class Node:
-    __slots__ = ("tag", "parent", "parts", "furniture", "whole", "chars", "tags", "link_chars", "link_tags", "density", "sum")
-
-    def __init__(self, tag: str, parent: Node | None, furniture: bool = False, whole: bool = False):
-        self.tag, self.parent, self.furniture, self.whole = tag, parent, furniture, whole
+    __slots__ = (
+        "tag", "parent", "parts", "hard", "mark", "whole", "block", "inline", "li", "dd", "row", "cell", "option",
+        "headings", "mains", "articles", "chars", "tags", "link_chars", "link_tags", "density", "sum",
+    )
+
+    def __init__(self, tag: str, parent: Node | None, raw: str = ""):
+        self.tag, self.parent = tag, parent
+        self.hard, self.mark, self.whole = _judge(tag, raw)
         self.parts: list[str | Node] = []
 
 
@@ -84,117 +107,170 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
 
 
-def _is_furniture(tag: str, raw: str) -> tuple[bool, bool]:
-    """Whether the element is furniture, whether it is the page's main content."""
+def _named(names: str) -> bool:
+    for token in names.split():
+        words = [w.lower() for w in NAME_PART.findall(token)]
+        if not words or not TURNED.isdisjoint(words):
+            continue
+        if words[-1] in NAMES or (words[0] in NAMES and LAYOUT.issuperset(words[1:])):
+            return True
+    return False
+
+
+def _judge(tag: str, raw: str) -> tuple[bool, bool, bool]:
+    """Whether the element goes always, whether it is marked, whether it is an article or the main
+    content. Comments are often articles of their own, so articles can be marked."""
     if tag in FURNITURE:
-        return True, False
+        return True, False, False
+    whole, mark = tag == "article" or tag == "main", tag in MARKS
     if not raw or raw == "/":
-        return False, tag in ("article", "main")
+        return False, mark, whole
     a = _attributes(raw)
     role = a.get("role", "").lower()
-    whole = tag in ("article", "main") or role in ("main", "article")
-    if "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower():
-        return tag not in ("html", "body"), whole
-    if role in ROLES:
-        return tag not in ("html", "body"), whole
-    if tag in KEEP or whole:
-        # comments are often articles of their own
-        names = a.get("class", "") + " " + a.get("id", "")
-        return tag == "article" and any(w.lower().startswith("comment") for w in NAME_PART.findall(names)[:1]), whole
-    for word in NAME_PART.findall(a.get("class", "") + " " + a.get("id", "")):
-        word = word.lower()
-        if word in WORDS or word.startswith(PREFIXES):
-            return True, False
-    return False, False
+    whole = whole or role in ("main", "article")
+    hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
+    mark = mark or role in ROLES or _named(a.get("class", "")) or _named(a.get("id", ""))
+    return hidden, mark and tag != "main" and role != "main", whole
+
+
+def _push(stack: list[Node], node: Node) -> None:
+    """Open node: what a later tag would close is known from its parent in one step."""
+    up = stack[-1]
+    node.block = node.tag in BLOCK
+    # inline elements that are open below the nearest block
+    node.inline = {} if node.block else up.inline
+    through = not node.block or node.tag in ("address", "div", "p")
+    node.li = node if node.tag == "li" else up.li if through else None
+    node.dd = node if node.tag in ("dt", "dd") else up.dd if through else None
+    table = node.tag == "table"
+    node.row = node if node.tag == "tr" else None if table else up.row
+    node.cell = node if node.tag in ("td", "th") else None if table or node.tag == "tr" else up.cell
+    node.option = node if node.tag == "option" else None if node.tag == "select" else up.option
+    if not node.block:
+        node.inline[node.tag] = node.inline.get(node.tag, 0) + 1
+    stack.append(node)
 
 
 def parse(page: str) -> Node:
     """The page's body."""
     root = Node("body", None)
-    stack = [root]
-    at, n = 0, len(page)
+    root.block, root.inline = True, {}
+    root.li = root.dd = root.row = root.cell = root.option = None
+    stack, blocks = [root], [root]
+    opened: Counter[str] = Counter()
+
+    def close(last: Node) -> None:
+        """Close open elements up to and with `last`."""
+        while True:
+            node = stack.pop()
+            if node.block:
+                blocks.pop()
+                opened[node.tag] -= 1
+            else:
+                node.inline[node.tag] -= 1
+            if node is last:
+                return
+
+    at, n, token = 0, len(page), TOKEN
     while at < n:
-        m = TOKEN.search(page, at)
+        m = token.search(page, at)
         text = page[at : m.start() if m else n]
         if text:
-            stack[-1].parts.append(text)
+            stack[-1].parts.append(entities.unescape(text) if "&" in text else text)
         if not m:
             break
         at = m.end()
         tag = (m[2] or m[5] or "").lower()
         if not tag:
             continue
+        if m[5]:
+            token = PLAIN_TOKEN
         if m[1] or m[4]:
-            for k in range(len(stack) - 1, 0, -1):
-                if stack[k].tag == tag:
-                    del stack[k:]
-                    break
-                # an inline end tag doesn't reach through a block
-                if tag not in BLOCK and stack[k].tag in BLOCK:
-                    break
+            if tag in BLOCK:
+                if opened[tag]:
+                    while blocks[-1].tag != tag:
+                        close(blocks[-1])
+                    close(blocks[-1])
+            elif stack[-1].inline.get(tag):  # an inline end tag doesn't reach through a block
+                while stack[-1].tag != tag:
+                    close(stack[-1])
+                close(stack[-1])
             continue
         raw = m[3] or m[6] or ""
         if tag in ("html", "body"):
             continue
-        if tag in CLOSES_P or tag in IMPLIED:
-            close, stop = IMPLIED.get(tag, (set(), set()))
-            for k in range(len(stack) - 1, 0, -1):
-                own = stack[k].tag
-                if own in close or (own == "p" and tag in CLOSES_P):
-                    del stack[k:]
-                    if own == "p" and close:
-                        continue
-                    if tag != "tr":
-                        break
-                elif own in stop or (own in BLOCK and own != "p" and not close):
-                    break
-        furniture, whole = _is_furniture(tag, raw)
-        node = Node(tag, stack[-1], furniture, whole)
+        top = stack[-1]
+        if tag in IMPLIED and (last := getattr(top, IMPLIED[tag]) or (top.cell if tag == "tr" else None)):
+            close(last)
+        elif tag in CLOSES_P and blocks[-1].tag == "p":
+            close(blocks[-1])
+        node = Node(tag, stack[-1], raw)
         stack[-1].parts.append(node)
         if tag in RAW:
             end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(page, at)
-            node.furniture = True
+            node.hard = True
             at = end.end() if end else n
         elif tag not in VOID and not raw.endswith("/") or tag in BLOCK - VOID:
-            stack.append(node)
+            _push(stack, node)
+            if node.block:
+                blocks.append(node)
+                opened[tag] += 1
     return root
 
 
-def _in_whole(node: Node) -> bool:
-    while node := node.parent:
-        if node.whole:
-            return True
-    return False
-
-
-def prune(root: Node) -> list[Node]:
-    """Take furniture out; the remaining nodes, parents first."""
+def _nodes(root: Node) -> list[Node]:
+    """All nodes, parents first, in page order."""
     order, todo = [], [root]
     while todo:
         node = todo.pop()
         order.append(node)
-        kept = []
-        for part in node.parts:
-            if isinstance(part, Node):
-                if part.furniture:
-                    continue
-                if part.tag == "header" and not (_in_whole(part) and _has_heading(part)):
-                    continue
-                todo.append(part)
-            kept.append(part)
-        node.parts = kept
+        todo += [part for part in reversed(node.parts) if isinstance(part, Node)]
     return order
 
 
-def _has_heading(node: Node) -> bool:
-    todo = [node]
+def prune(root: Node) -> list[Node]:
+    """Take furniture out; the remaining nodes, parents first, in page order."""
+    todo = [root]
     while todo:
-        for part in todo.pop().parts:
-            if isinstance(part, Node):
-                if part.tag in ("h1", "h2", "h3", "h4", "h5", "h6"):
-                    return True
-                todo.append(part)
-    return False
+        node = todo.pop()
+        node.parts = [p for p in node.parts if isinstance(p, str) or not p.hard]
+        todo += [p for p in node.parts if isinstance(p, Node)]
+    order = _nodes(root)
+    for node in reversed(order):  # what each element holds: top headings, main elements, articles, text in no link
+        node.headings = node.mains = node.articles = node.chars = 0
+        for part in node.parts:
+            if isinstance(part, str):
+                node.chars += len("".join(part.split()))
+            elif not (part.tag == "header" and part.mark):
+                node.headings += part.headings + (part.tag == "h1")
+                node.mains += part.mains + (part.whole and part.tag != "article")
+                node.articles += part.articles + (part.whole and not part.mark)
+                node.chars += part.chars
+            else:
+                node.chars += part.chars
+        if node.tag == "a":
+            node.chars = 0
+
+    def stays(node: Node, inside: bool) -> bool:
+        if node.tag == "header" and inside and (node.headings or node.density):
+            return True
+        if node.tag == "article":
+            return node.headings > 0
+        if node.mains or (node.headings and node.tag != "header"):
+            return True
+        alone = root.headings == node.headings and root.articles == node.articles
+        return alone and 2 * node.chars > root.chars
+
+    for node in reversed(order):  # of a header: whether it holds any heading
+        node.density = any(isinstance(p, Node) and (p.density or p.tag in HEADINGS) for p in node.parts)
+    kept, walk = [], [(root, False)]
+    while walk:
+        node, inside = walk.pop()
+        kept.append(node)
+        inside = inside or node.whole
+        node.parts = [p for p in node.parts if isinstance(p, str) or not p.mark or stays(p, inside)]
+        walk += [(p, inside) for p in reversed(node.parts) if isinstance(p, Node)]
+    return kept
 
 
 def measure(order: list[Node]) -> None:
@@ -223,44 +299,67 @@ def measure(order: list[Node]) -> None:
         node.sum = sum(part.density for part in node.parts if isinstance(part, Node))
 
 
-def choose(order: list[Node]) -> list[Node]:
-    """The subtrees that make the article, in page order."""
-    body = order[0]
+def belongs(part: Node, threshold: float, near: bool) -> bool:
+    """Whether what lies beside the path is of the article."""
+    if part.density >= threshold or part.tag in HEADINGS or part.tag not in BLOCK:
+        return True
+    return near and 2 * part.link_chars < part.chars
+
+
+def choose(order: list[Node], semantic: bool = True) -> list[Node | str]:
+    """Subtrees and texts that make the article, in page order. Without `semantic`, article and main elements
+    are nodes like any other."""
     core = max(order, key=lambda v: v.sum)
     path, node = [], core
     while node is not None:
         path.append(node)
         node = node.parent
     threshold = min(v.density for v in path)
-    enclosing = [v for v in path if v.whole]
+    enclosing = [k for k, v in enumerate(path) if v.whole] if semantic else []
+    chosen: list[Node | str] = [core]
+    near = True
     if enclosing:
-        return [enclosing[-1]]
-    inner = [v for v in order if v.whole and v.chars]
-    if core is body and len(inner) == 1 and inner[0].density >= threshold:
+        articles = [k for k in enclosing if path[k].tag == "article"]
+        path = path[(articles or enclosing)[-1] :]
+        chosen = [path[0]]
+    elif semantic and (inner := [v for v in _maximal(core) if v.chars and v.density >= threshold]):
         return inner
-    chosen = [core]
+    elif core is order[0]:  # the body has nothing beside it: its children are judged like siblings
+        return [p for p in core.parts if isinstance(p, str) or (p.chars and belongs(p, threshold, True))]
     for below, above in zip(path, path[1:], strict=False):
-        parts = [v for v in above.parts if isinstance(v, Node)]
-        at = parts.index(below)
-        before = [v for v in parts[:at] if v.chars and v.density >= threshold]
-        after = [v for v in parts[at + 1 :] if v.chars and v.density >= threshold]
-        chosen = before + chosen + after
+        parts = [v for v in above.parts if v is below or isinstance(v, str) or v.chars]
+        at = next(k for k, v in enumerate(parts) if v is below)
+        kept = [v if isinstance(v, str) or v is below or belongs(v, threshold, near) else None for v in parts]
+        chosen = [v for v in kept[:at] if v is not None] + chosen + [v for v in kept[at + 1 :] if v is not None]
+        if any(v is not below and (v.strip() if isinstance(v, str) else v.chars) for v in parts):
+            near = False
     return chosen
 
 
-def render(roots: list[Node]) -> str:
+def _maximal(root: Node) -> list[Node]:
+    """The outermost article and main elements below root, in page order."""
+    found, todo = [], [root]
+    while todo:
+        node = todo.pop()
+        if node.whole and node is not root:
+            found.append(node)
+        else:
+            todo += [p for p in reversed(node.parts) if isinstance(p, Node)]
+    return found
+
+
+def render(roots: list[Node | str]) -> str:
     blocks: list[str] = []
     own: list[str] = []
 
     def flush() -> None:
         if own:
-            if text := " ".join(entities.unescape("".join(own)).split()):
+            if text := " ".join("".join(own).split()):
                 blocks.append(text)
             own.clear()
 
     for root in roots:
         todo: list[Node | str | None] = [root]
-        flush()
         while todo:
             part = todo.pop()
             if part is None:
@@ -274,7 +373,7 @@ def render(roots: list[Node]) -> str:
                     flush()
                     todo.append(None)
                 todo += reversed(part.parts)
-        flush()
+    flush()
     return "\n\n".join(blocks)
 
 
