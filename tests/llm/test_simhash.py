@@ -78,11 +78,23 @@ def test_long_runs_lose_no_link(spark):
     assert parts.count() == n and parts.where("component != 0").count() == 0
 
 
-def test_keeps_exactly_one_row_of_each_group(spark):
-    same = "one two three four five six seven"
-    rows = [(3, same, 1), (2, same, 2), (2, same, 2), (2, "quite another text of many words here", 3), (None, same, 4), (None, "a lone text without any id at all", 5), (9, None, 6), (8, "", 7)]
-    docs = spark.createDataFrame(rows, SCHEMA + ", fp int")
-    got = sorted((r["doc_id"] is None, r["doc_id"] or 0, r["text"] or "") for r in simhash.keep_first(docs).collect())
-    assert got == [(False, 2, "one two three four five six seven"), (False, 2, "quite another text of many words here"), (False, 8, ""), (True, 0, "a lone text without any id at all")]
-    assert simhash.keep_first(docs).columns == docs.columns
-    assert simhash.keep_first(docs.limit(0)).count() == simhash.op4_simhash(docs.limit(0)).count() == 0
+def test_long_runs_are_spanned_without_all_pairs():
+    rng = np.random.default_rng(3)
+    group = rng.integers(0, 40, 3000)
+    compared = 0
+
+    def near(i, j):
+        nonlocal compared
+        compared += len(j)
+        return group[i] == group[j]
+
+    edges = [e for e in common.spanning_pairs(np.array([0, 3000]), near)]
+    root = common._roots(3000, np.concatenate([a for a, _ in edges]), np.concatenate([b for _, b in edges]))
+    assert all(len(set(root[group == g])) == 1 for g in range(40)) and len(set(root)) == 40
+    assert sum(len(a) for a, _ in edges) == 3000 - 40
+    one = common.spanning_pairs(np.array([0, 100_000]), lambda i, j: np.ones(len(j), bool))
+    assert sum(len(a) for a, _ in one) == 99_999
+
+
+def test_empty_table(spark):
+    assert simhash.op4_simhash(spark.createDataFrame([], SCHEMA)).count() == 0

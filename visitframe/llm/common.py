@@ -139,6 +139,39 @@ def pair_positions(starts: np.ndarray, most: int = 1 << 20) -> Iterator[tuple[np
         step += 1
 
 
+#: Runs of up to so many rows are compared pair by pair, all runs at once.
+SHORT_RUN = 32
+
+
+def spanning_pairs(
+    starts: np.ndarray, near: Callable[[np.ndarray | int, np.ndarray], np.ndarray]
+) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of positions that span the components of each run. near(i, j) says which
+    of the positions i (or the one position i) link with the positions j.
+
+    In a long run each row that joins a component is compared with the rows that no component
+    has yet. So a group whose rows mostly link with one another takes a pass or two, and only
+    rows that link with little are compared with all."""
+    sizes = np.diff(starts)
+    short = sizes <= SHORT_RUN
+    at = np.flatnonzero(np.repeat(short, sizes))
+    for i, j in pair_positions(np.concatenate([[0], np.cumsum(sizes[short])]), 1 << 18):
+        ok = near(at[i], at[j])
+        yield at[i][ok], at[j][ok]
+    for run in np.flatnonzero(~short):
+        free = np.arange(starts[run], starts[run + 1])
+        while len(free):
+            todo, free = [int(free[0])], free[1:]
+            while todo and len(free):
+                row = todo.pop()
+                ok = near(row, free)
+                found = free[ok]
+                if len(found):
+                    yield np.full(len(found), row), found
+                    todo += found.tolist()
+                    free = free[~ok]
+
+
 def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Smallest index reachable from each of n nodes over the edges (a, b)."""
     root = np.arange(n)
@@ -180,15 +213,13 @@ def _runs(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[tuple[pa.Tabl
 def linked_runs(
     rows: DataFrame,
     link: Callable[[dict[str, np.ndarray], np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]],
-    ragged: tuple[str, ...] = (),
 ) -> DataFrame:
     """Edges (a, b) between rows with an equal `key` that `link` accepts.
 
     rows: `key` long, `node` long, and payload columns. `link(columns, starts)` gets the
     columns of several runs (starts: where each begins, and the end) and yields the accepted
     pairs of row positions. Of each run only spanning edges leave the task, one
-    at most per row, which keeps connectivity and never emits all pairs of a group. Columns
-    named in `ragged` reach `link` as Arrow arrays, others as numpy arrays.
+    at most per row, which keeps connectivity and never emits all pairs of a group.
 
     Runs of up to RUN_CHUNK rows are compared where they lie. Longer runs are cut into
     chunks, and each pair of chunks is compared in a task of its own, so that no task
@@ -204,11 +235,14 @@ def linked_runs(
         out = {}
         for c in t.column_names:
             whole = t[c].combine_chunks()
-            if c in ragged:
-                out[c] = whole
-            elif pa.types.is_binary(whole.type) or pa.types.is_large_binary(whole.type):
+            if pa.types.is_binary(whole.type) or pa.types.is_large_binary(whole.type):
+                length = pc.min_max(pc.binary_length(whole)).as_py()
+                width = length["max"] or 0
+                if length["min"] == width and pa.types.is_binary(whole.type):
+                    first = whole.offset * width
+                    out[c] = np.frombuffer(whole.buffers()[2], np.uint8)[first : first + len(whole) * width].reshape(len(whole), width)
+                    continue
                 # values of several lengths (of different runs) are filled up with zeros
-                width = pc.max(pc.binary_length(whole)).as_py() or 0
                 out[c] = np.frombuffer(b"".join([v.ljust(width, b"\0") for v in whole.to_pylist()]), np.uint8).reshape(len(whole), width)
             else:
                 out[c] = whole.to_numpy(zero_copy_only=False)
@@ -268,7 +302,7 @@ def linked_runs(
                 a, b = spanning(columns(t.slice(lo, hi - lo)), np.array([0, hi - lo]))
                 yield pa.RecordBatch.from_arrays([pa.array(a), pa.array(b)], schema=schema)
 
-    arrow = {"bigint": pa.int64(), "int": pa.int32(), "binary": pa.binary(), "boolean": pa.bool_()}
+    arrow = {"bigint": pa.int64(), "int": pa.int32(), "tinyint": pa.int8(), "binary": pa.binary(), "boolean": pa.bool_()}
     kinds = {c: arrow[t] for c, t in rows.dtypes}
     found = checkpoint(dealt.mapInArrow(local, f"a long, b long, chunk int, {fields}"))
     edges = found.where("a is not null").select("a", "b")

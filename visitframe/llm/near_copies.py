@@ -1,129 +1,164 @@
-"""Near copies by the exact Jaccard similarity of word shingles.
+"""Near copies by SimHash with deletion-variant signatures, for similarities that 4 of 64 bits can't reach.
 
-Two texts link if the sets of their shingles (XXH64 of `words` words, split and lowered as in
-simhash) have a Jaccard similarity of at least 4/5. Texts with equal sets are one node.
+The similarity of two texts is the cosine of their sets of five-word shingles, which is what the differing bits of
+SimHash fingerprints estimate: texts link if 512-bit fingerprints of these sets differ in at
+most 104 bits, the share at a cosine of 0.8. (A Jaccard similarity of 0.8 is a cosine of 0.89 or more.)
 
-Candidates come from 24 bands of 5 MinHash values each: a pair of similarity s meets in one band
-with a probability of 1 - (1 - s^5)^24, 0.99993 at 0.8 and more above. Only the texts that meet
-another one are coded into sets, and each meeting pair that isn't connected yet is verified on the
-whole sets, so no link is false. Ruled out before are, without loss, pairs whose sizes or whose
-512-bit parity maps (a lower bound of the sets' symmetric difference) don't allow the similarity.
+Candidates come from the same search as in simhash, over fingerprints that a near copy changes less: three of 64 bits
+of the set of single words, nine segments in all. Each is indexed as it is and under its one-wildcard variants, so
+texts meet if any of the nine segments differs in at most one bit; that is sure up to 17 of the 192 bits, and
+beyond it depends on how the bits fall (measured in the README). Runs that can't add a pair go before fingerprints are
+attached: those of one text, and wildcard runs whose texts all have the same bit, which meet under the segment itself.
 
-Defined cases: null and wordless texts have the empty set and are one node; fewer words than a
-shingle make one shingle of the whole sequence; an empty table gives an empty result.
+Defined cases: texts with equal shingle sets are one node, so copies are never expanded into pairs; null and wordless
+texts have the empty set and link with one another alone; fewer words than a shingle make one shingle of
+the whole sequence; long texts are taken whole; an empty table gives an empty result.
 """
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitframe.llm.common import checkpoint, connected_components, linked_runs, pair_positions, text_slices
-from visitframe.llm.simhash import SEED
-
-#: Texts link from this similarity, a fraction.
-LEAST = (4, 5)
-BANDS, ROWS = 24, 5
-MAP_BITS = 512
-_DRAWS = np.random.default_rng(SEED).integers(0, 1 << 64, (2, BANDS * ROWS), np.uint64)
-#: Shingles times hash functions worked on at once.
-BLOCK = 2048
-
-
-def shingle_set(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct hashes of the text's shingles."""
-    w = text.encode().lower().split() if text else []
-    n = max(len(w) - words + 1, min(len(w), 1))
+from visitframe.llm.common import checkpoint, connected_components, linked_runs, pair_positions, partitions, spanning_pairs, text_slices
+from visitframe.llm.simhash import SEED, segment_keys
+
+#: Texts link from this cosine.
+LEAST = 0.8
+#: Bits of the fingerprint of shingles that decides, and how many of them may differ.
+BITS = 512
+MOST = int(BITS * math.acos(LEAST) / math.pi)
+#: Fingerprints of 64 bits of the words that are searched.
+PRINTS = 3
+#: Features whose bits are added up at once, in lanes of a byte.
+LANES = 255
+BLOCK = 128 * LANES
+#: 64 bits with bit k of a byte in the lane of byte k.
+SPREAD = np.unpackbits(np.arange(256, dtype=np.uint8)[:, None], axis=1).view(np.uint64).ravel()
+
+
+def feature_set(words: list[bytes], size: int) -> np.ndarray:
+    """Sorted distinct hashes of the shingles of `size` words."""
     digest = xxhash.xxh64_intdigest
-    return np.unique(np.fromiter((digest(b" ".join(w[k : k + words]), SEED) for k in range(n)), np.uint64, n))
-
-
-def band_keys(shingles: np.ndarray) -> list[int]:
-    """One signed key per band; none for the empty set."""
-    if not len(shingles):
-        return []
-    low = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for lo in range(0, len(shingles), BLOCK):
-        drawn = (shingles[lo : lo + BLOCK] ^ _DRAWS[0][:, None]) * (_DRAWS[1] | np.uint64(1))[:, None]
-        np.minimum(low, drawn.min(axis=1), out=low)
-    keys = [xxhash.xxh64_intdigest(band.tobytes(), k) for k, band in enumerate(low.reshape(BANDS, ROWS))]
-    return np.array(keys, np.uint64).view(np.int64).tolist()
-
-
-def _node(shingles: np.ndarray) -> int:
-    return xxhash.xxh64_intdigest(shingles.tobytes(), SEED)
+    n = max(len(words) - size + 1, min(len(words), 1))
+    return np.unique(np.fromiter((digest(b" ".join(words[k : k + size]), SEED) for k in range(n)), np.uint64, n))
+
+
+def draws(features: np.ndarray, count: int) -> np.ndarray:
+    """n x count hashes of 64 bits drawn from each feature (the mixing of splitmix64)."""
+    steps = np.arange(1, count + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    x = features[:, None] + steps
+    x = (x ^ x >> np.uint64(30)) * np.uint64(0xBF58476D1CE4E5B9)
+    x = (x ^ x >> np.uint64(27)) * np.uint64(0x94D049BB133111EB)
+    return x ^ x >> np.uint64(31)
+
+
+def prints(sets: list[np.ndarray], count: int) -> np.ndarray:
+    """len(sets) x 8 count bytes: bit k is set if it is in over half of the set's draws."""
+    ones = np.zeros((len(sets), 64 * count), np.int64)
+    held: list[np.ndarray] = []
+    owners: list[int] = []
+
+    def add_up() -> None:
+        if held:
+            lanes = SPREAD[draws(np.concatenate(held), count).view(np.uint8)]
+            sizes = np.array([len(h) for h in held])
+            sums = np.add.reduceat(lanes, np.cumsum(sizes) - sizes, axis=0)
+            np.add.at(ones, owners, sums.view(np.uint8).reshape(len(held), -1))
+            held.clear()
+            owners.clear()
+
+    total = 0
+    for i, own in enumerate(sets):
+        for lo in range(0, len(own), LANES):
+            held.append(own[lo : lo + LANES])
+            owners.append(i)
+            total += len(held[-1])
+            if total >= BLOCK:
+                add_up()
+                total = 0
+    add_up()
+    sizes = np.array([len(s) for s in sets], np.int64)
+    return np.packbits(2 * ones > sizes[:, None], axis=1)
 
 
 def sketches(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
-    """(id, text_hash, node, keys): node is a hash of the set, keys are those of its bands."""
+    """(id, text_hash, node, searched, decides): node is a hash of the shingle set, searched and decides are the
+    fingerprints of words and of shingles, null for the empty set."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for whole in batches:
             for batch in text_slices(whole, 2):
-                sets = [shingle_set(x, words) for x in batch.column(2).to_pylist()]
-                nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
-                keys = pa.array([band_keys(s) for s in sets], pa.list_(pa.int64()))
+                split = [x.encode().lower().split() if x else [] for x in batch.column(2).to_pylist()]
+                sets = [feature_set(w, words) for w in split]
+                nodes = np.array([xxhash.xxh64_intdigest(s.tobytes(), SEED) for s in sets], np.uint64).view(np.int64)
+                none = np.array([not len(s) for s in sets])
+                searched = [r.tobytes() for r in prints([feature_set(w, 1) for w in split], PRINTS)]
+                decides = [r.tobytes() for r in prints(sets, BITS // 64)]
                 yield pa.RecordBatch.from_arrays(
-                    [batch.column(0), batch.column(1), pa.array(nodes), keys], names=[id_col, "text_hash", "node", "keys"]
+                    [batch.column(0), batch.column(1), pa.array(nodes)] + [pa.array(c, pa.binary(), mask=none) for c in (searched, decides)],
+                    names=[id_col, "text_hash", "node", "searched", "decides"],
                 )
 
     picked = docs.select(id_col, F.xxhash64(text).alias("text_hash"), text)
-    return picked.mapInArrow(run, f"`{id_col}` {picked.schema[0].dataType.simpleString()}, text_hash long, node long, keys array<long>")
-
-
-def shingle_sets(texts: DataFrame, text: str, words: int) -> DataFrame:
-    """(node, shingles): the sets as bytes."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for whole in batches:
-            for batch in text_slices(whole, 0):
-                sets = [shingle_set(x, words) for x in batch.column(0).to_pylist()]
-                nodes = np.array([_node(s) for s in sets], np.uint64).view(np.int64)
-                yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array([s.tobytes() for s in sets], pa.binary())], names=["node", "shingles"])
-
-    return texts.select(text).mapInArrow(run, "node long, shingles binary")
-
-
-def _link(cols: dict[str, np.ndarray | pa.Array], starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    p, q = LEAST
-    held = cols["shingles"]
-    sizes = pc.binary_length(held).to_numpy(zero_copy_only=False).astype(np.int64) // 8
-    sets = [np.frombuffer(v.as_buffer(), np.uint64) for v in held]
-    n = len(sets)
-    maps = np.zeros((n, MAP_BITS // 64), np.uint64)
-    for k, s in enumerate(sets):
-        odd = np.bincount((s >> np.uint64(55)).astype(np.int64), minlength=MAP_BITS) & 1
-        maps[k] = np.packbits(odd.astype(np.uint8)).view(np.uint64)
-    parent = list(range(n))
-
-    def top(x: int) -> int:
-        while parent[x] != x:
-            parent[x] = x = parent[parent[x]]
-        return x
-
-    for i, j in pair_positions(starts, 1 << 17):
-        # |a ^ b| is at most (q - p) / (q + p) of |a| + |b|
-        both = (sizes[i] + sizes[j]) * (q - p)
-        fits = np.abs(sizes[i] - sizes[j]) * (q + p) <= both
-        i, j, both = i[fits], j[fits], both[fits]
-        fits = np.bitwise_count(maps[i] ^ maps[j]).sum(axis=1, dtype=np.int64) * (q + p) <= both
-        found = []
-        for a, b in zip(i[fits].tolist(), j[fits].tolist(), strict=True):
-            x, y = top(a), top(b)
-            if x != y:
-                common = len(np.intersect1d(sets[a], sets[b], assume_unique=True))
-                if q * common >= p * (len(sets[a]) + len(sets[b]) - common):
-                    parent[max(x, y)] = min(x, y)
-                    found.append((a, b))
-        if found:
-            a, b = np.array(found).T
-            yield a, b
+    kind = picked.schema[0].dataType.simpleString()
+    return picked.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, node long, searched binary, decides binary")
+
+
+def meeting_nodes(nodes: DataFrame) -> DataFrame:
+    """(key, node): the nodes under the keys of their segments and variants, where a key brings a pair together."""
+
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            node = batch.column(0)
+            fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, PRINTS)
+            for number in range(PRINTS):
+                for key, side in segment_keys(fps[:, number], number):
+                    yield pa.RecordBatch.from_arrays([pa.array(key), node, pa.array(side)], names=["key", "node", "side"])
+
+    def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            held.append(batch)
+            t = pa.Table.from_batches(held).combine_chunks()
+            key = t["key"].to_numpy()
+            # the last run may go on; a long one leaves at once, whatever its sides
+            end = int(np.searchsorted(key, key[-1], "left")) if t.num_rows - np.searchsorted(key, key[-1], "left") < 100_000 else len(key)
+            yield from pick(t.slice(0, end))
+            held = t.slice(end).to_batches()
+        if held:
+            yield from pick(pa.Table.from_batches(held).combine_chunks())
+
+    def pick(t: pa.Table) -> Iterator[pa.RecordBatch]:
+        if not t.num_rows:
+            return
+        key, side = t["key"].to_numpy(), t["side"].to_numpy()
+        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
+        sizes = np.diff(np.append(starts, len(key)))
+        low, high = np.minimum.reduceat(side, starts), np.maximum.reduceat(side, starts)
+        kept = (sizes > 1) & ((low < high) | (high == 2)) | (sizes > 50_000)
+        yield from t.select(["key", "node"]).filter(pa.array(np.repeat(kept, sizes))).to_batches()
+
+    n = partitions(nodes.sparkSession)
+    keys = nodes.where("searched is not null").select("node", "searched").mapInArrow(index, "key long, node long, side byte")
+    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(useful, "key long, node long")
+
+
+def _link(cols: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    held = cols["decides"].view(np.uint64)
+
+    def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
+        return np.bitwise_count(held[i] ^ held[j]).sum(axis=1, dtype=np.int64) <= MOST
+
+    yield from spanning_pairs(starts, near)
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
@@ -131,26 +166,20 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", word
     id (null last), then text hash."""
     known = sketches(docs, id_col, text, words)
     place = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("text_hash"))
-    nodes = checkpoint(known.groupBy("node").agg(F.min(place).alias("place"), F.first("keys").alias("keys")))
+    nodes = checkpoint(
+        known.groupBy("node").agg(F.min(place).alias("place"), F.first("searched").alias("searched"), F.first("decides").alias("decides"))
+    )
+    rows = checkpoint(meeting_nodes(nodes)).join(nodes.select("node", "decides"), "node").select("key", "node", "decides")
+    parts = connected_components(linked_runs(rows, _link))
     where = [F.xxhash64(F.lit("id"), "place.id").alias("__id_hash"), F.col("place.text_hash").alias("__hash")]
-    own = docs.withColumn("__id_hash", F.xxhash64(F.lit("id"), id_col)).withColumn("__hash", F.xxhash64(text))
-
-    keys = nodes.select("node", F.explode("keys").alias("key"))
-    shared = keys.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
-    meeting = checkpoint(keys.join(shared, "key"))
-    wanted = nodes.join(meeting.select("node").distinct(), "node", "left_semi").select(*where)
-    texts = own.join(wanted, ["__id_hash", "__hash"], "left_semi").select(text)
-    sets = shingle_sets(texts, text, words).groupBy("node").agg(F.first("shingles").alias("shingles"))
-    rows = meeting.join(sets, "node").select("key", "node", "shingles")
-    parts = connected_components(linked_runs(rows, _link, ragged=("shingles",)))
-
-    # two hashes that are never null: the join and the window share one exchange of the texts
     keep = (
         nodes.select("node", "place").join(parts, "node", "left")
         .groupBy(F.coalesce("component", "node").alias("root"))
         .agg(F.min("place").alias("place"))
         .select(*where)
     )
+    # two hashes that are never null: the join and the window share one exchange of the texts
+    own = docs.withColumn("__id_hash", F.xxhash64(F.lit("id"), id_col)).withColumn("__hash", F.xxhash64(text))
     kept = own.join(keep, ["__id_hash", "__hash"], "left_semi")
     again = Window.partitionBy("__id_hash", "__hash").orderBy(F.lit(0))
     return kept.withColumn("__no", F.row_number().over(again)).where("__no = 1").select(*[f"`{c}`" for c in docs.columns])

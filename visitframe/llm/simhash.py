@@ -8,9 +8,8 @@ Candidate search: with at most 4 differing bits over 3 segments, one segment dif
 most one bit. Each distinct fingerprint is therefore indexed under its 3 segments as they
 are and under every variant with one bit of a segment replaced by a wildcard (64 more). Two
 fingerprints whose segment is equal meet under the segment, two whose segment differs in
-one bit meet under the variant that wildcards it, where only pairs with unequal wildcard
-bits are compared. Every meeting pair is verified on all 64 bits, so no link is lost and none
-is false.
+one bit meet under the variant that wildcards it. Every meeting pair that isn't connected yet is
+verified on all 64 bits, so no connection is lost and no link is false.
 
 Defined cases: a null or wordless text has fingerprint zero and links like any other; fewer
 words than a shingle make one shingle of the whole sequence; equal fingerprints (exact copies
@@ -26,10 +25,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitframe.llm.common import checkpoint, connected_components, linked_runs, pair_positions, text_slices
+from visitframe.llm.common import checkpoint, connected_components, linked_runs, spanning_pairs, text_slices
 
 SEED = 42
 #: Hashes whose bits are added up at once.
@@ -84,36 +83,37 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     return picked.mapInArrow(run, f"`{id_col}` {picked.schema[0].dataType.simpleString()}, text_hash long, fp long")
 
 
+def segment_keys(fps: np.ndarray, number: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Keys and sides of unsigned fingerprints, for each segment and each of its one-wildcard variants: side is
+    the wildcarded bit, 2 where nothing is wildcarded. `number` tells the keys of several fingerprints of a
+    document apart."""
+    kind, low = number * (len(SEGMENTS) + 64), 0
+    for width in SEGMENTS:
+        part = (fps >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1)
+        for bit in range(-1, width):
+            mask = 0 if bit < 0 else 1 << bit
+            side = np.full(len(fps), 2, np.int8) if bit < 0 else (part >> bit & 1).astype(np.int8)
+            yield kind << 22 | part & ~mask, side
+            kind += 1
+        low += width
+
+
 def signatures(distinct: DataFrame) -> DataFrame:
-    """(key, node, side): each fp under its segments and their one-wildcard variants. side is
-    the wildcarded bit, 2 where nothing is wildcarded."""
+    """(key, node): each fp under its segments and their one-wildcard variants."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
-            keys, sides, kind, low = [], [], 0, 0
-            for width in SEGMENTS:
-                part = (fp.view(np.uint64) >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1)
-                for bit in range(-1, width):
-                    mask = 0 if bit < 0 else 1 << bit
-                    keys.append(kind << 22 | part & ~mask)
-                    sides.append(np.full(len(fp), 2, np.int32) if bit < 0 else (part >> bit & 1).astype(np.int32))
-                    kind += 1
-                low += width
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(np.concatenate(keys)), pa.array(np.tile(fp, len(keys))), pa.array(np.concatenate(sides))],
-                names=["key", "node", "side"],
-            )
-
-    return distinct.select("fp").mapInArrow(run, "key long, node long, side int")
+            for key, _ in segment_keys(fp.view(np.uint64)):
+                yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], names=["key", "node"])
+
+    return distinct.select("fp").mapInArrow(run, "key long, node long")
 
 
 def _linker(distance: int):
     def link(cols: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-        fp, side = cols["node"].view(np.uint64), cols["side"]
-        for i, j in pair_positions(starts):
-            near = (np.bitwise_count(fp[i] ^ fp[j]) <= distance) & ((side[i] == 2) | (side[i] != side[j]))
-            yield i[near], j[near]
+        fp = cols["node"].view(np.uint64)
+        yield from spanning_pairs(starts, lambda i, j: np.bitwise_count(fp[i] ^ fp[j]) <= distance)
 
     return link
 
@@ -143,27 +143,6 @@ def near_duplicates(
     return known.join(by_fp, "fp").select(id_col, "fp", "component_id")
 
 
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5, distance: int = 4) -> DataFrame:
-    """docs without near-duplicates: of each component exactly one row stays, that with the
-    smallest id (null last), then text hash."""
-    known = checkpoint(fingerprints(docs, id_col, text, words))
-    root = _components(known, id_col, distance).select("fp", F.coalesce("component", "fp").alias("root"))
-    # the first row of each fingerprint is a map-side combined minimum; its component's follows
-    place = F.struct(F.col(id_col).isNull().alias("late"), F.col(id_col).alias("id"), F.col("text_hash"))
-    firsts = known.groupBy("fp").agg(F.min(place).alias("place"))
-    keep = (
-        firsts.join(root, "fp")
-        .groupBy("root")
-        .agg(F.min("place").alias("place"))
-        .select(F.xxhash64(F.lit("id"), "place.id").alias("__id_hash"), F.col("place.text_hash").alias("__hash"))
-    )
-    # two hashes that are never null: the join and the window share one exchange of the texts
-    own = docs.withColumn("__id_hash", F.xxhash64(F.lit("id"), id_col)).withColumn("__hash", F.xxhash64(text))
-    kept = own.join(keep, ["__id_hash", "__hash"], "left_semi")
-    again = Window.partitionBy("__id_hash", "__hash").orderBy(F.lit(0))
-    return kept.withColumn("__no", F.row_number().over(again)).where("__no = 1").select(*[f"`{c}`" for c in docs.columns])
-
-
 def op4_simhash(docs: DataFrame) -> DataFrame:
     return near_duplicates(docs).select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id"
