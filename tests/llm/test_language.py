@@ -5,6 +5,7 @@ from __future__ import annotations
 import itertools
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from visitframe.llm import crf_language as crf
@@ -76,3 +77,17 @@ def test_sample_is_bounded_and_leaves_held_out_rows(spark):
     assert len(crf.training_sample(docs, "doc_id", "text", "lang", 100, 8)) == 100
     only = docs.where(crf.held_out("doc_id"))
     assert crf.training_sample(only, "doc_id", "text", "lang", 100, 8) == []
+
+
+def test_many_languages_are_all_learned(spark):
+    names = [f"l{k:02d}" for k in range(70)]
+    rows = [(70 * n + k, " ".join(f"{name}".translate(str.maketrans("0123456789", "abcdefghij")) + "xyzuvw"[(n + w) % 6] for w in range(12)), name) for n in range(12) for k, name in enumerate(names)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    sample = crf.training_sample(docs, "doc_id", "text", "lang", 400, 600)
+    assert {lang for lang, _ in sample} == set(names)
+    fitted = crf.fit(sample)
+    assert len(fitted.languages) == 70
+    # the lexicon holds words of the languages beyond the bits of one word
+    assert fitted.lexicon["lgjx"] >> 69 & 1 and [j for j, hit in crf._in_lexicon(fitted.lexicon, ["lgjx"], 70) if hit[0]] == [69]
+    with pytest.raises(ValueError, match="languages"):
+        crf.training_sample(docs, "doc_id", "text", "lang", 400, 600, most_languages=69)

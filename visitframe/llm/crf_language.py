@@ -40,8 +40,12 @@ DRAW_BITS = 30
 WORDS_KEPT = 100_000
 #: Words of a block of forward-backward.
 BLOCK = 64
-#: Languages learned at most, the most frequent ones: it bounds the model.
-MOST_LANGUAGES = 64
+#: Languages of a model at most; more raise an error, so that none is dropped in silence.
+MOST_LANGUAGES = 128
+#: Windows of a fit times the languages at most: with many languages, each gets fewer windows, but 20 at least.
+WINDOWS_BY_LANGUAGES = 100_000
+#: Languages in one word of a bit set.
+SET_BITS = 62
 
 
 def words_of(text: str | None) -> list[str]:
@@ -83,6 +87,14 @@ def feature_groups(words: list[str]) -> Iterator[tuple[np.ndarray, np.ndarray]]:
         yield np.array(members), np.concatenate(found, axis=1)
 
 
+def _in_lexicon(lexicon: dict[str, int], words: list[str], languages: int) -> Iterator[tuple[int, np.ndarray]]:
+    """For each language, which of the words stand in its lexicon."""
+    for low in range(0, languages, SET_BITS):
+        part = np.array([lexicon.get(w, 0) >> low & (1 << SET_BITS) - 1 for w in words], np.int64)
+        for j in range(low, min(low + SET_BITS, languages)):
+            yield j, part >> (j - low) & 1 == 1
+
+
 @dataclass
 class Crf:
     languages: list[str]
@@ -98,9 +110,7 @@ class Crf:
         for at, features in feature_groups(words):
             for column in features.T:
                 out[at] += self.weights[column]
-        sets = np.array([self.lexicon.get(w, 0) for w in words], np.int64)
-        for j in range(k):
-            hit = sets >> j & 1 == 1
+        for j, hit in _in_lexicon(self.lexicon, words, k):
             out[hit] += self.lexicon_weights[j]
         return out
 
@@ -226,7 +236,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 40, lexicon_size: int = 200,
     if not k:
         return None
     lexicon: dict[str, int] = {}
-    for j, lang in enumerate(languages[:62]):
+    for j, lang in enumerate(languages):
         common = Counter(w for own in by_lang[lang] for w in own)
         for w, _ in sorted(common.items(), key=lambda x: (-x[1], x[0]))[:lexicon_size]:
             lexicon[w] = lexicon.get(w, 0) | 1 << j
@@ -239,9 +249,7 @@ def fit(rows: list[tuple[str, str]], rounds: int = 40, lexicon_size: int = 200,
     x = np.array([[number[w] for w in words] for words, _ in chains])
     y = np.array([labels for _, labels in chains])
     groups = list(feature_groups(types))
-    sets = np.array([lexicon.get(w, 0) for w in types], np.int64)
-    in_lexicon = np.stack([sets >> j & 1 for j in range(min(k, 62))], axis=1).astype(np.float64)
-    in_lexicon = np.pad(in_lexicon, ((0, 0), (0, k - in_lexicon.shape[1])))
+    in_lexicon = np.stack([hit for _, hit in _in_lexicon(lexicon, types, k)], axis=1).astype(np.float64)
     params = [np.zeros((BUCKETS, k)), np.zeros((k, k)), np.zeros((k, k)), np.zeros(k)]
     moments = [(np.zeros_like(p), np.zeros_like(p)) for p in params]
     mask = np.ones(x.shape, bool)
@@ -322,19 +330,22 @@ def held_out(id_col: str) -> Column:
 
 
 def training_sample(
-    docs: DataFrame, id_col: str, text: str, lang: str, per_language: int, window_chars: int
+    docs: DataFrame, id_col: str, text: str, lang: str, per_language: int, window_chars: int, most_languages: int = MOST_LANGUAGES
 ) -> list[tuple[str, str]]:
-    """(language, window of text) of at most per_language documents of each language."""
+    """(language, window of text) of at most per_language documents of each language, fewer from 16
+    languages on (WINDOWS_BY_LANGUAGES)."""
     labelled = docs.where(F.col(lang).isNotNull() & ~held_out(id_col)).select(
         F.col(lang).alias("__lang"), F.col(id_col).alias("__id"), F.col(text).alias("__text")
     )
     labelled = labelled.withColumn("__draw", F.pmod(F.xxhash64("__id", F.lit("sample")), F.lit(1 << DRAW_BITS)))
-    top = labelled.groupBy("__lang").count().orderBy(F.desc("count"), "__lang").limit(MOST_LANGUAGES).collect()
-    learned = labelled.where(F.col("__lang").isin([r["__lang"] for r in top]))
+    names = [r["__lang"] for r in labelled.select("__lang").distinct().limit(most_languages + 1).collect()]
+    if len(names) > most_languages:
+        raise ValueError(f"over {most_languages} languages: pass a larger most_languages, or fewer labels")
+    per_language = max(min(per_language, WINDOWS_BY_LANGUAGES // max(len(names), 1) ** 2), min(per_language, 20))
     # rows with draws below 2^level, per level: the lowest level that holds enough bounds the draw
     level = F.length(F.bin("__draw"))
     below: dict[str, dict[int, int]] = {}
-    for r in learned.groupBy("__lang", level.alias("level")).count().collect():
+    for r in labelled.groupBy("__lang", level.alias("level")).count().collect():
         below.setdefault(r["__lang"], {})[r["level"]] = r["count"]
     bound = F.lit(None)
     for name, levels in sorted(below.items()):
@@ -343,7 +354,7 @@ def training_sample(
     w = Window.partitionBy("__lang").orderBy("__draw", "__id", F.xxhash64("__text"))
     start = F.pmod(F.col("__draw"), F.greatest(F.length("__text") - window_chars, F.lit(1))) + 1
     rows = (
-        learned.where(F.col("__draw") < bound)
+        labelled.where(F.col("__draw") < bound)
         .select("__lang", "__id", "__draw", F.col("__text").substr(start.cast("int"), F.lit(window_chars)).alias("__text"))
         .withColumn("__no", F.row_number().over(w))
         .where(F.col("__no") <= per_language)
@@ -363,11 +374,12 @@ def identify(
     window_chars: int = 600,
     with_spans: bool = False,
     carry: bool = False,
+    most_languages: int = MOST_LANGUAGES,
 ) -> DataFrame:
     """(doc_id, lang_pred, score[, spans]) per row of docs; spans are arrays of (start, end,
     language) in characters of the lower-cased text. With carry, all columns of docs instead of
     the id alone; columns of docs named like an output are replaced."""
-    model = fit(training_sample(docs, id_col, text, lang, per_language, window_chars))
+    model = fit(training_sample(docs, id_col, text, lang, per_language, window_chars, most_languages))
     shared = docs.sparkSession.sparkContext.broadcast(model)
     added = ["lang_pred", "score"] + (["spans"] if with_spans else [])
     kept = [f for f in docs.schema.fields if f.name not in added] if carry else [docs.schema[id_col]]
