@@ -94,3 +94,24 @@ def test_planted_junk_scores_worse_than_trusted_text(spark):
     got = kn.classify(docs, labels).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept")).collect()
     kept = {r["quality"]: r["kept"] for r in got}
     assert kept[1] > 0.9 > kept[0] + 0.2
+
+
+def test_no_character_is_renamed():
+    """Far more characters than 65,536: every n-gram comes back as it is."""
+    text = "".join(chr(c) for c in range(0x100, 0x20000) if not 0xD800 <= c < 0xE000)
+    grams = kn.Grams([text])
+    found, n = grams.counts()
+    strings = grams.strings(found)
+    padded = kn.START * 3 + text + kn.END
+    assert sorted(strings) == sorted(padded[k : k + 4] for k in range(len(padded) - 3)) and n.sum() == len(text) + 1
+    assert (grams.find(strings) == found).all()
+
+
+def test_buckets_and_partitions_are_apart(spark):
+    """Rows without an id and ids of other types; all tasks get some, and no more partitions than asked for."""
+    docs = spark.range(3000).select(F.lit(None).cast("decimal(20,0)").alias("doc_id"), F.concat(F.lit("text "), "id").alias("text"), F.lit("en").alias("lang"))
+    labels = spark.createDataFrame([(1, 1, 0)], "doc_id long, quality int, toxic int")
+    packed = kn.pack_documents(docs, "doc_id", "lang", "text", 64)
+    assert packed.select("bucket").distinct().count() == 64
+    got = kn.classify(docs, labels)
+    assert got.count() == 3000 and got.schema["doc_id"].dataType.simpleString() == "decimal(20,0)"

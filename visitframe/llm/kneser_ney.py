@@ -17,7 +17,9 @@ perplexities of trusted documents that were held out of the counts.
 Defined cases: white space runs count as one space; a null or blank text has no tokens, no
 perplexity and isn't kept; a language without trusted text, or without held-out trusted text,
 has no threshold and its documents are kept; null is a language of its own; labels that repeat
-an id count as trusted if any of them is; empty tables give an empty result.
+an id count as trusted if any of them is, and null ids never are; rows that repeat an id or all of a row are
+scored each; a perplexity equal to the threshold is kept; ids may be of any type, other columns of docs
+don't come through, so none can clash; long texts are taken whole; empty tables give an empty result.
 """
 
 from __future__ import annotations
@@ -30,6 +32,8 @@ import pyarrow as pa
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
+from pyspark.sql.types import DataType
 
 from visitframe.llm.common import checkpoint, partitions, salted_join, written
 
@@ -38,11 +42,10 @@ START, END = "\x02", "\x03"
 QUANTILE = 0.99
 #: One trusted document in so many is held out of the counts for the threshold.
 HELD_OUT = 5
-#: Bytes of text in a bucket, on average. A bucket asks for each n-gram once, so larger ones move
-#: less; a task holds one.
-BUCKET_BYTES = 16 << 20
-#: Codes of characters in a bucket; characters beyond the most frequent ones share the last.
-ALPHABET = 1 << 16
+#: Bytes of text in a bucket, on average: at most the first, and no less than the second to give
+#: every task one. A bucket asks for each n-gram once, so larger ones move less; a task holds
+#: one at a time, however many fall to it.
+BUCKET_BYTES, LEAST_BYTES = 16 << 20, 1 << 20
 
 
 def clean(text: str | None) -> str:
@@ -64,7 +67,8 @@ def _unpack(blobs: pa.ChunkedArray) -> pa.Table:
 def pack_documents(docs: DataFrame, id_col: str, lang: str, text: str, buckets: int) -> DataFrame:
     """(bucket, blob): documents with cleaned texts, compressed, by a hash of their id."""
     picked = docs.select(
-        F.pmod(F.xxhash64(F.col(id_col)), F.lit(buckets)).cast("int").alias("bucket"),
+        # rows without an id are dealt by their text
+        F.pmod(F.when(F.col(id_col).isNull(), F.xxhash64(text)).otherwise(F.xxhash64(F.col(id_col))), F.lit(buckets)).cast("int").alias("bucket"),
         F.col(id_col).alias("id"),
         F.coalesce(F.col(lang).cast("string"), F.lit("")).alias("lang"),
         F.col(text).alias("text"),
@@ -94,10 +98,8 @@ class Grams:
         for points in self._points():
             seen += np.bincount(points, minlength=len(seen))
         present = np.flatnonzero(seen)
-        if len(present) > ALPHABET:
-            present = np.sort(present[np.argsort(-seen[present], kind="stable")[:ALPHABET]])
         self.chars = present
-        self.code = np.full(0x110000, len(present) - 1, np.int64)
+        self.code = np.zeros(0x110000, np.int64)
         self.code[present] = np.arange(len(present))
         size = len(present)
         pairs: list[np.ndarray] = []
@@ -286,7 +288,7 @@ def _requests(packed: DataFrame) -> DataFrame:
     return packed.groupBy("bucket").applyInArrow(run, "bucket int, lang string, gram string")
 
 
-def _scores(packed: DataFrame, answers: DataFrame, id_type: str) -> DataFrame:
+def _scores(packed: DataFrame, answers: DataFrame, id_type: DataType) -> DataFrame:
     """(id, lang, n_tokens, log_prob) of every document."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -327,8 +329,8 @@ def _scores(packed: DataFrame, answers: DataFrame, id_type: str) -> DataFrame:
             }
         )
 
-    schema = f"id {id_type}, lang string, n_tokens long, log_prob double"
-    arrow_id = {"bigint": pa.int64(), "int": pa.int32(), "string": pa.string()}[id_type]
+    schema = f"id {id_type.simpleString()}, lang string, n_tokens long, log_prob double"
+    arrow_id = to_arrow_type(id_type)
     empty = pa.table(
         {"id": pa.array([], arrow_id), "lang": pa.array([], pa.string()), "n_tokens": pa.array([], pa.int64()), "log_prob": pa.array([], pa.float64())}
     )
@@ -347,17 +349,18 @@ def classify(
     the ids that labels holds with quality 1 and toxic 0."""
     tasks = partitions(docs.sparkSession)
     size = docs.agg(F.sum(F.octet_length(text))).first()[0] or 0
-    buckets = max(1, -(-size // BUCKET_BYTES))
-    id_type = docs.select(id_col).schema[0].dataType.simpleString()
+    buckets = max(-(-size // BUCKET_BYTES), min(tasks, size // LEAST_BYTES), 1)
+    id_type = docs.select(id_col).schema[0].dataType
     trusted = (
         labels.where("quality = 1 and toxic = 0").select(F.col(id_col).cast(id_type).alias("id")).where("id is not null").distinct()
     )
     bucket = F.pmod(F.xxhash64("id"), F.lit(buckets)).cast("int").alias("bucket")
-    packed = pack_documents(docs, id_col, lang, text, buckets).repartition(max(tasks, buckets), "bucket")
+    packed = pack_documents(docs, id_col, lang, text, buckets).repartition(tasks, "bucket")
     # two passes, counting and scoring, go over the same buckets
     packed = packed.persist(StorageLevel.MEMORY_AND_DISK)
     counts = checkpoint(count_grams(packed, trusted.where(~held_out("id")).select(bucket, "id")))
-    # the distinct requests and the way back to the buckets read what is written here
+    # the distinct requests and the way back to the buckets read what is written here; no n-gram
+    # has more than one row per bucket, of the many that a bucket asks for
     requests = written(_requests(packed))
     answers = requests.join(probabilities(requests.select("lang", "gram").distinct(), counts), ["lang", "gram"])
     scored = checkpoint(_scores(packed, answers, id_type)).withColumn(
