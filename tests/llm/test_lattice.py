@@ -85,8 +85,26 @@ def test_recall_at_the_threshold():
 
 
 def test_blocks_of_a_large_component(spark):
-    n = 2 * e8.BLOCK + 100
+    n = 2 * e8.TILE + 100
     rng = np.random.default_rng(11)
     rows = [(k, 1, (np.eye(16)[0] + 0.02 * rng.normal(size=16)).tolist()) for k in range(n)]
     df = spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>")
     assert e8.op10_e8_neighbors(df).where(f"n_links != {n - 1} or component_id != 0").isEmpty()
+
+
+def test_members_are_copied_to_few_blocks(spark):
+    """Ten million members of 64 numbers, dealt to 1,000 tasks: each is copied 306 times (once per 1,024 members it
+    were 9,766 times), and no block holds more than its share."""
+    sizes = spark.createDataFrame([(10,), (5000,), (100_000,), (10_000_000,)], "n long")
+    got = {r["n"]: r["b"] for r in sizes.select("n", e8.block_count(F.col("n"), F.lit(64), 1000).alias("b")).collect()}
+    assert got == {10: 1, 5000: 5, 100_000: 90, 10_000_000: 306}
+    assert all(n * 64 / b <= max(e8.BLOCK_NUMBERS, 64 * e8.TILE) * 1.01 for n, b in got.items())
+
+
+def test_links_over_several_tiles(spark, monkeypatch):
+    monkeypatch.setattr(e8, "TILE", 8)
+    rng = np.random.default_rng(11)
+    base = rng.normal(size=16)
+    rows = [(k, 1, (base + 0.1 * rng.normal(size=16)).tolist()) for k in range(150)]
+    got = e8.op10_e8_neighbors(spark.createDataFrame(rows, "vec_id long, label int, embedding array<double>"))
+    assert sorted((r["vec_id"], r["n_links"], r["component_id"]) for r in got.collect()) == brute(rows)

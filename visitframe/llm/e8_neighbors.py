@@ -9,12 +9,13 @@ verified by cosine in double precision.
 Equal vectors of one label form one class with a multiplicity, so copies are never paired. Of
 each cell only spanning edges leave the task. Once components are known, links are counted
 exactly inside each component, where all of them lie, by blocks of members against blocks: no
-partner is capped, and no task holds more than two blocks.
+partner is capped, and no task holds more than two blocks. A member is copied once per block of its
+component, and blocks are as large as memory allows, but for those needed to give every task some.
 
 Defined cases: rows whose label or vector is null, whose vector is zero, or holds a null or a
 value that isn't finite link with nothing, and so do rows without an id; vectors of different
-lengths never link; rows that repeat, in all or in the id alone, count as separate vectors; an
-empty table gives an empty result.
+lengths never link; rows that repeat, in all or in the id alone, count as separate vectors; other columns
+don't come through, so none can clash; an empty table gives an empty result.
 
 With the defaults, two vectors at the threshold 0.93 meet in one of the tables with a
 probability over 0.999 (measured in the tests), closer ones more surely.
@@ -22,6 +23,7 @@ probability over 0.999 (measured in the tests), closer ones more surely.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -37,8 +39,9 @@ TABLES = 5
 PROBES = 3
 #: Projected length of the difference of two vectors at the threshold, in lattice units.
 REACH = 0.7
-#: Members of a component that meet the members of another block in one task.
-BLOCK = 1024
+#: Numbers in the vectors of the largest block whose members meet those of another in one task, and
+#: members that are compared at once.
+BLOCK_NUMBERS, TILE = 1 << 21, 1024
 
 
 def _nearest_d8(y: np.ndarray) -> np.ndarray:
@@ -166,12 +169,20 @@ def _cosine_linker(threshold: float, kind: str):
     return link
 
 
+def block_count(size: Column, dim: Column, tasks: int) -> Column:
+    """Blocks of a component: enough for memory, and for some pairs of blocks per task, but no block
+    below a tile."""
+    fits = F.ceil(size * dim / F.lit(BLOCK_NUMBERS))
+    shared = F.lit(math.ceil(math.sqrt(8 * tasks)))
+    return F.greatest(F.least(F.ceil(size / F.lit(TILE)), F.greatest(fits, shared)), F.lit(1)).cast("int")
+
+
 def _count_links(members: DataFrame, threshold: float) -> DataFrame:
     """(node, links): links of each class to the others of its component, copies counted.
     members: component, node, copies, vector."""
     spark = members.sparkSession
-    sizes = members.groupBy("component").agg(F.count("*").alias("__size"))
-    blocks = F.ceil(F.col("__size") / F.lit(BLOCK)).cast("int")
+    sizes = members.groupBy("component").agg(F.count("*").alias("__size"), F.max(F.size("vector")).alias("__dim"))
+    blocks = block_count(F.col("__size"), F.col("__dim"), partitions(spark))
     spread = (
         members.join(sizes, "component")
         .withColumn("__blocks", blocks)
@@ -207,14 +218,19 @@ def _count_links(members: DataFrame, threshold: float) -> DataFrame:
                 if len(sides) < 2:
                     continue
                 a, b = sides
-                near = v[a] @ v[b].T >= threshold
-                if same:
-                    np.fill_diagonal(near, False)
-                out_node.append(n[a])
-                out_links.append(near @ c[b])
-                if not same:
-                    out_node.append(n[b])
-                    out_links.append(near.T @ c[a])
+                links = np.zeros(hi - lo, np.int64)
+                for x in range(0, len(a), TILE):
+                    i = a[x : x + TILE]
+                    for y in range(0, len(b), TILE):
+                        j = b[y : y + TILE]
+                        near = v[i] @ v[j].T >= threshold
+                        if same and x == y:
+                            np.fill_diagonal(near, False)
+                        links[i] += near @ c[j]
+                        if not same:
+                            links[j] += near.T @ c[i]
+                out_node.append(n)
+                out_links.append(links)
             if out_node:
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(np.concatenate(out_node)), pa.array(np.concatenate(out_links).astype(np.int64))],
