@@ -2,11 +2,16 @@
 
 from __future__ import annotations
 
+import math
+import struct
+import zlib
 from collections import Counter
 
+import xxhash
 from pyspark.sql import functions as F
 
 from visitframe.llm import hash_tree, mixing
+from visitframe.llm.registry import op6_hash_tree
 
 SMALL = "/root/testdata/sf0.01"
 
@@ -74,3 +79,51 @@ def test_sharding_defined_cases(spark, tmp_path):
     assert hash_tree.op6_hash_tree(docs.limit(0)).count() == 0
     hash_tree.write_shards(docs, str(tmp_path / "out"))
     assert spark.read.parquet(str(tmp_path / "out")).count() == 5
+
+
+def plain_place(key: int, tree: list[hash_tree.Shard]) -> int:
+    """The draws in plain Python: one XXH64 per child, chained over key, level and node."""
+    h = xxhash.xxh64_intdigest(struct.pack("<q", key), 42)
+
+    def pick(level: str, children: dict[int, float]) -> int:
+        own = xxhash.xxh64_intdigest(level.encode(), h)
+        drawn = []
+        for node, weight in sorted(children.items()):
+            bits = xxhash.xxh64_intdigest(struct.pack("<i", node), own) >> 11
+            drawn.append((-math.log((bits + 0.5) * 2.0**-53) / weight, node))
+        return min(drawn)[1] if len(drawn) > 1 else drawn[0][1]
+
+    region = pick("region", {s.region: sum(x.weight for x in tree if x.region == s.region) for s in tree})
+    rack = pick("rack", {s.rack: sum(x.weight for x in tree if x.rack == s.rack) for s in tree if s.region == region})
+    return pick("shard", {s.shard: s.weight for s in tree if s.rack == rack})
+
+
+def test_query_against_plain_draws(spark):
+    docs = spark.read.parquet(f"{SMALL}/documents.parquet")
+    texts = {r["doc_id"]: (r["text"] or "").encode() for r in docs.collect()}
+    got = {r["doc_id"]: r for r in op6_hash_tree(spark, SMALL).collect()}
+    assert set(got) == set(texts)
+    tree = hash_tree.even_tree(16)
+    order: dict[int, list[tuple[int, int, int]]] = {}
+    buckets = max(8, min(16384, len(texts) // 16 // 2000))
+    for key, raw in texts.items():
+        row = got[key]
+        shard, grown = plain_place(key, tree), plain_place(key, hash_tree.grow(tree))
+        assert (row["shard"], row["grown_shard"], row["law"]) == (shard, grown, "key")
+        assert (row["size"], row["text_crc32"]) == (len(raw) + 1, zlib.crc32(raw))
+        h = 42
+        for part in (struct.pack("<q", key), struct.pack("<q", zlib.crc32(raw)), struct.pack("<q", len(raw) + 1), b"slot"):
+            h = xxhash.xxh64_intdigest(part, h)
+        signed = h - (1 << 64) if h >> 63 else h
+        order.setdefault(shard, []).append((signed % buckets, signed, key))
+    for shard, rows in order.items():
+        assert [got[key]["slot"] for _, _, key in sorted(rows)] == list(range(len(rows))), shard
+
+
+def test_rows_without_id_are_spread(spark):
+    docs = spark.range(5000).select(F.lit(None).cast("long").alias("doc_id"), F.concat(F.lit("some text "), "id").alias("text"), F.lit("s").alias("source"))
+    assert docs.select(mixing.shuffle_hash("doc_id", "mix", F.xxhash64("text"))).distinct().count() == 5000
+    taken = mixing.op5_mixing(docs)
+    assert taken.count() == 5000 and taken.where("taken != size").isEmpty()
+    placed = hash_tree.op6_hash_tree(docs).collect()
+    assert len({(r["shard"], r["slot"]) for r in placed}) == 5000

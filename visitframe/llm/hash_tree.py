@@ -85,9 +85,10 @@ def place(df: DataFrame, key: str, tree: list[Shard], out: str = "shard") -> Dat
     )
 
 
-def with_slots(df: DataFrame, key: str, rows: int, out: str = "slot") -> DataFrame:
-    """df with the gapless position of each row in its shard, from 0, in hash order."""
-    h = F.xxhash64(F.col(key), F.lit("slot"))
+def with_slots(df: DataFrame, key: str, rows: int, out: str = "slot", others: tuple[str, ...] = ()) -> DataFrame:
+    """df with the gapless position of each row in its shard, from 0, in hash order. `others` are further columns
+    that spread rows with an equal or null key; rows equal in all of them share a bucket."""
+    h = F.xxhash64(F.col(key), *[F.col(c) for c in others], F.lit("slot"))
     hashed = df.withColumn("__h", h).withColumn("__one", F.lit(1).cast("long"))
     bucketed = hashed.withColumn("__bucket", F.pmod("__h", F.lit(size_buckets(rows // 16, least=8))))
     return (
@@ -110,7 +111,7 @@ def op6_hash_tree(docs: DataFrame, shards: int = 16) -> DataFrame:
     light = docs.select("doc_id", (F.octet_length(raw).cast("long") + 1).alias("size"), F.crc32(raw).alias("text_crc32"))
     tree = even_tree(shards)
     placed = place(place(light, "doc_id", tree), "doc_id", grow(tree), "grown_shard")
-    return with_slots(placed, "doc_id", docs.select("doc_id").count()).select(
+    return with_slots(placed, "doc_id", docs.select("doc_id").count(), others=("text_crc32", "size")).select(
         "doc_id",
         "size",
         "text_crc32",

@@ -32,9 +32,9 @@ def word_count(text: str) -> Column:
     return F.coalesce(F.regexp_count(F.col(text), F.lit(WORD)).cast("long"), F.lit(0).cast("long"))
 
 
-def shuffle_hash(id_col: str, seed: str) -> Column:
-    """60 bits of md5(seed + id): the order of the shuffle."""
-    tagged = F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.lit("")))
+def shuffle_hash(id_col: str, seed: str, otherwise: Column) -> Column:
+    """60 bits of md5(seed + id): the order of the shuffle. Rows without an id are shuffled by `otherwise`."""
+    tagged = F.concat(F.lit(seed), F.coalesce(F.col(id_col).cast("string"), F.concat(F.lit("null"), otherwise.cast("string"))))
     return F.conv(F.substring(F.md5(tagged), 1, HASH_BITS // 4), 16, 10).cast("long")
 
 
@@ -86,7 +86,7 @@ def mix(
             F.col(source).alias("__src"),
             F.xxhash64(text, source).alias("text_hash"),
             word_count(text).alias("size"),
-            shuffle_hash(id_col, seed).alias("__hash"),
+            shuffle_hash(id_col, seed, F.xxhash64(text, source)).alias("__hash"),
         )
     )
     targets = source_targets(light, "__src", weights, epochs)
