@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 
 #: Largest run of rows that one task compares at once; longer runs are cut into
 #: chunks of this size and every pair of chunks becomes a row group of its own.
-RUN_CHUNK = 4096
+RUN_CHUNK = 1 << 14
 
 
 def shared_folder(spark: SparkSession) -> str:
@@ -63,13 +63,17 @@ def salted_join(big: DataFrame, small: DataFrame, on: list[str], spread: str, ho
 HOT_KEYS = 4096
 
 
-def hot_join(big: DataFrame, counted: DataFrame, on: list[str], spread: list[str], rows: str = "n") -> DataFrame:
+def hot_join(
+    big: DataFrame, counted: DataFrame, on: list[str], spread: list[str], rows: str = "n", total: int | None = None
+) -> DataFrame:
     """Inner join of big with counted, one row per key `on` whose column `rows` says how many rows
     of big have it. Keys with over 1/HOT_KEYS of those rows are hot: there are HOT_KEYS at most,
     whatever the input, so the list of them is broadcast. Their rows are dealt over all tasks by a hash of
-    `spread`; the others join by `on` alone and aren't replicated. counted is read twice."""
+    `spread`; the others join by `on` alone and aren't replicated. counted is read twice; `total` is the sum of
+    `rows`, where it is known."""
     n = partitions(big.sparkSession)
-    total = counted.agg(F.sum(rows)).first()[0] or 0
+    if total is None:
+        total = counted.agg(F.sum(rows)).first()[0] or 0
     bound = max(total // HOT_KEYS, 1000)
     hot = counted.where(F.col(rows) > bound).select(*on, F.lit(True).alias("__hot"))
     salts = F.when(F.col(rows) > bound, F.sequence(F.lit(0), F.lit(n - 1))).otherwise(F.array(F.lit(0)))
@@ -334,20 +338,23 @@ def connected_components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     e = checkpoint(
         edges.where("a != b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
-    seen = None
+    seen, total = None, e.count()
     for _ in range(rounds):
+        # a node with a third of all edges is dealt over all tasks
         both = e.union(e.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        low = both.groupBy("u").agg(F.min("v").alias("m")).withColumn("m", F.least("m", "u"))
-        large = both.join(low, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        low2 = large.groupBy("u").agg(F.min("v").alias("m"))
+        low = both.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n")).withColumn("m", F.least("m", "u"))
+        joined = hot_join(both, low, ["u"], ["v"], total=2 * total)
+        large = joined.where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+        low2 = large.groupBy("u").agg(F.min("v").alias("m"), F.count("*").alias("n"))
         small = (
-            large.join(low2, "u").where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v")).union(low2)
+            hot_join(large, low2, ["u"], ["v"], total=total).where("v != m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+            .union(low2.select("u", "m"))
         ).distinct()
         e = checkpoint(small)
         now = tuple(e.agg(F.count("*"), F.bit_xor(F.xxhash64("u", "v"))).first())
         if now == seen:
             break
-        seen = now
+        seen, total = now, now[0]
     else:
         raise RuntimeError(f"components did not settle in {rounds} rounds")
     roots = e.select("v").distinct()
