@@ -5,10 +5,12 @@ SimHash fingerprints estimate: texts link if 512-bit fingerprints of these sets
 most 104 bits, the share at a cosine of 0.8. (A Jaccard similarity of 0.8 is a cosine of 0.89 or more.)
 
 Candidates come from the same search as in simhash, over fingerprints that a near copy changes less: three of 64 bits
-of the set of single words, nine segments in all. Each is indexed as it is and under its one-wildcard variants, so
-texts meet if any of the nine segments differs in at most one bit; that is sure up to 17 of the 192 bits, and
-beyond it depends on how the bits fall (measured in the README). Runs that can't add a pair go before fingerprints are
-attached: those of one text, and wildcard runs whose texts all have the same bit, which meet under the segment itself.
+of the set of single words, nine segments in all. Texts meet if any of the nine segments differs in at most one
+bit; that is sure up to 17 of the 192 bits, and beyond it depends on how the bits fall (measured in the
+README). Texts that share a segment are compared under it. The one-wildcard variants index the distinct values of the
+segments, not the texts: two values that differ in one bit meet under a variant, and only if they hold texts that aren't
+all connected yet do the texts of the rarer value go to those of the other. So a large group of near
+copies moves a bounded number of rows per text, whatever its size.
 
 Defined cases: texts with equal shingle sets are one node, so copies are never expanded into pairs; null and wordless
 texts have the empty set and link with one another alone; fewer words than a shingle make one shingle of
@@ -26,8 +28,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitframe.llm.common import checkpoint, connected_components, linked_runs, pair_positions, partitions, spanning_pairs, text_slices
-from visitframe.llm.simhash import SEED, segment_keys
+from visitframe.llm.common import checkpoint, connected_components, hot_join, linked_runs, partitions, spanning_pairs, text_slices
+from visitframe.llm.simhash import SEED, SEGMENT_KINDS, SEGMENTS, segment_keys
 
 #: Texts link from this cosine.
 LEAST = 0.8
@@ -111,45 +113,87 @@ def sketches(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
     return picked.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, node long, searched binary, decides binary")
 
 
-def meeting_nodes(nodes: DataFrame) -> DataFrame:
-    """(key, node): the nodes under the keys of their segments and variants, where a key brings a pair together."""
+def segment_rows(nodes: DataFrame) -> DataFrame:
+    """(key, node, decides): each node under its nine segments as they are."""
 
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            node = batch.column(0)
             fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, PRINTS)
             for number in range(PRINTS):
                 for key, side in segment_keys(fps[:, number], number):
-                    yield pa.RecordBatch.from_arrays([pa.array(key), node, pa.array(side)], names=["key", "node", "side"])
+                    if side[:1] == 2:
+                        yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(2)], names=["key", "node", "decides"])
+
+    searched = nodes.where("searched is not null").select("node", "searched", "decides")
+    return searched.mapInArrow(run, "key long, node long, decides binary")
 
-    def useful(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[pa.RecordBatch] = []
-        for batch in batches:
-            if not batch.num_rows:
-                continue
-            held.append(batch)
-            t = pa.Table.from_batches(held).combine_chunks()
-            key = t["key"].to_numpy()
-            # the last run may go on; a long one leaves at once, whatever its sides
-            end = int(np.searchsorted(key, key[-1], "left")) if t.num_rows - np.searchsorted(key, key[-1], "left") < 100_000 else len(key)
-            yield from pick(t.slice(0, end))
-            held = t.slice(end).to_batches()
-        if held:
-            yield from pick(pa.Table.from_batches(held).combine_chunks())
 
-    def pick(t: pa.Table) -> Iterator[pa.RecordBatch]:
-        if not t.num_rows:
-            return
-        key, side = t["key"].to_numpy(), t["side"].to_numpy()
-        starts = np.flatnonzero(np.concatenate([[True], key[1:] != key[:-1]]))
-        sizes = np.diff(np.append(starts, len(key)))
-        low, high = np.minimum.reduceat(side, starts), np.maximum.reduceat(side, starts)
-        kept = (sizes > 1) & ((low < high) | (high == 2)) | (sizes > 50_000)
-        yield from t.select(["key", "node"]).filter(pa.array(np.repeat(kept, sizes))).to_batches()
+def neighbour_segments(values: DataFrame) -> DataFrame:
+    """(host, host_n, probe, probe_n): segment values that differ in one bit and aren't all of one component, the
+    more frequent one as the host. values has one row per value: key, n, component, mixed (whether it has several).
+    Each value is indexed under its one-wildcard variants, so that a key has two rows at most, however
+    many documents share a value."""
 
-    n = partitions(nodes.sparkSession)
-    keys = nodes.where("searched is not null").select("node", "searched").mapInArrow(index, "key long, node long, side byte")
-    return keys.repartition(n, "key").sortWithinPartitions("key").mapInArrow(useful, "key long, node long")
+    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key = batch.column(0).to_numpy(zero_copy_only=False)
+            kind = key >> 22
+            for own in np.unique(kind):
+                at = np.flatnonzero(kind == own)
+                rows = batch.take(pa.array(at))
+                for wild, side in variants(key[at]):
+                    yield pa.RecordBatch.from_arrays([pa.array(wild), pa.array(side), *rows.columns], names=["wild", "side", *rows.schema.names])
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: pa.Table | None = None
+        for batch in batches:
+            t = pa.Table.from_batches([batch])
+            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
+            if not t.num_rows:
+                continue
+            held = t.slice(t.num_rows - 1)
+            wild = t["wild"].to_numpy()
+            at = np.flatnonzero(wild[1:] == wild[:-1])
+            c = {x: t[x].to_numpy() for x in ("key", "n", "component")}
+            mixed = t["mixed"].to_numpy()
+            at = at[mixed[at] | mixed[at + 1] | (c["component"][at] != c["component"][at + 1])]
+            first = c["n"][at] >= c["n"][at + 1]
+            host, probe = np.where(first, at, at + 1), np.where(first, at + 1, at)
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(c[x][rows]) for rows in (host, probe) for x in ("key", "n")], names=["host", "host_n", "probe", "probe_n"]
+            )
+
+    fields = "key long, n long, component long, mixed boolean"
+    wild = values.select("key", "n", "component", "mixed").mapInArrow(index, f"wild long, side byte, {fields}")
+    dealt = wild.repartition(partitions(values.sparkSession), "wild").sortWithinPartitions("wild", "side")
+    return dealt.drop("side").mapInArrow(meet, "host long, host_n long, probe long, probe_n long")
+
+
+def variants(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Wildcard keys and sides of segment keys of one kind, one pair of arrays per bit."""
+    kind = int(keys[0] >> 22)
+    number, place = divmod(kind, len(SEGMENTS) + 64)
+    width, low = next((w, lo) for w, lo in zip(SEGMENTS, SEGMENT_KINDS, strict=True) if lo == place)
+    for bit in range(width):
+        yield (kind + 1 + bit << 22) | (keys & (1 << 22) - 1 & ~(1 << bit)), (keys >> bit & 1).astype(np.int8)
+
+
+def linked_nodes(nodes: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that link with others. First all that share a segment are compared; then, across the
+    components found, those whose segments differ in one bit: the documents of the rarer value go to the
+    more frequent one's."""
+    rows = checkpoint(segment_rows(nodes))
+    parts = checkpoint(connected_components(linked_runs(rows, _link)))
+    named = rows.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    values = named.groupBy("key").agg(
+        F.count("*").alias("n"), F.min("component").alias("component"), (F.min("component") != F.max("component")).alias("mixed")
+    )
+    near = checkpoint(neighbour_segments(values))
+    hosts = near.select(F.col("host").alias("key"), F.col("host_n").alias("n"), F.col("host").alias("to"))
+    probes = near.select(F.col("probe").alias("key"), F.col("probe_n").alias("n"), F.col("host").alias("to"))
+    wanted = checkpoint(hosts.union(probes).groupBy("key").agg(F.max("n").alias("n"), F.collect_set("to").alias("to")))
+    sent = hot_join(rows, wanted, ["key"], ["node"]).select(F.explode("to").alias("key"), "node", "decides")
+    return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked_runs(sent, _link)))
 
 
 def _link(cols: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
@@ -169,8 +213,7 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", word
     nodes = checkpoint(
         known.groupBy("node").agg(F.min(place).alias("place"), F.first("searched").alias("searched"), F.first("decides").alias("decides"))
     )
-    rows = checkpoint(meeting_nodes(nodes)).join(nodes.select("node", "decides"), "node").select("key", "node", "decides")
-    parts = connected_components(linked_runs(rows, _link))
+    parts = linked_nodes(nodes)
     where = [F.xxhash64(F.lit("id"), "place.id").alias("__id_hash"), F.col("place.text_hash").alias("__hash")]
     keep = (
         nodes.select("node", "place").join(parts, "node", "left")

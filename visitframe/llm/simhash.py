@@ -35,6 +35,8 @@ SEED = 42
 FLUSH = 1 << 16
 #: Bits of the segments; one fewer than half the distance would suffice for exact segments.
 SEGMENTS = (22, 21, 21)
+#: The kind of key of each segment; its one-wildcard variants follow.
+SEGMENT_KINDS = (0, 23, 45)
 
 
 def fingerprint_batch(texts: list[str | None], words: int) -> np.ndarray:
