@@ -193,6 +193,12 @@ def _roots(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     return root
 
 
+def merged_roots(root: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Roots after the further edges (a, b)."""
+    step = _roots(len(root), root[a], root[b])
+    return step[root]
+
+
 def _runs(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[tuple[pa.Table, bool]]:
     """Whole runs of equal `key` (rows come sorted by it). A run that outgrows `cut`
     rows leaves in pieces marked True."""
@@ -253,13 +259,15 @@ def linked_runs(
         return out
 
     def spanning(cols: dict[str, np.ndarray], starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        n, a, b = len(cols["node"]), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        for i, j in link(cols, starts):
-            a, b = np.concatenate([a, i]), np.concatenate([b, j])
-            if len(a) > 1 << 20:
-                root = _roots(n, a, b)
+        n, held, size = len(cols["node"]), [(np.zeros(0, np.int64), np.zeros(0, np.int64))], 0
+        for pair in link(cols, starts):
+            held.append(pair)
+            size += len(pair[0])
+            if size > 1 << 20:
+                root = _roots(n, *(np.concatenate(side) for side in zip(*held, strict=True)))
                 a = np.flatnonzero(root != np.arange(n))
-                b = root[a]
+                held, size = [(a, root[a])], 0
+        a, b = (np.concatenate(side) for side in zip(*held, strict=True))
         root = _roots(n, a, b)
         at = np.flatnonzero(root != np.arange(len(root)))
         return cols["node"][at], cols["node"][root[at]]

@@ -7,10 +7,9 @@ most 104 bits, the share at a cosine of 0.8. (A Jaccard similarity of 0.8 is a c
 Candidates come from the same search as in simhash, over fingerprints that a near copy changes less: three of 64 bits
 of the set of single words, nine segments in all. Texts meet if any of the nine segments differs in at most one
 bit; that is sure up to 17 of the 192 bits, and beyond it depends on how the bits fall (measured in the
-README). Texts that share a segment are compared under it. The one-wildcard variants index the distinct values of the
-segments, not the texts: two values that differ in one bit meet under a variant, and only if they hold texts that aren't
-all connected yet do the texts of the rarer value go to those of the other. So a large group of near
-copies moves a bounded number of rows per text, whatever its size.
+README). Two texts that differ in at most one bit of a segment share its upper or its lower half. So each goes once to
+either half of a segment, 18 rows instead of the 198 of all variants, and the one-wildcard variants of the other
+half are indexed and joined where these rows lie. What moves per text is the same whatever the size of its group.
 
 Defined cases: texts with equal shingle sets are one node, so copies are never expanded into pairs; null and wordless
 texts have the empty set and link with one another alone; fewer words than a shingle make one shingle of
@@ -28,8 +27,8 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitframe.llm.common import checkpoint, connected_components, hot_join, linked_runs, partitions, spanning_pairs, text_slices
-from visitframe.llm.simhash import SEED, SEGMENT_KINDS, SEGMENTS, segment_keys
+from visitframe.llm.common import checkpoint, connected_components, linked_runs, merged_roots, spanning_pairs, text_slices
+from visitframe.llm.simhash import SEED, SEGMENTS
 
 #: Texts link from this cosine.
 LEAST = 0.8
@@ -38,6 +37,8 @@ BITS = 512
 MOST = int(BITS * math.acos(LEAST) / math.pi)
 #: Fingerprints of 64 bits of the words that are searched.
 PRINTS = 3
+#: Bits of the lower half of a segment, and the most of the upper one.
+HALF = 11
 #: Features whose bits are added up at once, in lanes of a byte.
 LANES = 255
 BLOCK = 128 * LANES
@@ -113,96 +114,68 @@ def sketches(docs: DataFrame, id_col: str, text: str, words: int) -> DataFrame:
     return picked.mapInArrow(run, f"`{id_col}` {kind}, text_hash long, node long, searched binary, decides binary")
 
 
-def segment_rows(nodes: DataFrame) -> DataFrame:
-    """(key, node, decides): each node under its nine segments as they are."""
+def half_rows(nodes: DataFrame) -> DataFrame:
+    """(key, node, rest, half, decides): each node twice for each of its nine segments, under the segment's upper and under its
+    lower half; rest is the other half. Half 0 are the upper ones."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fps = np.frombuffer(b"".join(batch.column(1).to_pylist()), ">u8").astype(np.uint64).reshape(-1, PRINTS)
             for number in range(PRINTS):
-                for key, side in segment_keys(fps[:, number], number):
-                    if side[:1] == 2:
-                        yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0), batch.column(2)], names=["key", "node", "decides"])
+                low = 0
+                for place, width in enumerate(SEGMENTS):
+                    part = (fps[:, number] >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1)
+                    low += width
+                    upper, lower = part >> HALF, part & ((1 << HALF) - 1)
+                    for half, (own, rest) in enumerate(((upper, lower), (lower, upper))):
+                        kind = (number * len(SEGMENTS) + place) * 2 + half
+                        yield pa.RecordBatch.from_arrays(
+                            [pa.array(kind << HALF | own), batch.column(0), pa.array(rest.astype(np.int32)), pa.array(np.full(len(own), half, np.int8)), batch.column(2)],
+                            names=["key", "node", "rest", "half", "decides"],
+                        )
 
     searched = nodes.where("searched is not null").select("node", "searched", "decides")
-    return searched.mapInArrow(run, "key long, node long, decides binary")
-
-
-def neighbour_segments(values: DataFrame) -> DataFrame:
-    """(host, host_n, probe, probe_n): segment values that differ in one bit and aren't all of one component, the
-    more frequent one as the host. values has one row per value: key, n, component, mixed (whether it has several).
-    Each value is indexed under its one-wildcard variants, so that a key has two rows at most, however
-    many documents share a value."""
-
-    def index(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            key = batch.column(0).to_numpy(zero_copy_only=False)
-            kind = key >> 22
-            for own in np.unique(kind):
-                at = np.flatnonzero(kind == own)
-                rows = batch.take(pa.array(at))
-                for wild, side in variants(key[at]):
-                    yield pa.RecordBatch.from_arrays([pa.array(wild), pa.array(side), *rows.columns], names=["wild", "side", *rows.schema.names])
-
-    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: pa.Table | None = None
-        for batch in batches:
-            t = pa.Table.from_batches([batch])
-            t = (t if held is None else pa.concat_tables([held, t])).combine_chunks()
-            if not t.num_rows:
-                continue
-            held = t.slice(t.num_rows - 1)
-            wild = t["wild"].to_numpy()
-            at = np.flatnonzero(wild[1:] == wild[:-1])
-            c = {x: t[x].to_numpy() for x in ("key", "n", "component")}
-            mixed = t["mixed"].to_numpy()
-            at = at[mixed[at] | mixed[at + 1] | (c["component"][at] != c["component"][at + 1])]
-            first = c["n"][at] >= c["n"][at + 1]
-            host, probe = np.where(first, at, at + 1), np.where(first, at + 1, at)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(c[x][rows]) for rows in (host, probe) for x in ("key", "n")], names=["host", "host_n", "probe", "probe_n"]
-            )
-
-    fields = "key long, n long, component long, mixed boolean"
-    wild = values.select("key", "n", "component", "mixed").mapInArrow(index, f"wild long, side byte, {fields}")
-    dealt = wild.repartition(partitions(values.sparkSession), "wild").sortWithinPartitions("wild", "side")
-    return dealt.drop("side").mapInArrow(meet, "host long, host_n long, probe long, probe_n long")
-
-
-def variants(keys: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Wildcard keys and sides of segment keys of one kind, one pair of arrays per bit."""
-    kind = int(keys[0] >> 22)
-    number, place = divmod(kind, len(SEGMENTS) + 64)
-    width, low = next((w, lo) for w, lo in zip(SEGMENTS, SEGMENT_KINDS, strict=True) if lo == place)
-    for bit in range(width):
-        yield (kind + 1 + bit << 22) | (keys & (1 << 22) - 1 & ~(1 << bit)), (keys >> bit & 1).astype(np.int8)
-
-
-def linked_nodes(nodes: DataFrame) -> DataFrame:
-    """(node, component) of the nodes that link with others. First all that share a segment are compared; then, across the
-    components found, those whose segments differ in one bit: the documents of the rarer value go to the
-    more frequent one's."""
-    rows = checkpoint(segment_rows(nodes))
-    parts = checkpoint(connected_components(linked_runs(rows, _link)))
-    named = rows.select("key", "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    values = named.groupBy("key").agg(
-        F.count("*").alias("n"), F.min("component").alias("component"), (F.min("component") != F.max("component")).alias("mixed")
-    )
-    near = checkpoint(neighbour_segments(values))
-    hosts = near.select(F.col("host").alias("key"), F.col("host_n").alias("n"), F.col("host").alias("to"))
-    probes = near.select(F.col("probe").alias("key"), F.col("probe_n").alias("n"), F.col("host").alias("to"))
-    wanted = checkpoint(hosts.union(probes).groupBy("key").agg(F.max("n").alias("n"), F.collect_set("to").alias("to")))
-    sent = hot_join(rows, wanted, ["key"], ["node"]).select(F.explode("to").alias("key"), "node", "decides")
-    return connected_components(parts.select(F.col("node").alias("a"), F.col("component").alias("b")).union(linked_runs(sent, _link)))
+    return searched.mapInArrow(run, "key long, node long, rest int, half byte, decides binary")
 
 
 def _link(cols: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    held = cols["decides"].view(np.uint64)
+    """Pairs of a run, whose rows share half a segment, that share the other half or a one-wildcard variant of it."""
+    held, rest = cols["decides"].view(np.uint64), cols["rest"].astype(np.int64)
+    n = len(rest)
+    run = np.repeat(np.arange(len(starts) - 1), np.diff(starts))
+    root = np.arange(n)
+    for bit in range(-1, HALF):
+        local = run << HALF | (rest if bit < 0 else rest & ~(1 << bit))
+        rows = np.argsort(local, kind="stable")
+        if bit < 0:  # equal segments meet under the upper half alone
+            rows = rows[cols["half"][rows] == 0]
+        if not len(rows):
+            continue
+        here = local[rows]
+        first = np.flatnonzero(np.concatenate([[True], here[1:] != here[:-1]]))
+        sizes = np.diff(np.append(first, len(rows)))
+        own, value = root[rows], rest[rows]
+        useful = (sizes > 1) & (np.minimum.reduceat(own, first) < np.maximum.reduceat(own, first))
+        if bit >= 0:  # a variant whose rows all have the same bit adds nothing
+            useful &= np.minimum.reduceat(value, first) < np.maximum.reduceat(value, first)
+        rows, sizes = rows[np.repeat(useful, sizes)], sizes[useful]
+        if not len(rows):
+            continue
+        prints = held[rows]
+
+        def near(i: np.ndarray | int, j: np.ndarray, prints: np.ndarray = prints) -> np.ndarray:
+            return np.bitwise_count(prints[i] ^ prints[j]).sum(axis=1, dtype=np.int64) <= MOST
+
+        found = list(spanning_pairs(np.concatenate([[0], np.cumsum(sizes)]), near))
+        if found:
+            i, j = (rows[np.concatenate(side)] for side in zip(*found, strict=True))
+            yield i, j
+            root = merged_roots(root, i, j)
 
-    def near(i: np.ndarray | int, j: np.ndarray) -> np.ndarray:
-        return np.bitwise_count(held[i] ^ held[j]).sum(axis=1, dtype=np.int64) <= MOST
 
-    yield from spanning_pairs(starts, near)
+def linked_nodes(nodes: DataFrame) -> DataFrame:
+    """(node, component) of the nodes that link with others."""
+    return connected_components(linked_runs(half_rows(nodes), _link))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:

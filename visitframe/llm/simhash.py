@@ -35,8 +35,6 @@ SEED = 42
 FLUSH = 1 << 16
 #: Bits of the segments; one fewer than half the distance would suffice for exact segments.
 SEGMENTS = (22, 21, 21)
-#: The kind of key of each segment; its one-wildcard variants follow.
-SEGMENT_KINDS = (0, 23, 45)
 
 
 def fingerprint_batch(texts: list[str | None], words: int) -> np.ndarray:
@@ -85,17 +83,13 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text: str = "text", wo
     return picked.mapInArrow(run, f"`{id_col}` {picked.schema[0].dataType.simpleString()}, text_hash long, fp long")
 
 
-def segment_keys(fps: np.ndarray, number: int = 0) -> Iterator[tuple[np.ndarray, np.ndarray]]:
-    """Keys and sides of unsigned fingerprints, for each segment and each of its one-wildcard variants: side is
-    the wildcarded bit, 2 where nothing is wildcarded. `number` tells the keys of several fingerprints of a
-    document apart."""
-    kind, low = number * (len(SEGMENTS) + 64), 0
+def segment_keys(fps: np.ndarray) -> Iterator[np.ndarray]:
+    """Keys of unsigned fingerprints, for each segment and each of its one-wildcard variants."""
+    kind, low = 0, 0
     for width in SEGMENTS:
         part = (fps >> np.uint64(low)).astype(np.int64) & ((1 << width) - 1)
         for bit in range(-1, width):
-            mask = 0 if bit < 0 else 1 << bit
-            side = np.full(len(fps), 2, np.int8) if bit < 0 else (part >> bit & 1).astype(np.int8)
-            yield kind << 22 | part & ~mask, side
+            yield kind << 22 | part & ~(0 if bit < 0 else 1 << bit)
             kind += 1
         low += width
 
@@ -106,7 +100,7 @@ def signatures(distinct: DataFrame) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             fp = batch.column(0).to_numpy(zero_copy_only=False)
-            for key, _ in segment_keys(fp.view(np.uint64)):
+            for key in segment_keys(fp.view(np.uint64)):
                 yield pa.RecordBatch.from_arrays([pa.array(key), batch.column(0)], names=["key", "node"])
 
     return distinct.select("fp").mapInArrow(run, "key long, node long")
