@@ -43,6 +43,25 @@ def recode(c: Column, table: Mapping[object, int]) -> Column:
     return out.cast("int")
 
 
+def recode_text(c: Column, table: Mapping[object, str]) -> Column:
+    """Exact mapping to text (such as quality codes); anything else is NULL."""
+    out = None
+    for k, v in table.items():
+        out = F.when(c == F.lit(k), F.lit(v)) if out is None else out.when(c == F.lit(k), F.lit(v))
+    return out
+
+
+def non_negative(c: Column) -> Column:
+    """Whole numbers from 0 (such as years of education); others are NULL."""
+    n = c.cast("double")
+    return F.when((n >= 0) & ~F.isnan(n), n.cast("int"))
+
+
+def both_sides(left: Column, right: Column) -> Column:
+    """The sum of left and right volumes, NULL if one is."""
+    return left + right
+
+
 def recode_contains(c: Column, table: Mapping[str, int]) -> Column:
     """The first key that the lower-cased text contains."""
     out = None

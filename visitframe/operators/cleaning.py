@@ -151,7 +151,7 @@ def cutoff_lookup(df: DataFrame, cutoffs: DataFrame, marker: str, method: str, o
     entry that is there but NULL doesn't fall back; a method without an entry takes `unknown`."""
     own = cutoffs.where(F.col("marker") == marker).select(F.lower("method").alias("__method"), F.col("cutoff").alias("__cut"))
     other = own.where("__method = 'unknown'").agg(F.first("__cut").alias("__other"))
-    joined = df.withColumn("__key", F.lower(method)).join(F.broadcast(own.limit(10_000)), F.col("__key") == F.col("__method"), "left")
+    joined = df.withColumn("__key", F.lower(method)).join(own, F.col("__key") == F.col("__method"), "left")
     value = F.when(F.col("__method").isNotNull(), F.col("__cut")).otherwise(F.col("__other"))
     return joined.crossJoin(F.broadcast(other)).withColumn(out, value).drop("__key", "__method", "__cut", "__other")
 

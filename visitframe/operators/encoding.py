@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import BooleanType, NumericType, StringType
 
 from visitframe.functions import scalars as X
 
@@ -191,24 +193,87 @@ def quantile_map(df: DataFrame, real: DataFrame, column: str, key: str, grid: in
 
 def sync_dictionary(dictionary: DataFrame, file_code: str, columns: Sequence[str]) -> DataFrame:
     """The dictionary of a file for the columns it has now: rows of vanished variables go, new ones
-    copy the first variable whose code contains the part before / or %."""
+    copy the first variable whose code contains the part before / or %. Which code contains which is no
+    equi-join, so it is found on the file's list of codes, which like `columns` is a header, not data; the
+    rows follow by joins."""
     spark = dictionary.sparkSession
     now = spark.createDataFrame([(c,) for c in columns], "variable_code string")
     own, others = dictionary.where(F.col("file_code") == file_code), dictionary.where(F.col("file_code") != file_code)
+    codes = sorted(r[0] for r in own.select("variable_code").distinct().collect() if r[0] is not None)
     kept = own.join(now, "variable_code", "left_semi")
-    new = now.join(own, "variable_code", "left_anti").withColumn("__stem", F.get(F.split("variable_code", "[/%]"), F.lit(0)))
-    source = own.withColumnRenamed("variable_code", "__source")
-    w = Window.partitionBy("variable_code").orderBy("__source")
-    copied = (
-        new.join(F.broadcast(source.limit(100_000)), F.contains("__source", "__stem"), "left")
-        .withColumn("__no", F.row_number().over(w))
-        .where("__no = 1")
-        .withColumn("file_code", F.lit(file_code))
-        .select(*dictionary.columns)
+    made = []
+    for c in sorted(set(columns) - set(codes)):
+        stem = re.split("[/%]", c)[0]
+        made.append((c, next((x for x in codes if stem in x), None)))
+    new = spark.createDataFrame(made, "__new string, __source string")
+    source = own.dropDuplicates(["variable_code"])
+    copied = new.join(source, new["__source"] == source["variable_code"], "left").select(
+        *[F.lit(file_code).alias(c) if c == "file_code" else F.col("__new").alias(c) if c == "variable_code" else F.col(c) for c in dictionary.columns]
     )
     return others.unionByName(kept.select(*dictionary.columns)).unionByName(copied)
 
 
+def drop_flagged(df: DataFrame, dictionary: DataFrame, file_code: str, flag: str, kept: Sequence[str] = ()) -> tuple[DataFrame, DataFrame]:
+    """df without the columns that the dictionary flags `drop` for the file (never the kept ones), and the dictionary
+    without their rows. A dictionary without the flag column changes nothing."""
+    if flag not in dictionary.columns:
+        return df, dictionary
+    own = F.col("file_code").eqNullSafe(F.lit(file_code)) & F.coalesce(F.col(flag) == "drop", F.lit(False))
+    gone = [r[0] for r in dictionary.where(own).select("variable_code").distinct().collect()]  # names of columns
+    pruned = dictionary.where(~(F.col("file_code").eqNullSafe(F.lit(file_code)) & F.coalesce(F.col("variable_code").isin(gone), F.lit(False)))) if gone else dictionary
+    return df.drop(*[c for c in gone if c in df.columns and c not in kept]), pruned
+
+
+def present_columns(columns: Sequence[str], groups: Mapping[str, Sequence[str]], exclude: Sequence[str] = ()) -> list[str]:
+    """The columns of the groups, in their order, that are there and aren't excluded."""
+    return [c for group in groups.values() for c in group if c in set(columns) - set(exclude)]
+
+
+def method_of_column(column: str, combination: Mapping[str, object], suffixes: Mapping[str, str]) -> object | None:
+    """The method of a combination that a column's name stands for: suffixes map a part of names to a filter."""
+    return next((combination.get(key) for part, key in suffixes.items() if part in column), None)
+
+
+def present_settings(
+    settings: Mapping[str, object], columns: Sequence[str], combination: Mapping[str, object] | None = None, suffixes: Mapping[str, str] | None = None
+) -> dict[str, object]:
+    """Settings of the columns that are there. One that differs by method (a mapping) becomes that of the
+    combination's method, else that of `unknown`, else none."""
+    out: dict[str, object] = {}
+    for column, value in settings.items():
+        if column not in columns:
+            continue
+        if not isinstance(value, Mapping) or suffixes is None:
+            out[column] = value
+            continue
+        method = method_of_column(column, combination or {}, suffixes)
+        key = str(method).lower() if method is not None else None
+        if key in value or "unknown" in value:
+            out[column] = value[key] if key in value else value["unknown"]
+    return out
+
+
+def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
+    """Feature columns: all numeric ones but ids, times and others to exclude."""
+    return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]
+
+
+def feature_kinds(real: DataFrame, synthetic: DataFrame, features: Sequence[str], categorical: Sequence[str] | None = None, many: int = 20) -> DataFrame:
+    """(variable, kind, warning) of the common features: categorical (text or flags in either table, or as given), else
+    numeric if numbers in both. A given categorical one that is a number in both with over `many` distinct values is
+    warned of."""
+    sides = [{f.name: f.dataType for f in t.schema.fields} for t in (real, synthetic)]
+    number = {c: all(isinstance(s.get(c), NumericType) for s in sides) for c in features}
+    named = [c for c in features if any(isinstance(s.get(c), StringType | BooleanType) for s in sides)] if categorical is None else [c for c in categorical if c in features]
+    counted = [c for c in named if number[c]]
+    most = {}
+    if counted:
+        rows = [t.agg(*[F.count_distinct(f"`{c}`").alias(c) for c in counted]).first() for t in (real, synthetic)]
+        most = {c: max(r[c] for r in rows) for c in counted}
+    out = [(c, "categorical", most.get(c, 0) > many) for c in named] + [(c, "numeric", False) for c in features if number[c] and c not in named]
+    return real.sparkSession.createDataFrame(out, "variable string, kind string, warning boolean")
+
+
 def clone_dictionary(dictionary: DataFrame, existing: DataFrame, statistics: Sequence[str]) -> DataFrame:
     """existing plus the file codes it lacks, with blank statistics."""
     fresh = dictionary.join(existing.select("file_code").distinct(), "file_code", "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
 from itertools import combinations as pairs
@@ -60,10 +61,12 @@ def buffered_pairs(
 
 def _greedy(days1: list[int], days2: list[int], buffer_days: int) -> list[tuple[int, int]]:
     """Pairs of days in ascending gap (ties: day1, day2), every day used once."""
-    a, b = np.array(days1), np.array(days2)
-    gap = np.abs(a[:, None] - b[None, :])
-    i, j = np.nonzero(gap <= buffer_days)
-    order = np.lexsort((b[j], a[i], gap[i, j]))
+    a, b = np.unique(days1), np.unique(days2)
+    low = np.searchsorted(b, a - buffer_days)
+    counts = np.searchsorted(b, a + buffer_days, "right") - low
+    i = np.repeat(np.arange(len(a)), counts)
+    j = np.arange(len(i)) - np.repeat(np.cumsum(counts) - counts, counts) + np.repeat(low, counts)
+    order = np.lexsort((b[j], a[i], np.abs(a[i] - b[j])))
     used1, used2, out = set(), set(), []
     for x, y in zip(i[order].tolist(), j[order].tolist(), strict=True):
         if x not in used1 and y not in used2:
@@ -80,8 +83,9 @@ def match_visits(
     (subject, date) groups match; of the other dates the nearest pairs within the tolerance,
     greedily by ascending gap, each date used once.
 
-    Rows combine into dates first, and a subject's dates into two arrays; only subjects with
-    dates left on both sides reach Python, in Arrow batches of many subjects.
+    Rows combine into dates first, and a subject's dates into two arrays, which hold no more than the
+    days of the calendar; only subjects with dates left on both sides reach Python, in Arrow batches of
+    many subjects.
     """
     days = F.datediff(F.col(date).cast("date"), F.lit("1970-01-01").cast("date"))
 
@@ -209,13 +213,44 @@ def merge_pair(
 
 
 def merge_all(tables: Sequence[DataFrame], row_id: str = "row_id", **kw) -> DataFrame:
-    """Left fold of merge_pair in the given order, which matters: base values win."""
-    merged = tables[0]
-    for k, t in enumerate(tables[1:]):
-        merged = merge_pair(merged, t, row_id=row_id, **kw)
-        # ids of appended rows must not meet ids of base rows
-        merged = merged.withColumn(row_id, F.xxhash64(F.lit(k), *[F.col(f"`{c}`") for c in merged.columns]))
-    return merged
+    """Left fold of merge_pair in the given order, which matters: base values win. Row ids come out as
+    text, `table:id`, which tells the rows of all tables apart."""
+    named = [t.withColumn(row_id, F.concat(F.lit(f"{k}:"), F.col(row_id).cast("string"))) for k, t in enumerate(tables)]
+    return reduce(lambda merged, t: merge_pair(merged, t, row_id=row_id, **kw), named)
+
+
+def merge_combinations(
+    tables: Mapping[str, DataFrame], filters: Mapping[str, str], subject: str, date: str,
+    whitelist: Mapping[str, Sequence[object] | None] | None = None, **kw,
+) -> dict[str, DataFrame]:
+    """The incremental merge for every combination of filter values: `filters` names the filter column of a
+    table; the values are those the tables hold, cut to a whitelist (None: all, empty: no such
+    filter). A combination filters the tables that have the column; tables without rows left are skipped, and so are
+    combinations without any. Returns the merged tables, lazily, by combination name."""
+    from visitframe.operators.cleaning import combination_filter
+    from visitframe.operators.profiling import distinct_values
+    from visitframe.sources.catalog import combination_name, combinations
+
+    held: dict[str, set] = {}
+    for name, column in filters.items():
+        if name in tables and column in tables[name].columns:
+            rows = distinct_values(tables[name].where(F.col(column).isNotNull()), [column]).collect()
+            held.setdefault(column, set()).update(r["value"] for r in rows)
+    values = {c: sorted(v, key=str) for c, v in held.items() if v}
+    for column, wanted in (whitelist or {}).items():
+        if column in values and wanted is not None:
+            chosen = [v for v in wanted if v in values[column]]
+            if not wanted:
+                del values[column]
+            elif chosen:
+                values[column] = chosen
+    out = {}
+    for combination in combinations(values):
+        parts = [combination_filter(t, combination) for t in tables.values()]
+        parts = [p for p in parts if not p.isEmpty()]
+        if parts:
+            out[combination_name(combination)] = merge_all(parts, subject=subject, date=date, **kw)
+    return out
 
 
 def as_of_nearest(
@@ -305,53 +340,141 @@ def paired_rows(a: DataFrame, b: DataFrame, links: DataFrame, row_id: str = "row
     )
 
 
-def blocked_nearest(
-    queries: DataFrame, base: DataFrame, id_col: str, features: Sequence[str], k: int, metric: str = "euclidean",
-    categorical: Sequence[str] = (), ranges: Mapping[str, float] | None = None, same_id: bool = True, block: int = 4096,
-) -> DataFrame:
-    """(query_id, base_id, distance, rank): the k nearest base rows of every query. Blocks of queries
-    meet blocks of base rows; a pair of blocks is a matrix product in one task, of which each query
-    keeps k rows; a final top k joins the blocks. same_id: a row may be its own neighbour.
+def _distance_of(metric: str, flags: np.ndarray, scale: np.ndarray):
+    """Distances of all rows of u to all of v."""
 
-    metric: euclidean, or gower (mean of 0/1 mismatches of categorical and range-scaled absolute
-    differences of the other features).
-    """
-    columns = [F.col(f"`{c}`").cast("double") for c in features]
-    packed = F.array(*columns)
-    n_q, n_b = (max(1, -(-df.count() // block)) for df in (queries, base))
-    q = queries.select(F.col(id_col).alias("id"), packed.alias("x"), F.pmod(F.xxhash64(id_col), F.lit(n_q)).alias("i"))
-    b = base.select(F.col(id_col).alias("id"), packed.alias("x"), F.pmod(F.xxhash64(id_col), F.lit(n_b)).alias("j"))
-    q = q.withColumn("j", F.explode(F.sequence(F.lit(0), F.lit(n_b - 1)).cast("array<bigint>")))
-    b = b.withColumn("i", F.explode(F.sequence(F.lit(0), F.lit(n_q - 1)).cast("array<bigint>")))
-    flags = np.array([c in set(categorical) for c in features])
-    scale = np.array([1.0 if not ranges else ranges.get(c, 1.0) or 1.0 for c in features])
+    def euclidean(u: np.ndarray, v: np.ndarray) -> np.ndarray:
+        square = (u * u).sum(axis=1)[:, None] + (v * v).sum(axis=1)[None, :] - 2 * (u @ v.T)
+        return np.sqrt(np.maximum(square, 0.0))
 
-    def distances(u: np.ndarray, v: np.ndarray) -> np.ndarray:
-        if metric == "euclidean":
-            return np.sqrt(((u[:, None, :] - v[None, :, :]) ** 2).sum(axis=2))
+    def gower(u: np.ndarray, v: np.ndarray) -> np.ndarray:
         out = np.zeros((len(u), len(v)))
         for f in range(u.shape[1]):
             d = u[:, f, None] - v[None, :, f]
             out += (d != 0) if flags[f] else np.abs(d) / scale[f]
         return out / u.shape[1]
 
-    def meet(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
-        out = []
-        if len(left) and len(right):
-            v, base_ids = np.stack(right["x"]), right["id"].to_numpy()
-            for lo in range(0, len(left), 256):
-                part = left.iloc[lo : lo + 256]
-                ids = part["id"].to_numpy()
-                d = distances(np.stack(part["x"]), v)
-                if not same_id:
-                    d[ids[:, None] == base_ids[None, :]] = np.inf
-                order = np.lexsort((np.broadcast_to(base_ids, d.shape), d), axis=1)[:, :k]
-                rows = np.repeat(np.arange(len(ids)), order.shape[1])
-                out.append(pd.DataFrame({"query_id": ids[rows], "base_id": base_ids[order.ravel()], "distance": d[rows, order.ravel()]}))
-        found = pd.concat(out) if out else pd.DataFrame({"query_id": [], "base_id": [], "distance": []})
-        return found[np.isfinite(found["distance"].astype(float))]
+    return euclidean if metric == "euclidean" else gower
 
+
+def blocked_nearest(
+    queries: DataFrame, base: DataFrame, id_col: str, features: Sequence[str], k: int, metric: str = "euclidean",
+    categorical: Sequence[str] = (), ranges: Mapping[str, float] | None = None, same_id: bool = True, block: int = 4096,
+    most_pivots: int = 256,
+) -> DataFrame:
+    """(query_id, base_id, distance, rank): the k nearest base rows of every query, exactly. same_id: a row may be
+    its own neighbour. metric: euclidean, or gower (mean of 0/1 mismatches of categorical and range-scaled absolute
+    differences of the other features).
+
+    Base rows belong to the nearest of some pivots (at most most_pivots rows by a hash of the id, the only
+    vectors that reach the driver). A query first meets the cell of its nearest pivot, which bounds the distance of its k-th
+    neighbour; then it meets the other cells that the triangle inequality doesn't rule out. Rows of a cell
+    meet in blocks, matrix against matrix, and of each query only k rows leave a block.
+    """
+    spark = queries.sparkSession
+    packed = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
+    q, b = (t.select(F.col(id_col).alias("id"), packed.alias("x")).where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))) for t in (queries, base))
+    q, b = materialize(q), materialize(b)
     kind = dict(queries.dtypes)[id_col]
-    found = q.groupBy("i", "j").cogroup(b.groupBy("i", "j")).applyInPandas(meet, f"query_id {kind}, base_id {kind}, distance double")
+    schema = f"query_id {kind}, base_id {kind}, distance double"
+    n_base = b.count()
+    if not n_base:
+        return spark.createDataFrame([], schema + ", rank int")
+    count = min(most_pivots, max(1, math.isqrt(n_base) // 4))
+    pivots = np.stack([r["x"] for r in b.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(count).collect()])
+    flags = np.array([c in set(categorical) for c in features])
+    scale = np.array([1.0 if not ranges else ranges.get(c, 1.0) or 1.0 for c in features])
+    distances = _distance_of(metric, flags, scale)
+
+    def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for lo in range(0, len(batch), 4096):
+                part = batch.iloc[lo : lo + 4096]
+                d = distances(np.stack(part["x"]), pivots)
+                cell = d.argmin(axis=1)
+                yield part.assign(cell=cell.astype(np.int32), away=d[np.arange(len(part)), cell])
+
+    dealt = materialize(b.mapInPandas(assign, f"id {kind}, x array<double>, cell int, away double"))
+    cells = {r["cell"]: (r["n"], r["radius"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
+    filled = np.array(sorted(cells))
+    radius = np.array([cells[c][1] for c in filled])
+    large = np.array([cells[c][0] for c in filled]) > k  # one more than asked for, as a row may meet itself
+    blocks = F.element_at(F.create_map(*[F.lit(v) for c in filled.tolist() for v in (c, -(-cells[c][0] // block))]), F.col("cell"))
+    parts = dealt.select("cell", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "x")
+
+    def visits(first: bool):
+        def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+            for batch in batches:
+                for lo in range(0, len(batch), 4096):
+                    part = batch.iloc[lo : lo + 4096]
+                    d = distances(np.stack(part["x"]), pivots)[:, filled]
+                    own = np.where(large[None, :], d, np.inf).argmin(axis=1) if large.any() else d.argmin(axis=1)
+                    if first:
+                        rows, at = np.arange(len(part)), own
+                    else:
+                        # no row of a cell is nearer than this; rounding gets a little room
+                        least = np.maximum(d - radius[None, :], (d - d.min(axis=1)[:, None]) / 2)
+                        needed = least <= part["reach"].fillna(np.inf).to_numpy(float)[:, None] * (1 + 1e-9) + 1e-9
+                        needed[np.arange(len(part)), own] = False
+                        rows, at = np.nonzero(needed)
+                    yield part[["id", "x"]].iloc[rows].assign(cell=filled[at].astype(np.int32))
+
+        return run
+
+    def meet(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        """Rows come by (cell, part), base rows first: a part's base rows are held, its queries stream by."""
+        key, held, ready = None, [], None
+        for batch in batches:
+            for own, rows in batch.groupby(["cell", "part"], sort=False):
+                if own != key:
+                    key, held, ready = own, [], None
+                asks = rows["asks"].to_numpy(bool)
+                if not asks.all():
+                    held.append(rows.loc[~asks, ["id", "x"]])
+                ask = rows[asks]
+                if not len(ask) or not held:
+                    continue
+                if ready is None:
+                    whole = pd.concat(held)
+                    ready = whole["id"].to_numpy(), np.stack(whole["x"])
+                for lo in range(0, len(ask), 256):
+                    yield _nearest_rows(ask.iloc[lo : lo + 256], *ready)
+
+    def _nearest_rows(ask: pd.DataFrame, ids: np.ndarray, v: np.ndarray) -> pd.DataFrame:
+        own, u = ask["id"].to_numpy(), np.stack(ask["x"])
+        d = distances(u, v)
+        if not same_id:
+            d[own[:, None] == ids[None, :]] = np.inf
+        near = min(k + 8, d.shape[1])
+        at = np.argpartition(d, near - 1, axis=1)[:, :near] if near < d.shape[1] else np.broadcast_to(np.arange(near), d.shape)
+        if metric == "euclidean":  # the matrix product rounds: distances of the candidates are taken again
+            exact = np.sqrt(((u[:, None, :] - v[at]) ** 2).sum(axis=2))
+            exact[np.isinf(np.take_along_axis(d, at, axis=1))] = np.inf
+        else:
+            exact = np.take_along_axis(d, at, axis=1)
+        # rows whose k-th neighbour ties with what was left out (many equal rows) are ordered whole
+        if near < d.shape[1]:
+            slack = 1e-6 * (1 + np.sqrt((u * u).sum(axis=1)))
+            last = np.sort(exact, axis=1)[:, min(k, near) - 1]
+            for r in np.flatnonzero((d <= (last + slack)[:, None]).sum(axis=1) > near):
+                all_of = np.sqrt(((u[r] - v) ** 2).sum(axis=1)) if metric == "euclidean" else d[r].copy()
+                all_of[np.isinf(d[r])] = np.inf
+                chosen = np.lexsort((ids, all_of))[:near]
+                at[r], exact[r] = chosen, all_of[chosen]
+        order = np.lexsort((ids[at], exact), axis=1)[:, :k]
+        at, exact = np.take_along_axis(at, order, axis=1), np.take_along_axis(exact, order, axis=1)
+        rows = np.repeat(np.arange(len(own)), at.shape[1])
+        found = pd.DataFrame({"query_id": own[rows], "base_id": ids[at.ravel()], "distance": exact.ravel()})
+        return found[np.isfinite(found["distance"])]
+
+    def found_in(asked: DataFrame) -> DataFrame:
+        parts_of = F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("part")
+        rows = parts.unionByName(asked.select("cell", parts_of, F.lit(True).alias("asks"), "id", "x"))
+        return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "asks").mapInPandas(meet, schema)
+
     w = Window.partitionBy("query_id").orderBy("distance", "base_id")
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    best = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+    near = materialize(best(found_in(q.mapInPandas(visits(True), f"id {kind}, x array<double>, cell int"))))
+    reach = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("reach"))
+    rest = q.join(reach, "id", "left").mapInPandas(visits(False), f"id {kind}, x array<double>, cell int")
+    return best(near.drop("rank").unionByName(found_in(rest)))

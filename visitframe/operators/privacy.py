@@ -4,8 +4,9 @@ from __future__ import annotations
 
 import math
 from collections.abc import Mapping, Sequence
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from visitframe.operators.encoding import interpolate_at, median_impute, standardize
@@ -15,9 +16,11 @@ from visitframe.operators.stats import ks_statistic
 
 
 def hash_uniform(keys: Sequence[str], seed: int, salt: str = "") -> Column:
-    """A number in (0, 1) from the row's keys: the same in every run and partitioning."""
-    bits = F.shiftrightunsigned(F.xxhash64(*keys, F.lit(seed), F.lit(salt)), 11)
-    return (bits + F.lit(0.5)) * F.lit(2.0**-53)
+    """A number in (0, 1) from 52 bits of an MD5 of the row's keys as text: the same in every run, partitioning and
+    engine."""
+    text = F.concat_ws("|", *[F.col(f"`{k}`").cast("string") for k in keys], F.lit(str(seed)), F.lit(salt))
+    bits = F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("long")
+    return (bits + F.lit(0.5)) * F.lit(2.0**-52)
 
 
 def hash_normal(keys: Sequence[str], seed: int, salt: str = "") -> Column:
@@ -45,43 +48,65 @@ def gaussian_noise(df: DataFrame, columns: Mapping[str, float], epsilon: float,
     )
 
 
-def adaptive_epsilon(epsilon: float, closeness: float, target: float) -> float:
+def adaptive_epsilon(epsilon: float, closeness: Column, target: float) -> Column:
     """A stricter budget where synthetic rows come too close."""
-    return epsilon / (closeness / target) if closeness > target else epsilon
+    return F.when(closeness > target, F.lit(epsilon) / (closeness / target)).otherwise(F.lit(float(epsilon)))
 
 
-def _ar_step(draw: str, rho: float, sigma: float, fresh: float):
-    """Appends the next value of the recursion to an array."""
+def noise_classes(df: DataFrame, subject: str, time: str, known: Sequence[str] = ()) -> DataFrame:
+    """(variable, class) of the numeric columns: dummies (a / in the name, only 0 and 1), ordinals (known ones, or at
+    most ten distinct whole numbers with a span up to 20) and continuous ones, which alone get noise. One
+    aggregate; distinct values are kept up to eleven per column."""
+    columns = [c for c, t in df.dtypes if c not in (subject, time) and (t in ("tinyint", "smallint", "int", "bigint", "float", "double") or t.startswith("decimal"))]
 
-    def step(acc: Column, row: Column) -> Column:
-        following = F.lit(rho) * F.element_at(acc, -1) + F.lit(fresh) * row[draw]
-        return F.concat(acc, F.array(F.when(F.size(acc) == 0, F.lit(sigma) * row[draw]).otherwise(following)))
+    def facts(c: str) -> Column:
+        v = F.col(f"`{c}`").cast("double")
+        whole = F.coalesce(F.min((v == F.floor(v)).cast("int")), F.lit(0))
+        flags = F.coalesce(F.min(v.isin(0, 1).cast("int")), F.lit(1))
+        return F.struct(F.count_distinct(v).alias("n"), (F.max(v) - F.min(v)).alias("span"), whole.alias("whole"), flags.alias("flags")).alias(c)
 
-    return step
+    row = df.agg(*[facts(c) for c in columns])
+    long = row.unpivot([], columns, "variable", "f")
+    dummy = F.contains("variable", F.lit("/")) & (F.col("f.flags") == 1)
+    ordinal = F.col("variable").isin(list(known)) | ((F.col("f.n") <= 10) & (F.col("f.whole") == 1) & (F.col("f.span") <= 20))
+    return long.select("variable", F.when(dummy, "dummy").when(ordinal, "ordinal").otherwise("continuous").alias("class"))
+
+
+def post_generation_noise(
+    synthetic: DataFrame, real: DataFrame, subject: str, time: str, closeness: float, target: float = 0.5, epsilon: float = 1.0,
+    delta: float = 1e-5, known: Sequence[str] = (), seed: int = 42,
+) -> DataFrame:
+    """Gaussian noise on the continuous columns, its budget tightened where synthetic rows come too close, its
+    sensitivity the real column's span, and what comes out cut to [0, 1]. The classes are one row per column."""
+    chosen = [r["variable"] for r in noise_classes(synthetic, subject, time, known).where("class = 'continuous'").collect() if r["variable"] in real.columns]
+    if not chosen:
+        return synthetic
+    spans = real.agg(*[(F.max(f"`{c}`") - F.min(f"`{c}`")).cast("double").alias(c) for c in chosen]).first()
+    budget = epsilon / (closeness / target) if closeness > target else epsilon
+    noisy = gaussian_noise(synthetic, {c: spans[c] or 0.0 for c in chosen}, budget, delta, [subject, time], seed)
+    return noisy.withColumns({c: F.when(F.col(f"`{c}`").isNotNull(), F.greatest(F.least(F.col(f"`{c}`"), F.lit(1.0)), F.lit(0.0))) for c in chosen})
 
 
 def correlated_noise(
     df: DataFrame, subject: str, time: str, columns: Mapping[str, float], rho: float = 0.7, seed: int = 42, clip: bool = True
 ) -> DataFrame:
-    """AR(1) noise along each subject's visits, sigma per column, cut to [0, 1] if clip. The recursion
-    runs in the JVM over a subject's sorted visits."""
-    rest = [c for c in df.columns if c not in columns]
-    draws = [hash_normal([subject, time], seed, c).alias(f"e{i}") for i, c in enumerate(columns)]
-    rows = df.select(subject, F.struct(F.col(time).alias("__t"), *draws, *[F.col(f"`{c}`") for c in df.columns if c != subject]).alias("r"))
-    sorted_rows = rows.groupBy(subject).agg(F.array_sort(F.collect_list("r")).alias("rs"))
-    out = sorted_rows
-    for i, sigma in enumerate(columns.values()):
-        fresh = float(sigma * math.sqrt(1 - rho**2))
-
-        out = out.withColumn(f"n{i}", F.aggregate("rs", F.array().cast("array<double>"), _ar_step(f"e{i}", rho, float(sigma), fresh)))
-    zipped = out.select(subject, F.explode(F.arrays_zip("rs", *[f"n{i}" for i in range(len(columns))])).alias("z"))
-    noisy = {}
-    for i, c in enumerate(columns):
-        v = F.col("z")["rs"][c] + F.col("z")[f"n{i}"]
-        noisy[c] = F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0))) if clip else v
-    picked = [F.col(subject) if c == subject else (noisy[c] if c in noisy else F.col("z")["rs"][c]).alias(c) for c in df.columns]
-    assert set(rest) | set(columns) == set(df.columns)
-    return zipped.select(*picked)
+    """AR(1) noise along each subject's visits, sigma per column, cut to [0, 1] if clip. A value of the recursion is
+    the sum of its draws, each times rho per visit since; a window reaches as far back as that counts in
+    a double, so a subject's visits stream by and are never held together."""
+    reach = math.ceil(math.log(1e-18) / math.log(abs(rho))) if 0 < abs(rho) < 1 else 0
+    if abs(rho) >= 1:
+        raise ValueError("rho must lie between -1 and 1")
+    visits = Window.partitionBy(subject).orderBy(time)
+    frame = visits.rowsBetween(-reach, 0)
+    out = df.withColumn("__no", F.row_number().over(visits))
+    changes = {}
+    for c, sigma in columns.items():
+        fresh = sigma * math.sqrt(1 - rho**2)
+        draw = hash_normal([subject, time], seed, c) * F.when(F.col("__no") == 1, F.lit(float(sigma))).otherwise(F.lit(float(fresh)))
+        noise = F.aggregate(F.collect_list(draw).over(frame), F.lit(0.0), lambda acc, e: acc * F.lit(float(rho)) + e)
+        v = F.col(f"`{c}`") + noise
+        changes[c] = F.when(v.isNotNull(), F.greatest(F.least(v, F.lit(1.0)), F.lit(0.0))) if clip else v
+    return out.withColumns(changes).drop("__no")
 
 
 def inject_missing(df: DataFrame, real: DataFrame, columns: Sequence[str], key: str, seed: int = 42) -> DataFrame:
@@ -144,18 +169,26 @@ def residual_bootstrap(residuals: DataFrame, targets: DataFrame, subject: str, t
 def identical_share(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One row: distinct synthetic rows, those that a real row equals, their share. Rows with a NULL
     match nothing but count."""
-    s, r = (t.select(*columns).distinct() for t in (synthetic, real))
-    same = s.dropna().join(r.dropna(), list(columns), "left_semi").agg(F.count("*").alias("identical"))
+    # one struct per row: equalities of many columns would each be reasoned about by the optimizer
+    s, r = (t.select(F.struct(*[F.col(f"`{c}`") for c in columns]).alias("row")).distinct() for t in (synthetic, real))
+    whole = reduce(lambda x, y: x & y, [F.col("row")[c].isNotNull() for c in columns])
+    same = s.where(whole).join(r, "row", "left_semi").agg(F.count("*").alias("identical"))
     return s.agg(F.count("*").alias("n_synthetic")).crossJoin(F.broadcast(same)).withColumn("share", F.try_divide("identical", "n_synthetic"))
 
 
 def closest_record_ratio(
-    real: DataFrame, synthetic: DataFrame, columns: Sequence[str], key: str, train_share: float = 0.8
+    real: DataFrame, synthetic: DataFrame, columns: Sequence[str], key: str, train_share: float = 0.8, order: str | None = None,
 ) -> DataFrame:
     """One row: share of synthetic rows that are closer to the training part of the real rows than to
     the rest. Each part is imputed with its own medians; all are scaled by the training part.
-    That part is a hash share of the keys."""
-    in_train = hash_uniform([key], 0, "train") < train_share
+    That part is the first share of the rows by a unique column `order`, or without one a hash share of the keys."""
+    if order is None:
+        in_train = hash_uniform([key], 0, "train") < train_share
+    else:
+        from visitframe.operators.ordering import global_index
+
+        real = global_index(real, [order], "__place")
+        in_train = F.col("__place") < math.floor(real.count() * train_share)
     train, rest, queries = (
         median_impute(t.select(key, *columns), columns) for t in (real.where(in_train), real.where(~in_train), synthetic)
     )

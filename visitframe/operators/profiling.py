@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Iterator, Mapping, Sequence
 from functools import reduce
+from itertools import combinations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -198,16 +201,42 @@ def row_mean(columns: Sequence[str]) -> Column:
     return F.try_divide(total, n)
 
 
-def correlations(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """(a, b, r) for every two columns, pairwise complete, one aggregate."""
-    from itertools import combinations
-
+def correlations(df: DataFrame, columns: Sequence[str], at_once: int = 200) -> DataFrame:
+    """(a, b, r) of every two columns, pairwise complete. Up to at_once pairs are one aggregate; a plan for more would grow
+    with the square of the columns, so then each task adds up the products of its rows as matrices."""
     couples = list(combinations(columns, 2))
-    agg = df.agg(*[F.corr(a, b).alias(f"{a}|{b}") for a, b in couples])
+    if len(couples) > at_once:
+        return _correlations_by_products(df, columns)
+    agg = df.agg(*[F.corr(f"`{a}`", f"`{b}`").alias(f"{a}|{b}") for a, b in couples])
     part = F.split("pair", r"\|")
     return agg.unpivot([], [f"`{c}`" for c in agg.columns], "pair", "r").select(F.get(part, F.lit(0)).alias("a"), F.get(part, F.lit(1)).alias("b"), "r")
 
 
+def _correlations_by_products(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    values = df.select(*[F.col(f"`{c}`").cast("double").alias(str(k)) for k, c in enumerate(columns)])
+    row = values.agg(*[F.avg(F.nanvl(str(k), F.lit(None))).alias(str(k)) for k in range(len(columns))]).first()
+    center = np.array([v if v is not None else 0.0 for v in row])
+    upper = np.triu_indices(len(columns), 1)
+
+    def products(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        sums = np.zeros((6, len(columns), len(columns)))
+        for batch in batches:
+            x = np.stack([c.to_numpy(zero_copy_only=False) for c in batch.columns], axis=1).astype(float) - center
+            here = ~np.isnan(x)
+            x, m = np.where(here, x, 0.0), here.astype(float)
+            sums += np.stack([m.T @ m, x.T @ m, m.T @ x, (x * x).T @ m, m.T @ (x * x), x.T @ x])
+        cells = [pa.array(s[upper]) for s in sums]
+        yield pa.RecordBatch.from_arrays([pa.array(u.astype(np.int32)) for u in upper] + cells, names=["i", "j", "n", "x", "y", "xx", "yy", "xy"])
+
+    schema = "i int, j int, n double, x double, y double, xx double, yy double, xy double"
+    s = values.mapInArrow(products, schema).groupBy("i", "j").agg(*[F.sum(c).alias(c) for c in ("n", "x", "y", "xx", "yy", "xy")])
+    n, x, y = F.col("n"), F.col("x"), F.col("y")
+    spread = F.sqrt((F.col("xx") - x * x / n) * (F.col("yy") - y * y / n))
+    r = F.when(n > 1, F.try_divide(F.col("xy") - x * y / n, spread))
+    names = F.array(*[F.lit(c) for c in columns])
+    return s.select(F.get(names, F.col("i")).alias("a"), F.get(names, F.col("j")).alias("b"), r.alias("r"))
+
+
 def mae_with_interval(df: DataFrame, real: str, predicted: str, by: Sequence[str] = ()) -> DataFrame:
     """Mean absolute error, its 95 % half-width and the number of complete pairs."""
     e = F.abs(F.col(real) - F.col(predicted))

@@ -3,14 +3,19 @@
 from __future__ import annotations
 
 import math
+import statistics
 from collections.abc import Sequence
 from functools import reduce
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 from visitframe.operators.ordering import running_sums
 from visitframe.operators.profiling import correlations
+from visitframe.session import materialize
 
 
 def running_share(values: DataFrame) -> DataFrame:
@@ -22,18 +27,21 @@ def running_share(values: DataFrame) -> DataFrame:
 
 def ks_statistic(real: DataFrame, synthetic: DataFrame, columns: Sequence[str]) -> DataFrame:
     """(variable, n_real, n_synthetic, statistic): the largest gap of the two empirical distribution
-    functions."""
-    out = []
-    for c in columns:
-        both = real.select(F.col(c).cast("double").alias("v"), F.lit(1).alias("a"), F.lit(0).alias("b")).unionByName(
-            synthetic.select(F.col(c).cast("double").alias("v"), F.lit(0).alias("a"), F.lit(1).alias("b"))
-        )
-        per = both.where("v is not null").groupBy("v").agg(F.sum("a").alias("a"), F.sum("b").alias("b"))
-        totals = per.agg(F.sum("a").alias("n_real"), F.sum("b").alias("n_synthetic"))
-        run = running_sums(per, "v", {"ca": "a", "cb": "b"}).crossJoin(F.broadcast(totals))  # one row
-        gap = F.abs(F.col("ca") / F.col("n_real") - F.col("cb") / F.col("n_synthetic"))
-        out.append(run.groupBy("n_real", "n_synthetic").agg(F.max(gap).alias("statistic")).select(F.lit(c).alias("variable"), "n_real", "n_synthetic", "statistic"))
-    return reduce(DataFrame.unionByName, out)
+    functions. All columns at once: running counts go over (variable, value), and each variable's start
+    from what lies before it."""
+    sides = []
+    for t, a in ((real, 1), (synthetic, 0)):
+        long = t.select(*[F.col(f"`{c}`").cast("double").alias(c) for c in columns]).unpivot([], list(columns), "variable", "v")
+        sides.append(long.where("v is not null").select("variable", "v", F.lit(a).alias("a"), F.lit(1 - a).alias("b")))
+    per = materialize(sides[0].unionByName(sides[1]).groupBy("variable", "v").agg(F.sum("a").alias("a"), F.sum("b").alias("b")))
+    totals = per.groupBy("variable").agg(F.sum("a").alias("n_real"), F.sum("b").alias("n_synthetic"))
+    before = Window.orderBy("variable").rowsBetween(Window.unboundedPreceding, -1)  # one row per column
+    starts = totals.select(
+        "variable", "n_real", "n_synthetic", *[F.coalesce(F.sum(n).over(before), F.lit(0)).alias(s) for n, s in (("n_real", "sa"), ("n_synthetic", "sb"))]
+    )
+    run = running_sums(per, ["variable", "v"], {"ca": "a", "cb": "b"}).join(F.broadcast(starts), "variable")
+    gap = F.abs(F.try_divide(F.col("ca") - F.col("sa"), F.col("n_real")) - F.try_divide(F.col("cb") - F.col("sb"), F.col("n_synthetic")))
+    return run.groupBy("variable", "n_real", "n_synthetic").agg(F.max(gap).alias("statistic"))
 
 
 def ks_p_value(statistic: Column, n: Column, m: Column, terms: int = 100) -> Column:
@@ -129,7 +137,7 @@ def concordance(df: DataFrame, x: str, y: str) -> DataFrame:
     return both.agg(F.count("*").alias("n"), F.corr(x, y).alias("pearson"), ccc.alias("ccc"))
 
 
-def concordance_bootstrap(df: DataFrame, x: str, y: str, key: str, rounds: int = 200, seed: int = 42) -> DataFrame:
+def concordance_bootstrap(df: DataFrame, x: str, y: str, key: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """Percentile interval of the coefficient by a Poisson bootstrap: each row enters a round as often
     as a hash says, so rounds are aggregates and never resampled copies."""
     u = F.pmod(F.xxhash64(key, "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
@@ -193,15 +201,216 @@ def signed_rank(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-def pseudo_median(df: DataFrame, x: str, y: str, key: str, most: int = 2000) -> DataFrame:
-    """Hodges-Lehmann estimate: the median of the means of all pairs of differences. Pairs grow with
-    the square of the rows, so beyond `most` differences a deterministic sample of that size serves:
-    a sampling operator."""
-    d = df.select(F.col(key).alias("k"), (F.col(x) - F.col(y)).alias("d")).where("d is not null")
-    d = d.orderBy(F.xxhash64("k"), "k").limit(most)
-    numbered = d.withColumn("i", F.row_number().over(Window.orderBy("k", "d")))
-    other = numbered.select(F.col("d").alias("e"), F.col("i").alias("j"))
-    return numbered.join(F.broadcast(other), F.col("i") <= F.col("j")).agg(F.percentile((F.col("d") + F.col("e")) / 2, 0.5).alias("pseudo_median"))
+#: Distinct differences up to which the pseudo-median pairs them on the driver.
+FEW_VALUES = 2048
+
+
+def pseudo_median(df: DataFrame, x: str, y: str, bits: int = 40) -> DataFrame:
+    """Hodges-Lehmann estimate: the median of the means of all pairs of differences (a difference with itself
+    included). The pairs are never made: differences become integers on a grid of 2^bits steps from the least to the
+    largest, and the median is searched by counting pairs below some candidates, each round by running
+    counts over the distinct differences. Exact on the grid, whose step is 10^-12 of the span."""
+    d = df.select((F.col(x) - F.col(y)).cast("double").alias("d")).where("d is not null and not isnan(d)")
+    low, high, n = d.agg(F.min("d"), F.max("d"), F.count("*")).first()
+    spark = df.sparkSession
+    if not n:
+        return spark.createDataFrame([(None,)], "pseudo_median double")
+    step = (high - low) / (1 << bits)
+    if not step:
+        return spark.createDataFrame([(low,)], "pseudo_median double")
+    grid = d.select(F.round((F.col("d") - F.lit(low)) / F.lit(step)).cast("long").alias("v"))
+    counts = materialize(grid.groupBy("v").agg(F.count("*").alias("n")))
+    pairs = n * (n + 1) // 2
+    few = counts.limit(FEW_VALUES + 1).collect()
+    if len(few) <= FEW_VALUES:  # so few distinct differences are paired on the driver, by the same rule
+        v, c = (np.array([r[k] for r in few], np.int64) for k in ("v", "n"))
+        i, j = np.triu_indices(len(v))
+        total, often = v[i] + v[j], np.where(i == j, c[i] * (c[i] + 1) // 2, c[i] * c[j])
+        order = np.argsort(total)
+        at = np.searchsorted(np.cumsum(often[order]), sorted({(pairs + 1) // 2, pairs // 2 + 1}))
+        mean = float(total[order][at].mean())
+        return spark.createDataFrame([(low + step * mean / 2,)], "pseudo_median double")
+    sums = [_pair_sum(counts, k, 2 << bits) for k in sorted({(pairs + 1) // 2, pairs // 2 + 1})]
+    return spark.createDataFrame([(low + step * sum(sums) / len(sums) / 2,)], "pseudo_median double")
+
+
+def _pairs_below(counts: DataFrame, limits: Sequence[int]) -> dict[int, int]:
+    """For each limit the number of pairs i <= j with v_i + v_j <= limit. counts: v, n. For each v the values up to
+    limit - v are counted by a running sum over values and questions together."""
+    asked = counts.select(F.explode(F.array(*[F.lit(t) for t in limits])).alias("t"), "v", "n")
+    both = counts.select(F.col("v").alias("at"), F.col("n").alias("here"), F.lit(None).cast("long").alias("t"), F.lit(0).cast("long").alias("q")).unionByName(
+        asked.select((F.col("t") - F.col("v")).alias("at"), F.lit(0).cast("long").alias("here"), "t", F.col("n").alias("q"))
+    )
+    of = [F.sum(F.when(F.col("t") == t, F.col("q")).otherwise(0)).alias(f"q{k}") for k, t in enumerate(limits)]
+    run = running_sums(both.groupBy("at").agg(F.sum("here").alias("here"), *of), "at", {"below": "here"})
+    ordered = run.agg(*[F.sum((F.col(f"q{k}") * F.col("below")).cast("decimal(38,0)")).alias(f"c{k}") for k in range(len(limits))]).first()
+    own = counts.agg(*[F.coalesce(F.sum(F.when(2 * F.col("v") <= t, F.col("n"))), F.lit(0)).alias(f"c{k}") for k, t in enumerate(limits)]).first()
+    return {t: (int(ordered[k]) + int(own[k])) // 2 for k, t in enumerate(limits)}
+
+
+def _pair_sum(counts: DataFrame, rank: int, high: int) -> int:
+    """The sum of the pair of that rank, from 1. Three candidates halve the interval twice, three more lie around the
+    interpolated place, where it mostly is."""
+    low, below = -1, 0
+    total = _pairs_below(counts, [high])[high]
+    while high - low > 1:
+        share = (rank - below) / max(total - below, 1)
+        near = low + int((high - low) * share)
+        width = max(1, (high - low) // 64)
+        asked = {low + (high - low) * k // 4 for k in (1, 2, 3)} | {near - width, near, near + width}
+        for t, c in sorted(_pairs_below(counts, sorted(t for t in asked if low < t < high)).items()):
+            if c >= rank:
+                high, total = t, c
+                break
+            low, below = t, c
+    return high
+
+
+def t_p_value(t: float, degrees: float) -> float:
+    """Two-sided p-value of Student's t, by the continued fraction of the incomplete beta function."""
+    if math.isnan(t):
+        return math.nan
+    return _beta_share(degrees / (degrees + t * t), degrees / 2, 0.5)
+
+
+def _beta_share(x: float, a: float, b: float) -> float:
+    """The regularised incomplete beta function."""
+    if x <= 0 or x >= 1:
+        return float(x >= 1)
+    if x > (a + 1) / (a + b + 2):
+        return 1 - _beta_share(1 - x, b, a)
+    front = math.exp(a * math.log(x) + b * math.log1p(-x) + math.lgamma(a + b) - math.lgamma(a) - math.lgamma(b)) / a
+    f = c = 1.0
+    d = 0.0
+    for i in range(500):
+        m = i // 2
+        top = 1.0 if i == 0 else m * (b - m) * x / ((a + 2 * m - 1) * (a + 2 * m)) if i % 2 == 0 else -(a + m) * (a + b + m) * x / ((a + 2 * m) * (a + 2 * m + 1))
+        d = 1 / (1 + top * d or 1e-300)
+        c = 1 + top / c or 1e-300
+        f *= c * d
+        if abs(1 - c * d) < 1e-15:
+            break
+    return front * (f - 1)
+
+
+def signed_rank_test(df: DataFrame, x: str, y: str) -> dict[str, float]:
+    """The smaller of W+ and W-, its normal approximation with the correction for ties, the two-sided p-value and
+    the effect size z / sqrt(n) over all pairs."""
+    d = df.select((F.col(x) - F.col(y)).alias("d")).where("d is not null")
+    per = d.where("d != 0").groupBy(F.abs("d").alias("a")).agg(F.count("*").alias("n"), F.count_if(F.col("d") > 0).alias("plus"))
+    per = materialize(per)
+    rank = F.col("cum") - (F.col("n") - 1) / 2.0
+    cubes = F.sum(F.pow("n", F.lit(3)) - F.col("n"))
+    row = running_sums(per, "a", {"cum": "n"}).agg(
+        F.sum("n"), F.sum(rank * F.col("plus")), F.sum(rank * (F.col("n") - F.col("plus"))), cubes
+    ).first()
+    n, plus, minus, ties = (float(v or 0) for v in row)
+    w = min(plus, minus)
+    spread = math.sqrt((n * (n + 1) * (2 * n + 1) - ties / 2) / 24)
+    z = (w - n * (n + 1) / 4) / spread if spread else 0.0
+    p = math.erfc(abs(z) / math.sqrt(2))
+    return {"w": w, "z": z, "p": p, "effect": abs(z) / math.sqrt(max(d.count(), 1))}
+
+
+@F.pandas_udf(DoubleType())
+def normal_share(z: pd.Series) -> pd.Series:
+    """The standard normal distribution function."""
+    return pd.Series([0.5 * math.erfc(-v / math.sqrt(2)) for v in z.to_numpy(float)])
+
+
+#: Fixed values of Royston's approximation (AS R94) of the Shapiro-Wilk test: polynomials, constant first.
+SHAPIRO_A1 = (0.0, 0.221157, -0.147981, -2.07119, 4.434685, -2.706056)
+SHAPIRO_A2 = (0.0, 0.042981, -0.293762, -1.752461, 5.682633, -3.582633)
+SHAPIRO_SMALL_MEAN = (0.5440, -0.39978, 0.025054, -0.0006714)
+SHAPIRO_SMALL_SPREAD = (1.3822, -0.77857, 0.062767, -0.0020322)
+SHAPIRO_MEAN = (-1.5861, -0.31082, -0.083751, 0.0038915)
+SHAPIRO_SPREAD = (-0.4803, -0.082676, 0.0030302)
+#: Values up to which that test is used; larger samples take the Kolmogorov-Smirnov distance.
+SHAPIRO_MOST = 5000
+
+
+def shapiro_wilk(values: Sequence[float]) -> tuple[float, float]:
+    """W and its p-value for 3 to 5,000 values."""
+
+    def poly(c: Sequence[float], v: float) -> float:
+        return sum(k * v**i for i, k in enumerate(c))
+
+    x = sorted(values)
+    n = len(x)
+    normal = statistics.NormalDist()
+    m = [normal.inv_cdf((i - 0.375) / (n + 0.25)) for i in range(1, n + 1)]
+    square = sum(v * v for v in m)
+    u = 1 / math.sqrt(n)
+    if n == 3:
+        a = [-math.sqrt(0.5), 0.0, math.sqrt(0.5)]
+    else:
+        last = m[-1] / math.sqrt(square) + poly(SHAPIRO_A1, u)
+        if n > 5:
+            second = m[-2] / math.sqrt(square) + poly(SHAPIRO_A2, u)
+            rest = math.sqrt((square - 2 * m[-1] ** 2 - 2 * m[-2] ** 2) / (1 - 2 * last**2 - 2 * second**2))
+            a = [-last, -second, *[v / rest for v in m[2:-2]], second, last]
+        else:
+            rest = math.sqrt((square - 2 * m[-1] ** 2) / (1 - 2 * last**2))
+            a = [-last, *[v / rest for v in m[1:-1]], last]
+    mean = sum(x) / n
+    spread = sum((v - mean) ** 2 for v in x)
+    if not spread:
+        return 1.0, 1.0
+    w = min(sum(k * v for k, v in zip(a, x, strict=True)) ** 2 / spread, 1.0)
+    if n == 3:
+        p = 6 / math.pi * (math.asin(math.sqrt(w)) - math.asin(math.sqrt(0.75)))
+        return w, max(p, 0.0)
+    if w == 1:
+        return w, 1.0
+    log = math.log(n)
+    if n <= 11:
+        z = (-math.log(max(-2.273 + 0.459 * n - math.log1p(-w), 1e-300)) - poly(SHAPIRO_SMALL_MEAN, n)) / math.exp(poly(SHAPIRO_SMALL_SPREAD, n))
+    else:
+        z = (math.log1p(-w) - poly(SHAPIRO_MEAN, log)) / math.exp(poly(SHAPIRO_SPREAD, log))
+    return w, 1 - normal.cdf(z)
+
+
+def normality(df: DataFrame, column: str) -> dict[str, object]:
+    """The test of normality that the size allows: Shapiro-Wilk up to SHAPIRO_MOST values, whose number bounds what
+    reaches the driver, else the Kolmogorov-Smirnov distance from the fitted normal distribution."""
+    v = df.select(F.col(column).cast("double").alias("v")).where("v is not null")
+    n, mean, sd = v.agg(F.count("*"), F.avg("v"), F.stddev("v")).first()
+    if n < 3 or not sd:
+        return {"test": None, "statistic": None, "p": None}
+    if n <= SHAPIRO_MOST:
+        w, p = shapiro_wilk([r["v"] for r in v.collect()])
+        return {"test": "shapiro_wilk", "statistic": w, "p": p}
+    per = v.groupBy("v").agg(F.count("*").alias("n"))
+    run = running_sums(per, "v", {"cum": "n"}).withColumn("f", normal_share((F.col("v") - F.lit(mean)) / F.lit(sd)))
+    gap = F.greatest(F.col("cum") / n - F.col("f"), F.col("f") - (F.col("cum") - F.col("n")) / n)
+    d = run.agg(F.max(gap)).first()[0]
+    p = 2 * sum((-1) ** (k - 1) * math.exp(-2 * k * k * n * d * d) for k in range(1, 101)) if d * math.sqrt(n) > 0.2 else 1.0
+    return {"test": "kolmogorov_smirnov", "statistic": d, "p": min(max(p, 0.0), 1.0)}
+
+
+def compare_methods(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: two methods on the same cases by every test, and whether one may stand for the other."""
+    both = materialize(df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(x).alias("x"), F.col(y).alias("y")))
+    t, ba = paired_t(both, "x", "y").first(), bland_altman(both, "x", "y").first()
+    lin, icc = concordance(both, "x", "y").first(), intraclass(both, "x", "y").first()
+    w = signed_rank_test(both, "x", "y")
+    shape = normality(both.select((F.col("x") - F.col("y")).alias("d")), "d")
+    skew = both.agg(F.skewness(F.col("x") - F.col("y")), F.kurtosis(F.col("x") - F.col("y"))).first()
+    row = {
+        "n": t["n"], "mean_difference": t["mean_difference"], "t": t["t"], "t_p": t_p_value(t["t"], t["n"] - 1), "cohens_d": t["cohens_d"],
+        "w": w["w"], "w_p": w["p"], "effect_size_r": w["effect"], "normality_test": shape["test"], "normality": shape["statistic"],
+        "normality_p": shape["p"], "skewness": skew[0], "kurtosis": skew[1], "percent_bias": ba["percent_bias"], "ccc": lin["ccc"], "icc": icc["icc_single"],
+    }
+    kinds = {"n": "long", "normality_test": "string"}
+    one = df.sparkSession.createDataFrame([tuple(row.values())], ", ".join(f"{c} {kinds.get(c, 'double')}" for c in row))
+    verdict = interchangeable(*[F.col(c) for c in ("t_p", "w_p", "percent_bias", "ccc", "icc")])
+    return one.withColumn("interchangeable", verdict)
+
+
+def label_disagreement(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row: cases that both methods label, and those they label differently."""
+    both = df.where(F.col(x).isNotNull() & F.col(y).isNotNull())
+    return both.agg(F.count("*").alias("n"), F.count_if(F.col(x) != F.col(y)).alias("different"))
 
 
 def moments(df: DataFrame, columns: Sequence[str]) -> DataFrame:

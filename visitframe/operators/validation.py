@@ -80,7 +80,7 @@ def utility(real: DataFrame, synthetic: DataFrame, subject: str, features: Seque
 
 def privacy_tests(real: DataFrame, synthetic: DataFrame, key: str, numeric: Sequence[str], exact: Sequence[str]) -> DataFrame:
     same = privacy.identical_share(real, synthetic, exact)
-    near = privacy.closest_record_ratio(real, synthetic, numeric, key)
+    near = privacy.closest_record_ratio(real, synthetic, numeric, key, order=key)
     most = privacy.maximum_similarity(real, synthetic, key, numeric)
     return reduce(
         DataFrame.unionByName,

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from collections.abc import Mapping, Sequence
+from collections.abc import Callable, Iterator, Mapping, Sequence
 
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitframe.functions import scalars
 from visitframe.functions.scalars import MONTH_DAYS
 
 
@@ -131,27 +132,47 @@ def newest_then_trend(
     return joined.withColumn("__no", F.row_number().over(w)).where("__no = 1").drop("__no", "__prev")
 
 
+def _visit_stream(df: DataFrame, subject: str, order: Sequence[str], step: Callable, schema: str) -> DataFrame:
+    """step(batch, state) -> (batch, state) over each subject's rows in order: rows are dealt by subject, sorted in
+    Spark and streamed, so no subject is held whole. state is None at a subject's first row."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, state = None, None
+        for batch in batches:
+            keys = batch[subject].astype(object).where(batch[subject].notna(), None)
+            codes = (keys != keys.shift()).cumsum() if len(keys) else keys
+            for _, part in batch.groupby(codes.to_numpy(), sort=False):
+                own = (keys.loc[part.index[0]],)
+                if own != last:
+                    last, state = own, None
+                done, state = step(part, state)
+                yield done
+
+    return df.repartition(subject).sortWithinPartitions(subject, *order).mapInPandas(run, schema)
+
+
 def merge_two_sources(
     df: DataFrame, subject: str, date: str, a: str, b: str, out: str, low: float, high: float, rising: bool = True
 ) -> DataFrame:
     """One numeric column from two: the value in range; if both are, the one that continues the
     trend of what was chosen before, closer to it on ties. What is chosen depends on what was
-    chosen before, so a subject is a grouped map; a subject's visits are few."""
+    chosen before, so a subject's visits are streamed in order with the last choice."""
 
-    def choose(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(date, kind="stable")
-        previous, chosen = np.nan, []
+    def choose(g: pd.DataFrame, previous: float | None) -> tuple[pd.DataFrame, float | None]:
+        chosen = []
         for x, y in zip(g[a].to_numpy(float), g[b].to_numpy(float), strict=True):
             fine = [v for v in (x, y) if low <= v <= high]
-            on = [v for v in fine if np.isnan(previous) or (v >= previous if rising else v <= previous)]
+            on = [v for v in fine if previous is None or (v >= previous if rising else v <= previous)]
             pool = on or fine
-            value = np.nan if not pool else pool[0] if np.isnan(previous) else min(pool, key=lambda v: abs(v - previous))
+            value = np.nan if not pool else pool[0] if previous is None else min(pool, key=lambda v: abs(v - previous))
             chosen.append(value)
-            previous = value if not np.isnan(value) else previous
-        return g.assign(**{out: chosen})
+            previous = previous if np.isnan(value) else value
+        return g.assign(**{out: chosen}), previous
 
+    rest = [c for c in df.columns if c != out]
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != out) + f", `{out}` double"
-    return df.drop(out).groupBy(subject).applyInPandas(choose, schema).withColumn(out, F.nanvl(out, F.lit(None)))
+    done = _visit_stream(df.drop(out), subject, [date, *[c for c in rest if c not in (subject, date)]], choose, schema)
+    return done.withColumn(out, F.nanvl(out, F.lit(None)))
 
 
 def impute_visit_code(df: DataFrame, subject: str, date: str, code: str, needed: Sequence[str]) -> DataFrame:
@@ -167,6 +188,18 @@ def impute_visit_code(df: DataFrame, subject: str, date: str, code: str, needed:
     return filled.dropna(how="all", subset=list(needed)) if needed else filled
 
 
+def age_from_baseline(df: DataFrame, subject: str, date: str, months: str, age: str, order: Sequence[str] = ()) -> DataFrame:
+    """Missing ages from the subject's baseline row (months = 0): its age plus the time since its date, or without a
+    date plus the visit's months. Subjects without a baseline age keep what they have."""
+    w = Window.partitionBy(subject).orderBy(*(order or [date])).rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing)
+    base = F.first(F.when(F.col(months) == 0, F.struct(F.col(age).alias("age"), F.col(date).alias("date"))), ignorenulls=True).over(w)
+    marked = df.withColumn("__base", base)
+    dated = scalars.age(exam=F.col(date), age_baseline=F.col("__base.age"), baseline=F.col("__base.date"))
+    undated = scalars.age(age_baseline=F.col("__base.age"), months=F.col(months))
+    made = F.when(F.col("__base.date").isNotNull(), dated).otherwise(undated)
+    return marked.withColumn(age, F.coalesce(F.col(age), made)).drop("__base")
+
+
 def baseline_snapshot(df: DataFrame, subject: str, time: str, features: Sequence[str]) -> DataFrame:
     """Per subject the first value of every feature that isn't NULL, in time order; an aggregate that
     combines on the map side."""
@@ -226,17 +259,18 @@ def first_crossings(df: DataFrame, subject: str, time: str, thresholds: Mapping[
 
 
 def strictly_increasing(df: DataFrame, subject: str, time: str) -> DataFrame:
-    """Equal times of a subject move up by the smallest possible step."""
+    """Equal times of a subject move up by the smallest possible step; visits are streamed in order with the last time."""
 
-    def spread(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(time, kind="stable")
+    def spread(g: pd.DataFrame, last: float | None) -> tuple[pd.DataFrame, float | None]:
         t = g[time].to_numpy(float).copy()
-        for i in range(1, len(t)):
-            if t[i] <= t[i - 1]:
-                t[i] = np.nextafter(t[i - 1], np.inf)
-        return g.assign(**{time: t})
-
-    return df.groupBy(subject).applyInPandas(spread, df.schema)
+        for i in range(len(t)):
+            if last is not None and t[i] <= last:
+                t[i] = np.nextafter(last, np.inf)
+            last = last if np.isnan(t[i]) else t[i]
+        return g.assign(**{time: t}), last
+
+    schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes)
+    return _visit_stream(df, subject, [time, *[c for c in df.columns if c not in (subject, time)]], spread, schema)
 
 
 def densify(df: DataFrame, subject: str, month: str, step: int, static: Sequence[str], measures: Sequence[str]) -> DataFrame:

@@ -156,25 +156,26 @@ def asof_backward_tolerance(spark, sf):
     return M.as_of_nearest(left, right, "subject", "ts", "reading", tolerance=86_400_000_000, direction="backward").select("event_id", "reading")
 
 
-_FEATURES = [f"e{i}" for i in range(6)]
+#: All components of the vectors of `embeddings`.
+FEATURES = [f"e{i}" for i in range(64)]
 
 
 def vectors(spark, sf):
-    return t(spark, sf, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(_FEATURES)])
+    return t(spark, sf, "embeddings").select("vec_id", "label", *[F.get("embedding", F.lit(i)).cast("double").alias(c) for i, c in enumerate(FEATURES)])
 
 
 @query(
-    f"""WITH v AS (SELECT vec_id, {", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(6))} FROM embeddings),
-    s AS (SELECT {", ".join(f"avg(e{i}) AS a{i}, stddev_pop(e{i}) AS s{i}" for i in range(6))} FROM v),
-    z AS (SELECT vec_id, {", ".join(f"(e{i} - a{i}) / s{i} AS e{i}" for i in range(6))} FROM v, s),
-    d AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, sqrt({" + ".join(f"(q.e{i} - b.e{i}) ** 2" for i in range(6))}) AS distance FROM z q, z b WHERE q.vec_id % 5 = 0 AND b.vec_id % 5 <> 0)
+    f"""WITH v AS (SELECT vec_id, {", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(len(FEATURES)))} FROM embeddings),
+    s AS (SELECT {", ".join(f"avg(e{i}) AS a{i}, stddev_pop(e{i}) AS s{i}" for i in range(len(FEATURES)))} FROM v),
+    z AS (SELECT vec_id, {", ".join(f"(e{i} - a{i}) / s{i} AS e{i}" for i in range(len(FEATURES)))} FROM v, s),
+    d AS (SELECT q.vec_id AS query_id, b.vec_id AS base_id, sqrt({" + ".join(f"(q.e{i} - b.e{i}) ** 2" for i in range(len(FEATURES)))}) AS distance FROM z q, z b WHERE q.vec_id % 5 = 0 AND b.vec_id % 5 <> 0)
     SELECT query_id, round(distance, 6) AS distance, no::INT AS rank FROM (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, base_id) AS no FROM d) WHERE no <= 3"""
 )
 def knn_embeddings(spark, sf):
     from visitframe.operators.encoding import standardize
 
-    z = standardize(vectors(spark, sf), _FEATURES)
-    near = M.blocked_nearest(z.where("vec_id % 5 = 0"), z.where("vec_id % 5 <> 0"), "vec_id", _FEATURES, 3)
+    z = standardize(vectors(spark, sf), FEATURES)
+    near = M.blocked_nearest(z.where("vec_id % 5 = 0"), z.where("vec_id % 5 <> 0"), "vec_id", FEATURES, 3)
     return rounded(near.select("query_id", "distance", "rank"))
 
 
@@ -245,7 +246,11 @@ def row_diff(spark, sf):
     return p.select(F.col("row_id_1").alias("id1"), F.col("row_id_2").alias("id2"), M.row_difference(p, ["code", "price", "status"]).alias("differs"))
 
 
-@query()
+@query(
+    f"""WITH o AS (SELECT * FROM ({O})), s AS (SELECT * FROM ({S})), x AS (SELECT o.subject, o.visit, min(o.row_id) AS id1, min(s.row_id) AS id2 FROM o JOIN s ON o.subject = s.subject AND o.visit = s.visit
+      GROUP BY ALL HAVING count(DISTINCT o.row_id) = 1 AND count(DISTINCT s.row_id) = 1)
+    SELECT o.row_id AS row_id_1, s.row_id AS row_id_2, o.price AS price_1, s.quantity AS quantity_2 FROM o LEFT JOIN x ON x.id1 = o.row_id FULL JOIN s ON s.row_id = x.id2"""
+)
 def paired_visit_rows(spark, sf):
     v, s = order_visits(spark, sf), ship_visits(spark, sf)
     single = greedy(spark, sf).where("kind = 'exact' and size(ids1) = 1 and size(ids2) = 1")

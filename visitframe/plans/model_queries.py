@@ -8,7 +8,7 @@ from visitframe.operators import course, encoding, privacy, splitting, stats, ti
 from visitframe.plans.base import ORDER_VISITS_SQL as O
 from visitframe.plans.base import SHIP_VISITS_SQL as S
 from visitframe.plans.base import halves, order_visits, query, rounded, ship_visits, t
-from visitframe.plans.matching_queries import _FEATURES, vectors
+from visitframe.plans.matching_queries import FEATURES, vectors
 
 _SEGMENTS = ["AUTOMOBILE", "BUILDING", "FURNITURE", "HOUSEHOLD", "MACHINERY"]
 
@@ -128,7 +128,11 @@ def interpolate_at(spark, sf):
     return rounded(encoding.interpolate_at(e, days, "subject", "day", ["value"]), 5)
 
 
-@query()
+@query(
+    """WITH r AS (SELECT quantile_cont(value, list_transform(range(0, 1001), lambda k: k / 1000.0)) AS q FROM events WHERE event_id % 2 = 0),
+    s AS (SELECT event_id, cume_dist() OVER (ORDER BY value) * 1000 AS pos FROM events WHERE event_id % 2 = 1)
+    SELECT event_id, round(q[floor(pos)::INT + 1] + (pos - floor(pos)) * (q[least(floor(pos)::INT + 2, 1001)] - q[floor(pos)::INT + 1]), 6) AS value FROM s, r"""
+)
 def quantile_map(spark, sf):
     real, synthetic = halves(t(spark, sf, "events").select("event_id", "value"), "event_id")
     return rounded(encoding.quantile_map(synthetic, real, "value", "event_id"))
@@ -189,7 +193,7 @@ def ccc(spark, sf):
 
 @query()
 def ccc_interval(spark, sf):
-    return rounded(stats.concordance_bootstrap(_pairs(spark, sf), "x", "y", "row_id", 50))
+    return rounded(stats.concordance_bootstrap(_pairs(spark, sf), "x", "y", "row_id"))
 
 
 @query(
@@ -218,12 +222,22 @@ def signed_rank(spark, sf):
     return stats.signed_rank(_pairs(spark, sf), "x", "y")
 
 
-@query()
+@query(
+    """WITH d AS (SELECT p_partkey AS k, p_retailprice - 20.0 * p_size AS d FROM part)
+    SELECT round(quantile_cont((a.d + b.d) / 2, 0.5), 6) AS pseudo_median FROM d a JOIN d b ON a.k <= b.k"""
+)
 def hodges_lehmann(spark, sf):
-    return rounded(stats.pseudo_median(_pairs(spark, sf), "x", "y", "row_id", 500))
+    return rounded(stats.pseudo_median(t(spark, sf, "part").select(F.col("p_retailprice").alias("x"), (20.0 * F.col("p_size")).alias("y")), "x", "y"))
 
 
-@query()
+_MOMENTS = " UNION ALL ".join(
+    f"SELECT '{c}' AS variable, round(avg(({c} - m) ** 3) / v ** 1.5, 6) AS skewness, round(avg(({c} - m) ** 4) / v ** 2 - 3, 6) AS kurtosis "
+    f"FROM lineitem, (SELECT avg({c}) AS m, var_pop({c}) AS v FROM lineitem) GROUP BY v"
+    for c in ("l_quantity", "l_extendedprice")
+)
+
+
+@query(_MOMENTS)
 def moments(spark, sf):
     return rounded(stats.moments(t(spark, sf, "lineitem"), ["l_quantity", "l_extendedprice"]))
 
@@ -252,11 +266,18 @@ def trajectory_difference(spark, sf):
     return rounded(stats.trajectory_difference(*halves(order_visits(spark, sf), "row_id"), ["status"], "price"), 4)
 
 
-@query()
+@query(
+    """WITH s AS (SELECT count(*)::DOUBLE AS n, sum(p_size)::DOUBLE AS a, sum(p_size ** 2)::DOUBLE AS b, sum(p_size ** 3)::DOUBLE AS c, sum(p_size ** 4)::DOUBLE AS d,
+      sum(p_retailprice)::DOUBLE AS u, sum(p_size * p_retailprice)::DOUBLE AS v, sum(p_size ** 2 * p_retailprice)::DOUBLE AS w FROM part),
+    m AS (SELECT *, n * (b * d - c * c) - a * (a * d - b * c) + b * (a * c - b * b) AS det FROM s)
+    SELECT 0::INT AS power, round((u * (b * d - c * c) - a * (v * d - c * w) + b * (v * c - b * w)) / det, 5) AS coefficient FROM m UNION ALL
+    SELECT 1, round((n * (v * d - c * w) - u * (a * d - b * c) + b * (a * w - b * v)) / det, 5) FROM m UNION ALL
+    SELECT 2, round((n * (b * w - c * v) - a * (a * w - b * v) + u * (a * c - b * b)) / det, 5) FROM m"""
+)
 def polynomial_fit(spark, sf):
     df = t(spark, sf, "part").select(F.col("p_size").alias("x"), F.col("p_retailprice").alias("y"))
     coefficients = stats.polynomial_fit(df, "x", "y", 2)
-    return rounded(spark.createDataFrame(list(enumerate(map(float, coefficients))), "power int, coefficient double"))
+    return rounded(spark.createDataFrame(list(enumerate(map(float, coefficients))), "power int, coefficient double"), 5)
 
 
 # ------------------------------------------------------------------ time series
@@ -324,22 +345,35 @@ def acf_comparison(spark, sf):
 # -------------------------------------------------------------------- privacy
 
 
-@query()
+def _uniform(keys: str, salt: str) -> str:
+    """SQL of the number in (0, 1) that seeded noise takes from a row's keys."""
+    return f"(('0x' || substr(md5(concat_ws('|', {keys}, '42', '{salt}')), 1, 13))::BIGINT::DOUBLE + 0.5) * {2.0**-52!r}"
+
+
+def _normal(keys: str, salt: str) -> str:
+    return f"sqrt(-2 * ln({_uniform(keys, salt + 'u')})) * cos(2 * pi() * {_uniform(keys, salt + 'v')})"
+
+
+@query(f"SELECT event_id, round(value - 100.0::DOUBLE * sign(u) * ln(1 - 2 * abs(u)), 6) AS value FROM (SELECT *, {_uniform('event_id', 'value')} - 0.5 AS u FROM events)")
 def laplace_noise(spark, sf):
     df = t(spark, sf, "events").select("event_id", "value")
     return rounded(privacy.laplace_noise(df, {"value": 100.0}, 1.0, ["event_id"]))
 
 
-@query()
+@query(f"SELECT event_id, round(value + {privacy.gaussian_sigma(100.0, 1.0, 1e-5)!r} * {_normal('event_id', 'value')}, 6) AS value FROM events")
 def gaussian_noise(spark, sf):
     df = t(spark, sf, "events").select("event_id", "value")
     return rounded(privacy.gaussian_noise(df, {"value": 100.0}, 1.0, 1e-5, ["event_id"]))
 
 
-@query()
+@query(
+    f"""WITH e AS (SELECT user_id AS subject, event_id, ((value % 1.0) + 1.0) % 1.0 AS value, {_normal('user_id, event_id', 'value')} AS z, row_number() OVER (PARTITION BY user_id ORDER BY event_id) AS no FROM events),
+    n AS (SELECT a.event_id, sum(0.7 ** (a.no - b.no) * b.z * CASE WHEN b.no = 1 THEN 0.1 ELSE 0.1 * sqrt(1 - 0.7 ** 2) END) AS noise FROM e a JOIN e b ON a.subject = b.subject AND b.no <= a.no GROUP BY 1)
+    SELECT e.subject, e.event_id, round(greatest(least(value + noise, 1.0), 0.0)::DOUBLE, 6) AS value FROM e JOIN n USING (event_id)"""
+)
 def ar1_noise(spark, sf):
-    df = _series(spark, sf).withColumn("value", F.pmod(F.col("value"), F.lit(1.0)))
-    return rounded(privacy.correlated_noise(df, "subject", "ts", {"value": 0.1}))
+    df = t(spark, sf, "events").select(F.col("user_id").alias("subject"), "event_id", F.pmod(F.col("value"), F.lit(1.0)).alias("value"))
+    return rounded(privacy.correlated_noise(df, "subject", "event_id", {"value": 0.1}))
 
 
 @query(
@@ -396,25 +430,54 @@ def ims(spark, sf):
     return rounded(privacy.identical_share(*halves(o, "o_orderkey"), ["o_orderstatus", "o_orderpriority", "k"]))
 
 
-@query()
+def _distance(x: str, y: str) -> str:
+    return "sqrt(" + " + ".join(f"({x}.e{i} - {y}.e{i}) ** 2" for i in range(len(FEATURES))) + ")"
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, {", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(len(FEATURES)))} FROM embeddings),
+    r AS (SELECT *, row_number() OVER (ORDER BY vec_id) - 1 < floor((SELECT count(*) FROM v WHERE vec_id % 2 = 0) * 0.8) AS trains FROM v WHERE vec_id % 2 = 0),
+    s AS (SELECT {", ".join(f"avg(e{i}) AS a{i}, stddev_pop(e{i}) AS s{i}" for i in range(len(FEATURES)))} FROM r WHERE trains),
+    z AS (SELECT vec_id, {", ".join(f"(e{i} - a{i}) / s{i} AS e{i}" for i in range(len(FEATURES)))} FROM v, s),
+    d AS (SELECT q.vec_id, min({_distance("q", "b")}) FILTER (WHERE trains) AS train, min({_distance("q", "b")}) FILTER (WHERE NOT trains) AS rest
+      FROM z q, z b JOIN (SELECT vec_id, trains FROM r) r ON r.vec_id = b.vec_id WHERE q.vec_id % 2 = 1 GROUP BY 1)
+    SELECT count(*) AS n, round(avg(train), 6) AS train_distance, round(avg(rest), 6) AS rest_distance, round(avg((train < rest)::INT), 6) AS ratio FROM d"""
+)
 def dcr_ratio(spark, sf):
-    return rounded(privacy.closest_record_ratio(*halves(vectors(spark, sf), "vec_id"), _FEATURES, "vec_id"))
+    return rounded(privacy.closest_record_ratio(*halves(vectors(spark, sf), "vec_id"), FEATURES, "vec_id", order="vec_id"))
 
 
-_G = f"""v AS (SELECT vec_id, label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(6))} FROM embeddings), g AS (SELECT {", ".join(f"max(e{i}) - min(e{i}) AS r{i}" for i in range(6))} FROM v),
-d AS (SELECT q.vec_id AS query_id, min(({" + ".join(f"abs(q.e{i} - b.e{i}) / r{i}" for i in range(6))} + (q.label <> b.label)::INT) / 7) AS d FROM v q, v b, g WHERE q.vec_id % 2 = 1 AND b.vec_id % 2 = 0 GROUP BY 1)"""
+_G = f"""v AS (SELECT vec_id, label, {", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(len(FEATURES)))} FROM embeddings), g AS (SELECT {", ".join(f"max(e{i}) - min(e{i}) AS r{i}" for i in range(len(FEATURES)))} FROM v),
+d AS (SELECT q.vec_id AS query_id, min(({" + ".join(f"abs(q.e{i} - b.e{i}) / r{i}" for i in range(len(FEATURES)))} + (q.label <> b.label)::INT) / {len(FEATURES) + 1}) AS d FROM v q, v b, g WHERE q.vec_id % 2 = 1 AND b.vec_id % 2 = 0 GROUP BY 1)"""
 
 
 @query(f"WITH {_G} SELECT query_id, round(1 - d, 6) AS similarity FROM d")
 def gower_maximum(spark, sf):
     base, queries = halves(vectors(spark, sf), "vec_id")
-    return rounded(privacy.gower_maximum(queries, base, "vec_id", [*_FEATURES, "label"], ["label"]))
+    return rounded(privacy.gower_maximum(queries, base, "vec_id", [*FEATURES, "label"], ["label"]))
 
 
-@query()
+def _most_similar(side: int, other: int) -> str:
+    gaps = " + ".join(f"abs(q.e{i} - b.e{i}) / g.r{i}" for i in range(len(FEATURES)))
+    ends = ", ".join(f"max(e{i}) - min(e{i}) AS r{i}" for i in range(len(FEATURES)))
+    return f"""SELECT 1 - min(({gaps}) / {len(FEATURES)}) AS x FROM v q, v b, (SELECT {ends} FROM v WHERE vec_id % 2 IN ({side}, {other})) g
+      WHERE q.vec_id % 2 = {side} AND b.vec_id % 2 = {other} AND q.vec_id <> b.vec_id GROUP BY q.vec_id"""
+
+
+def _gap(a: str, b: str) -> str:
+    return f"""(SELECT max(abs(c)) FROM (SELECT (sum(i) OVER w) / (SELECT count(*) FROM {a}) - (sum(j) OVER w) / (SELECT count(*) FROM {b}) AS c
+      FROM (SELECT x, sum(i)::DOUBLE AS i, sum(j)::DOUBLE AS j FROM (SELECT x, 1 AS i, 0 AS j FROM {a} UNION ALL SELECT x, 0, 1 FROM {b}) GROUP BY x) WINDOW w AS (ORDER BY x)))"""
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, {", ".join(f"embedding[{i + 1}]::DOUBLE AS e{i}" for i in range(len(FEATURES)))} FROM embeddings),
+    rr AS MATERIALIZED ({_most_similar(0, 0)}), ss AS MATERIALIZED ({_most_similar(1, 1)}), c AS MATERIALIZED ({_most_similar(1, 0)})
+    SELECT (SELECT round(avg(x), 6) FROM rr) AS within_real, (SELECT round(avg(x), 6) FROM ss) AS within_synthetic, (SELECT round(avg(x), 6) FROM c) AS across,
+    round({_gap("rr", "ss")}, 6) AS ks_synthetic, round({_gap("rr", "c")}, 6) AS ks_across, (SELECT round((SELECT avg(x) FROM c) / (SELECT avg(x) FROM rr), 6)) AS quality"""
+)
 def maximum_similarity(spark, sf):
     real, synthetic = halves(vectors(spark, sf), "vec_id")
-    return rounded(privacy.maximum_similarity(real, synthetic, "vec_id", _FEATURES))
+    return rounded(privacy.maximum_similarity(real, synthetic, "vec_id", FEATURES))
 
 
 # --------------------------------------------------------------- splits, models

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from visitframe.plans import cleaning_queries, matching_queries, model_queries, profile_queries, validation_queries, visit_queries  # noqa: F401
+from visitframe.plans import cleaning_queries, conflict_queries, matching_queries, model_queries, profile_queries, validation_queries, visit_queries  # noqa: F401
 from visitframe.plans.base import ORACLES, QUERIES, Query
 
 

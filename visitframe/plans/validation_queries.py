@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from visitframe.operators import validation
 from visitframe.plans.base import halves, order_visits, query, rounded, t
+from visitframe.plans.matching_queries import FEATURES, vectors
 from visitframe.streaming import visits as streaming
 
 
@@ -28,11 +29,9 @@ def fidelity_verdict(spark, sf):
 
 @query()
 def validation_report(spark, sf):
-    e = t(spark, sf, "embeddings").select(
-        "vec_id", (F.col("vec_id") % 97).alias("subject"), F.col("label").cast("string").alias("label"), *[F.get("embedding", F.lit(i)).cast("double").alias(f"e{i}") for i in range(4)]
-    )
+    e = vectors(spark, sf).withColumn("subject", F.col("vec_id") % 97).withColumn("label", F.col("label").cast("string"))
     real, synthetic = halves(e, "vec_id")
-    return rounded(validation.full_report(real, synthetic, "vec_id", "subject", [f"e{i}" for i in range(4)], ["label"]))
+    return rounded(validation.full_report(real, synthetic, "vec_id", "subject", FEATURES, ["label"]))
 
 
 @query()
@@ -44,7 +43,7 @@ def tstr_forest(spark, sf):
         F.length(F.regexp_replace("text", "[^A-Z]", "")).cast("double").alias("capitals"), F.length(F.regexp_replace("text", "[^%$#*&!|]", "")).cast("double").alias("symbols"),
     )
     real, synthetic = halves(f, "doc_id")
-    return rounded(validation.utility(real, synthetic, "subject", ["size", "mean_word", "capitals", "symbols"], "quality", trees=10))
+    return rounded(validation.utility(real, synthetic, "subject", ["size", "mean_word", "capitals", "symbols"], "quality"))
 
 
 @query("SELECT user_id AS subject, time_bucket(INTERVAL 1 DAY, ts) AS day, count(*) AS visits, round(sum(value), 6) AS total FROM events GROUP BY ALL")

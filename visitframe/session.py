@@ -30,8 +30,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def materialize(df: DataFrame) -> DataFrame:
     """df computed once and kept under spark.checkpoint.dir, its lineage cut: for results that
-    several branches of a plan read. Where the setting is unset a temporary folder serves."""
+    several branches of a plan read. Where the setting is unset a temporary folder serves on one machine; on a
+    cluster that is an error, since executors must share the folder."""
     sc = df.sparkSession.sparkContext
     if not sc.getConf().get("spark.checkpoint.dir") and not sc.getCheckpointDir():
+        if not sc.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="visitframe-"))
     return df.checkpoint()

@@ -13,6 +13,7 @@ from itertools import product
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from visitframe.session import materialize
 from visitframe.sources import files
 
 SCHEMA = (
@@ -157,13 +158,17 @@ def combinations(values: Mapping[str, Sequence[object]]) -> list[dict[str, objec
     return [dict(zip(keys, c, strict=True)) for c in product(*[values[k] or [None] for k in keys])]
 
 
-def first_match(listing: DataFrame, names: DataFrame, text: str, part: str, order: Sequence[str]) -> DataFrame:
+def first_match(
+    listing: DataFrame, names: DataFrame, text: str, part: str, order: Sequence[str], most_names: int = 100_000
+) -> DataFrame:
     """Rows of listing whose `text` contains a `part` of names, with the first such row by
     `order`; the others drop out. names is a dimension table: Spark compares every listing
-    row against it where it lies (a broadcast nested loop), so it has to be small."""
+    row against it where it lies (a broadcast nested loop), so more than most_names raise an error."""
+    if names.limit(most_names + 1).count() > most_names:
+        raise ValueError(f"over {most_names} names: pass a larger most_names if they fit an executor")
     w = Window.partitionBy("__row").orderBy(*order)
-    marked = listing.withColumn("__row", F.xxhash64(*listing.columns))
-    found = marked.join(F.broadcast(names.limit(100_000)), F.contains(F.col(text), F.col(part)))
+    marked = materialize(listing.withColumn("__row", F.monotonically_increasing_id()))
+    found = marked.join(F.broadcast(names), F.contains(F.col(text), F.col(part)))
     return found.withColumn("__no", F.row_number().over(w)).where("__no = 1").drop("__no", "__row")
 
 
