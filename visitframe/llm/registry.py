@@ -1,4 +1,4 @@
-"""The registered queries of the ten operators and the DuckDB SQL of those SQL can express."""
+"""The registered queries of the numbered operators and the DuckDB SQL of those SQL can express."""
 
 from __future__ import annotations
 
@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm import crf_language, e8_neighbors, hash_tree, html_density, kneser_ney, line_dedup, mixing, pieces, simhash, telephony
+from visitframe.llm import crf_language, e8_neighbors, hash_tree, html_density, kneser_ney, line_dedup, lyndon_runs, mixing, pieces, simhash, telephony
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -81,6 +81,10 @@ def op10_e8_neighbors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return e8_neighbors.op10_e8_neighbors(spark.read.parquet(f"{sf_dir}/embeddings.parquet"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lyndon_runs.op11_periodic_runs(_documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_kneser_ney": op1_kneser_ney,
@@ -93,6 +97,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_telephony": op8_telephony,
         "op9_language_id": op9_language_id,
         "op10_e8_neighbors": op10_e8_neighbors,
+        "op11_periodic_runs": op11_periodic_runs,
     }
 
 
