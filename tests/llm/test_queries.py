@@ -17,7 +17,7 @@ def test_matches_sql(spark, name):
     compare(spark, registry.queries()[name], registry.oracle_sql()[name], "/root/testdata/sf0.01")
 
 
-@pytest.mark.parametrize("name", sorted(registry.queries()))
+@pytest.mark.parametrize("name", sorted(registry.queries().keys() - {"op12_prefix_trie"}))
 def test_one_row_per_input_row(spark, name):
     table = {"op3_html": "pages", "op10_e8_neighbors": "embeddings"}.get(name, "documents")
     assert registry.queries()[name](spark, SMALL).count() == spark.read.parquet(f"{SMALL}/{table}.parquet").count()

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from visitframe.llm import crf_language, e8_neighbors, ftrl_toxicity, hash_tree, html_density, kneser_ney, line_dedup, lyndon_runs, mixing, pieces, simhash, telephony
+from visitframe.llm import crf_language, e8_neighbors, ftrl_toxicity, hash_tree, html_density, kneser_ney, line_dedup, lyndon_runs, mixing, pieces, prefix_trie, simhash, telephony
 
 
 def _documents(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -85,6 +85,10 @@ def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lyndon_runs.op11_periodic_runs(_documents(spark, sf_dir))
 
 
+def op12_prefix_trie(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return prefix_trie.op12_prefix_trie(spark.read.parquet(f"{sf_dir}/conversations.parquet"))
+
+
 def op13_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ftrl_toxicity.op13_toxicity(_documents(spark, sf_dir), spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
@@ -102,6 +106,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op9_language_id": op9_language_id,
         "op10_e8_neighbors": op10_e8_neighbors,
         "op11_periodic_runs": op11_periodic_runs,
+        "op12_prefix_trie": op12_prefix_trie,
         "op13_toxicity": op13_toxicity,
     }
 
@@ -111,4 +116,5 @@ def oracle_sql() -> dict[str, str]:
         "op5_mixing": mixing.ORACLE,
         "op7_line_dedup": line_dedup.ORACLE,
         "op10_e8_neighbors": e8_neighbors.ORACLE,
+        "op12_prefix_trie": prefix_trie.ORACLE,
     }
