@@ -62,6 +62,61 @@ def test_named_furniture_goes(name):
         assert got.removeprefix("T\n\n") == WANT
 
 
+LONG = "".join(f"<p>Paragraph {k} of a block is long, has no link at all and says this and that about the matter at hand. </p>" for k in range(3))
+LONG_WANT = "\n\n".join(f"Paragraph {k} of a block is long, has no link at all and says this and that about the matter at hand." for k in range(3))
+
+
+@pytest.mark.parametrize("name", ["elementor-widget", "widget", "teaser", "content-widget x", "promo", "banner", "notice"])
+@pytest.mark.parametrize("head", ["h1", "h2"])
+def test_pages_built_of_marked_blocks(name, head):
+    blocks = f"<div class='{name}'><{head}>T</{head}></div><div class='{name}'>{LONG}</div><div class='{name}'>{LONG}</div>"
+    for page in (blocks, f"<div class='page'>{blocks}</div>", f"<header>Site</header>{blocks}<div class='sidebar'><div class='widget'><p>Aside.</p></div></div>"):
+        assert html_density.main_text(f"<body><nav>menu</nav>{page}<footer>imprint</footer></body>") == f"T\n\n{LONG_WANT}\n\n{LONG_WANT}"
+
+
+PARTS = [
+    "p class='article-teaser'", "p class='teaser'", "div class='text-widget'", "section class='responsible-menu'", "blockquote class='comment'", "p class='promo'",
+    "section id='discussion'",
+]
+
+
+@pytest.mark.parametrize("part", PARTS)
+def test_marked_parts_of_articles_stay(part):
+    own = f"<{part}>This part of the article has a name that menus and boxes have as well.</{part.split()[0]}>"
+    want = "This part of the article has a name that menus and boxes have as well.\n\n" + WANT
+    assert html_density.main_text(f"<body><nav>x</nav><article>{own}{BODY}</article></body>") == want
+    if "teaser" in part or "promo" in part:
+        assert html_density.main_text(f"<body><nav>x</nav><div class='content'>{own}{BODY}</div></body>") == want
+
+
+BOXES = [
+    "id='header'", "class='header'", "class='site-header'", "class='page-header'", "class='top-bar'", "class='top-nav-bar'", "class='main-menu-container'",
+    "class='site-footer-inner'", "class='google-ad-container'", "class='cc-window'", "class='related-posts'", "class='author-bio'", "class='discussion'",
+    "class='outbrain'", "class='announcement'", "class='header-inner'", "class='promo'", "class='comment'",
+]
+
+
+@pytest.mark.parametrize("box", BOXES)
+def test_named_boxes_go(box):
+    extra = f"<div {box}><h3>Some words</h3><p>This text is not of the article, and it is of some length too.</p></div>"
+    for page in (f"{extra}<div><h1>T</h1>{BODY}</div>{extra}", f"{extra}<article><h1>T</h1>{BODY}</article>", f"<article><h1>T</h1>{BODY}{extra}</article>"):
+        assert html_density.main_text(f"<body>{page}</body>") == "T\n\n" + WANT
+    if "header" not in box:
+        assert html_density.main_text(f"<body><div>{extra}{BODY}</div></body>") == WANT
+
+
+@pytest.mark.parametrize("name", ["article-header", "post-header", "entry-header", "header-of-section", "candy-bar", "discussions-of-science"])
+def test_headers_of_articles_stay(name):
+    own = f"<div class='{name}'><h2>Title</h2><p>By somebody, who wrote this on a fine day.</p></div>"
+    for page in (f"<article>{own}{BODY}</article>", f"<div>{own}{BODY}</div>"):
+        assert html_density.main_text(f"<body>{page}</body>") == "Title\n\nBy somebody, who wrote this on a fine day.\n\n" + WANT
+
+
+def test_comments_longer_than_an_article_without_heading():
+    comments = "".join(f"<div class='comment'><p>{'I think otherwise about that. ' * 9}</p></div>" for _ in range(30))
+    assert html_density.main_text(f"<body><div>{BODY * 3}</div>{comments}</body>") == "\n\n".join([WANT] * 3)
+
+
 def test_a_form_around_the_page():
     assert html_density.main_text(f"<body><form><nav>menu</nav><div>{BODY}</div><input><label>Name</label></form></body>") == WANT
     assert html_density.main_text(f"<body><h1>T</h1><div>{BODY}</div><form><p>Please write your name here and send it.</p></form></body>") == "T\n\n" + WANT

@@ -12,10 +12,17 @@ stand for it.
 
 Furniture (menus, headers, footers, sidebars, notices, adverts, forms, scripts, styles, comments by readers)
 goes before. Tags such as nav, footer or script go always. Roles, class or id names, form and header only mark
-an element; it stays nevertheless if it holds a top heading or main element, or most of the body's text that is in no
-link while no top heading, article or main element lies outside of it. A name counts if a whole class token
-is one (`sidebar`), ends in one (`left-sidebar`) or is one with words of layout (`comment-list`), and not if it
-says `has`, `no` or `with` (`has-sidebar`).
+an element. A name counts if a whole class token is one (`sidebar`), ends in one (`left-sidebar`) or is one among words
+of layout (`comment-list`, `google-ad-container`), and not if it says `has`, `no` or `with` (`has-sidebar`). A mark is a vote
+that text can outweigh:
+
+* while unmarked elements hold less than half of the body's text that is in no link, the name that
+  marks most of the rest counts for nothing, wherever it stands, unless a top heading, article or main element lies outside of
+  its elements: pages are built of blocks that share one name. Names of comments need nearly all of the text for that;
+* an element stays if it holds a top heading or main element, or most of the body's text that is in no
+  link while no top heading, article or main element lies outside of it;
+* names that authors give to parts of their text (WEAK) don't remove paragraphs and quotes, nor, inside an article, boxes, as long
+  as these aren't mostly links.
 
 Blocks: text between block elements; character references are decoded in each text node, white
 space runs turn into one space, blocks are trimmed and joined by two line breaks in page order.
@@ -79,27 +86,41 @@ ROLES = frozenset(
 #: Class and id names that mark.
 NAMES = frozenset(
     "ad ads adbox adslot advert adverts advertisement advertisements advertising sponsor sponsored promo promotion promotions banner "
-    "notice notices alert sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing related "
-    "popup modal overlay pagination pager toolbar widget widgets comment comments disqus respond reply replies login signup search "
-    "skip gdpr consent cookie cookies newsletter subscribe subscription teaser teasers topbar recommended recommendations".split()
+    "notice notices alert announcement announcements sidebar menu nav navbar navigation breadcrumb breadcrumbs footer masthead share sharing "
+    "related popup modal overlay pagination pager toolbar widget widgets comment comments discussion disqus respond reply replies login signup "
+    "search skip gdpr consent cookie cookies newsletter subscribe subscription teaser teasers topbar recommended recommendations outbrain "
+    "taboola".split()
 )
-#: Words of layout that may follow a name, and words that turn it round.
+#: Names that authors also give to parts of their text: those of paragraphs, and those of boxes in an article.
+WEAK = frozenset("comment menu promo teaser teasers widget widgets".split())
+BOXES = frozenset("menu teaser teasers widget widgets".split())
+PASSAGES = frozenset("p blockquote pre figcaption span em strong b i h1 h2 h3 h4 h5 h6".split())
+#: Names of comments by readers.
+REMARKS = frozenset("comment comments discussion disqus respond reply replies".split())
+#: Words of layout that may surround a name, and words that turn it round.
 LAYOUT = frozenset(
-    "area bar banner block body box button buttons container content entry form header inner item items left links list main message "
-    "notice outer overlay popup primary right row section slot text thread title top unit wrap wrapper x".split()
+    "area articles bar banner block body box button buttons cell col column container content entry fixed form global google group header "
+    "holder inner item items left links list main message mobile notice outer overlay page panel popup posts primary right row secondary section "
+    "site slot sticky stories sub text thread title top unit wrap wrapper x zone".split()
 )
 TURNED = frozenset("has no not non with without".split())
+#: Compounds that mark: what a header or bar belongs to, and whole tokens.
+HEADERS = frozenset("app blog fixed global main masthead mobile page primary secondary site sticky top".split())
+BARS = frozenset("admin announcement bottom info menu nav notification side social tool top utility".split())
+#: Elements that hold single comments.
+ITEMS = frozenset("div article section ol ul li".split())
+TOKENS = frozenset("cc-window cc-banner author-bio author-box author-info about-author about-the-author".split())
 
 
 class Node:
     __slots__ = (
-        "tag", "parent", "parts", "hard", "mark", "whole", "block", "inline", "li", "dd", "row", "cell", "option",
+        "tag", "parent", "parts", "hard", "mark", "whole", "by_id", "block", "inline", "li", "dd", "row", "cell", "option",
         "headings", "mains", "articles", "chars", "tags", "link_chars", "link_tags", "density", "sum",
     )
 
     def __init__(self, tag: str, parent: Node | None, raw: str = ""):
         self.tag, self.parent = tag, parent
-        self.hard, self.mark, self.whole = _judge(tag, raw)
+        self.hard, self.mark, self.whole, self.by_id = _judge(tag, raw)
         self.parts: list[str | Node] = []
 
 
@@ -107,30 +128,42 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): m[2] or m[3] or m[4] or "" for m in ATTRIBUTE.finditer(raw)}
 
 
-def _named(names: str) -> bool:
+def _named(names: str) -> str:
+    """The name by which class or id tokens mark an element; empty if they don't."""
     for token in names.split():
+        if token.lower() in TOKENS:
+            return token.lower()
         words = [w.lower() for w in NAME_PART.findall(token)]
         if not words or not TURNED.isdisjoint(words):
             continue
-        if words[-1] in NAMES or (words[0] in NAMES and LAYOUT.issuperset(words[1:])):
-            return True
-    return False
-
-
-def _judge(tag: str, raw: str) -> tuple[bool, bool, bool]:
-    """Whether the element goes always, whether it is marked, whether it is an article or the main
-    content. Comments are often articles of their own, so articles can be marked."""
+        last, before = words[-1], words[:-1]
+        if last in NAMES:
+            return "menubar" if last == "menu" and LAYOUT.issuperset(before) else last
+        if (last == "header" and HEADERS.issuperset(before)) or (last == "bar" and before and before[-1] in BARS):
+            return last
+        for k, w in enumerate(before):
+            if w in NAMES and LAYOUT.issuperset(words[k + 1 :]) and LAYOUT.issuperset(words[:k]):
+                return "menubar" if w == "menu" else w
+            if w == "header" and k < 2 and LAYOUT.issuperset(words[k + 1 :]) and HEADERS.issuperset(words[:k]):
+                return w
+    return ""
+
+
+def _judge(tag: str, raw: str) -> tuple[bool, str, bool, bool]:
+    """Whether the element goes always, the name by which it is marked, whether it is an article or the main content, and whether
+    its id gave the name. Comments are often articles of their own, so articles can be marked."""
     if tag in FURNITURE:
-        return True, False, False
-    whole, mark = tag == "article" or tag == "main", tag in MARKS
+        return True, "", False, False
+    whole, mark = tag == "article" or tag == "main", tag if tag in MARKS else ""
     if not raw or raw == "/":
-        return False, mark, whole
+        return False, mark, whole, False
     a = _attributes(raw)
     role = a.get("role", "").lower()
     whole = whole or role in ("main", "article")
     hidden = "hidden" in a or a.get("aria-hidden") == "true" or "display:none" in a.get("style", "").replace(" ", "").lower()
-    mark = mark or role in ROLES or _named(a.get("class", "")) or _named(a.get("id", ""))
-    return hidden, mark and tag != "main" and role != "main", whole
+    mark = mark or (role if role in ROLES else "") or _named(a.get("class", ""))
+    by_id = not mark and bool(mark := _named(a.get("id", "")))
+    return hidden, "" if tag == "main" or role == "main" else mark, whole, by_id
 
 
 def _push(stack: list[Node], node: Node) -> None:
@@ -228,6 +261,32 @@ def _nodes(root: Node) -> list[Node]:
     return order
 
 
+def _ignored(root: Node) -> set[str]:
+    """Names whose marks count for nothing, since the elements they mark are what the page is built of."""
+    free: set[str] = set()
+    while True:
+        text: Counter[str] = Counter()
+        heads: Counter[str] = Counter()
+        todo = [root]
+        while todo:
+            for part in todo.pop().parts:
+                if not isinstance(part, Node):
+                    continue
+                if part.mark and part.mark not in free:
+                    text[part.mark] += part.chars
+                    heads[part.mark] += part.headings + part.mains + part.articles
+                else:
+                    todo.append(part)
+        rest = root.chars - text.total()
+        if 2 * rest >= root.chars:
+            return free
+        outside = root.headings + root.mains + root.articles
+        able = [k for k in text if text[k] and heads[k] == outside and (k not in REMARKS or 8 * rest < root.chars)]
+        if not able:
+            return free
+        free.add(max(able, key=lambda k: (text[k], k)))
+
+
 def prune(root: Node) -> list[Node]:
     """Take furniture out; the remaining nodes, parents first, in page order."""
     todo = [root]
@@ -236,20 +295,23 @@ def prune(root: Node) -> list[Node]:
         node.parts = [p for p in node.parts if isinstance(p, str) or not p.hard]
         todo += [p for p in node.parts if isinstance(p, Node)]
     order = _nodes(root)
-    for node in reversed(order):  # what each element holds: top headings, main elements, articles, text in no link
-        node.headings = node.mains = node.articles = node.chars = 0
+    for node in reversed(order):  # what each element holds: top headings, main elements, articles, text in no link, all text
+        node.headings = node.mains = node.articles = node.chars = node.link_chars = 0
         for part in node.parts:
             if isinstance(part, str):
-                node.chars += len("".join(part.split()))
-            elif not (part.tag == "header" and part.mark):
-                node.headings += part.headings + (part.tag == "h1")
-                node.mains += part.mains + (part.whole and part.tag != "article")
-                node.articles += part.articles + (part.whole and not part.mark)
-                node.chars += part.chars
+                n = len("".join(part.split()))
+                node.chars += n
+                node.link_chars += n
             else:
                 node.chars += part.chars
+                node.link_chars += part.link_chars
+                if not (part.tag == "header" and part.mark):
+                    node.headings += part.headings + (part.tag == "h1")
+                    node.mains += part.mains + (part.whole and part.tag != "article")
+                    node.articles += part.articles + (part.whole and not part.mark)
         if node.tag == "a":
             node.chars = 0
+    free = _ignored(root)
 
     def stays(node: Node, inside: bool) -> bool:
         if node.tag == "header" and inside and (node.headings or node.density):
@@ -261,6 +323,16 @@ def prune(root: Node) -> list[Node]:
         alone = root.headings == node.headings and root.articles == node.articles
         return alone and 2 * node.chars > root.chars
 
+    def reads(node: Node, inside: bool) -> bool:
+        """Whether an element with a weak name is a part of the text."""
+        if 2 * node.chars <= node.link_chars:
+            return False
+        if node.mark == "discussion":  # of a paper
+            return node.tag == "section" and node.by_id and not any(isinstance(p, Node) and p.tag in ITEMS for p in node.parts)
+        if node.mark not in WEAK:
+            return False
+        return node.tag in PASSAGES and (inside or node.mark != "comment") or inside and node.mark in BOXES
+
     for node in reversed(order):  # of a header: whether it holds any heading
         node.density = any(isinstance(p, Node) and (p.density or p.tag in HEADINGS) for p in node.parts)
     kept, walk = [], [(root, False)]
@@ -268,7 +340,7 @@ def prune(root: Node) -> list[Node]:
         node, inside = walk.pop()
         kept.append(node)
         inside = inside or node.whole
-        node.parts = [p for p in node.parts if isinstance(p, str) or not p.mark or stays(p, inside)]
+        node.parts = [p for p in node.parts if isinstance(p, str) or not p.mark or p.mark in free or stays(p, inside) or reads(p, inside)]
         walk += [(p, inside) for p in reversed(node.parts) if isinstance(p, Node)]
     return kept
 
