@@ -128,3 +128,38 @@ def test_one_large_group_in_chunks(spark, monkeypatch):
     monkeypatch.setattr(common, "RUN_CHUNK", 64)
     rows = edited(np.random.default_rng(6), 0, 150, 8)
     assert kept(spark, rows) == brute(rows)
+
+
+def test_long_runs_are_dealt_finer_and_lose_nothing(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    rows = [r for g in range(12) for r in edited(rng, 100 * g, 12, 12)]
+    want = kept(spark, rows)
+    monkeypatch.setattr(common, "RUN_CHUNK", 4)
+    assert kept(spark, rows) == want == brute(rows)
+
+
+def test_rows_moved_grow_with_the_texts(spark, monkeypatch):
+    """With halves of 2,048 values as full as at many millions of texts, four times the texts move four times the rows."""
+    monkeypatch.setattr(common, "RUN_CHUNK", 8)
+    plain, moved = common.linked_runs, []
+
+    def counted(rows, *more):
+        moved[-1] += rows.count()
+        return plain(rows, *more)
+
+    monkeypatch.setattr(near_copies, "linked_runs", counted)
+    monkeypatch.setattr(common, "linked_runs", counted)
+    rng = np.random.default_rng(13)
+    for n in (5_000, 20_000):  # independent texts: 2.4 and 10 rows for each value of a half
+        prints = rng.integers(0, 1 << 62, (n, 11)).view(np.uint64)
+        nodes = [(k, p[:3].astype(">u8").tobytes(), p[3:].tobytes()) for k, p in enumerate(prints)]
+        moved.append(0)
+        near_copies.linked_nodes(spark.createDataFrame(nodes, "node long, searched binary, decides binary")).count()
+    assert moved[0] <= 225 * 5_000 and moved[1] <= 225 * 20_000
+    monkeypatch.setattr(common, "RUN_CHUNK", 2)
+    for n in (2_000, 8_000):
+        prints = rng.integers(0, 1 << 62, (n, 11)).view(np.uint64)
+        nodes = [(k, p[:3].astype(">u8").tobytes(), p[3:].tobytes()) for k, p in enumerate(prints)]
+        moved.append(0)
+        near_copies.linked_nodes(spark.createDataFrame(nodes, "node long, searched binary, decides binary")).count()
+    assert moved[3] <= 225 * 8_000

@@ -223,6 +223,7 @@ def _runs(batches: Iterator[pa.RecordBatch], cut: int) -> Iterator[tuple[pa.Tabl
 def linked_runs(
     rows: DataFrame,
     link: Callable[[dict[str, np.ndarray], np.ndarray], Iterator[tuple[np.ndarray, np.ndarray]]],
+    finer: tuple[Callable[[DataFrame], DataFrame], Callable] | None = None,
 ) -> DataFrame:
     """Edges (a, b) between rows with an equal `key` that `link` accepts.
 
@@ -231,7 +232,9 @@ def linked_runs(
     pairs of row positions. Of each run only spanning edges leave the task, one
     at most per row, which keeps connectivity and never emits all pairs of a group.
 
-    Runs of up to RUN_CHUNK rows are compared where they lie. Longer runs are cut into
+    Runs of up to RUN_CHUNK rows are compared where they lie. The rows of longer runs go through `finer`, if it is
+    given: a function that deals them under finer keys, such that rows that could link meet again, and the link
+    function of those. Otherwise, and where finer runs are too long as well, runs are cut into
     chunks, and each pair of chunks is compared in a task of its own, so that no task
     holds more than two chunks of one key.
     """
@@ -321,6 +324,9 @@ def linked_runs(
     long_runs = found.where("chunk is not null")
     if long_runs.isEmpty():
         return edges.distinct()
+    if finer:
+        deal, finer_link = finer
+        return edges.unionByName(linked_runs(deal(long_runs.select("key", "node", *payload)), finer_link)).distinct()
     chunks = long_runs.groupBy("key").agg((F.max("chunk") + 1).alias("chunks"))
     spread = (
         long_runs.drop("a", "b")

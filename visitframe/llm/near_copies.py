@@ -9,9 +9,14 @@ of the set of single words, nine segments in all. Texts meet if any of the nine
 bit; that is sure up to 17 of the 192 bits, and beyond it depends on how the bits fall (measured in the
 README). Two texts that differ in at most one bit of a segment share its upper or its lower half. So each goes once to
 either half of a segment, 18 rows instead of the 198 of all variants, and the one-wildcard variants of the other
-half are indexed and joined where these rows lie. What moves per text is the same whatever the size of its group.
+half are indexed and joined where these rows lie.
 
-Defined cases: texts with equal shingle sets are one node, so copies are never expanded into pairs; null and wordless
+A half has 2,048 values, so from some two million texts on some halves are shared by more rows than one task takes (common.RUN_CHUNK).
+The rows of these, and only they, move once more, under the one-wildcard variants of the other half: at most 23 for
+each segment, 207 in all, whatever the number of texts. From there the work is that of simhash over 2^21 segment values: what
+moves per text is bounded up to some ten billion texts, and grows with the rows of a segment value beyond.
+
+Defined cases: texts with equal shingle sets are one node, of texts with equal hashes (64 bits) one stays, so copies are never expanded into pairs; null and wordless
 texts have the empty set and link with one another alone; fewer words than a shingle make one shingle of
 the whole sequence; long texts are taken whole; an empty table gives an empty result.
 """
@@ -173,9 +178,31 @@ def _link(cols: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[tuple[np.
             root = merged_roots(root, i, j)
 
 
+def _near(cols: dict[str, np.ndarray], starts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+    """Linked pairs of runs whose rows share a segment but one bit at most."""
+    held = cols["decides"].view(np.uint64)
+    yield from spanning_pairs(starts, lambda i, j: np.bitwise_count(held[i] ^ held[j]).sum(axis=1, dtype=np.int64) <= MOST)
+
+
+def finer_rows(rows: DataFrame) -> DataFrame:
+    """(key, node, decides): rows of half_rows under their whole segment (those of the upper half) and the one-wildcard variants of
+    the half that they don't share."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            key, rest, half = (batch.column(c).to_numpy() for c in ("key", "rest", "half"))
+            for bit in range(-1, HALF):
+                at = np.flatnonzero(half == 0) if bit < 0 else np.arange(len(key))
+                own = (key[at] << 4 | bit + 1) << HALF | rest[at].astype(np.int64) & ~(0 if bit < 0 else 1 << bit)
+                picked = batch.select(["node", "decides"]).take(pa.array(at))
+                yield pa.RecordBatch.from_arrays([pa.array(own), *picked.columns], names=["key", "node", "decides"])
+
+    return rows.mapInArrow(run, "key long, node long, decides binary")
+
+
 def linked_nodes(nodes: DataFrame) -> DataFrame:
     """(node, component) of the nodes that link with others."""
-    return connected_components(linked_runs(half_rows(nodes), _link))
+    return connected_components(linked_runs(half_rows(nodes), _link, (finer_rows, _near)))
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text: str = "text", words: int = 5) -> DataFrame:
