@@ -76,6 +76,39 @@ def test_nearest_rows_are_exact(spark):
     assert matching.blocked_nearest(df, df.limit(0), "id", ["a"], 1).count() == 0
 
 
+def test_categories_and_equal_rows_by_gower(spark):
+    rng = np.random.default_rng(8)
+    x = np.column_stack([rng.integers(0, 3, 400), rng.integers(0, 2, 400), rng.normal(size=400)]).astype(float)
+    x[50:250] = x[3]
+    df = spark.createDataFrame([(k, *map(float, v)) for k, v in enumerate(x)], "id long, a double, b double, c double")
+    span = float(np.ptp(x[:, 2]))
+    full = ((x[:, None, :2] != x[None, :, :2]).sum(axis=2) + np.abs(x[:, None, 2] - x[None, :, 2]) / span) / 3
+    found = matching.blocked_nearest(df, df, "id", list("abc"), 4, "gower", ["a", "b"], {"c": span}, same_id=True, block=50)
+    got = {(r["query_id"], r["rank"]): (r["base_id"], round(r["distance"], 9)) for r in found.collect()}
+    for q in range(400):
+        want = np.lexsort((np.arange(400), np.round(full[q], 12)))[:4]
+        assert [got[q, n + 1] for n in range(4)] == [(int(k), round(float(full[q, k]), 9)) for k in want]
+
+
+@pytest.mark.parametrize("metric", ["euclidean", "gower"])
+def test_few_rows_are_compared_in_full_in_64_dimensions(spark, metric):
+    """Of the base rows of the given vectors, a query fetches less than one in a hundred."""
+    v = spark.read.parquet("/root/testdata/sf0.1/embeddings.parquet").where("embedding is not null and size(embedding) = 64")
+    v = v.select("vec_id", *[F.col("embedding")[i].cast("double").alias(f"e{i}") for i in range(64)])
+    names = v.columns[1:]
+    asked = v.where("vec_id % 10 = 0")
+    pairs, q, b = matching.nearest_candidates(asked, v, "vec_id", names, 3, metric, same_id=False)
+    share = pairs.count() / (q.count() * b.count())
+    assert 0 < share < 0.01
+    x = np.array(v.orderBy("vec_id").select(*names).collect())
+    ids = np.array([r[0] for r in v.select("vec_id").orderBy("vec_id").collect()])
+    got = {(r["query_id"], r["rank"]): r["distance"] for r in matching.blocked_nearest(asked, v, "vec_id", names, 3, metric, same_id=False).collect()}
+    for at in np.flatnonzero(ids % 10 == 0)[::7]:
+        d = np.sqrt(((x - x[at]) ** 2).sum(axis=1)) if metric == "euclidean" else np.abs(x - x[at]).mean(axis=1)
+        d[at] = np.inf
+        assert np.allclose([got[int(ids[at]), n] for n in (1, 2, 3)], np.sort(d)[:3])
+
+
 def test_streamed_visits_against_loops(spark):
     rng = np.random.default_rng(4)
     rows = [(None if s == 0 else s, k, *(None if rng.random() < 0.2 else float(v) for v in rng.integers(0, 50, 2))) for s in range(12) for k in range(int(rng.integers(1, 40)))]

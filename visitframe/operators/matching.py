@@ -357,50 +357,87 @@ def _distance_of(metric: str, flags: np.ndarray, scale: np.ndarray):
     return euclidean if metric == "euclidean" else gower
 
 
-def blocked_nearest(
+class Approximation:
+    """Vectors in a byte per numeric feature: the middles of 256 equal stretches of its range. Other features stay as they are."""
+
+    def __init__(self, low: np.ndarray, high: np.ndarray, flags: np.ndarray):
+        self.low, self.flags = low, flags
+        self.step = np.where(high > low, (high - low) / 256, 1.0)
+
+    def encoded(self, x: np.ndarray) -> np.ndarray:
+        return np.clip(np.floor((x - self.low) / self.step), 0, 255).astype(np.uint8)[:, ~self.flags]
+
+    def decoded(self, codes: np.ndarray, kept: np.ndarray) -> np.ndarray:
+        out = np.empty((len(codes), len(self.flags)))
+        out[:, ~self.flags] = self.low[~self.flags] + (codes + 0.5) * self.step[~self.flags]
+        out[:, self.flags] = kept
+        return out
+
+
+def nearest_candidates(
     queries: DataFrame, base: DataFrame, id_col: str, features: Sequence[str], k: int, metric: str = "euclidean",
-    categorical: Sequence[str] = (), ranges: Mapping[str, float] | None = None, same_id: bool = True, block: int = 4096,
+    categorical: Sequence[str] = (), ranges: Mapping[str, float] | None = None, same_id: bool = True, block: int = 1 << 16,
     most_pivots: int = 256,
-) -> DataFrame:
-    """(query_id, base_id, distance, rank): the k nearest base rows of every query, exactly. same_id: a row may be
-    its own neighbour. metric: euclidean, or gower (mean of 0/1 mismatches of categorical and range-scaled absolute
-    differences of the other features).
-
-    Base rows belong to the nearest of some pivots (at most most_pivots rows by a hash of the id, the only
-    vectors that reach the driver). A query first meets the cell of its nearest pivot, which bounds the distance of its k-th
-    neighbour; then it meets the other cells that the triangle inequality doesn't rule out. Rows of a cell
-    meet in blocks, matrix against matrix, and of each query only k rows leave a block.
+) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(pairs, queries, base): pairs of query_id and base_id among which are the k nearest base rows of every query, and the vectors
+    (id, x) of both sides. Of base rows with the same vector only the first k + 1 ids are there, as no other can be among the k.
+
+    Base rows are approximated by a byte per feature, and keep their distance to their approximation, so the distance of a
+    query to the approximation bounds that to the row from both sides. They belong to the nearest of some pivots (at most
+    most_pivots rows by a hash of the id, the only vectors that reach the driver). A query first meets the cell of its nearest pivot,
+    whose k-th upper bound is its reach; then it meets the other cells that the triangle inequality doesn't rule
+    out. Cells come in parts of `block` approximations; a row whose lower bound is beyond the reach, or beyond
+    the k-th upper bound among the rows next to it, is never fetched.
     """
     spark = queries.sparkSession
     packed = F.array(*[F.col(f"`{c}`").cast("double") for c in features])
     q, b = (t.select(F.col(id_col).alias("id"), packed.alias("x")).where(F.forall("x", lambda v: v.isNotNull() & ~F.isnan(v))) for t in (queries, base))
+    # -0.0 and 0.0 are the same; the limit of the window is applied before rows move
+    b = b.withColumn("x", F.transform("x", lambda v: v + F.lit(0.0)))
+    again = Window.partitionBy("x").orderBy("id")
+    b = b.withColumn("__no", F.row_number().over(again)).where(F.col("__no") <= k + 1).drop("__no")
     q, b = materialize(q), materialize(b)
     kind = dict(queries.dtypes)[id_col]
-    schema = f"query_id {kind}, base_id {kind}, distance double"
-    n_base = b.count()
+    pair_schema = f"query_id {kind}, base_id {kind}, low double, high double"
+    # a row per feature reaches the driver
+    by_place = b.select(F.posexplode("x")).groupBy("pos").agg(F.min("col").alias("low"), F.max("col").alias("high"), F.count("*").alias("n"))
+    stats = by_place.orderBy("pos").collect()
+    n_base = stats[0]["n"] if stats else 0
     if not n_base:
-        return spark.createDataFrame([], schema + ", rank int")
+        return spark.createDataFrame([], pair_schema).select("query_id", "base_id"), q, b
     count = min(most_pivots, max(1, math.isqrt(n_base) // 4))
     pivots = np.stack([r["x"] for r in b.orderBy(F.xxhash64("id", F.lit("pivot")), "id").limit(count).collect()])
     flags = np.array([c in set(categorical) for c in features])
     scale = np.array([1.0 if not ranges else ranges.get(c, 1.0) or 1.0 for c in features])
     distances = _distance_of(metric, flags, scale)
+    coder = Approximation(*(np.array([r[end] for r in stats]) for end in ("low", "high")), flags)
+
+    def off_by(x: np.ndarray, near: np.ndarray) -> np.ndarray:
+        """Distance of each row to its approximation."""
+        if metric == "euclidean":
+            return np.sqrt(((x - near) ** 2).sum(axis=1))
+        return (np.abs(x - near) / scale)[:, ~flags].sum(axis=1) / len(flags)
 
     def assign(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for lo in range(0, len(batch), 4096):
                 part = batch.iloc[lo : lo + 4096]
-                d = distances(np.stack(part["x"]), pivots)
+                x = np.stack(part["x"])
+                d = distances(x, pivots)
                 cell = d.argmin(axis=1)
-                yield part.assign(cell=cell.astype(np.int32), away=d[np.arange(len(part)), cell])
+                codes, kept = coder.encoded(x), x[:, flags]
+                yield pd.DataFrame({
+                    "id": part["id"], "code": [c.tobytes() for c in codes], "kept": list(kept), "off": off_by(x, coder.decoded(codes, kept)),
+                    "cell": cell.astype(np.int32), "away": d[np.arange(len(part)), cell],
+                })
 
-    dealt = materialize(b.mapInPandas(assign, f"id {kind}, x array<double>, cell int, away double"))
+    dealt = materialize(b.mapInPandas(assign, f"id {kind}, code binary, kept array<double>, off double, cell int, away double"))
     cells = {r["cell"]: (r["n"], r["radius"]) for r in dealt.groupBy("cell").agg(F.count("*").alias("n"), F.max("away").alias("radius")).collect()}
     filled = np.array(sorted(cells))
     radius = np.array([cells[c][1] for c in filled])
     large = np.array([cells[c][0] for c in filled]) > k  # one more than asked for, as a row may meet itself
     blocks = F.element_at(F.create_map(*[F.lit(v) for c in filled.tolist() for v in (c, -(-cells[c][0] // block))]), F.col("cell"))
-    parts = dealt.select("cell", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "x")
+    parts = dealt.select("cell", F.pmod(F.xxhash64("id"), blocks).cast("int").alias("part"), F.lit(False).alias("asks"), "id", "code", "kept", "off")
 
     def visits(first: bool):
         def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -409,15 +446,16 @@ def blocked_nearest(
                     part = batch.iloc[lo : lo + 4096]
                     d = distances(np.stack(part["x"]), pivots)[:, filled]
                     own = np.where(large[None, :], d, np.inf).argmin(axis=1) if large.any() else d.argmin(axis=1)
+                    reach = np.full(len(part), np.inf) if first else part["reach"].fillna(np.inf).to_numpy(float)
                     if first:
                         rows, at = np.arange(len(part)), own
                     else:
                         # no row of a cell is nearer than this; rounding gets a little room
                         least = np.maximum(d - radius[None, :], (d - d.min(axis=1)[:, None]) / 2)
-                        needed = least <= part["reach"].fillna(np.inf).to_numpy(float)[:, None] * (1 + 1e-9) + 1e-9
+                        needed = least <= reach[:, None] * (1 + 1e-9) + 1e-9
                         needed[np.arange(len(part)), own] = False
                         rows, at = np.nonzero(needed)
-                    yield part[["id", "x"]].iloc[rows].assign(cell=filled[at].astype(np.int32))
+                    yield part[["id", "x"]].iloc[rows].assign(reach=reach[rows], cell=filled[at].astype(np.int32))
 
         return run
 
@@ -430,51 +468,76 @@ def blocked_nearest(
                     key, held, ready = own, [], None
                 asks = rows["asks"].to_numpy(bool)
                 if not asks.all():
-                    held.append(rows.loc[~asks, ["id", "x"]])
+                    held.append(rows.loc[~asks, ["id", "code", "kept", "off"]])
                 ask = rows[asks]
                 if not len(ask) or not held:
                     continue
                 if ready is None:
-                    whole = pd.concat(held)
-                    ready = whole["id"].to_numpy(), np.stack(whole["x"])
-                for lo in range(0, len(ask), 256):
-                    yield _nearest_rows(ask.iloc[lo : lo + 256], *ready)
-
-    def _nearest_rows(ask: pd.DataFrame, ids: np.ndarray, v: np.ndarray) -> pd.DataFrame:
-        own, u = ask["id"].to_numpy(), np.stack(ask["x"])
+                    ready = pd.concat(held)
+                for at in range(0, len(ready), 8192):
+                    near = ready.iloc[at : at + 8192]
+                    codes = np.frombuffer(b"".join(near["code"]), np.uint8).reshape(len(near), -1)
+                    v = coder.decoded(codes, np.stack(near["kept"]))
+                    for lo in range(0, len(ask), 256):
+                        yield _bounded(ask.iloc[lo : lo + 256], near["id"].to_numpy(), v, near["off"].to_numpy(float))
+
+    def _bounded(ask: pd.DataFrame, ids: np.ndarray, v: np.ndarray, off: np.ndarray) -> pd.DataFrame:
+        own, u, reach = ask["id"].to_numpy(), np.stack(ask["x"]), ask["reach"].to_numpy(float)
         d = distances(u, v)
+        # what the matrix product may round off, of squares for euclidean distances
+        room = 1e-7 * (1 + np.sqrt((u * u).sum(axis=1).max() + (v * v).sum(axis=1).max()))
+        low, high = d - off[None, :] - room, d + off[None, :] + room
         if not same_id:
-            d[own[:, None] == ids[None, :]] = np.inf
-        near = min(k + 8, d.shape[1])
-        at = np.argpartition(d, near - 1, axis=1)[:, :near] if near < d.shape[1] else np.broadcast_to(np.arange(near), d.shape)
-        if metric == "euclidean":  # the matrix product rounds: distances of the candidates are taken again
-            exact = np.sqrt(((u[:, None, :] - v[at]) ** 2).sum(axis=2))
-            exact[np.isinf(np.take_along_axis(d, at, axis=1))] = np.inf
-        else:
-            exact = np.take_along_axis(d, at, axis=1)
-        # rows whose k-th neighbour ties with what was left out (many equal rows) are ordered whole
-        if near < d.shape[1]:
-            slack = 1e-6 * (1 + np.sqrt((u * u).sum(axis=1)))
-            last = np.sort(exact, axis=1)[:, min(k, near) - 1]
-            for r in np.flatnonzero((d <= (last + slack)[:, None]).sum(axis=1) > near):
-                all_of = np.sqrt(((u[r] - v) ** 2).sum(axis=1)) if metric == "euclidean" else d[r].copy()
-                all_of[np.isinf(d[r])] = np.inf
-                chosen = np.lexsort((ids, all_of))[:near]
-                at[r], exact[r] = chosen, all_of[chosen]
-        order = np.lexsort((ids[at], exact), axis=1)[:, :k]
-        at, exact = np.take_along_axis(at, order, axis=1), np.take_along_axis(exact, order, axis=1)
-        rows = np.repeat(np.arange(len(own)), at.shape[1])
-        found = pd.DataFrame({"query_id": own[rows], "base_id": ids[at.ravel()], "distance": exact.ravel()})
-        return found[np.isfinite(found["distance"])]
+            me = own[:, None] == ids[None, :]
+            low[me] = high[me] = np.inf
+        if high.shape[1] >= k:
+            reach = np.minimum(reach, np.partition(high, k - 1, axis=1)[:, k - 1])
+        rows, at = np.nonzero((low <= reach[:, None]) & np.isfinite(low))
+        return pd.DataFrame({"query_id": own[rows], "base_id": ids[at], "low": low[rows, at], "high": high[rows, at]})
 
     def found_in(asked: DataFrame) -> DataFrame:
         parts_of = F.explode(F.sequence(F.lit(0), (blocks - 1).cast("int"))).alias("part")
-        rows = parts.unionByName(asked.select("cell", parts_of, F.lit(True).alias("asks"), "id", "x"))
-        return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "asks").mapInPandas(meet, schema)
+        rows = parts.unionByName(asked.select("cell", parts_of, F.lit(True).alias("asks"), "id", "x", "reach"), allowMissingColumns=True)
+        return rows.repartition("cell", "part").sortWithinPartitions("cell", "part", "asks").mapInPandas(meet, pair_schema)
+
+    def reached(pairs: DataFrame) -> DataFrame:
+        """(id, reach): the k-th upper bound of every query that has so many."""
+        w = Window.partitionBy("query_id").orderBy("high")
+        return pairs.withColumn("__no", F.row_number().over(w)).where(F.col("__no") == k).select(F.col("query_id").alias("id"), F.col("high").alias("reach"))
 
+    sent = f"id {kind}, x array<double>, reach double, cell int"
+    near = materialize(found_in(q.mapInPandas(visits(True), sent)))
+    rest = q.join(reached(near), "id", "left").mapInPandas(visits(False), sent)
+    pairs = materialize(near.unionByName(found_in(rest)))
+    kept = pairs.join(reached(pairs), pairs["query_id"] == F.col("id"), "left").where(F.col("low") <= F.coalesce("reach", F.lit(math.inf)))
+    return kept.select("query_id", "base_id").distinct(), q, b
+
+
+def blocked_nearest(
+    queries: DataFrame, base: DataFrame, id_col: str, features: Sequence[str], k: int, metric: str = "euclidean",
+    categorical: Sequence[str] = (), ranges: Mapping[str, float] | None = None, same_id: bool = True, block: int = 1 << 16,
+    most_pivots: int = 256,
+) -> DataFrame:
+    """(query_id, base_id, distance, rank): the k nearest base rows of every query, exactly; of equal distances the smaller
+    id comes first. same_id: a row may be its own neighbour. metric: euclidean, or gower (mean of 0/1 mismatches of categorical and
+    range-scaled absolute differences of the other features). Ids are unique on either side.
+
+    Candidates come from approximations (nearest_candidates). Only their vectors are fetched, and compared in
+    column expressions."""
+    pairs, q, b = nearest_candidates(queries, base, id_col, features, k, metric, categorical, ranges, same_id, block, most_pivots)
+    both = pairs.join(b.select(F.col("id").alias("base_id"), F.col("x").alias("v")), "base_id").join(
+        q.select(F.col("id").alias("query_id"), F.col("x").alias("u")), "query_id"
+    )
+    if metric == "euclidean":
+        square = F.zip_with("u", "v", lambda x, y: (x - y) * (x - y))
+        distance = F.sqrt(F.aggregate(square, F.lit(0.0), lambda t, x: t + x))
+    else:
+        scale = [1.0 if not ranges else ranges.get(c, 1.0) or 1.0 for c in features]
+        off = [
+            (F.col("u")[i] != F.col("v")[i]).cast("double") if c in set(categorical) else F.abs(F.col("u")[i] - F.col("v")[i]) / F.lit(scale[i])
+            for i, c in enumerate(features)
+        ]
+        distance = F.aggregate(F.array(*off), F.lit(0.0), lambda t, x: t + x) / len(features)
     w = Window.partitionBy("query_id").orderBy("distance", "base_id")
-    best = lambda df: df.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
-    near = materialize(best(found_in(q.mapInPandas(visits(True), f"id {kind}, x array<double>, cell int"))))
-    reach = near.where(F.col("rank") == k).select(F.col("query_id").alias("id"), F.col("distance").alias("reach"))
-    rest = q.join(reach, "id", "left").mapInPandas(visits(False), f"id {kind}, x array<double>, cell int")
-    return best(near.drop("rank").unionByName(found_in(rest)))
+    found = both.select("query_id", "base_id", distance.alias("distance"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
