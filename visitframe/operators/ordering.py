@@ -32,6 +32,19 @@ def global_index(df: DataFrame, order: Sequence[str], out: str) -> DataFrame:
     )
 
 
+def place_in_group(df: DataFrame, group: str, order: Sequence[str], out: str) -> DataFrame:
+    """df with each row's place (from 0) among the rows of its group. Rows are numbered in sorted ranges; a group that
+    starts in an earlier range goes on from there."""
+    part = _ranges(df, [group, *order])
+    inside = Window.partitionBy("__part", group).orderBy("__at")
+    sizes = part.groupBy(group, "__part").agg(F.count("*").alias("__n"))
+    before = Window.partitionBy(group).orderBy("__part").rowsBetween(Window.unboundedPreceding, -1)
+    # only the first group of a range can have begun before it: no more rows than ranges
+    offsets = sizes.withColumn("__before", F.sum("__n").over(before)).where("__before > 0").select(group, "__part", "__before")
+    placed = part.withColumn(out, F.row_number().over(inside).cast("long") - 1).join(F.broadcast(offsets), [group, "__part"], "left")
+    return placed.withColumn(out, F.col(out) + F.coalesce("__before", F.lit(0))).drop("__part", "__at", "__before")
+
+
 def running_sums(df: DataFrame, order: str | Sequence[str], sums: dict[str, str]) -> DataFrame:
     """df (one row per value of `order`, a column or several) plus running sums out -> column up to and with each row: sums of
     the ranges before are added to sums inside a range."""
