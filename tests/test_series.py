@@ -82,12 +82,12 @@ def test_a_long_series_is_spread_over_blocks(spark, monkeypatch):
     sizes = []
     plain_blocks = timeseries.by_blocks
 
-    def watched(values, info, halo, sums, extra=""):
+    def watched(values, info, halo, sums):
         def counted(info, block, pos, v, own):
             return [("rows", block, float(len(v)))]
 
         sizes.append((max(r["value"] for r in plain_blocks(values, info, halo, counted).collect()), halo))
-        return plain_blocks(values, info, halo, sums, extra)
+        return plain_blocks(values, info, halo, sums)
 
     monkeypatch.setattr(timeseries, "by_blocks", watched)
     series = {1: np.random.default_rng(5).normal(size=3000), 2: np.arange(10.0)}

@@ -12,12 +12,14 @@ Values that are null or not numbers are passed over; equal times are ordered by
 from __future__ import annotations
 
 import math
-from collections.abc import Callable, Sequence
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_schema
+from pyspark.sql.types import StructType
 
 from visitframe.operators.ordering import place_in_group
 from visitframe.session import materialize
@@ -61,8 +63,45 @@ def numbered(df: DataFrame, subject: str, time: str, value: str, least: int) ->
     return placed, materialize(info.where(F.col("n") >= least))
 
 
+def in_groups(
+    df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_of: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str
+) -> DataFrame:
+    """The rows that `rows_of` makes of each group of equal keys, whose columns it gets as arrays, in order."""
+    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    names = df.columns
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def made(t: pa.Table, last: bool) -> tuple[list[tuple], int]:
+            """Rows of the whole groups of t, of the last group too if there is nothing behind it, and where the rest begins."""
+            columns = {c: t[c].to_numpy() for c in names}
+            new = np.zeros(len(t) - 1, bool)
+            for c in keys:
+                new |= columns[c][1:] != columns[c][:-1]
+            at = [0, *(np.flatnonzero(new) + 1).tolist(), len(t)]
+            stop = len(at) - 1 if last else len(at) - 2
+            return [row for lo, hi in zip(at[:stop], at[1:], strict=False) for row in rows_of({c: v[lo:hi] for c, v in columns.items()})], at[stop]
+
+        held = None
+        for batch in batches:
+            held = pa.Table.from_batches([batch]) if held is None else pa.concat_tables([held, pa.Table.from_batches([batch])])
+            if len(held):
+                rows, rest = made(held, False)
+                held = held.slice(rest)
+                yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_columns(rows), types, strict=True)], names=out)
+        if held is not None and len(held):
+            rows, _ = made(held, True)
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(_columns(rows), types, strict=True)], names=out)
+
+    def _columns(rows: list[tuple]) -> list[tuple]:
+        return list(zip(*rows, strict=True)) if rows else [()] * len(out)
+
+    fields = to_arrow_schema(StructType.fromDDL(schema))
+    out, types = fields.names, fields.types
+    return dealt.mapInArrow(run, schema)
+
+
 def by_blocks(
-    values: DataFrame, info: DataFrame, halo: int, sums: Callable[[dict, int, np.ndarray, np.ndarray, int], Sums], extra: str = ""
+    values: DataFrame, info: DataFrame, halo: int, sums: Callable[[dict, int, np.ndarray, np.ndarray, int], Sums]
 ) -> DataFrame:
     """(s, name, k, value), added up over the blocks of each subject of info. `sums` gets the subject's info, the block's number, the places and
     centred values of the block with `halo` values before it, and which of these is the block's first own one."""
@@ -72,15 +111,13 @@ def by_blocks(
     spread = info.where("varies").withColumn("block", F.explode(F.sequence(F.lit(0).cast("long"), F.floor((F.col("n") - 1) / size))))
     joined = values.withColumn("block", F.explode(blocks)).join(spread, ["s", "block"])
 
-    def run(key: tuple, g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values("pos")
-        first = g.iloc[0]
-        pos, v = g["pos"].to_numpy(), g["v"].to_numpy(float) - first["mean"]
-        found = sums(first, int(key[1]), pos, v, int(np.searchsorted(pos, key[1] * size)))
-        return pd.DataFrame([(key[0], *row) for row in found], columns=["s", "name", "k", "value"])
+    def run(g: dict[str, np.ndarray]) -> list[tuple]:
+        first = {c: v[0] for c, v in g.items()}
+        start = first["block"] * size
+        found = sums(first, int(first["block"]), g["pos"], g["v"] - first["mean"], int(np.searchsorted(g["pos"], start)))
+        return [(first["s"], *row) for row in found]
 
-    kind = dict(values.dtypes)["s"]
-    parts = joined.groupBy("s", "block").applyInPandas(run, f"s {kind}, name string, k long, value double")
+    parts = in_groups(joined, ["s", "block"], ["pos"], run, f"s {dict(values.dtypes)['s']}, name string, k long, value double")
     return parts.groupBy("s", "name", "k").agg(F.sum("value").alias("value"))
 
 
@@ -89,15 +126,15 @@ def per_subject(info: DataFrame, sums: DataFrame, solve: Callable[[dict, dict[st
     columns = [c for c in info.columns if c != "s"]
     rows = sums.join(info, "s")
 
-    def run(g: pd.DataFrame) -> pd.DataFrame:
-        g = g.sort_values(["name", "k"])
-        own = {name: part["value"].to_numpy(float) for name, part in g.groupby("name", sort=False)}
-        first = g.iloc[0]
-        found = [None if v is None or math.isnan(v) else float(v) for v in solve(first[columns].to_dict(), own)]
-        return pd.DataFrame([[first["s"], first["n"], *found]], columns=["s", "n", *names])
+    def run(g: dict[str, np.ndarray]) -> list[tuple]:
+        name = g["name"]
+        at = [0, *(np.flatnonzero(name[1:] != name[:-1]) + 1).tolist(), len(name)]
+        own = {name[lo]: g["value"][lo:hi] for lo, hi in zip(at, at[1:], strict=False)}
+        found = solve({c: g[c][0] for c in columns}, own)
+        return [(g["s"][0], int(g["n"][0]), *[None if v is None or math.isnan(v) else float(v) for v in found])]
 
-    kind = dict(info.dtypes)["s"]
-    solved = rows.groupBy("s").applyInPandas(run, f"s {kind}, n long, " + ", ".join(f"{c} double" for c in names))
+    schema = f"s {dict(info.dtypes)['s']}, n long, " + ", ".join(f"{c} double" for c in names)
+    solved = in_groups(rows, ["s"], ["name", "k"], run, schema)
     flat = info.where("not varies").select("s", "n", *[F.lit(None).cast("double").alias(c) for c in names])
     return solved.unionByName(flat)
 
