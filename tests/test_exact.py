@@ -158,36 +158,47 @@ def test_every_combination_is_merged(spark):
     b = spark.createDataFrame([(1, "2020-01-03", 1, 7.0), (3, "2020-02-02", 2, 8.0)], "s int, d string, row_id long, n double")
     a, b = (t.withColumn("d", F.to_date("d")) for t in (a, b))
     out = matching.merge_combinations({"a": a, "b": b}, {"a": "f"}, "s", "d", code=None, measures=["m"], buffer_days=5)
-    rows = {k: sorted((r["s"], r["m"], r["n"]) for r in t.fillna(-1.0, ["m", "n"]).collect()) for k, t in out.items()}
-    assert rows == {"x": [(1, 1.0, 7.0), (2, -1.0, -1.0), (3, -1.0, 8.0)], "y": [(1, -1.0, 7.0), (1, 2.0, -1.0), (3, -1.0, 8.0)]}
-    assert set(matching.merge_combinations({"a": a, "b": b}, {"a": "f"}, "s", "d", {"f": ["y"]}, code=None, measures=["m"])) == {"y"}
-    ids = [r["row_id"] for r in out["x"].collect()]
+    rows: dict[str, list] = {}
+    for r in out.fillna(-1.0, ["m", "n"]).collect():
+        rows.setdefault(r["combination"], []).append((r["s"], r["m"], r["n"]))
+    assert {k: sorted(v) for k, v in rows.items()} == {"x": [(1, 1.0, 7.0), (2, -1.0, -1.0), (3, -1.0, 8.0)], "y": [(1, -1.0, 7.0), (1, 2.0, -1.0), (3, -1.0, 8.0)]}
+    one = matching.merge_combinations({"a": a, "b": b}, {"a": "f"}, "s", "d", {"f": ["y", "absent"]}, code=None, measures=["m"])
+    assert {r["combination"] for r in one.collect()} == {"y"}
+    every = matching.merge_combinations({"a": a, "b": b}, {"a": "f"}, "s", "d", {"f": []}, code=None, measures=["m"], buffer_days=5)
+    assert sorted((r["s"], r["m"]) for r in every.where("m is not null").collect()) == [(1, 1.0), (1, 2.0)]
+    ids = [r["row_id"] for r in out.collect()]
     assert len(set(ids)) == len(ids)
-
-
-def test_measures_of_pairs_follow_the_trend(spark):
-    rows = [(1, 1, 10.0, 30.0), (1, 2, 5.0, 12.0), (1, 3, 99.0, 13.0), (1, 4, None, None)]
-    df = spark.createDataFrame(rows, "s int, d int, v_1 double, v_2 double")
-    got = conflicts.merge_pairs(df, "s", "d", ["v"], {"v": (0, 50, True)})
-    assert [r["v"] for r in got.orderBy("d").collect()] == [10.0, 12.0, 13.0, None]
-
-
-def test_wide_correlations_and_equal_rows(spark):
-    df = spark.createDataFrame([(1.0, 2.0, None), (2.0, 1.0, 4.0), (5.0, 7.0, 1.0), (3.0, None, 2.0), (4.0, 4.5, 9.0)], "a double, b double, c double")
-    few, many = ({(r["a"], r["b"]): r["r"] for r in profiling.correlations(df, list("abc"), n).collect()} for n in (200, 1))
-    assert few.keys() == many.keys() and all(abs(few[k] - many[k]) < 1e-12 for k in few)
-    same = privacy.identical_share(df, df.where("a < 3"), list("abc")).first()
-    assert (same["n_synthetic"], same["identical"]) == (2, 1)
-
-
-def test_positions_over_many_ranges(spark):
-    df = spark.range(1000).select((F.col("id") * 37 % 1000).alias("k"), F.lit(2).alias("n"))
-    assert ordering.global_index(df, ["k"], "at").where("at != k").isEmpty()
-    assert ordering.running_sums(df, "k", {"c": "n"}).where("c != 2 * k + 2").isEmpty()
-
-
-def test_dictionary_without_flags(spark):
-    d = spark.createDataFrame([("a", "x", "drop")], "file_code string, variable_code string, flag string")
-    df = spark.createDataFrame([(1, 2)], "x int, y int")
-    assert encoding.drop_flagged(df, d, "a", "flag")[0].columns == ["y"] and encoding.drop_flagged(df, d, "a", "flag")[1].count() == 0
-    assert encoding.drop_flagged(df, d, "b", "flag")[0].columns == ["x", "y"] and encoding.drop_flagged(df, d, "a", "absent")[0] is df
+    with pytest.raises(ValueError, match="whitelist"):
+        matching.merge_combinations({"a": a, "b": b}, {"a": "f"}, "s", "d", code=None, measures=["m"], most=1)
+
+
+def test_combinations_are_merged_as_one_by_one(spark):
+    """Three tables, two filters: each combination equals the merge of its own rows, and the jobs don't grow with the combinations."""
+    rng = np.random.default_rng(9)
+
+    def visits(seed: int, filters: dict[str, list[str]]):
+        own = np.random.default_rng(seed)
+        rows = [(int(own.integers(1, 12)), int(own.integers(0, 900)), k, float(k), *[str(own.choice(v)) for v in filters.values()]) for k in range(90)]
+        fields = "".join(f", {c} string" for c in filters)
+        df = spark.createDataFrame(rows, f"s int, day int, row_id long, m{seed} double{fields}")
+        return df.dropDuplicates(["s", "day"]).withColumn("d", F.date_add(F.lit("2020-01-01").cast("date"), F.col("day"))).drop("day").cache()
+
+    tables = {"a": visits(1, {"f": ["x", "y", "z"]}), "b": visits(2, {"g": ["u", "v"]}), "c": visits(3, {})}
+    settings = {"code": None, "measures": ["m1"], "buffer_days": 40}
+    kept = [c for c in ("s", "d", "m1", "m2", "m3")]
+
+    def jobs(whitelist) -> tuple[int, list]:
+        group = f"combinations {rng.integers(1 << 30)}"
+        spark.sparkContext.setJobGroup(group, group)
+        out = matching.merge_combinations(tables, {"a": "f", "b": "g"}, "s", "d", whitelist, **settings).select("combination", *kept).collect()
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group)), out
+
+    few, _ = jobs({"f": ["x"], "g": ["u"]})
+    many, found = jobs({"f": ["x", "y", "z"], "g": ["u", "v"]})
+    assert many <= few + 4  # adaptive plans may start a job more or less
+    assert len({r["combination"] for r in found}) == 6
+    for f in "xyz":
+        for g in "uv":
+            one = matching.merge_all([tables["a"].where(F.col("f") == f), tables["b"].where(F.col("g") == g), tables["c"]], subject="s", date="d", **settings)
+            want = sorted(map(str, (tuple(r) for r in one.select(*kept).collect())))
+            assert sorted(str(tuple(r)[1:]) for r in found if r["combination"] == f"{f}_{g}") == want

@@ -191,8 +191,7 @@ def merge_pair(
     row_id: str = "row_id", buffer_days: int = 80, status: str | None = None, strength: str | None = None,
 ) -> DataFrame:
     """One step of the incremental merge: match, check, reduce, decide, merge. An add side with
-    several rows on one matched visit fails the job."""
-    base, add = materialize(base), materialize(add)
+    several rows on one matched visit fails the job. The matches are kept, base and add are read by three joins."""
     matches = materialize(match_visits(base, add, subject, date, row_id, buffer_days))
     guard = F.assert_true(F.size("ids2") == 1, F.lit("a matched visit has several rows to add"))
     single = reduce_to_one(matches, base, measures, row_id, status, strength).where(guard.isNull())
@@ -214,43 +213,79 @@ def merge_pair(
 
 def merge_all(tables: Sequence[DataFrame], row_id: str = "row_id", **kw) -> DataFrame:
     """Left fold of merge_pair in the given order, which matters: base values win. Row ids come out as
-    text, `table:id`, which tells the rows of all tables apart."""
+    text, `table:id`, which tells the rows of all tables apart. What several tables were merged into is kept before the next."""
     named = [t.withColumn(row_id, F.concat(F.lit(f"{k}:"), F.col(row_id).cast("string"))) for k, t in enumerate(tables)]
-    return reduce(lambda merged, t: merge_pair(merged, t, row_id=row_id, **kw), named)
+    merged = named[0]
+    for k, t in enumerate(named[1:]):
+        merged = merge_pair(materialize(merged) if k else merged, t, row_id=row_id, **kw)
+    return merged
+
+
+#: Combinations of filter values at most: their list goes to every task.
+MOST_COMBINATIONS = 10_000
+
+
+def filter_values(
+    tables: Mapping[str, DataFrame], filters: Mapping[str, str], whitelist: Mapping[str, Sequence[object] | None] | None = None,
+    most: int = MOST_COMBINATIONS,
+) -> dict[str, list[str]]:
+    """The values of each filter column that its tables hold, as text, cut to the whitelist (None: all, empty: no such filter; of a list of
+    which the tables hold nothing, all). Over `most` values raise an error."""
+    from visitframe.operators.profiling import distinct_values
+
+    allowed = whitelist or {}
+    out: dict[str, list[str]] = {}
+    for column in dict.fromkeys(filters.values()):
+        wanted = allowed.get(column)
+        if wanted is not None and not wanted:
+            continue
+        found = [distinct_values(tables[n], [column]) for n, c in filters.items() if c == column and n in tables and c in tables[n].columns]
+        if not found:
+            continue
+        values = reduce(DataFrame.unionByName, found).select("value").distinct()
+        texts = list(dict.fromkeys(map(str, wanted or ())))
+        held = {r["value"] for r in values.where(F.col("value").isin(texts)).collect()} if texts else set()
+        own = [v for v in texts if v in held] or sorted(r["value"] for r in values.limit(most + 1).collect())
+        if len(own) > most:
+            raise ValueError(f"over {most} values of {column}: pass a whitelist")
+        if own:
+            out[column] = own
+    return out
 
 
 def merge_combinations(
     tables: Mapping[str, DataFrame], filters: Mapping[str, str], subject: str, date: str,
-    whitelist: Mapping[str, Sequence[object] | None] | None = None, **kw,
-) -> dict[str, DataFrame]:
-    """The incremental merge for every combination of filter values: `filters` names the filter column of a
-    table; the values are those the tables hold, cut to a whitelist (None: all, empty: no such
-    filter). A combination filters the tables that have the column; tables without rows left are skipped, and so are
-    combinations without any. Returns the merged tables, lazily, by combination name."""
-    from visitframe.operators.cleaning import combination_filter
-    from visitframe.operators.profiling import distinct_values
+    whitelist: Mapping[str, Sequence[object] | None] | None = None, row_id: str = "row_id", most: int = MOST_COMBINATIONS, **kw,
+) -> DataFrame:
+    """The incremental merge for every combination of filter values, in one plan: `filters` names the filter column of a
+    table, the values are those of filter_values. A row belongs to the combinations whose values it has in
+    the filter columns of its table, and is exploded by their names; then all combinations are matched and merged at once, keyed by
+    (combination, subject). A table without rows for a combination adds nothing to it, and a combination without any
+    row isn't there. The result has the column `combination`, and row ids `combination|table:id`; over `most` combinations raise an error."""
     from visitframe.sources.catalog import combination_name, combinations
 
-    held: dict[str, set] = {}
-    for name, column in filters.items():
-        if name in tables and column in tables[name].columns:
-            rows = distinct_values(tables[name].where(F.col(column).isNotNull()), [column]).collect()
-            held.setdefault(column, set()).update(r["value"] for r in rows)
-    values = {c: sorted(v, key=str) for c, v in held.items() if v}
-    for column, wanted in (whitelist or {}).items():
-        if column in values and wanted is not None:
-            chosen = [v for v in wanted if v in values[column]]
-            if not wanted:
-                del values[column]
-            elif chosen:
-                values[column] = chosen
-    out = {}
-    for combination in combinations(values):
-        parts = [combination_filter(t, combination) for t in tables.values()]
-        parts = [p for p in parts if not p.isEmpty()]
-        if parts:
-            out[combination_name(combination)] = merge_all(parts, subject=subject, date=date, **kw)
-    return out
+    listed = combinations(filter_values(tables, filters, whitelist, most))
+    if len(listed) > most:
+        raise ValueError(f"over {most} combinations: pass a whitelist")
+    columns = sorted(listed[0])
+    spark = next(iter(tables.values())).sparkSession
+    names = spark.createDataFrame(
+        [(combination_name(c), *[c[k] for k in columns]) for c in listed],
+        ", ".join(["combination string", *[f"`__f_{k}` string" for k in columns]]),
+    )
+
+    def exploded(df: DataFrame, number: int) -> DataFrame:
+        own = [c for c in columns if c in df.columns]
+        on = reduce(lambda x, y: x & y, [F.col(f"`{c}`").cast("string") == F.col(f"`__f_{c}`") for c in own], F.lit(True))
+        rows = df.join(F.broadcast(names), on).drop(*[f"__f_{c}" for c in columns])  # `most` rows at most
+        key = F.concat("combination", F.lit("|"), F.col(subject).cast("string"))
+        return rows.withColumns({"__key": key, row_id: F.concat("combination", F.lit(f"|{number}:"), F.col(row_id).cast("string"))})
+
+    numbered = [exploded(t, k) for k, t in enumerate(tables.values())]
+    merged = numbered[0]
+    for k, t in enumerate(numbered[1:]):
+        merged = merge_pair(materialize(merged) if k else merged, t, "__key", date, row_id=row_id, **kw)
+    return merged.drop("__key")
 
 
 def as_of_nearest(

@@ -72,26 +72,20 @@ _COMBINED = " UNION ALL ".join(
     f"""SELECT '{s}' AS combination, count(*) AS n_rows, count(DISTINCT coalesce(b.subject, a.subject)) AS n_subjects, count(b.price) AS n_price, count(a.total) AS n_total
     FROM (SELECT subject, visit, max(price) AS price FROM ({O}) WHERE visit IS NOT NULL AND status = '{s}' GROUP BY ALL) b
     FULL JOIN (SELECT subject, visit, sum(score) AS total FROM ({O}) WHERE visit IS NOT NULL GROUP BY ALL) a ON a.subject = b.subject AND a.visit = b.visit"""
-    for s in ("F", "O")
+    for s in ("F", "O", "P")
 )
 
 
 @query(_COMBINED)
 def all_combinations(spark, sf):
-    """The incremental merge for each status that a whitelist admits; visits of one day alone match."""
+    """The incremental merge for each status; visits of one day alone match."""
     v = order_visits(spark, sf).where("visit is not null")
     base = v.groupBy("subject", "visit", "status").agg(F.max("price").alias("price"), F.min("row_id").alias("row_id"))
     add = v.groupBy("subject", "visit").agg(F.sum("score").alias("total"), F.min("row_id").alias("row_id"))
-    merged = matching.merge_combinations(
-        {"base": base, "add": add}, {"base": "status"}, "subject", "visit", {"status": ["O", "F", "absent"]}, code=None, measures=["price"], buffer_days=0
+    merged = matching.merge_combinations({"base": base, "add": add}, {"base": "status"}, "subject", "visit", code=None, measures=["price"], buffer_days=0)
+    return merged.groupBy("combination").agg(
+        F.count("*").alias("n_rows"), F.countDistinct("subject").alias("n_subjects"), F.count("price").alias("n_price"), F.count("total").alias("n_total")
     )
-    out = [
-        df.agg(F.count("*").alias("n_rows"), F.countDistinct("subject").alias("n_subjects"), F.count("price").alias("n_price"), F.count("total").alias("n_total")).select(
-            F.lit(name).alias("combination"), "n_rows", "n_subjects", "n_price", "n_total"
-        )
-        for name, df in merged.items()
-    ]
-    return out[0] if len(out) == 1 else out[0].unionByName(out[1])
 
 
 @query("SELECT c_custkey, c_name, c_mktsegment FROM customer WHERE c_custkey >= 0")
