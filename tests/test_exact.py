@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 import statistics
 
@@ -13,19 +14,13 @@ from visitframe.operators import cleaning, conflicts, encoding, matching, orderi
 from visitframe.sources import catalog
 
 
-def test_pseudo_median_on_the_driver_and_by_counting(spark, monkeypatch):
+def test_pseudo_median_by_counting(spark):
     rng = np.random.default_rng(1)
     for values in (rng.normal(size=151), rng.integers(0, 9, 300).astype(float), np.array([2.5] * 7), np.array([1.0, 4.0])):
         i, j = np.triu_indices(len(values))
         want = np.median((values[i] + values[j]) / 2)
         df = spark.createDataFrame([(float(v), 0.0) for v in values], "x double, y double")
         assert abs(stats.pseudo_median(df, "x", "y").first()[0] - want) < 1e-9
-    with monkeypatch.context() as m:
-        m.setattr(stats, "FEW_VALUES", 0)
-        df = spark.createDataFrame([(float(v), 0.0) for v in rng.normal(size=80)], "x double, y double")
-        v = np.array([r["x"] for r in df.collect()])
-        i, j = np.triu_indices(len(v))
-        assert abs(stats.pseudo_median(df, "x", "y").first()[0] - np.median((v[i] + v[j]) / 2)) < 1e-9
     assert stats.pseudo_median(df.limit(0), "x", "y").first()[0] is None
 
 
@@ -202,3 +197,61 @@ def test_combinations_are_merged_as_one_by_one(spark):
             one = matching.merge_all([tables["a"].where(F.col("f") == f), tables["b"].where(F.col("g") == g), tables["c"]], subject="s", date="d", **settings)
             want = sorted(map(str, (tuple(r) for r in one.select(*kept).collect())))
             assert sorted(str(tuple(r)[1:]) for r in found if r["combination"] == f"{f}_{g}") == want
+
+
+def test_noise_classes_by_bounded_sets(spark):
+    rng = np.random.default_rng(12)
+    n = 500
+    columns = {
+        "ten": rng.integers(-5, 5, n), "eleven": rng.integers(-5, 6, n), "wide": rng.choice([0, 21], n), "span20": rng.choice([-7, 3, 13], n), "half": rng.choice([0.5, 1.0], n),
+        "x/y": rng.integers(0, 2, n), "flag": rng.integers(0, 2, n), "real": rng.normal(size=n), "huge": rng.choice([1e300, 2.0], n), "known": rng.normal(size=n), "far": rng.choice([10**12, 10**12 + 4], n),
+    }
+    df = spark.createDataFrame([(k, k, *[float(v[k]) for v in columns.values()]) for k in range(n)], "s long, t long, " + ", ".join(f"`{c}` double" for c in columns))
+    df = df.withColumn("none", F.lit(None).cast("double"))
+
+    def plain(c: str) -> str:
+        v = columns[c]
+        if "/" in c and set(v) <= {0, 1}:
+            return "dummy"
+        few = len(set(v)) <= 10 and all(x == np.floor(x) for x in v) and max(v) - min(v) <= 20
+        return "ordinal" if c == "known" or few else "continuous"
+
+    found = privacy.noise_classes(df, "s", "t", ["known"])
+    assert {r["variable"]: r["class"] for r in found.collect()} == {c: plain(c) for c in columns} | {"none": "continuous"}
+    assert "Expand" not in found._jdf.queryExecution().toString()
+
+
+def plain_tau(x: list[float], y: list[float]) -> tuple[float, int]:
+    s = dx = dy = apart = 0
+    for i, j in itertools.combinations(range(len(x)), 2):
+        a, b = np.sign(x[i] - x[j]), np.sign(y[i] - y[j])
+        s, dx, dy, apart = s + a * b, dx + (a != 0), dy + (b != 0), apart + (a * b < 0)
+    return s / math.sqrt(dx * dy), apart
+
+
+def test_kendall_tau_against_all_pairs(spark):
+    rng = np.random.default_rng(21)
+    cases = [(rng.integers(0, 40, 300), rng.integers(0, 30, 300)), (np.arange(200), rng.permutation(200)), (rng.normal(size=150), rng.choice([1.0, 2.0], 150, p=[0.9, 0.1]))]
+    for x, y in cases:
+        rows = [(float(a), float(b)) for a, b in zip(x, y, strict=True)] + [(None, 1.0), (2.0, math.nan)]
+        found = stats.kendall_tau(spark.createDataFrame(rows, "x double, y double"), "x", "y")
+        tau, _ = plain_tau(list(x), list(y))
+        assert found["n"] == len(x) and math.isclose(found["tau"], tau, abs_tol=1e-12) and 0 <= found["p"] <= 1
+    y = [2, 1, 4, 3, 5, 6]
+    found = stats.kendall_tau(spark.createDataFrame(list(enumerate(y)), "x int, y int"), "x", "y")
+    taus = [abs(plain_tau(list(range(6)), list(p))[0]) for p in itertools.permutations(y)]
+    assert math.isclose(found["p"], np.mean([t >= abs(found["tau"]) - 1e-12 for t in taus]))
+    assert math.isnan(stats.kendall_tau(spark.createDataFrame([(1, 1), (1, 2)], "x int, y int"), "x", "y")["tau"])
+    assert stats.kendall_tau(spark.createDataFrame([], "x int, y int"), "x", "y")["n"] == 0
+
+
+def test_sequences_compared(spark):
+    a = ["x > y"] * 5 + ["y > x"] * 3 + ["x"] * 2 + [""] * 9 + ["z"]
+    b = ["x > y"] * 4 + ["x"] * 3 + ["y > x"] * 2 + ["w"]
+    one, other = (spark.createDataFrame(list(enumerate(t)), "subject int, sequence string") for t in (a, b))
+    top = [tuple(r) for r in visits.top_sequences(one, 3).orderBy("rank").collect()]
+    assert top == [(1, "x > y", 5, 0.25), (2, "y > x", 3, 0.15), (3, "x", 2, 0.1)]
+    row = visits.compare_sequences(one, other, 3, 2).first()
+    assert (row["overlap"], row["n_common"]) == (0.5, 3) and math.isclose(row["tau"], 1 / 3) and not row["passed"]
+    same = visits.compare_sequences(one, one).first()
+    assert same["passed"] and same["overlap"] == 0.8 and same["tau"] == 1.0

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from visitframe.operators.ordering import running_sums
+from visitframe.operators.ordering import global_index, running_sums
 from visitframe.operators.profiling import correlations
 from visitframe.session import materialize
 
@@ -201,10 +201,6 @@ def signed_rank(df: DataFrame, x: str, y: str) -> DataFrame:
     )
 
 
-#: Distinct differences up to which the pseudo-median pairs them on the driver.
-FEW_VALUES = 2048
-
-
 def pseudo_median(df: DataFrame, x: str, y: str, bits: int = 40) -> DataFrame:
     """Hodges-Lehmann estimate: the median of the means of all pairs of differences (a difference with itself
     included). The pairs are never made: differences become integers on a grid of 2^bits steps from the least to the
@@ -221,16 +217,10 @@ def pseudo_median(df: DataFrame, x: str, y: str, bits: int = 40) -> DataFrame:
     grid = d.select(F.round((F.col("d") - F.lit(low)) / F.lit(step)).cast("long").alias("v"))
     counts = materialize(grid.groupBy("v").agg(F.count("*").alias("n")))
     pairs = n * (n + 1) // 2
-    few = counts.limit(FEW_VALUES + 1).collect()
-    if len(few) <= FEW_VALUES:  # so few distinct differences are paired on the driver, by the same rule
-        v, c = (np.array([r[k] for r in few], np.int64) for k in ("v", "n"))
-        i, j = np.triu_indices(len(v))
-        total, often = v[i] + v[j], np.where(i == j, c[i] * (c[i] + 1) // 2, c[i] * c[j])
-        order = np.argsort(total)
-        at = np.searchsorted(np.cumsum(often[order]), sorted({(pairs + 1) // 2, pairs // 2 + 1}))
-        mean = float(total[order][at].mean())
-        return spark.createDataFrame([(low + step * mean / 2,)], "pseudo_median double")
-    sums = [_pair_sum(counts, k, 2 << bits) for k in sorted({(pairs + 1) // 2, pairs // 2 + 1})]
+    first, below = _pair_sum(counts, (pairs + 1) // 2, -1, 0, 2 << bits, pairs)
+    # of an even number of pairs the next one counts as well, which mostly has the same sum
+    second = first if below > pairs // 2 else _pair_sum(counts, pairs // 2 + 1, first, below, 2 << bits, pairs)[0]
+    sums = [first, second]
     return spark.createDataFrame([(low + step * sum(sums) / len(sums) / 2,)], "pseudo_median double")
 
 
@@ -248,22 +238,79 @@ def _pairs_below(counts: DataFrame, limits: Sequence[int]) -> dict[int, int]:
     return {t: (int(ordered[k]) + int(own[k])) // 2 for k, t in enumerate(limits)}
 
 
-def _pair_sum(counts: DataFrame, rank: int, high: int) -> int:
-    """The sum of the pair of that rank, from 1. Three candidates halve the interval twice, three more lie around the
-    interpolated place, where it mostly is."""
-    low, below = -1, 0
-    total = _pairs_below(counts, [high])[high]
+def _pair_sum(counts: DataFrame, rank: int, low: int, below: int, high: int, total: int) -> tuple[int, int]:
+    """(sum, pairs up to it) of the pair of that rank, from 1, given that `below` pairs have a sum up to low and `total` one up to high. Seven
+    candidates divide the interval by eight, three more lie around the interpolated place, where it mostly is."""
     while high - low > 1:
         share = (rank - below) / max(total - below, 1)
         near = low + int((high - low) * share)
-        width = max(1, (high - low) // 64)
-        asked = {low + (high - low) * k // 4 for k in (1, 2, 3)} | {near - width, near, near + width}
+        width = max(1, (high - low) // 512)
+        asked = {low + (high - low) * k // 8 for k in range(1, 8)} | {near - width, near, near + width}
         for t, c in sorted(_pairs_below(counts, sorted(t for t in asked if low < t < high)).items()):
             if c >= rank:
                 high, total = t, c
                 break
             low, below = t, c
-    return high
+    return high, total
+
+
+#: Bits of a rank that one round of kendall_tau looks at.
+DIGIT = 4
+
+
+def discordant_pairs(points: DataFrame) -> int:
+    """Pairs of points (x, y, n: how often) with a smaller x and a larger y. Ranks of y are compared digit by digit: two ranks first differ in one
+    digit, so each round takes points with equal higher digits in the order of x, and for each one the points before
+    it with a larger digit are counted by running sums over ranges. No group is gathered, and the rounds
+    are as many as the ranks have digits."""
+    ranks = global_index(points.select("y").distinct(), ["y"], "rank")
+    held = materialize(points.join(ranks, "y").select("x", "rank", "n"))
+    top = held.agg(F.max("rank")).first()[0]
+    base, found, shift = 1 << DIGIT, 0, 0
+    while top is not None and top >> shift:
+        high, digit = F.shiftright("rank", shift + DIGIT).alias("high"), F.shiftright("rank", shift).bitwiseAND(base - 1).alias("digit")
+        # equal x never count, and so stand together: one row per (high, x), with how many of each digit
+        per = held.select("x", "n", high, digit).groupBy("high", "x").agg(*[F.sum(F.when(F.col("digit") == d, F.col("n")).otherwise(0)).alias(f"n{d}") for d in range(base)])
+        per = materialize(per)
+        run = running_sums(per, ["high", "x"], {f"c{d}": f"n{d}" for d in range(1, base)})
+        # of the running counts, those of the groups before don't count
+        groups = per.groupBy("high").agg(*[F.sum(f"n{d}").alias(f"n{d}") for d in range(base)])
+        starts = running_sums(groups, "high", {f"c{d}": f"n{d}" for d in range(1, base)})
+        ahead = [(F.col(f"c{e}") - F.col(f"n{e}"), F.col(f"n{d}")) for d in range(base) for e in range(d + 1, base)]
+        total = reduce(lambda a, b: a + b, [x.cast("decimal(38,0)") * y for x, y in ahead])
+        inner, outer = (int(t.agg(F.sum(total)).first()[0] or 0) for t in (run, starts))
+        found += inner - outer
+        shift += DIGIT
+    return found
+
+
+def kendall_tau(df: DataFrame, x: str, y: str) -> dict[str, float]:
+    """n, tau (b, with ties) and the two-sided p-value: exact for up to 33 pairs without ties, else by the normal approximation. Rows with a
+    NULL or NaN are left out; fewer than two rows, or a side that doesn't vary, have tau NaN and p NaN."""
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x is not null and y is not null and not isnan(x) and not isnan(y)")
+    points = materialize(rows.groupBy("x", "y").agg(F.count("*").alias("n")))
+
+    def ties(*keys: str) -> tuple[int, int, int]:
+        n = F.col("n").cast("decimal(38,0)")
+        sums = points.groupBy(*keys).agg(F.sum("n").alias("n")).agg(F.sum(n * (n - 1)), F.sum(n * (n - 1) * (n - 2)), F.sum(n * (n - 1) * (2 * n + 5))).first()
+        return tuple(int(v or 0) for v in sums)
+
+    n = int(points.agg(F.sum("n")).first()[0] or 0)
+    (x1, x2, x3), (y1, y2, y3), (both, _, _) = ties("x"), ties("y"), ties("x", "y")
+    pairs = n * (n - 1)
+    if not (pairs - x1) * (pairs - y1):
+        return {"n": n, "tau": math.nan, "p": math.nan}
+    apart = discordant_pairs(points)
+    score = (pairs - x1 - y1 + both) // 2 - 2 * apart
+    tau = score / math.sqrt((pairs - x1) / 2 * ((pairs - y1) / 2))
+    if not x1 and not y1 and n <= 33:
+        counts = [1]  # permutations by inversions
+        for m in range(2, n + 1):
+            counts = [sum(counts[max(0, k - m + 1) : k + 1]) for k in range(len(counts) + m - 1)]
+        tail = sum(counts[: min(apart, pairs // 2 - apart) + 1])
+        return {"n": n, "tau": tau, "p": min(1.0, 2 * tail / math.factorial(n))}
+    spread = (pairs * (2 * n + 5) - x3 - y3) / 18 + x1 * y1 / (2 * pairs) + (x2 * y2 / (9 * pairs * (n - 2)) if n > 2 else 0)
+    return {"n": n, "tau": tau, "p": math.erfc(abs(score) / math.sqrt(spread) / math.sqrt(2)) if spread > 0 else math.nan}
 
 
 def t_p_value(t: float, degrees: float) -> float:

@@ -258,6 +258,36 @@ def first_crossings(df: DataFrame, subject: str, time: str, thresholds: Mapping[
     return per.select(subject, F.array_join(F.transform(ordered, lambda e: e["m"]), " > ").alias("sequence"))
 
 
+def top_sequences(sequences: DataFrame, most: int = 10) -> DataFrame:
+    """(rank, sequence, n, share): the `most` most frequent sequences, of equal counts the smaller text first. Subjects whose markers never cross
+    (empty sequences) count in the shares but have no rank. Counts combine before they move, and only `most` rows are sorted out."""
+    counts = sequences.groupBy("sequence").agg(F.count("*").alias("n"))
+    total = counts.agg(F.sum("n").alias("__total"))
+    top = counts.where((F.col("sequence") != "") & F.col("sequence").isNotNull()).orderBy(F.desc("n"), "sequence").limit(most)
+    ranked = top.withColumn("rank", F.row_number().over(Window.orderBy(F.desc("n"), "sequence")))  # `most` rows
+    return ranked.crossJoin(F.broadcast(total)).select("rank", "sequence", "n", (F.col("n") / F.col("__total")).alias("share"))
+
+
+def top_overlap(one: DataFrame, other: DataFrame, most: int = 5) -> DataFrame:
+    """One row: how many of the `most` first sequences of two tables of top_sequences are in both, and their share of `most`."""
+    a, b = (t.where(F.col("rank") <= most).select("sequence") for t in (one, other))
+    return a.join(b, "sequence").agg(F.count("*").alias("n_common"), (F.count("*") / F.lit(most)).alias("share"))
+
+
+def compare_sequences(real: DataFrame, synthetic: DataFrame, most: int = 10, first: int = 5) -> DataFrame:
+    """One row: the share of the `first` sequences that two tables (subject, sequence) have in common, Kendall's tau of the counts
+    of the sequences that are among the `most` of both (0 with p-value 1 if there is one at most), and whether the order of events is kept."""
+    from visitframe.operators.stats import kendall_tau
+
+    tops = [top_sequences(t, most) for t in (real, synthetic)]
+    both = tops[0].select("sequence", F.col("n").alias("a")).join(tops[1].select("sequence", F.col("n").alias("b")), "sequence")
+    found = kendall_tau(both, "a", "b")
+    tau, p = (found["tau"], found["p"]) if found["n"] > 1 else (0.0, 1.0)
+    shared = top_overlap(*tops, first).select(F.col("share").alias("overlap"))
+    out = shared.select("overlap", F.lit(found["n"]).cast("long").alias("n_common"), F.lit(float(tau)).alias("tau"), F.lit(float(p)).alias("p_value"))
+    return out.withColumn("passed", (F.col("overlap") >= 0.6) & ~F.isnan("tau") & (F.col("tau") > 0.5))
+
+
 def strictly_increasing(df: DataFrame, subject: str, time: str) -> DataFrame:
     """Equal times of a subject move up by the smallest possible step; visits are streamed in order with the last time."""
 

@@ -230,6 +230,15 @@ def hodges_lehmann(spark, sf):
     return rounded(stats.pseudo_median(t(spark, sf, "part").select(F.col("p_retailprice").alias("x"), (20.0 * F.col("p_size")).alias("y")), "x", "y"))
 
 
+@query(
+    """WITH p AS (SELECT sign(a.p_size - b.p_size) * sign(a.p_retailprice - b.p_retailprice) AS s, a.p_size <> b.p_size AS dx, a.p_retailprice <> b.p_retailprice AS dy FROM part a JOIN part b ON a.p_partkey < b.p_partkey)
+    SELECT (SELECT count(*) FROM part) AS n, round((sum(s) / sqrt(count(*) FILTER (WHERE dx) * count(*) FILTER (WHERE dy)::DOUBLE))::DOUBLE, 6) AS tau FROM p"""
+)
+def kendall_tau(spark, sf):
+    found = stats.kendall_tau(t(spark, sf, "part"), "p_size", "p_retailprice")
+    return rounded(spark.createDataFrame([(found["n"], found["tau"])], "n long, tau double"))
+
+
 _MOMENTS = " UNION ALL ".join(
     f"SELECT '{c}' AS variable, round(avg(({c} - m) ** 3) / v ** 1.5, 6) AS skewness, round(avg(({c} - m) ** 4) / v ** 2 - 3, 6) AS kurtosis "
     f"FROM lineitem, (SELECT avg({c}) AS m, var_pop({c}) AS v FROM lineitem) GROUP BY v"

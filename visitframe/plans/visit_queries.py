@@ -160,6 +160,40 @@ def first_crossing_sequence(spark, sf):
     return V.first_crossings(df, "subject", "ts", {"high": (">=", 50), "low": ("<", 5), "odd": (">=", 8)})
 
 
+_SEQUENCES = f"""f AS (SELECT subject, min(ts) FILTER (WHERE value >= 50) AS a, min(ts) FILTER (WHERE value < 5) AS b, min(ts) FILTER (WHERE event_id % 10 >= 8) AS c,
+    min(ts) FILTER (WHERE value >= 20) AS d FROM ({EVENTS}) GROUP BY subject),
+    l AS (SELECT subject, unnest([{{'t': a, 'm': 'high'}}, {{'t': b, 'm': 'low'}}, {{'t': c, 'm': 'odd'}}, {{'t': d, 'm': 'middle'}}]) AS e FROM f),
+    q AS (SELECT subject, coalesce(string_agg(e.m, ' > ' ORDER BY e.t, e.m) FILTER (WHERE e.t IS NOT NULL), '') AS sequence FROM l GROUP BY subject)"""
+
+
+def _sequences(spark, sf):
+    columns = [F.col("value").alias(c) for c in ("high", "low", "middle")]
+    df = _events(spark, sf).select("subject", "ts", *columns, (F.col("event_id") % 10).alias("odd"))
+    return V.first_crossings(df, "subject", "ts", {"high": (">=", 50), "low": ("<", 5), "odd": (">=", 8), "middle": (">=", 20)})
+
+
+@query(
+    f"""WITH {_SEQUENCES}, n AS (SELECT sequence, count(*) AS n FROM q GROUP BY sequence)
+    SELECT row_number() OVER (ORDER BY n DESC, sequence)::INT AS rank, sequence, n, round(n / (SELECT sum(n) FROM n)::DOUBLE, 6) AS share FROM n WHERE sequence <> '' QUALIFY rank <= 10"""
+)
+def top_sequences(spark, sf):
+    return rounded(V.top_sequences(_sequences(spark, sf)))
+
+
+@query(
+    f"""WITH {_SEQUENCES}, n AS (SELECT subject % 2 AS side, sequence, count(*) AS n FROM q WHERE sequence <> '' GROUP BY ALL),
+    r AS (SELECT *, row_number() OVER (PARTITION BY side ORDER BY n DESC, sequence) AS rank FROM n),
+    c AS (SELECT a.sequence, a.n AS x, b.n AS y, a.rank AS ra, b.rank AS rb FROM r a JOIN r b ON a.side = 0 AND b.side = 1 AND a.sequence = b.sequence WHERE a.rank <= 10 AND b.rank <= 10),
+    p AS (SELECT sign(a.x - b.x) * sign(a.y - b.y) AS s, a.x <> b.x AS dx, a.y <> b.y AS dy FROM c a JOIN c b ON a.sequence < b.sequence),
+    t AS (SELECT (sum(s) / sqrt(count(*) FILTER (WHERE dx) * count(*) FILTER (WHERE dy)))::DOUBLE AS tau FROM p),
+    o AS (SELECT count(*) / 5.0::DOUBLE AS overlap FROM c WHERE ra <= 5 AND rb <= 5)
+    SELECT round(overlap, 6) AS overlap, (SELECT count(*) FROM c) AS n_common, round(tau, 6) AS tau, overlap >= 0.6 AND tau > 0.5 AS passed FROM o, t"""
+)
+def sequence_comparison(spark, sf):
+    q = _sequences(spark, sf)
+    return rounded(V.compare_sequences(q.where("subject % 2 = 0"), q.where("subject % 2 = 1")).drop("p_value"))
+
+
 @query()
 def strictly_increasing_times(spark, sf):
     df = _events(spark, sf).select("subject", "event_id", F.dayofmonth("ts").cast("double").alias("day"))
