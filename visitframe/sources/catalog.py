@@ -6,6 +6,7 @@ The catalogue is a Parquet folder of appended entries; the newest entry of an ob
 
 from __future__ import annotations
 
+import json
 import re
 from collections.abc import Mapping, Sequence
 from itertools import product
@@ -73,6 +74,30 @@ class Catalog:
         self._append([(bucket, prefix, object_name, path, file_format, custom, version, False)])
         return path
 
+    def store(
+        self, df: DataFrame, object_name: str, bucket: str = "default", prefix: str = "", metadata: Mapping[str, str] | None = None
+    ) -> None:
+        """Write df and register it in one transaction: if a task fails, neither file nor version stays."""
+        from visitframe.sources.catalogued import CataloguedSink
+
+        self.spark.dataSource.register(CataloguedSink)
+        options = {"root": self.root, "object_name": object_name, "bucket": bucket, "prefix": prefix, "metadata": json.dumps(dict(metadata or {}))}
+        df.write.format("catalogued").mode("append").options(**options).save()
+
+    def upload_file(self, path: str, object_name: str, bucket: str = "default", prefix: str = "", metadata: Mapping[str, str] | None = None) -> str:
+        """Copy a file as it is, of any kind, and register it; the bytes go through Arrow's file systems in pieces."""
+        from pyarrow import fs
+
+        version = self._next()
+        kind = files.extension(path)
+        target = "/".join(x for x in (self.root, bucket, prefix, f"{object_name}.v{version}" + (f".{kind}" if kind else "")) if x)
+        system, place = fs.FileSystem.from_uri(target)
+        system.create_dir(place.rpartition("/")[0], recursive=True)
+        fs.copy_files(path, target)
+        custom = {k: str(v) for k, v in (metadata or {}).items()}
+        self._append([(bucket, prefix, object_name, target, kind, custom, version, False)])
+        return target
+
     def search(self, query: Mapping[str, object], bucket: str | None = None) -> DataFrame:
         found = self.entries().where(predicate(query))
         return found.where(F.col("bucket") == bucket) if bucket else found
@@ -110,6 +135,8 @@ class Catalog:
     def _read(self, row) -> DataFrame:
         if row["format"] == "csv":
             return files.read_csv(self.spark, row["path"])
+        if row["format"] not in ("parquet", "json", "orc"):
+            return files.read_any(self.spark, row["path"])
         return files.nan_to_null(self.spark.read.format(row["format"]).load(row["path"]))
 
 

@@ -66,20 +66,49 @@ def read_any(spark: SparkSession, path: str, **options) -> DataFrame:
     return spark.read.format("binaryFile").load(path)
 
 
-def read_excel(spark: SparkSession, path: str, schema: StructType | None = None) -> DataFrame:
-    """A spreadsheet: read by pandas, a workbook per task, so its size is one file's."""
-    files = spark.read.format("binaryFile").load(path)
-    if schema is None:
-        first = files.select("content").first()
-        head = pd.read_excel(io.BytesIO(first["content"]), nrows=1000)
-        schema = spark.createDataFrame(head.astype(object).where(head.notna(), None)).schema
-
-    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            for content in batch["content"]:
-                yield pd.read_excel(io.BytesIO(content))[schema.fieldNames()]
+def read_excel(spark: SparkSession, path: str, sheet: str | None = None, schema: StructType | None = None) -> DataFrame:
+    """A sheet of a workbook (the first by default, `*` for all), read on the executors: see sources.workbook."""
+    from visitframe.sources.workbook import WorkbookSource
+
+    if extension(path) == "xls":
+        raise ValueError("binary .xls files aren't read: save the workbook as .xlsx")
+    spark.dataSource.register(WorkbookSource)
+    reader = spark.read.format("workbook")
+    reader = reader.option("sheet", sheet) if sheet else reader
+    return (reader.schema(schema) if schema else reader).load(path)
+
+
+#: Rows of a table that write_single takes at most.
+MOST_SINGLE = 1_000_000
 
-    return nan_to_null(files.select("content").mapInPandas(parse, schema))
+
+def write_single(df: DataFrame, path: str, first: list[str] | None = None, last: list[str] | None = None, most: int = MOST_SINGLE) -> None:
+    """One named file for a report or summary: csv (with a header), json (a list of records) or txt (aligned columns), by
+    extension, columns in the order of `first`, the others, `last`. Reports are small: over `most` rows raise an error."""
+    from visitframe.operators.ordering import order_columns
+
+    ordered = order_columns(df, first or [], last or [])
+    table = ordered.limit(most + 1).toPandas()
+    if len(table) > most:
+        raise ValueError(f"over {most} rows: write a folder")
+    kind = extension(path)
+    if kind == "csv":
+        table.to_csv(path, index=False)
+    elif kind == "json":
+        table.to_json(path, orient="records", date_format="iso", indent=1)
+    elif kind == "txt":
+        with open(path, "w", encoding="utf-8") as out:
+            out.write(table.to_string(index=False) + "\n")
+    else:
+        raise ValueError(f"no single-file writer for .{kind}")
+
+
+def write_pair(df: DataFrame, path: str, first: list[str] | None = None) -> tuple[str, str]:
+    """A report as <path>.csv and <path>.json."""
+    made = (f"{path}.csv", f"{path}.json")
+    for p in made:
+        write_single(df, p, first)
+    return made
 
 
 def zip_members(spark: SparkSession, path: str) -> DataFrame:
