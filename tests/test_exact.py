@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from visitframe.operators import cleaning, conflicts, encoding, matching, ordering, privacy, profiling, stats, visits
+from visitframe.operators import cleaning, conflicts, encoding, matching, ordering, privacy, profiling, stats, validation, visits
 from visitframe.sources import catalog
 
 
@@ -255,3 +255,32 @@ def test_sequences_compared(spark):
     assert (row["overlap"], row["n_common"]) == (0.5, 3) and math.isclose(row["tau"], 1 / 3) and not row["passed"]
     same = visits.compare_sequences(one, one).first()
     assert same["passed"] and same["overlap"] == 0.8 and same["tau"] == 1.0
+
+
+def test_modes_of_validation(spark):
+    rng = np.random.default_rng(31)
+    real = spark.createDataFrame([(k, k % 9, float(v), float(60 + k % 10), "a", float(v > 0)) for k, v in enumerate(rng.normal(size=400))], "row long, s long, x double, AGE double, c string, y double")
+    rows = [(k, k % 9, float(v), float(40 + k % 60), "a", float(v > 0), 1) for k, v in enumerate(rng.normal(size=400))]
+    synthetic = spark.createDataFrame(rows, "row long, s long, generated_x double, AGE double, generated_c string, y double, generation_id int")
+    found = validation.validate(real, synthetic, "row", "s", ["x", "y", "z"], ["c"], "age_matching")
+    tests = {(r["test"], r["variable"]): r for r in found.collect()}
+    assert set(tests) == {("ks", "x"), ("ks", "y"), ("correlation", None)}
+    r, s = validation.age_matched(real, synthetic, "row", "AGE", 5)
+    assert {x[0] for x in s.select("AGE").distinct().collect()} == set(range(60, 70)) and r.count() == s.count() < 100
+    plain = validation.validate(real, real, "row", "s", ["x", "y"], [], "age_matching", align=False).where("test = 'ks'").first()
+    assert plain["value"] > 0.99
+    used = validation.validate(real, synthetic, "row", "s", ["x"], [], "utility", target="y")
+    assert {r["test"] for r in used.collect()} == {"utility"}
+    own = validation.validate(real, synthetic, "row", "s", ["x"], [], "utility", target="y", utility_synthetic=real.limit(100))
+    assert own.count() == used.count()
+    for mode, more in (("none", {}), ("utility", {})):
+        with pytest.raises(ValueError, match="mode"):
+            validation.validate(real, synthetic, "row", "s", ["x"], [], mode, **more)
+
+
+def test_dates_follow_their_links(spark):
+    base = spark.createDataFrame([(1, "2020-01-01"), (2, "2020-02-02"), (3, None)], "row_id long, d string")
+    add = spark.createDataFrame([(10, "2020-01-05", 1), (11, "2020-05-05", 2), (12, "2020-06-06", 3)], "row_id long, d string, v int")
+    links = spark.createDataFrame([(2, 10), (1, 10), (3, 12), (99, 11)], "id1 long, id2 long")
+    got = {r["row_id"]: (r["d"], r["v"]) for r in matching.align_dates(base, add, links, "d").collect()}
+    assert got == {10: ("2020-01-01", 1), 11: ("2020-05-05", 2), 12: (None, 3)}

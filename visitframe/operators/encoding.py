@@ -253,6 +253,34 @@ def present_settings(
     return out
 
 
+def normalization_settings(
+    df: DataFrame, settings: Mapping[str, object], additional: Mapping[str, tuple[float, float]] | None = None, method: str = "METHOD",
+    drop_right: bool = False,
+) -> DataFrame:
+    """(variable, method, low, high): the settings of the columns that are there. A column's setting is (low, high), with a NULL method here,
+    or a mapping from methods to such, of which the methods stay that occur in `method`; where `unknown` occurs and the column
+    has values under it, its bounds are their 1st and 99th percentiles, else it is left out. `additional` settings replace
+    others. With drop_right, of columns of both sides (names that start with L or R) the right ones go. One aggregate for
+    the methods and one for all percentiles; the settings themselves are the driver's."""
+    chosen = {c: v for c, v in settings.items() if c in df.columns}
+    if drop_right and any(c[0] in "LR" for c in chosen):
+        chosen = {c: v for c, v in chosen.items() if c[0] != "R"}
+    chosen |= {c: v for c, v in (additional or {}).items() if c in df.columns}
+    by_method = {c: v for c, v in chosen.items() if isinstance(v, Mapping)}
+    rows = [(c, None, float(v[0]), float(v[1])) for c, v in chosen.items() if c not in by_method]
+    if by_method:
+        names = sorted({m for v in by_method.values() for m in v} | {"unknown"})
+        here = {r[0] for r in df.where(F.col(method).isin(names)).select(method).distinct().collect()}  # of the settings' methods
+        ends = {}
+        if "unknown" in here:
+            ends = df.where(F.col(method) == "unknown").agg(*[F.percentile(f"`{c}`", [0.01, 0.99]).alias(c) for c in by_method]).first().asDict()
+        for c, v in by_method.items():
+            rows += [(c, m, float(lo), float(hi)) for m, (lo, hi) in v.items() if m in here and m != "unknown"]
+            if ends.get(c) is not None:
+                rows.append((c, "unknown", *ends[c]))
+    return df.sparkSession.createDataFrame(rows, "variable string, method string, low double, high double")
+
+
 def numeric_columns(df: DataFrame, exclude: Sequence[str] = ()) -> list[str]:
     """Feature columns: all numeric ones but ids, times and others to exclude."""
     return [f.name for f in df.schema.fields if isinstance(f.dataType, NumericType) and f.name not in exclude]

@@ -186,6 +186,15 @@ def merge_matched(
     return merged.unionByName(rest, allowMissingColumns=True)
 
 
+def align_dates(base: DataFrame, add: DataFrame, links: DataFrame, date: str, row_id: str = "row_id") -> DataFrame:
+    """add with the date of the base row that a row is linked to (links: id1, id2); rows without a link keep theirs. A row
+    with several links takes the smallest base id's date; NULL dates of the base count as they are."""
+    known = links.join(base.select(F.col(row_id).alias("id1"), F.col(date).alias("__d")), "id1")
+    first = known.groupBy("id2").agg(F.min_by(F.struct("__d"), "id1").alias("__hit"))
+    joined = add.join(first.withColumnRenamed("id2", row_id), row_id, "left")
+    return joined.select(*[(F.when(F.col("__hit").isNotNull(), F.col("__hit.__d")).otherwise(F.col(c)) if c == date else F.col(f"`{c}`")).alias(c) for c in add.columns])
+
+
 def merge_pair(
     base: DataFrame, add: DataFrame, subject: str, date: str, code: str | None, measures: Sequence[str],
     row_id: str = "row_id", buffer_days: int = 80, status: str | None = None, strength: str | None = None,

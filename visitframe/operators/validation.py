@@ -11,7 +11,7 @@ from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitframe.operators import privacy, profiling, splitting, stats
+from visitframe.operators import cleaning, encoding, privacy, profiling, splitting, stats
 
 RESULT = "test string, variable string, metric string, value double, threshold double, passed boolean"
 
@@ -108,6 +108,37 @@ def full_report(
     return reduce(DataFrame.unionByName, parts)
 
 
+def age_matched(real: DataFrame, synthetic: DataFrame, key: str, age: str, tolerance_percent: float = 5) -> tuple[DataFrame, DataFrame]:
+    """Synthetic rows in the real range of ages, and the real table, cut to their number where it is much larger. Without an age in
+    both tables all ages count."""
+    if age in real.columns and age in synthetic.columns:
+        synthetic = cleaning.within_range_of(synthetic, real, age, tolerance_percent)
+    return cleaning.balance_sizes(real, synthetic, [key]), synthetic
+
+
+def validate(
+    real: DataFrame, synthetic: DataFrame, key: str, subject: str, numeric: Sequence[str], categorical: Sequence[str], mode: str = "full",
+    target: str | None = None, age: str = "AGE", tolerance_percent: float = 5, align: bool = True,
+    utility_real: DataFrame | None = None, utility_synthetic: DataFrame | None = None,
+) -> DataFrame:
+    """Align, check and validate. Modes: `full` (full_report); `age_matching`: synthetic rows with an age in the real range, `tolerance_percent` of
+    its span wider on both sides, a real table that is much larger cut to their number, then fidelity of the numbers alone;
+    `utility`: train on synthetic, test on real alone, on tables of their own if given. align=False takes
+    the tables as they are. Tests over columns that alignment dropped are left out."""
+    if mode not in ("full", "age_matching", "utility"):
+        raise ValueError(f"no mode {mode}")
+    if align:
+        real, synthetic = encoding.align_columns(real, synthetic)
+    numeric, categorical = ([c for c in names if c in real.columns and c in synthetic.columns] for names in (numeric, categorical))
+    if mode == "utility":
+        if target is None:
+            raise ValueError("the utility mode needs a target")
+        return utility(real if utility_real is None else utility_real, synthetic if utility_synthetic is None else utility_synthetic, subject, numeric, target)
+    if mode == "age_matching":
+        return fidelity(*age_matched(real, synthetic, key, age, tolerance_percent), numeric, [])
+    return full_report(real, synthetic, key, subject, numeric, categorical, target)
+
+
 def fidelity_verdict(report: DataFrame) -> DataFrame:
     """One row: share of passed tests and what it stands for."""
     share = report.where("passed is not null").agg(F.avg(F.col("passed").cast("double")).alias("pass_rate"))

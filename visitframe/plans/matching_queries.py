@@ -110,6 +110,18 @@ def buffer_decision(spark, sf):
     return p.select("id1", "id2", M.decide_buffered(F.col("code1"), F.col("code2"), F.datediff("d1", "d2")).alias("decision"))
 
 
+@query(
+    f"""WITH p AS ({_PAIRS.replace('SELECT o.row_id AS id1, s.row_id AS id2', 'SELECT o.row_id AS id1, s.row_id AS id2, o.visit AS d1')}), f AS (SELECT id2, arg_min(d1, id1) AS d FROM p GROUP BY id2)
+    SELECT s.row_id, coalesce(f.d, s.visit) AS visit, s.visit AS was FROM ({S}) s LEFT JOIN f ON f.id2 = s.row_id"""
+)
+def aligned_dates(spark, sf):
+    """Shipments with the date of the order within 80 days that comes first by its id."""
+    a, b = _sides(spark, sf)
+    links = M.buffered_pairs(a, b, "subject", "d1", "d2", 80).select("id1", "id2")
+    base, add = a.select(F.col("id1").alias("row_id"), F.col("d1").alias("visit")), b.select(F.col("id2").alias("row_id"), F.col("d2").alias("visit"), F.col("d2").alias("was"))
+    return M.align_dates(base, add, links, "visit").select("row_id", "visit", "was")
+
+
 @query()
 def merge_visits(spark, sf):
     """Orders and shipments of a customer as one visit table."""

@@ -86,6 +86,20 @@ def method_settings(spark, sf):
     return rounded(encoding.settings_of(t(spark, sf, "orders"), "o_totalprice", "o_orderpriority"))
 
 
+@query(
+    """WITH o AS (SELECT CASE o_orderpriority WHEN '5-LOW' THEN 'unknown' ELSE o_orderpriority END AS method, o_totalprice AS price, CASE WHEN o_orderpriority <> '5-LOW' THEN o_custkey END AS key FROM orders)
+    SELECT 'price' AS variable, '1-URGENT' AS method, 10.0::DOUBLE AS low, 20.0::DOUBLE AS high WHERE EXISTS (FROM o WHERE method = '1-URGENT')
+    UNION ALL SELECT 'price', 'unknown', round(quantile_cont(price, 0.01), 6), round(quantile_cont(price, 0.99), 6) FROM o WHERE method = 'unknown' GROUP BY ALL
+    UNION ALL SELECT 'key', '2-HIGH', 3, 4 WHERE EXISTS (FROM o WHERE method = '2-HIGH') UNION ALL SELECT 'Lvol', NULL, 0, 9"""
+)
+def normalization_settings(spark, sf):
+    o = t(spark, sf, "orders")
+    low = F.col("o_orderpriority") == "5-LOW"
+    df = o.select(F.when(low, "unknown").otherwise(F.col("o_orderpriority")).alias("METHOD"), F.col("o_totalprice").alias("price"), F.when(~low, F.col("o_custkey")).alias("key"), F.lit(1).alias("Lvol"), F.lit(1).alias("Rvol"))
+    settings = {"price": {"1-URGENT": (10, 20), "gone": (1, 2), "unknown": (0, 0)}, "key": {"2-HIGH": (3, 4), "unknown": (0, 0)}, "Lvol": (0, 1), "Rvol": (0, 1), "absent": (0, 1)}
+    return rounded(encoding.normalization_settings(df, settings, {"Lvol": (0, 9), "gone": (0, 1)}, drop_right=True))
+
+
 @query("SELECT l_orderkey, l_linenumber, round(least(greatest((l_quantity - 5) / 40, 0), 1), 6) AS l_quantity, round(least(greatest(1 - l_tax / 0.05, 0), 1), 6) AS l_tax FROM lineitem")
 def normalize_fixed(spark, sf):
     df = t(spark, sf, "lineitem").select("l_orderkey", "l_linenumber", "l_quantity", "l_tax")

@@ -4,8 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from visitframe.operators import validation
-from visitframe.plans.base import halves, order_visits, query, rounded, t
+from visitframe.operators import stats, validation
+from visitframe.plans.base import ORDER_VISITS_SQL, halves, order_visits, query, rounded, t
 from visitframe.plans.matching_queries import FEATURES, vectors
 from visitframe.streaming import visits as streaming
 
@@ -34,6 +34,28 @@ def validation_report(spark, sf):
     return rounded(validation.full_report(real, synthetic, "vec_id", "subject", FEATURES, ["label"]))
 
 
+@query(
+    f"""WITH v AS (SELECT *, month(visit)::DOUBLE AS month FROM ({ORDER_VISITS_SQL}) WHERE price IS NOT NULL AND score IS NOT NULL AND visit IS NOT NULL),
+    r AS (SELECT * FROM v WHERE row_id % 2 = 0 AND month < 7), b AS (SELECT min(month) - 0.05 * (max(month) - min(month)) AS lo, max(month) + 0.05 * (max(month) - min(month)) AS hi FROM r),
+    s AS (SELECT v.* FROM v, b WHERE row_id % 2 = 1 AND month BETWEEN lo AND hi),
+    l AS (SELECT 'price' AS variable, price AS v, 1 AS side FROM r UNION ALL SELECT 'price', price, 0 FROM s UNION ALL SELECT 'score', score, 1 FROM r UNION ALL SELECT 'score', score, 0 FROM s),
+    c AS (SELECT variable, v, sum(sum(side)) OVER w AS a, sum(sum(1 - side)) OVER w AS b FROM l GROUP BY variable, v WINDOW w AS (PARTITION BY variable ORDER BY v))
+    SELECT variable, (SELECT count(*) FROM r) AS n_real, (SELECT count(*) FROM s) AS n_synthetic,
+      round(max(abs(a / (SELECT count(*) FROM r)::DOUBLE - b / (SELECT count(*) FROM s)::DOUBLE)), 6) AS statistic FROM c GROUP BY variable"""
+)
+def age_matched_gaps(spark, sf):
+    """What the age-matching mode tests: gaps of the distributions once the synthetic rows lie in the real range."""
+    real, synthetic = _sides(spark, sf)
+    real, synthetic = validation.age_matched(real.where("month < 7"), synthetic, "row_id", "month")
+    return rounded(stats.ks_statistic(real, synthetic, ["price", "score"]))
+
+
+@query()
+def validation_age_matching(spark, sf):
+    real, synthetic = _sides(spark, sf)
+    return rounded(validation.validate(real.where("month < 7"), synthetic, "row_id", "subject", ["price", "score", "absent"], ["status"], "age_matching", age="month"))
+
+
 @query()
 def tstr_forest(spark, sf):
     d = t(spark, sf, "documents").join(t(spark, sf, "labels").select("doc_id", F.col("quality").cast("string").alias("quality")), "doc_id")
