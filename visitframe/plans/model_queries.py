@@ -551,3 +551,39 @@ def course_scoring(spark, sf):
 def psi_bounds(spark, sf):
     e = t(spark, sf, "events").select("value", ((F.col("user_id") % 7) / 10.0 - 0.3).alias("xi"), (F.col("user_id") % 5).cast("double").alias("tau"))
     return course.age_bounds(e, "value", "xi", "tau")
+
+
+_PLANTED = {"a": {"g": 2.0, "v0": 0.02}, "b": {"g": 0.5, "v0": 0.03}, "c": {"g": 1.0, "v0": 0.05}}
+
+
+def _planted(spark, sf):
+    """Each user's events as visits at an age, with values of the course for parameters that its id gives."""
+    e = t(spark, sf, "events").select(F.col("user_id").alias("subject"), (40 + F.dayofyear("ts") / 6.0 + F.hour("ts")).alias("age"))
+    e = e.withColumns({"xi": (F.col("subject") % 7 - 3) / 10.0, "tau": 65.0 + F.col("subject") % 11})
+    return course.score(e, "age", "xi", "tau", _PLANTED)
+
+
+@query(
+    """WITH u AS (SELECT user_id AS subject, count(*) AS n FROM events GROUP BY ALL HAVING count(DISTINCT ts) >= 4)
+    SELECT subject, n * 3 AS n, (subject % 7 - 3) / 10.0::DOUBLE AS xi, (65 + subject % 11)::DOUBLE AS tau FROM u"""
+)
+def individual_parameters(spark, sf):
+    """Planted parameters are found again, to a tenth and a year."""
+    rows = _planted(spark, sf)
+    many = t(spark, sf, "events").groupBy(F.col("user_id").alias("subject")).agg(F.count_distinct("ts").alias("k")).where("k >= 4")
+    found = course.individual_parameters(rows.join(many, "subject", "left_semi"), "subject", "age", _PLANTED, 70.0, 20.0, 5.0, 1e-3)
+    return found.select("subject", "n", F.round("xi", 1).alias("xi"), F.round("tau", 0).alias("tau"))
+
+
+@query(
+    """WITH p AS (SELECT DISTINCT user_id AS s, (user_id % 7 - 3) / 10.0 AS xi, 65.0 + user_id % 11 AS tau FROM events),
+    l AS (SELECT 'xi' AS variable, xi::DOUBLE AS v, s % 2 AS side FROM p UNION ALL SELECT 'tau', tau::DOUBLE, s % 2 FROM p),
+    n AS (SELECT variable, count(*) FILTER (WHERE side = 0) AS n0, count(*) FILTER (WHERE side = 1) AS n1, avg(v) FILTER (WHERE side = 0) AS mean_real, avg(v) FILTER (WHERE side = 1) AS mean_synthetic FROM l GROUP BY variable),
+    c AS (SELECT variable, v, sum(sum(1 - side)) OVER w AS a, sum(sum(side)) OVER w AS b FROM l GROUP BY variable, v WINDOW w AS (PARTITION BY variable ORDER BY v))
+    SELECT variable, round(max(abs(a / n0::DOUBLE - b / n1::DOUBLE)), 6) AS statistic, round(any_value(mean_real), 6) AS mean_real, round(any_value(mean_synthetic), 6) AS mean_synthetic FROM c JOIN n USING (variable) GROUP BY variable"""
+)
+def parameter_comparison(spark, sf):
+    """Individual parameters of two halves of the subjects against one another."""
+    p = _planted(spark, sf).select("subject", "xi", "tau").distinct()
+    found = course.compare_parameters(p.where("subject % 2 = 0"), p.where("subject % 2 = 1"))
+    return rounded(found.select("variable", "statistic", "mean_real", "mean_synthetic"))
