@@ -33,7 +33,7 @@ from pyspark.sql import functions as F
 from visitframe.llm.common import checkpoint, hot_join, partitions, running_total, written
 
 #: Turns of a prefix shard at most.
-SHARD_ROWS = 1 << 14
+SHARD_ROWS = 1 << 10
 #: Turns of one conversation that are prefix-summed in one window.
 STRETCH = 1 << 12
 #: Rows of shards that a task works on at once.
