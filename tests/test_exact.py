@@ -307,3 +307,11 @@ def test_individual_parameters_are_found(spark):
     found = course.individual_parameters(rows(0.02), "s", "t", features, 70.0, 10.0, 0.5, 0.02).collect()
     assert all(r["converged"] for r in found)
     assert np.mean([abs(r["xi"] - planted[r["s"]][0]) for r in found]) < 0.05 and np.mean([abs(r["tau"] - planted[r["s"]][1]) for r in found]) < 0.6
+
+
+def test_population_curve_is_that_of_the_mean_subject(spark):
+    features = {"a": {"g": 2.0, "v0": 0.02}, "b": {"g": 0.5, "v0": 0.04}}
+    times = [50.0, 70.0, 90.0]
+    rows = course.score(spark.createDataFrame([(t, 0.0, 70.0) for t in times], "t double, xi double, tau double"), "t", "xi", "tau", features).orderBy("t").collect()
+    curve = course.population_curve(features, times, 70.0)
+    assert all(math.isclose(r[f], curve[f][k]) for k, r in enumerate(rows) for f in features)

@@ -13,6 +13,7 @@ from visitframe.operators.encoding import interpolate_at, median_impute, standar
 from visitframe.operators.matching import blocked_nearest
 from visitframe.operators.ordering import running_sums
 from visitframe.operators.stats import ks_statistic
+from visitframe.session import materialize
 
 
 def hash_uniform(keys: Sequence[str], seed: int, salt: str = "") -> Column:
@@ -195,7 +196,7 @@ def closest_record_ratio(
     train, rest, queries = (
         median_impute(t.select(key, *columns), columns) for t in (real.where(in_train), real.where(~in_train), synthetic)
     )
-    scaled = {n: standardize(t, columns, train) for n, t in (("train", train), ("rest", rest), ("queries", queries))}
+    scaled = {n: materialize(standardize(t, columns, train)) for n, t in (("train", train), ("rest", rest), ("queries", queries))}
     near = [
         blocked_nearest(scaled["queries"], scaled[name], key, columns, 1).select("query_id", F.col("distance").alias(name))
         for name in ("train", "rest")

@@ -99,13 +99,19 @@ def drop_flagged(spark, sf):
 _PARTS = ["size", "retail_csf", "retail_pet", "brand"]
 
 
-@query("SELECT 'columns' AS what, 'size,retail_csf,brand' AS value UNION ALL SELECT 'retail_csf', '1:5' UNION ALL SELECT 'retail_pet', '0:9' UNION ALL SELECT 'size', '1:50'")
+@query(
+    """SELECT p_partkey, round(least(greatest((p_size - 1) / 49.0, 0), 1), 6) AS size, round(least(greatest((p_retailprice - 900) / 600.0, 0), 1), 6) AS retail_csf,
+    round(least(greatest((p_retailprice - 800) / 1200.0, 0), 1), 6) AS retail_pet, p_brand AS brand FROM part"""
+)
 def present_settings(spark, sf):
-    df = t(spark, sf, "part").select(F.col("p_size").alias("size"), F.col("p_retailprice").alias("retail_csf"), F.col("p_retailprice").alias("retail_pet"), F.col("p_brand").alias("brand"))
-    names = encoding.present_columns(df.columns, {"a": ["size", "absent"], "b": ["retail_csf", "retail_pet", "brand"]}, ["retail_pet"])
-    settings = {"size": "1:50", "absent": "0:1", "retail_csf": {"elecsys": "1:5", "unknown": "2:3"}, "retail_pet": {"fbp": "4:4", "unknown": "0:9"}, "brand": {"fbp": "7:7"}}
+    """The settings of the columns that are there, by the combination's methods, applied."""
+    price = F.col("p_retailprice")
+    df = t(spark, sf, "part").select("p_partkey", F.col("p_size").alias("size"), price.alias("retail_csf"), price.alias("retail_pet"), F.col("p_brand").alias("brand"))
+    settings = {"size": (1, 50), "absent": (0, 1), "retail_csf": {"elecsys": (900, 1500), "unknown": (2, 3)}, "retail_pet": {"fbp": (4, 5), "unknown": (800, 2000)}, "brand": {"fbp": (7, 7)}}
     kept = encoding.present_settings(settings, df.columns, {"METHOD_CSF": "Elecsys", "METHOD_PET": None}, {"_csf": "METHOD_CSF", "_pet": "METHOD_PET"})
-    return spark.createDataFrame([("columns", ",".join(names)), *sorted(kept.items())], "what string, value string")
+    names = encoding.present_columns(df.columns, {"a": ["size", "absent"], "b": ["retail_csf", "retail_pet", "brand"]})
+    scaled = encoding.normalize_fixed(df, {c: (*kept[c], "increasing") for c in names if isinstance(kept.get(c), tuple)})
+    return rounded(scaled.select("p_partkey", *names))
 
 
 @query(
@@ -125,13 +131,17 @@ def age_from_baseline(spark, sf):
     return rounded(visits.age_from_baseline(df, "subject", "visit", "months", "age", ["row_id"]).select("row_id", "age"))
 
 
-@query("SELECT * FROM (VALUES ('o_orderpriority', 'categorical', false), ('o_orderstatus', 'categorical', false), ('o_shippriority', 'numeric', false), ('o_totalprice', 'numeric', false), ('numbers', 'o_shippriority,o_totalprice', false)) t(variable, kind, warning)")
+@query(
+    """SELECT * FROM (VALUES ('o_orderpriority', 'categorical', false), ('o_orderstatus', 'categorical', false), ('o_shippriority', 'numeric', false), ('o_totalprice', 'numeric', false), ('numbers', 'o_custkey,o_shippriority,o_totalprice', false)) t(variable, kind, warning)
+    UNION ALL SELECT 'o_custkey', 'categorical', max(n) > 20 FROM (SELECT count(DISTINCT o_custkey) AS n FROM orders GROUP BY o_orderkey % 2)"""
+)
 def feature_kinds(spark, sf):
-    df = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", F.lit(0).alias("o_shippriority"))
+    """Kinds of the features, and which of the categorical ones is a number with many values in the rows."""
+    df = t(spark, sf, "orders").select("o_orderkey", "o_orderstatus", "o_totalprice", "o_orderpriority", "o_custkey", F.lit(0).alias("o_shippriority"))
     real, synthetic = halves(df, "o_orderkey")
-    names = ["o_orderpriority", "o_orderstatus", "o_shippriority", "o_totalprice"]
+    names = ["o_orderpriority", "o_orderstatus", "o_custkey", "o_shippriority", "o_totalprice"]
     numbers = ",".join(sorted(encoding.numeric_columns(df, ["o_orderkey"])))
-    return encoding.feature_kinds(real, synthetic, names).union(spark.createDataFrame([("numbers", numbers, False)], "variable string, kind string, warning boolean"))
+    return encoding.feature_kinds(real, synthetic, names, names[:3]).union(spark.createDataFrame([("numbers", numbers, False)], "variable string, kind string, warning boolean"))
 
 
 @query("SELECT count(*) AS n, count(*) FILTER (WHERE a <> b) AS different FROM (SELECT o_orderstatus AS a, CASE WHEN o_orderkey % 9 = 0 THEN NULL WHEN o_orderkey % 4 = 0 THEN 'F' ELSE o_orderstatus END AS b FROM orders) WHERE a IS NOT NULL AND b IS NOT NULL")
@@ -210,18 +220,24 @@ def balance_sizes(spark, sf):
     return out.agg(F.count("*").alias("n"), F.countDistinct("o_orderkey").alias("ids"))
 
 
-@query("SELECT * FROM (VALUES ('extra_one', 'extra'), ('n_comment', 'missing'), ('n_regionkey', 'type')) t(\"column\", problem)")
+@query("SELECT * FROM (VALUES ('extra_one', 'extra'), ('c_comment', 'missing'), ('c_nationkey', 'type')) t(\"column\", problem), (SELECT count(*) AS n_values FROM customer)")
 def schema_check(spark, sf):
-    real = t(spark, sf, "nation").select("n_nationkey", "n_regionkey", "n_name", F.lit("c").alias("n_comment"))
-    synthetic = real.select(F.col("n_nationkey").cast("double"), F.col("n_regionkey").cast("string").alias("n_regionkey"), "n_name", F.lit(1).alias("extra_one"))
-    return spark.createDataFrame(profiling.schema_check(real, synthetic), "column string, problem string")
+    """What differs between the columns of two tables, and how many values each such column holds."""
+    real = t(spark, sf, "customer").select("c_custkey", "c_nationkey", "c_name", F.lit("c").alias("c_comment"))
+    synthetic = real.select(F.col("c_custkey").cast("double"), F.col("c_nationkey").cast("string").alias("c_nationkey"), "c_name", F.lit(1).alias("extra_one"))
+    found = spark.createDataFrame(profiling.schema_check(real, synthetic), "column string, problem string")
+    counts = [x.select([F.count(c).alias(c) for c in x.columns]).unpivot([], x.columns, "column", "n_values") for x in (real, synthetic)]
+    return found.join(counts[0].union(counts[1]).groupBy("column").agg(F.max("n_values").alias("n_values")), "column")
 
 
-@query("SELECT row_id FROM (SELECT o.o_orderkey AS row_id FROM orders o WHERE false)")
+@query(f"SELECT DISTINCT o.row_id FROM ({O}) o JOIN (SELECT o_custkey AS subject, l_shipdate::DATE AS visit FROM lineitem JOIN orders ON l_orderkey = o_orderkey) s ON o.subject = s.subject AND o.visit = s.visit WHERE o.subject % 2 = 0")
 def overlap_of_kinds(spark, sf):
+    """The matcher's own kinds never overlap; exact matches of even subjects that are counted as buffered as well do."""
     from visitframe.plans.matching_queries import greedy
 
-    return matching.overlap_of_kinds(greedy(spark, sf), "1")
+    found = greedy(spark, sf)
+    again = found.where("kind = 'exact' and subject % 2 = 0").withColumn("kind", F.lit("buffer"))
+    return matching.overlap_of_kinds(found.unionByName(again), "1")
 
 
 @query(f"SELECT DISTINCT o.row_id FROM ({O}) o JOIN (SELECT o_custkey AS subject, l_shipdate::DATE AS visit FROM lineitem JOIN orders ON l_orderkey = o_orderkey) s ON o.subject = s.subject AND o.visit = s.visit")
@@ -234,19 +250,28 @@ def matched_ids(spark, sf):
 _CURVE = {"memory": {"g": 2.0, "v0": 0.05}, "function": {"g": 5.0, "v0": 0.02}}
 
 
-@query(" UNION ALL ".join(f"SELECT '{f}' AS feature, t::DOUBLE AS time, round(1 / (1 + {p['g']} * exp(-{p['v0'] * (1 + p['g']) ** 2 / p['g']} * (t - 70))), 6) AS value FROM range(50, 91, 10) r(t)" for f, p in _CURVE.items()))
+@query(
+    " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, day(ts)::DOUBLE AS time, count(*) AS n, round(any_value(1 / (1 + {p['g']} * exp(-{p['v0'] * (1 + p['g']) ** 2 / p['g']} * (day(ts) - 15)))), 6) AS value FROM events GROUP BY day(ts)"
+        for f, p in _CURVE.items()
+    )
+)
 def population_curve(spark, sf):
-    times = [50.0, 60.0, 70.0, 80.0, 90.0]
-    curve = course.population_curve(_CURVE, times, 70.0)
-    return rounded(spark.createDataFrame([(f, x, v) for f, values in curve.items() for x, v in zip(times, values, strict=True)], "feature string, time double, value double"))
+    """The population's curve at the times that occur, with how many visits there are."""
+    days = t(spark, sf, "events").groupBy(F.dayofmonth("ts").cast("double").alias("time")).agg(F.count("*").alias("n"))
+    at = course.score(days.withColumns({"xi": F.lit(0.0), "tau": F.lit(15.0)}), "time", "xi", "tau", _CURVE)
+    return rounded(at.select("time", "n", *_CURVE).unpivot(["time", "n"], list(_CURVE), "feature", "value"))
 
 
-@query("SELECT * FROM (VALUES ('cofactors', 'sex'), ('filters', 'status=F'), ('predictors', 'price,score'), ('settings', 'price')) t(what, value)")
+@query(f"SELECT * FROM (VALUES ('cofactors', 'sex'), ('filters', 'status=F'), ('predictors', 'price,score'), ('settings', 'price')) t(what, value) UNION ALL SELECT 'rows', count(*)::VARCHAR FROM ({O}) WHERE status = 'F'")
 def result_metadata(spark, sf):
-    columns = order_visits(spark, sf).withColumn("sex", F.lit(1)).columns
+    """What is recorded of a result: its variables, settings and filters, and how many rows these leave."""
+    visits_table = order_visits(spark, sf)
+    columns = visits_table.withColumn("sex", F.lit(1)).columns
     m = catalog.build_metadata(columns, {"price": [0, 1], "gone": [0, 1]}, ["price", "score", "gone"], ["sex", "code"], {"status": "F", "phase": None}, ["code"])
     rows = [("predictors", ",".join(m["predictors"])), ("cofactors", ",".join(m["cofactors"])), ("settings", ",".join(m["settings"])), ("filters", ",".join(f"{k}={v}" for k, v in m["filters"].items()))]
-    return spark.createDataFrame(rows, "what string, value string")
+    n = cleaning.combination_filter(visits_table, m["filters"]).agg(F.lit("rows").alias("what"), F.count("*").cast("string").alias("value"))
+    return spark.createDataFrame(rows, "what string, value string").unionByName(n)
 
 
 @query("SELECT o_orderkey, CASE WHEN o_orderkey % 3 <> 0 THEN o_orderdate::DATE END AS visit, (o_orderkey % 4)::VARCHAR AS version FROM orders")

@@ -10,6 +10,7 @@ from visitframe.operators import visits as V
 from visitframe.plans.base import ORDER_VISITS_SQL as O
 from visitframe.plans.base import SHIP_VISITS_SQL as S
 from visitframe.plans.base import order_visits, query, rounded, ship_visits, t
+from visitframe.session import materialize
 
 
 def _base(spark, sf):
@@ -186,7 +187,7 @@ def vectors(spark, sf):
 def knn_embeddings(spark, sf):
     from visitframe.operators.encoding import standardize
 
-    z = standardize(vectors(spark, sf), FEATURES)
+    z = materialize(standardize(vectors(spark, sf), FEATURES))
     near = M.blocked_nearest(z.where("vec_id % 5 = 0"), z.where("vec_id % 5 <> 0"), "vec_id", FEATURES, 3)
     return rounded(near.select("query_id", "distance", "rank"))
 
