@@ -315,3 +315,21 @@ def test_population_curve_is_that_of_the_mean_subject(spark):
     rows = course.score(spark.createDataFrame([(t, 0.0, 70.0) for t in times], "t double, xi double, tau double"), "t", "xi", "tau", features).orderBy("t").collect()
     curve = course.population_curve(features, times, 70.0)
     assert all(math.isclose(r[f], curve[f][k]) for k, r in enumerate(rows) for f in features)
+
+
+def test_fits_and_what_they_predict(spark):
+    x = np.linspace(1, 50, 200)
+    rng = np.random.default_rng(3)
+    y = 7 + 3 * np.log(x) + rng.normal(size=200)
+    df = spark.createDataFrame([*zip(map(float, x), map(float, y), strict=True), (-1.0, 2.0), (None, 1.0), (2.0, math.nan)], "x double, y double")
+    fit = stats.log_fit(df, "x", "y")
+    row = fit.first()
+    slope, intercept = np.polyfit(np.log(x), y, 1)
+    off = y - intercept - slope * np.log(x)
+    assert np.allclose([row["n"], row["slope"], row["intercept"], row["mse"], row["r2"]], [200, slope, intercept, (off**2).mean(), 1 - (off**2).mean() / y.var()])
+    far = spark.createDataFrame([(90061.5,), (2.0,)], "x double")
+    got = stats.predict_polynomial(stats.predict_log(far, "x", fit, "l"), "x", [1.0, 2.0, 0.5], "p").collect()
+    assert all(math.isclose(r["l"], intercept + slope * math.log(r["x"])) and math.isclose(r["p"], 1 + 2 * r["x"] + 0.5 * r["x"] ** 2) for r in got)
+    parts = stats.duration_parts(far, "x").first()
+    assert (parts["days"], parts["hours"], parts["minutes"], parts["seconds"]) == (1, 1, 1, 1.5)
+    assert stats.log_fit(df.limit(0), "x", "y").first()["slope"] is None

@@ -119,3 +119,9 @@ def test_any_file_is_uploaded_as_it_is(spark, tmp_path):
     kept = c.upload_file(path, "book", metadata={"level": "raw"})
     assert open(kept, "rb").read() == open(path, "rb").read()
     assert c.load_first({"object_name": "book"}).first()["weight"] == 70
+
+
+def test_reversed_tables_are_published_under_their_name(spark, tmp_path):
+    c = Catalog(spark, str(tmp_path))
+    assert c.publish_reversed(spark.range(3), "ABC", "visits_20240101.csv") == "visits_reversed.csv"
+    assert c.load_first({"custom.file_code": "ABC", "prefix": "synthetic/reversed"}).count() == 3

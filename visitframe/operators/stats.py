@@ -508,3 +508,34 @@ def polynomial_fit(df: DataFrame, x: str, y: str, degree: int) -> list[float]:
     ready = VectorAssembler(inputCols=powers, outputCol="__x").transform(grown)
     model = LinearRegression(featuresCol="__x", labelCol=y, solver="normal").fit(ready)
     return [model.intercept, *model.coefficients]
+
+
+def log_fit(df: DataFrame, x: str, y: str) -> DataFrame:
+    """One row (n, intercept, slope, mse, r2) of the least-squares line of y over ln x; rows without both, or with x not above 0, are left out. One
+    aggregate, from whose moments the errors follow."""
+    rows = df.select(F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y")).where("x > 0 and y is not null and not isnan(x) and not isnan(y)")
+    sums = rows.select(F.log("x").alias("u"), "y").agg(
+        F.count("*").alias("n"), F.avg("u").alias("mu"), F.avg("y").alias("my"), F.var_pop("u").alias("uu"), F.var_pop("y").alias("yy"), F.covar_pop("u", "y").alias("uy")
+    )
+    slope = F.try_divide("uy", "uu")
+    lost = F.greatest(F.col("yy") - F.col("uy") * slope, F.lit(0.0))
+    return sums.select("n", (F.col("my") - slope * F.col("mu")).alias("intercept"), slope.alias("slope"), lost.alias("mse"), (1 - F.try_divide(lost, F.col("yy"))).alias("r2"))
+
+
+def predict_log(df: DataFrame, x: str, fit: DataFrame, out: str) -> DataFrame:
+    """df with the value of a fitted line (one row of log_fit) at x, inside or outside of what it was fitted on."""
+    line = fit.select(F.col("intercept").alias("__a"), F.col("slope").alias("__b"))
+    return df.crossJoin(F.broadcast(line)).withColumn(out, F.col("__a") + F.col("__b") * F.log(F.col(x).cast("double"))).drop("__a", "__b")
+
+
+def predict_polynomial(df: DataFrame, x: str, coefficients: Sequence[float], out: str) -> DataFrame:
+    """df with the polynomial's value at x (coefficients from constant to highest), by Horner's rule."""
+    value = reduce(lambda total, c: total * F.col(x).cast("double") + F.lit(float(c)), reversed(coefficients), F.lit(0.0))
+    return df.withColumn(out, value)
+
+
+def duration_parts(df: DataFrame, seconds: str) -> DataFrame:
+    """df with days, hours, minutes and seconds of a number of seconds."""
+    s = F.col(seconds)
+    parts = {"days": F.floor(s / 86400), "hours": F.floor(F.pmod(s, F.lit(86400)) / 3600), "minutes": F.floor(F.pmod(s, F.lit(3600)) / 60), "seconds": F.pmod(s, F.lit(60))}
+    return df.withColumns(parts)

@@ -303,6 +303,26 @@ def polynomial_fit(spark, sf):
     return rounded(spark.createDataFrame(list(enumerate(map(float, coefficients))), "power int, coefficient double"), 5)
 
 
+_LOG = "SELECT regr_slope(l_extendedprice, ln(l_quantity)) AS b, regr_intercept(l_extendedprice, ln(l_quantity)) AS a, regr_r2(l_extendedprice, ln(l_quantity)) AS r2, count(*) AS n, var_pop(l_extendedprice) AS v FROM lineitem"
+
+
+@query(f"SELECT n, round(a, 4) AS intercept, round(b, 4) AS slope, round(r2, 6) AS r2, round(sqrt(v * (1 - r2)), 4) AS rmse FROM ({_LOG})")
+def log_fit(spark, sf):
+    found = stats.log_fit(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+    return found.select("n", F.round("intercept", 4).alias("intercept"), F.round("slope", 4).alias("slope"), F.round("r2", 6).alias("r2"), F.round(F.sqrt("mse"), 4).alias("rmse"))
+
+
+@query(
+    f"""WITH p AS (SELECT p_partkey, a + b * ln(p_size * 100.0) AS s FROM part, ({_LOG}))
+    SELECT p_partkey, floor(s / 86400)::BIGINT AS days, floor(s % 86400 / 3600)::BIGINT AS hours, floor(s % 3600 / 60)::BIGINT AS minutes FROM p"""
+)
+def extrapolated_durations(spark, sf):
+    """The fitted line far outside of what it was fitted on, read as a duration."""
+    fit = stats.log_fit(t(spark, sf, "lineitem"), "l_quantity", "l_extendedprice")
+    asked = t(spark, sf, "part").select("p_partkey", (F.col("p_size") * 100.0).alias("x"))
+    return stats.duration_parts(stats.predict_log(asked, "x", fit, "s"), "s").select("p_partkey", "days", "hours", "minutes")
+
+
 # ------------------------------------------------------------------ time series
 
 

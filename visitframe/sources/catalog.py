@@ -84,6 +84,12 @@ class Catalog:
         options = {"root": self.root, "object_name": object_name, "bucket": bucket, "prefix": prefix, "metadata": json.dumps(dict(metadata or {}))}
         df.write.format("catalogued").mode("append").options(**options).save()
 
+    def publish_reversed(self, df: DataFrame, file_code: str, file_name: str, prefix: str = "synthetic/reversed", level: str = "reversed") -> str:
+        """Store a table whose encodings were reversed under the name of its source with `_reversed`; returns that name."""
+        name = versioned_name(file_name, "_reversed")
+        self.store(df, name, prefix=prefix, metadata={"file_code": file_code, "level": level})
+        return name
+
     def upload_file(self, path: str, object_name: str, bucket: str = "default", prefix: str = "", metadata: Mapping[str, str] | None = None) -> str:
         """Copy a file as it is, of any kind, and register it; the bytes go through Arrow's file systems in pieces."""
         from pyarrow import fs
