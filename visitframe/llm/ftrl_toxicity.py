@@ -180,7 +180,7 @@ def training_sample(
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(out, pa.binary())], names=["level", "label", "at"])
 
     rows = drawn.select("__level", "__label", "__text").mapInArrow(run, "level int, label int, at binary").orderBy("level", "label", "at").toArrow()
-    return [np.frombuffer(b, np.int32).astype(np.int64) for b in rows["at"].to_pylist()], rows["label"].to_pylist(), share
+    return [np.frombuffer(b, np.int32) for b in rows["at"].to_pylist()], rows["label"].to_pylist(), share
 
 
 def held_out(id_col: str) -> Column:
