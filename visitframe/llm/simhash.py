@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from visitframe.llm.common import checkpoint, connected_components, linked_runs, spanning_pairs, text_slices
+from visitframe.llm.common import checkpoint, connected_components, hot_join, linked_runs, spanning_pairs, text_slices
 
 SEED = 42
 #: Hashes whose bits are added up at once.
@@ -115,14 +115,14 @@ def _linker(distance: int):
 
 
 def _components(known: DataFrame, id_col: str, distance: int) -> DataFrame:
-    """(fp, root, first_id) per distinct fp of known: root is the smallest fp of its component,
-    first_id the smallest id of its rows."""
+    """(fp, component, first_id, __rows) per distinct fp of known: component is the smallest fp of its
+    component, first_id the smallest id of its rows, of which there are __rows."""
     if not 0 <= distance <= 2 * len(SEGMENTS) - 1:
         raise ValueError("with three segments and one wildcard the distance is 5 at most")
-    distinct = known.groupBy("fp").agg(F.min(id_col).alias("first_id"))
+    distinct = known.groupBy("fp").agg(F.min(id_col).alias("first_id"), F.count("*").alias("__rows"))
     edges = linked_runs(signatures(distinct), _linker(distance))
     parts = connected_components(edges).withColumnRenamed("node", "fp")
-    return distinct.join(parts, "fp", "left").select("fp", "component", "first_id")
+    return distinct.join(parts, "fp", "left").select("fp", "component", "first_id", "__rows")
 
 
 def near_duplicates(
@@ -134,9 +134,10 @@ def near_duplicates(
     linked = _components(known, id_col, distance)
     smallest = linked.where("component is not null").groupBy("component").agg(F.min("first_id").alias("component_id"))
     by_fp = linked.join(smallest, "component", "left").select(
-        "fp", F.coalesce("component_id", "first_id").alias("component_id")
+        "fp", F.coalesce("component_id", "first_id").alias("component_id"), "__rows"
     )
-    return known.join(by_fp, "fp").select(id_col, "fp", "component_id")
+    # copies of one text are as many rows of one fp; those of hot ones are dealt over all tasks
+    return hot_join(known, checkpoint(by_fp), ["fp"], [id_col], rows="__rows").select(id_col, "fp", "component_id")
 
 
 def op4_simhash(docs: DataFrame) -> DataFrame:
