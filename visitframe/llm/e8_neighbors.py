@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import FloatType
 
-from visitframe.llm.common import _runs, checkpoint, connected_components, linked_runs, pair_positions, partitions
+from visitframe.llm.common import _runs, checkpoint, connected_components, hot_join, linked_runs, pair_positions, partitions
 
 THRESHOLD = 0.93
 TABLES = 5
@@ -286,9 +286,13 @@ def near_neighbors(
             "k2",
             (F.col("copies") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"),
             F.coalesce("component_id", "first_id").alias("component_id"),
+            "copies",
         )
     )
-    linked = fine.select("__id", "k1", "k2").join(by_class, ["k1", "k2"]).select("__id", "n_links", "component_id")
+    # copies of one vector are as many rows of one class; those of hot ones are dealt over all tasks
+    linked = hot_join(fine.select("__id", "k1", "k2"), checkpoint(by_class), ["k1", "k2"], ["__id"], rows="copies").select(
+        "__id", "n_links", "component_id"
+    )
     alone = rows.where("not __fine").select(
         "__id", F.lit(0).cast("long").alias("n_links"), F.col("__id").alias("component_id")
     )
