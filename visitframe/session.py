@@ -17,6 +17,7 @@ def build_session(cpus: str = "8", shuffle_partitions: int = 8, app: str = "visi
         .config("spark.sql.shuffle.partitions", str(shuffle_partitions))
         .config("spark.sql.adaptive.enabled", "true")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.sql.streaming.stateStore.providerClass", "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", os.environ.get("VISITFRAME_DRIVER_MEMORY", "8g"))
         .getOrCreate()
