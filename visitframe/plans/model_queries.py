@@ -330,12 +330,31 @@ def _series(spark, sf):
     return t(spark, sf, "events").select(F.col("user_id").alias("subject"), "ts", "value")
 
 
+# sums of lagged products of each subject's series, and its autocorrelations up to three
+_LAGGED_SQL = """e AS (SELECT user_id AS subject, value - avg(value) OVER s AS d, row_number() OVER (PARTITION BY user_id ORDER BY ts, value) AS no, count(*) OVER s AS n, max(value) OVER s > min(value) OVER s AS varies
+      FROM events WHERE user_id IS NOT NULL AND value IS NOT NULL AND NOT isnan(value) WINDOW s AS (PARTITION BY user_id)),
+    rr AS (SELECT a.subject, a.n, a.varies, a.no - b.no AS k, sum(a.d * b.d) AS r FROM e a JOIN e b ON a.subject = b.subject AND b.no <= a.no GROUP BY ALL),
+    rho AS (SELECT subject, n, sum(r) FILTER (k = 1) / t AS r1, sum(r) FILTER (k = 2) / t AS r2, sum(r) FILTER (k = 3) / t AS r3
+      FROM (SELECT *, CASE WHEN varies THEN sum(r) FILTER (k = 0) OVER (PARTITION BY subject) END AS t FROM rr) GROUP BY subject, n, t)"""
+_KPSS_SQL = f"""{_LAGGED_SQL},
+    f AS (SELECT subject, n, sum(r) FILTER (k = 0) AS total, 2.0 / n * coalesce(sum(k * r) FILTER (k <= floor(n ** (2.0 / 9))), 0) AS s1,
+      sum(r) FILTER (k = 0) / n + 2.0 / n * coalesce(sum(r) FILTER (k BETWEEN 1 AND floor(n ** (2.0 / 9))), 0) AS s0 FROM rr WHERE n >= 3 GROUP BY subject, n, varies HAVING varies),
+    g AS (SELECT *, CASE WHEN s0 = 0 THEN 0 ELSE least(floor(1.1447 * ((s1 / s0) ** 2) ** (1.0 / 3) * n ** (1.0 / 3)), n - 1) END AS lags FROM f),
+    v AS (SELECT g.subject, lags, total + 2 * coalesce(sum(r * (1 - k / (lags + 1))) FILTER (k BETWEEN 1 AND lags), 0) AS long_run FROM g JOIN rr USING (subject) GROUP BY g.subject, lags, total),
+    p AS (SELECT subject, sum(t * t) AS partial FROM (SELECT subject, sum(d) OVER (PARTITION BY subject ORDER BY no) AS t FROM e) GROUP BY subject),
+    x AS (SELECT subject, lags, CASE WHEN long_run > 0 THEN partial / long_run END AS t FROM v JOIN p USING (subject)),
+    kpss AS (SELECT i.subject, i.n, t / i.n AS statistic, lags,
+      CASE WHEN t / i.n <= 0.347 THEN 0.1 WHEN t / i.n <= 0.463 THEN 0.1 - 0.05 * (t / i.n - 0.347) / (0.463 - 0.347) WHEN t / i.n <= 0.574 THEN 0.05 - 0.025 * (t / i.n - 0.463) / (0.574 - 0.463)
+        WHEN t / i.n <= 0.739 THEN 0.025 - 0.015 * (t / i.n - 0.574) / (0.739 - 0.574) WHEN t IS NOT NULL THEN 0.01 END::DOUBLE AS p_value
+      FROM (SELECT DISTINCT subject, n FROM e WHERE n >= 3) i LEFT JOIN x USING (subject))"""
+
+
 @query()
 def adf(spark, sf):
     return rounded(timeseries.adf_per_subject(_series(spark, sf), "subject", "ts", "value"))
 
 
-@query()
+@query(f"WITH {_KPSS_SQL} SELECT subject, n, round(statistic, 6) AS statistic, round(p_value, 6) AS p_value, lags::DOUBLE AS lags, p_value >= 0.05 AS stationary FROM kpss")
 def kpss(spark, sf):
     return rounded(timeseries.kpss_per_subject(_series(spark, sf), "subject", "ts", "value"))
 
@@ -345,7 +364,10 @@ def ar_ma_orders(spark, sf):
     return timeseries.orders_per_subject(_series(spark, sf), "subject", "ts", "value")
 
 
-@query()
+@query(
+    f"""WITH {_LAGGED_SQL}, q AS (SELECT *, (r2 - r1 * r1) / (1 - r1 * r1) AS p2 FROM rho WHERE n >= 10), w AS (SELECT *, r1 - p2 * r1 AS b1 FROM q)
+    SELECT subject, n, round(r1, 6) AS pacf1, round(p2, 6) AS pacf2, round((r3 - b1 * r2 - p2 * r1) / (1 - b1 * r1 - p2 * r2), 6) AS pacf3 FROM w"""
+)
 def pacf(spark, sf):
     return rounded(timeseries.pacf_per_subject(_series(spark, sf), "subject", "ts", "value"))
 
@@ -366,7 +388,11 @@ def mean_series(spark, sf):
     return rounded(timeseries.mean_series(_series(spark, sf).withColumn("day", F.col("ts").cast("date")), "day", "value"))
 
 
-@query()
+@query(
+    f"""WITH {_KPSS_SQL}, m AS (SELECT subject % 2 AS side, count(*) FILTER (p_value >= 0.05) * 100.0::DOUBLE / count(*) AS share FROM kpss GROUP BY 1),
+    b AS (SELECT (SELECT share FROM m WHERE side = 0) AS a, (SELECT share FROM m WHERE side = 1) AS b)
+    SELECT round(a, 6) AS real, round(b, 6) AS synthetic, CASE WHEN a < 50 AND b >= 50 THEN 'fail' WHEN abs(a - b) < 20 THEN 'pass' ELSE 'warning' END AS verdict FROM b"""
+)
 def stationarity_comparison(spark, sf):
     a, b = halves(_series(spark, sf), "subject")
     tests = [timeseries.kpss_per_subject(x, "subject", "ts", "value") for x in (a, b)]
@@ -379,7 +405,11 @@ def order_comparison(spark, sf):
     return timeseries.compare_orders(*[timeseries.orders_per_subject(x, "subject", "ts", "value") for x in (a, b)])
 
 
-@query()
+@query(
+    f"""WITH {_LAGGED_SQL}, m AS (SELECT subject % 2 AS side, unnest([1, 2, 3]) AS k, unnest([avg(r1), avg(r2), avg(r3)]) AS v FROM rho GROUP BY 1),
+    z AS (SELECT a.v AS a, b.v AS b FROM m a JOIN m b ON a.k = b.k AND a.side = 0 AND b.side = 1), o AS (SELECT avg((a - b) ** 2) AS mse, corr(a, b) AS r FROM z)
+    SELECT round(mse, 6) AS mse, round(r, 6) AS r, mse < 0.05 AND r > 0.7 AS passed FROM o"""
+)
 def acf_comparison(spark, sf):
     a, b = halves(_series(spark, sf), "subject")
     return rounded(timeseries.compare_acf(*[timeseries.acf_columns(x, "subject", "ts", "value") for x in (a, b)]))
