@@ -467,13 +467,30 @@ def _residual_sides(spark, sf):
     return halves(e, "subject")
 
 
-@query()
+_NEIGHBOURS_SQL = """v AS (SELECT user_id AS subject, epoch_us(ts) / 8.64e10 AS day, value, (event_id % 17)::DOUBLE AS other FROM events),
+    f AS (SELECT subject, arg_min(value, day) AS x, arg_min(other, day) AS y FROM v GROUP BY subject),
+    m AS (SELECT avg(x) AS mx, stddev_pop(x) AS sx, avg(y) AS my, stddev_pop(y) AS sy FROM f WHERE subject % 2 = 0),
+    z AS (SELECT subject, (x - mx) / sx AS x, (y - my) / sy AS y FROM f, m),
+    near AS (SELECT a.subject, b.subject AS base FROM z a JOIN z b ON a.subject % 2 = 1 AND b.subject % 2 = 0
+      QUALIFY row_number() OVER (PARTITION BY a.subject ORDER BY (a.x - b.x) ** 2 + (a.y - b.y) ** 2, b.subject) <= 3),
+    w AS (SELECT near.subject, base, day FROM near JOIN v USING (subject)),
+    p AS (SELECT w.*, v.day AS d0, v.value AS v0, v.other AS o0 FROM w ASOF LEFT JOIN v ON w.base = v.subject AND w.day >= v.day),
+    q AS (SELECT p.*, v.day AS d1, v.value AS v1, v.other AS o1, (p.day - d0) / nullif(v.day - d0, 0) AS part FROM p ASOF LEFT JOIN v ON p.base = v.subject AND p.day <= v.day),
+    near_mean AS (SELECT subject, day, avg(coalesce(v0 + part * (v1 - v0), v0, v1)) AS value, avg(coalesce(o0 + part * (o1 - o0), o0, o1)) AS other FROM q GROUP BY subject, day)"""
+
+
+@query(
+    f"WITH {_NEIGHBOURS_SQL} SELECT subject, round(day, 6) AS day, round(n.value - v.value, 6) AS value, round(n.other - v.other, 6) AS other FROM v JOIN near_mean n USING (subject, day)"
+)
 def knn_residuals(spark, sf):
     real, synthetic = _residual_sides(spark, sf)
     return rounded(privacy.neighbour_residuals(synthetic, real, "subject", "day", ["value", "other"]))
 
 
-@query()
+@query(
+    f"""WITH {_NEIGHBOURS_SQL} SELECT subject, round(day, 6) AS day, round(v.value + coalesce(n.value - v.value, 0), 6) AS value, round(v.other + coalesce(n.other - v.other, 0), 6) AS other
+    FROM v LEFT JOIN near_mean n USING (subject, day) WHERE subject % 2 = 1"""
+)
 def residual_correction(spark, sf):
     real, synthetic = _residual_sides(spark, sf)
     r = privacy.neighbour_residuals(synthetic, real, "subject", "day", ["value", "other"])
