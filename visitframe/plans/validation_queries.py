@@ -15,19 +15,24 @@ def _sides(spark, sf):
     return halves(v.where("price is not null and score is not null and month is not null"), "row_id")
 
 
-def _fidelity_sql(numeric: list[str], categorical: list[str]) -> str:
-    """Tests of fidelity over the columns. P-values of chi-square are those of two and four degrees, which have closed forms;
+_SIDES_SQL = f"SELECT *, month(visit)::DOUBLE AS month, row_id % 2 = 0 AS is_real FROM ({ORDER_VISITS_SQL}) WHERE price IS NOT NULL AND score IS NOT NULL AND visit IS NOT NULL"
+_AGE_MATCHED_SQL = f"""SELECT v.* FROM ({_SIDES_SQL}) v, (SELECT min(month) AS lo, max(month) AS hi FROM ({_SIDES_SQL}) WHERE is_real AND month < 7)
+    WHERE CASE WHEN is_real THEN month < 7 ELSE month BETWEEN lo - 0.05 * (hi - lo) AND hi + 0.05 * (hi - lo) END"""
+
+
+def _fidelity_sql(numeric: list[str], categorical: list[str], sides: str = _SIDES_SQL) -> str:
+    """Tests of fidelity over the columns of `sides`, a select with is_real. P-values of chi-square are those of two and four degrees, which have closed forms;
     the correlation of a single pair is undefined, so that its test doesn't count."""
     each = lambda names, select: " UNION ALL ".join(select(c) for c in names)
     pairs = [(a, b) for i, a in enumerate(numeric) for b in numeric[i + 1 :]]
-    return f"""o AS (SELECT *, month(visit)::DOUBLE AS month, row_id % 2 = 0 AS is_real FROM ({ORDER_VISITS_SQL}) WHERE price IS NOT NULL AND score IS NOT NULL AND visit IS NOT NULL),
+    return f"""o AS ({sides}),
     n AS (SELECT count(*) FILTER (is_real)::DOUBLE AS r, count(*) FILTER (NOT is_real)::DOUBLE AS s FROM o),
     l AS ({each(numeric, lambda c: f"SELECT '{c}' AS variable, {c} AS v, is_real::INT AS a FROM o")}),
     c AS (SELECT variable, sum(sum(a)) OVER w AS a, sum(sum(1 - a)) OVER w AS b FROM l GROUP BY variable, v WINDOW w AS (PARTITION BY variable ORDER BY v)),
     d AS (SELECT variable, sqrt(r * s / (r + s)) AS en, max(abs(a / r - b / s)) AS gap FROM c, n GROUP BY variable, r, s),
     x AS (SELECT variable, (en + 0.12 + 0.11 / en) * gap AS x FROM d),
     ks AS (SELECT variable, CASE WHEN x < 0.2 THEN 1.0 ELSE greatest(0.0, least(1.0, 2 * sum((CASE WHEN k % 2 = 1 THEN 1 ELSE -1 END) * exp(-2.0 * k * k * x * x)))) END::DOUBLE AS p FROM x, range(1, 101) t(k) GROUP BY variable, x),
-    k AS ({each(categorical, lambda c: f"SELECT '{c}' AS variable, count(*) FILTER (is_real) AS a, count(*) FILTER (NOT is_real) AS b FROM o GROUP BY {c}")}),
+    k AS ({each(categorical, lambda c: f"SELECT '{c}' AS variable, count(*) FILTER (is_real) AS a, count(*) FILTER (NOT is_real) AS b FROM o GROUP BY {c}") or "SELECT NULL AS variable, 0 AS a, 0 AS b WHERE false"}),
     h AS (SELECT variable, sum((b - a * s / r) ** 2 / (a * s / r)) AS x, count(*) - 1 AS degrees FROM k, n GROUP BY variable),
     g AS ({each(pairs, lambda p: f"SELECT corr({p[0]}, {p[1]}) FILTER (is_real) AS x, corr({p[0]}, {p[1]}) FILTER (NOT is_real) AS y FROM o")}),
     m AS (SELECT sum(abs(x - y)) * 2 / {len(numeric) ** 2} AS mad, nullif(corr(x, y), 'nan'::DOUBLE) AS meta FROM g),
@@ -74,7 +79,7 @@ def age_matched_gaps(spark, sf):
     return rounded(stats.ks_statistic(real, synthetic, ["price", "score"]))
 
 
-@query()
+@query(f"WITH {_fidelity_sql(['price', 'score'], [], _AGE_MATCHED_SQL)} SELECT test, variable, metric, round(value, 6) AS value, threshold, passed FROM fidelity")
 def validation_age_matching(spark, sf):
     real, synthetic = _sides(spark, sf)
     return rounded(validation.validate(real.where("month < 7"), synthetic, "row_id", "subject", ["price", "score", "absent"], ["status"], "age_matching", age="month"))
