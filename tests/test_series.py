@@ -9,6 +9,7 @@ import pytest
 
 from tests import series_plain as plain
 from visitframe.operators import ordering, timeseries
+from visitframe.session import materialize
 
 SCHEMA = "s long, t long, v double"
 
@@ -103,3 +104,18 @@ def test_places_in_groups(spark):
     for g in (1, 2, 3):
         own = sorted((r["t"], r["at"]) for r in got if r["g"] == g)
         assert [at for _, at in own] == list(range(len(own)))
+
+
+def test_a_join_broadcast_at_run_time_splits_no_group(spark):
+    """A join that adaptive execution turns into a broadcast reads its shuffle where it lies; groups have to be dealt again behind it."""
+    settings = {"spark.sql.autoBroadcastJoinThreshold": "-1", "spark.sql.adaptive.autoBroadcastJoinThreshold": "10MB", "spark.sql.adaptive.coalescePartitions.enabled": "false"}
+    for k, v in settings.items():
+        spark.conf.set(k, v)
+    try:
+        rows = spark.range(0, 4000, 1, 4).selectExpr("id % 500 as s", "id as k")
+        known = materialize(spark.range(500).selectExpr("id as s", "true as v"))
+        sizes = timeseries.in_groups(rows.join(known, "s"), ["s"], ["k"], lambda g: [(int(g["s"][0]), len(g["k"]))], "s long, n long").collect()
+    finally:
+        for k in settings:
+            spark.conf.unset(k)
+    assert sorted(tuple(r) for r in sizes) == [(s, 8) for s in range(500)]

@@ -66,8 +66,10 @@ def numbered(df: DataFrame, subject: str, time: str, value: str, least: int) ->
 def in_groups(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], rows_of: Callable[[dict[str, np.ndarray]], list[tuple]], schema: str
 ) -> DataFrame:
-    """The rows that `rows_of` makes of each group of equal keys, whose columns it gets as arrays, in order."""
-    dealt = df.repartition(*keys).sortWithinPartitions(*keys, *order)
+    """The rows that `rows_of` makes of each group of equal keys, whose columns it gets as arrays, in order. Rows are dealt by a hash of
+    the keys: behind a join on the keys themselves Spark leaves the exchange out, and a join that turns into a broadcast
+    at run time then reads its shuffle where it lies, with a group in many tasks."""
+    dealt = df.repartition(F.xxhash64(*keys)).sortWithinPartitions(*keys, *order)
     names = df.columns
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -134,7 +134,8 @@ def newest_then_trend(
 
 def _visit_stream(df: DataFrame, subject: str, order: Sequence[str], step: Callable, schema: str) -> DataFrame:
     """step(batch, state) -> (batch, state) over each subject's rows in order: rows are dealt by subject, sorted in
-    Spark and streamed, so no subject is held whole. state is None at a subject's first row."""
+    Spark and streamed, so no subject is held whole. state is None at a subject's first row. They are dealt by a hash, since behind a
+    join on the subject Spark would leave the exchange out and may read that join's shuffle where it lies."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         last, state = None, None
@@ -148,7 +149,7 @@ def _visit_stream(df: DataFrame, subject: str, order: Sequence[str], step: Calla
                 done, state = step(part, state)
                 yield done
 
-    return df.repartition(subject).sortWithinPartitions(subject, *order).mapInPandas(run, schema)
+    return df.repartition(F.xxhash64(subject)).sortWithinPartitions(subject, *order).mapInPandas(run, schema)
 
 
 def merge_two_sources(
