@@ -266,6 +266,7 @@ def row_diff(spark, sf):
 )
 def paired_visit_rows(spark, sf):
     v, s = order_visits(spark, sf), ship_visits(spark, sf)
-    single = greedy(spark, sf).where("kind = 'exact' and size(ids1) = 1 and size(ids2) = 1")
+    # an id may be on several rows of a visit: what counts is how many ids there are
+    single = greedy(spark, sf).where("kind = 'exact' and size(array_distinct(ids1)) = 1 and size(array_distinct(ids2)) = 1")
     links = single.select(F.get("ids1", F.lit(0)).alias("id1"), F.get("ids2", F.lit(0)).alias("id2"))
     return M.paired_rows(v, s, links).select("row_id_1", "row_id_2", "price_1", "quantity_2")
