@@ -31,3 +31,13 @@ def test_an_id_on_two_rows_of_a_visit_is_one(spark, tmp_path):
     sf = folder(spark, tmp_path, orders=orders, lineitem=[item, (*item[:4], 9.0, *item[5:])])
     compare(spark, QUERIES["paired_visit_rows"], SQL["paired_visit_rows"], sf)
     assert {(r.row_id_1, r.row_id_2) for r in QUERIES["paired_visit_rows"](spark, sf).collect()} == {(1, 11), (2, None)}
+
+
+def test_distances_are_ordered_by_squares_where_roots_are_equal(spark):
+    """1 + 2 ** -52 and 1 have the same root in doubles, and the nearer row has the larger id."""
+    from visitframe.operators import matching
+
+    base = spark.createDataFrame([(1, 1.0, 1.5e-8), (2, 1.0, 0.0)], "id long, a double, b double")
+    asked = spark.createDataFrame([(9, 0.0, 0.0)], "id long, a double, b double")
+    assert matching.blocked_nearest(asked, base, "id", ["a", "b"], 1).first()["base_id"] == 1
+    assert matching.blocked_nearest(asked, base, "id", ["a", "b"], 1, by_square=True).first()["base_id"] == 2

@@ -560,11 +560,12 @@ def nearest_candidates(
 def blocked_nearest(
     queries: DataFrame, base: DataFrame, id_col: str, features: Sequence[str], k: int, metric: str = "euclidean",
     categorical: Sequence[str] = (), ranges: Mapping[str, float] | None = None, same_id: bool = True, block: int = 1 << 16,
-    most_pivots: int = 256,
+    most_pivots: int = 256, by_square: bool = False,
 ) -> DataFrame:
     """(query_id, base_id, distance, rank): the k nearest base rows of every query, exactly; of equal distances the smaller
     id comes first. same_id: a row may be its own neighbour. metric: euclidean, or gower (mean of 0/1 mismatches of categorical and
-    range-scaled absolute differences of the other features). Ids are unique on either side.
+    range-scaled absolute differences of the other features). Ids are unique on either side. by_square: euclidean distances
+    are ordered by their squares, which may differ where their roots round to the same number.
 
     Candidates come from approximations (nearest_candidates). Only their vectors are fetched, and compared in
     column expressions."""
@@ -574,14 +575,15 @@ def blocked_nearest(
     )
     if metric == "euclidean":
         square = F.zip_with("u", "v", lambda x, y: (x - y) * (x - y))
-        distance = F.sqrt(F.aggregate(square, F.lit(0.0), lambda t, x: t + x))
+        key = F.aggregate(square, F.lit(0.0), lambda t, x: t + x)
+        distance = F.sqrt(key)
     else:
         scale = [1.0 if not ranges else ranges.get(c, 1.0) or 1.0 for c in features]
         off = [
             (F.col("u")[i] != F.col("v")[i]).cast("double") if c in set(categorical) else F.abs(F.col("u")[i] - F.col("v")[i]) / F.lit(scale[i])
             for i, c in enumerate(features)
         ]
-        distance = F.aggregate(F.array(*off), F.lit(0.0), lambda t, x: t + x) / len(features)
-    w = Window.partitionBy("query_id").orderBy("distance", "base_id")
-    found = both.select("query_id", "base_id", distance.alias("distance"))
-    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k)
+        key = distance = F.aggregate(F.array(*off), F.lit(0.0), lambda t, x: t + x) / len(features)
+    w = Window.partitionBy("query_id").orderBy("__key", "base_id")
+    found = both.select("query_id", "base_id", distance.alias("distance"), (key if by_square else distance).alias("__key"))
+    return found.withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= k).drop("__key")
