@@ -41,3 +41,17 @@ def test_distances_are_ordered_by_squares_where_roots_are_equal(spark):
     asked = spark.createDataFrame([(9, 0.0, 0.0)], "id long, a double, b double")
     assert matching.blocked_nearest(asked, base, "id", ["a", "b"], 1).first()["base_id"] == 1
     assert matching.blocked_nearest(asked, base, "id", ["a", "b"], 1, by_square=True).first()["base_id"] == 2
+
+
+def test_copies_of_queries_leave_in_pieces():
+    import numpy as np
+    import pandas as pd
+
+    from visitframe.operators import matching
+
+    asks = pd.DataFrame({"id": range(100), "x": [np.zeros(2)] * 100})
+    rows, cells = np.repeat(np.arange(100), 256), np.tile(np.arange(256), 100)
+    parts = list(matching.sent_to_cells(asks, rows, np.arange(100.0), cells))
+    assert max(map(len, parts)) <= matching.SENT_AT_ONCE < len(rows)
+    whole = pd.concat(parts)
+    assert whole["id"].tolist() == rows.tolist() == whole["reach"].tolist() and whole["cell"].tolist() == cells.tolist()

@@ -401,6 +401,17 @@ def _distance_of(metric: str, flags: np.ndarray, scale: np.ndarray):
     return euclidean if metric == "euclidean" else gower
 
 
+#: Copies of queries that a task holds as vectors while it sends them to cells.
+SENT_AT_ONCE = 4096
+
+
+def sent_to_cells(asks: pd.DataFrame, rows: np.ndarray, reach: np.ndarray, cells: np.ndarray) -> Iterator[pd.DataFrame]:
+    """A copy of the query at rows[i] for cells[i]. In many dimensions a query goes to every cell: copies leave in pieces, never all at once."""
+    for lo in range(0, len(rows), SENT_AT_ONCE):
+        some = rows[lo : lo + SENT_AT_ONCE]
+        yield asks.iloc[some].assign(reach=reach[some], cell=cells[lo : lo + SENT_AT_ONCE].astype(np.int32))
+
+
 class Approximation:
     """Vectors in a byte per numeric feature: the middles of 256 equal stretches of its range. Other features stay as they are."""
 
@@ -499,7 +510,7 @@ def nearest_candidates(
                         needed = least <= reach[:, None] * (1 + 1e-9) + 1e-9
                         needed[np.arange(len(part)), own] = False
                         rows, at = np.nonzero(needed)
-                    yield part[["id", "x"]].iloc[rows].assign(reach=reach[rows], cell=filled[at].astype(np.int32))
+                    yield from sent_to_cells(part[["id", "x"]], rows, reach, filled[at])
 
         return run
 
