@@ -55,3 +55,16 @@ def test_copies_of_queries_leave_in_pieces():
     assert max(map(len, parts)) <= matching.SENT_AT_ONCE < len(rows)
     whole = pd.concat(parts)
     assert whole["id"].tolist() == rows.tolist() == whole["reach"].tolist() and whole["cell"].tolist() == cells.tolist()
+
+
+def test_draws_of_the_bootstrap_are_those_of_the_hash(spark):
+    import numpy as np
+    from pyspark.sql import functions as F
+
+    from visitframe.operators import stats
+
+    df = spark.range(300).repartition(3).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(20)))).withColumn("h", F.xxhash64("id", "round", F.lit(42)))
+    rows = df.select(F.xxhash64("id").alias("first"), "round", "h").collect()
+    first, number, want = (np.array([r[c] for r in rows], np.int64) for c in ("first", "round", "h"))
+    got = stats._hash_next(stats._hash_next(first.view(np.uint64), number), np.array([42]))
+    assert (got.view(np.int64) == want).all()

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import math
 import statistics
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from functools import reduce
 
 import numpy as np
@@ -139,20 +139,53 @@ def concordance(df: DataFrame, x: str, y: str) -> DataFrame:
 
 def concordance_bootstrap(df: DataFrame, x: str, y: str, key: str, rounds: int = 1000, seed: int = 42) -> DataFrame:
     """Percentile interval of the coefficient by a Poisson bootstrap: each row enters a round as often
-    as a hash says, so rounds are aggregates and never resampled copies."""
-    u = F.pmod(F.xxhash64(key, "round", F.lit(seed)), F.lit(1 << 30)) / float(1 << 30)
-    times = reduce(lambda a, k: a + (u > F.lit(k)).cast("int"), _poisson_steps(), F.lit(0))
-    boot = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).withColumn("round", F.explode(F.sequence(F.lit(1), F.lit(rounds))))
-    w = boot.withColumn("w", times).where("w > 0")
-    s = w.groupBy("round").agg(
-        F.sum("w").alias("n"), *[F.sum(F.col("w") * e).alias(k) for k, e in {"sx": F.col(x), "sy": F.col(y), "xx": F.col(x) ** 2, "yy": F.col(y) ** 2, "xy": F.col(x) * F.col(y)}.items()]
-    )
+    as the hash xxhash64(key, round, seed) says. Rows aren't copied by round: a task draws all rounds of a block of rows at once, and adds
+    up its sums, so what moves is a row per round and task."""
+    steps = [math.floor(p * (1 << 30)) for p in _poisson_steps()]
+    names = ["n", "sx", "sy", "xx", "yy", "xy"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        sums = np.zeros((rounds, len(names)))
+        number = np.arange(1, rounds + 1)
+        for batch in batches:
+            v, w = batch["x"].to_numpy(float), batch["y"].to_numpy(float)
+            terms = np.stack([np.ones(len(v)), v, w, v * v, w * w, v * w], axis=1)
+            whole = np.isfinite(terms).all(axis=1)
+            for lo in range(0, len(batch), 128):
+                part, fine = terms[lo : lo + 128], whole[lo : lo + 128]
+                h = _hash_next(batch["h"].to_numpy(np.int64)[lo : lo + 128].view(np.uint64)[None, :], number[:, None])
+                bits = (_hash_next(h, np.array([[seed]])) & np.uint64((1 << 30) - 1)).astype(np.int32)
+                times = np.zeros(bits.shape, np.int8)
+                for step in steps:
+                    times += bits > step
+                sums += times[:, fine].astype(float) @ part[fine]
+                for k in np.flatnonzero(~fine):  # these count only where they are drawn
+                    drawn = times[:, k] > 0
+                    sums[drawn] += times[drawn, k, None] * part[k]
+        yield pd.DataFrame(sums, columns=names).assign(round=number)
+
+    rows = df.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.xxhash64(key).alias("h"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    drawn = rows.mapInPandas(run, ", ".join(f"{c} double" for c in names) + ", round int")
+    s = drawn.groupBy("round").agg(*[F.sum(c).alias(c) for c in names]).where("n > 0")
     cov = F.col("xy") / F.col("n") - F.col("sx") * F.col("sy") / F.col("n") ** 2
     var = [F.col(k * 2) / F.col("n") - (F.col(f"s{k}") / F.col("n")) ** 2 for k in ("x", "y")]
     c = 2 * cov / (var[0] + var[1] + ((F.col("sx") - F.col("sy")) / F.col("n")) ** 2)
     return s.select(c.alias("c")).agg(F.percentile("c", 0.025).alias("low"), F.percentile("c", 0.975).alias("high"))
 
 
+def _hash_next(h: np.ndarray, value: np.ndarray) -> np.ndarray:
+    """XXH64 of ints with the hashes so far as seeds: what F.xxhash64 does for its next column."""
+    one, two, three, five = (np.uint64(c) for c in (0x9E3779B185EBCA87, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5))
+    h = (h + (five + np.uint64(4))) ^ ((value.astype(np.int64) & 0xFFFFFFFF).astype(np.uint64) * one)
+    h = ((h << np.uint64(23)) | (h >> np.uint64(41))) * two + three
+    h ^= h >> np.uint64(33)
+    h *= two
+    h ^= h >> np.uint64(29)
+    h *= three
+    h ^= h >> np.uint64(32)
+    return h
+
+
 def _poisson_steps(most: int = 10) -> list[float]:
     out, p, total = [], math.exp(-1), 0.0
     for k in range(most):
