@@ -68,3 +68,18 @@ def test_draws_of_the_bootstrap_are_those_of_the_hash(spark):
     first, number, want = (np.array([r[c] for r in rows], np.int64) for c in ("first", "round", "h"))
     got = stats._hash_next(stats._hash_next(first.view(np.uint64), number), np.array([42]))
     assert (got.view(np.int64) == want).all()
+
+
+def test_percentiles_between_counted_values(spark):
+    import numpy as np
+
+    from visitframe.operators import profiling
+
+    rng = np.random.default_rng(2)
+    v = rng.integers(0, 60, 500).astype(float)
+    df = spark.createDataFrame([(float(x), None) for x in v] + [(None, None)], "v double, w double").repartition(4)
+    plan = profiling.percentiles(df, ["v", "w"], (0.0, 0.013, 0.5, 1.0))
+    assert "percentile(" not in plan._jdf.queryExecution().toString()  # no aggregate that holds all values
+    got = {r["variable"]: r for r in plan.collect()}
+    assert np.allclose([got["v"][c] for c in ("p00", "p01", "p50", "p100")], np.quantile(v, [0, 0.013, 0.5, 1]))
+    assert got["w"]["p50"] is None

@@ -11,6 +11,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitframe.operators.ordering import running_sums
+
 CHECK = "check string, variable string, metric string, real double, synthetic double, verdict string"
 
 
@@ -110,10 +112,24 @@ def population_column(df: DataFrame, subject: str, columns: Sequence[str], cohor
 
 
 def percentiles(df: DataFrame, columns: Sequence[str], shares: Sequence[float] = (0.01, 0.99)) -> DataFrame:
-    """(variable, p..) with linear interpolation."""
-    agg = df.agg(*[F.percentile(f"`{c}`", [float(s) for s in shares]).alias(c) for c in columns])
-    long = agg.unpivot([], [f"`{c}`" for c in columns], "variable", "v")
-    return long.select("variable", *[F.get("v", F.lit(k)).alias(f"p{round(s * 100):02d}") for k, s in enumerate(shares)])
+    """(variable, p..) with linear interpolation. Values are counted and numbered by running counts over ranges; a percentile
+    lies between the two values at the places around it, so no task reads all distinct values."""
+    return reduce(DataFrame.unionByName, [_percentiles_of(df, c, shares) for c in columns])
+
+
+def _percentiles_of(df: DataFrame, column: str, shares: Sequence[float]) -> DataFrame:
+    v = df.select(F.col(f"`{column}`").cast("double").alias("v")).where("v is not null")
+    placed = running_sums(v.groupBy("v").agg(F.count("*").alias("n")), "v", {"upto": "n"})
+    at = [F.col("last") * F.lit(float(s)) for s in shares]
+    both = placed.crossJoin(F.broadcast(placed.agg((F.max("upto") - 1).alias("last"))))  # one row
+    ends = [F.min(F.when(F.col("upto") > place(p), F.col("v"))).alias(f"{n}{k}") for k, p in enumerate(at) for n, place in (("low", F.floor), ("high", F.ceil))]
+    row = both.agg(F.max("last").alias("last"), *ends)
+
+    def between(k: int) -> Column:
+        low, high, p = F.col(f"low{k}"), F.col(f"high{k}"), at[k]
+        return F.when(low == high, low).otherwise((F.ceil(p) - p) * low + (p - F.floor(p)) * high)
+
+    return row.select(F.lit(column).alias("variable"), *[between(k).alias(f"p{round(s * 100):02d}") for k, s in enumerate(shares)])
 
 
 def describe(df: DataFrame, by: Sequence[str], column: str, digits: int = 2) -> DataFrame:
