@@ -159,20 +159,29 @@ def merge_two_sources(
     trend of what was chosen before, closer to it on ties. What is chosen depends on what was
     chosen before, so a subject's visits are streamed in order with the last choice."""
 
-    def choose(g: pd.DataFrame, previous: float | None) -> tuple[pd.DataFrame, float | None]:
-        chosen = []
-        for x, y in zip(g[a].to_numpy(float), g[b].to_numpy(float), strict=True):
-            fine = [v for v in (x, y) if low <= v <= high]
-            on = [v for v in fine if previous is None or (v >= previous if rising else v <= previous)]
-            pool = on or fine
-            value = np.nan if not pool else pool[0] if previous is None else min(pool, key=lambda v: abs(v - previous))
-            chosen.append(value)
-            previous = previous if np.isnan(value) else value
-        return g.assign(**{out: chosen}), previous
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        last, previous = None, None
+        for batch in batches:
+            chosen = []
+            keys = batch[subject].astype(object).where(batch[subject].notna(), None)
+            for own, x, y in zip(keys.tolist(), batch[a].to_numpy(float).tolist(), batch[b].to_numpy(float).tolist(), strict=True):
+                if own != last:
+                    last, previous = own, None
+                x_fits, y_fits = low <= x <= high, low <= y <= high
+                if x_fits and y_fits and previous is not None:
+                    x_on, y_on = (x >= previous, y >= previous) if rising else (x <= previous, y <= previous)
+                    value = x if x_on > y_on or (x_on == y_on and abs(x - previous) <= abs(y - previous)) else y
+                else:
+                    value = x if x_fits else y if y_fits else None
+                chosen.append(value)
+                previous = previous if value is None else value
+            yield batch.assign(**{out: np.array(chosen, float)})
 
     rest = [c for c in df.columns if c != out]
     schema = ", ".join(f"`{c}` {t}" for c, t in df.dtypes if c != out) + f", `{out}` double"
-    done = _visit_stream(df.drop(out), subject, [date, *[c for c in rest if c not in (subject, date)]], choose, schema)
+    order = [date, *[c for c in rest if c not in (subject, date)]]
+    # dealt by a hash, for the reason that _visit_stream gives
+    done = df.drop(out).repartition(F.xxhash64(subject)).sortWithinPartitions(subject, *order).mapInPandas(run, schema)
     return done.withColumn(out, F.nanvl(out, F.lit(None)))
 
 
