@@ -83,3 +83,35 @@ def test_percentiles_between_counted_values(spark):
     got = {r["variable"]: r for r in plan.collect()}
     assert np.allclose([got["v"][c] for c in ("p00", "p01", "p50", "p100")], np.quantile(v, [0, 0.013, 0.5, 1]))
     assert got["w"]["p50"] is None
+
+
+def test_a_merge_computes_the_rows_to_add_once(spark):
+    """Matching, attaching and what is left over read one shuffle of them."""
+    from pyspark.sql import functions as F
+
+    from visitframe.operators import matching, visits
+
+    seen = spark.sparkContext.accumulator(0)
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    at = F.date_add(F.lit("2020-01-01").cast("date"), (F.col("id") * 37 % 900).cast("int"))
+    base = spark.range(300).select((F.col("id") % 20).alias("s"), at.alias("d"), F.col("id").alias("row_id"), F.col("id").alias("m"))
+    add = spark.range(400).select((F.col("id") % 20).alias("s"), F.date_add(at, 3).alias("d"), F.udf(count, "long")("id").alias("row_id"), F.col("id").alias("n"))
+    base, add = visits.best_row(base, ["s", "d"], ["m"], ["row_id"]), visits.best_row(add, ["s", "d"], ["n"], ["row_id"])
+    merged = matching.merge_pair(base, add, "s", "d", None, ["m"]).collect()
+    assert seen.value == 400
+    assert sum(r["m"] is not None for r in merged) == base.count() and sum(r["n"] is not None for r in merged) == add.count()
+
+
+def test_an_id_on_several_dates_goes_with_all_of_them(spark):
+    from visitframe.operators import matching
+
+    day = dt.date(2020, 1, 1)
+    base = spark.createDataFrame([(1, day, 1, 5.0), (1, day + dt.timedelta(300), 2, 6.0), (2, None, 3, 7.0)], "s long, d date, row_id long, m double")
+    add = spark.createDataFrame([(1, day, 9, 0.5), (1, day + dt.timedelta(600), 9, 0.25), (2, day, 8, 0.125)], "s long, d date, row_id long, n double")
+    rows = matching.merge_pair(base, add, "s", "d", None, ["m"]).collect()
+    got = sorted((r["s"], r["row_id"], str(r["m"]), str(r["n"])) for r in rows)
+    assert got == [(1, 1, "5.0", "0.25")] * 2 + [(1, 1, "5.0", "0.5")] * 2 + [(1, 2, "6.0", "None"), (2, 3, "7.0", "None"), (2, 8, "None", "0.125")]

@@ -12,11 +12,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from visitframe.operators.visits import best_row
+from visitframe.operators.visits import best_rank
 from visitframe.session import materialize
 
-MATCH = "subject, date1, date2, ids1, ids2, kind"
-
 
 def exact_join(a: DataFrame, b: DataFrame, keys: Sequence[str], how: str = "inner", suffixes: tuple[str, str] = ("_1", "_2")) -> DataFrame:
     """Equi-join; columns of both sides besides the keys get suffixes."""
@@ -143,22 +141,6 @@ def overlap_of_kinds(matches: DataFrame, side: str) -> DataFrame:
     return of[0].intersect(of[1])
 
 
-def reduce_to_one(
-    matches: DataFrame, base: DataFrame, measures: Sequence[str], row_id: str = "row_id", status: str | None = None,
-    strength: str | None = None,
-) -> DataFrame:
-    """Matches whose left side has many rows keep the best of them."""
-    many = matches.where(F.size("ids1") > 1).select("subject", "date1", F.explode("ids1").alias("__id"))
-    used = [c for c in {*measures, status, strength} if c]
-    rows = many.join(base.select(F.col(row_id).alias("__id"), *[F.col(f"`{c}`") for c in used]), "__id")
-    best = best_row(rows, ["subject", "date1"], measures, ["__id"], status, strength).select("subject", "date1", "__id")
-    return (
-        matches.join(best, ["subject", "date1"], "left")
-        .withColumn("ids1", F.when(F.col("__id").isNotNull(), F.array("__id")).otherwise(F.col("ids1")))
-        .select(*[c.strip() for c in MATCH.split(",")])
-    )
-
-
 def decide_buffered(code1: Column, code2: Column, gap: Column, max_gap: int = 30) -> Column:
     """manual: both codes contain m and differ; merge: equal codes or a gap below max_gap days; else
     skip. A NULL code equals nothing."""
@@ -167,25 +149,6 @@ def decide_buffered(code1: Column, code2: Column, gap: Column, max_gap: int = 30
     return F.when(~same & m[0] & m[1], "manual").when(same | (F.abs(gap) < max_gap), "merge").otherwise("skip")
 
 
-def merge_matched(
-    base: DataFrame, add: DataFrame, links: DataFrame, subject: str, date: str, row_id: str = "row_id",
-    coalesce_common: bool = False,
-) -> DataFrame:
-    """Base rows with the add-only columns of the row they are linked to, then the add rows without
-    a link. Common columns keep the base's value, or with coalesce_common take the add's where
-    it is NULL. links: id1, id2, at most one of each."""
-    only = [c for c in add.columns if c not in base.columns]
-    shared = [c for c in base.columns if c in add.columns and c not in (subject, date, row_id)]
-    extra = add.select(F.col(row_id).alias("id2"), *only, *[F.col(c).alias(f"__{c}") for c in shared])
-    joined = base.join(links.select(F.col("id1").alias(row_id), "id2"), row_id, "left").join(extra, "id2", "left")
-    own = [
-        (F.coalesce(F.col(c), F.col(f"__{c}")) if coalesce_common and c in shared else F.col(c)).alias(c) for c in base.columns
-    ]
-    merged = joined.select(*own, *only)
-    rest = add.join(links.select(F.col("id2").alias(row_id)), row_id, "left_anti")
-    return merged.unionByName(rest, allowMissingColumns=True)
-
-
 def align_dates(base: DataFrame, add: DataFrame, links: DataFrame, date: str, row_id: str = "row_id") -> DataFrame:
     """add with the date of the base row that a row is linked to (links: id1, id2); rows without a link keep theirs. A row
     with several links takes the smallest base id's date; NULL dates of the base count as they are."""
@@ -195,38 +158,99 @@ def align_dates(base: DataFrame, add: DataFrame, links: DataFrame, date: str, ro
     return joined.select(*[(F.when(F.col("__hit").isNotNull(), F.col("__hit.__d")).otherwise(F.col(c)) if c == date else F.col(f"`{c}`")).alias(c) for c in add.columns])
 
 
+def _row_links(
+    base: DataFrame, add: DataFrame, subject: str, date: str, code: str | None, measures: Sequence[str], row_id: str,
+    buffer_days: int, status: str | None, strength: str | None,
+) -> DataFrame:
+    """(subject, day, id2, id1, code1, code2, gap, kind, n2, copies): the row of add on `day` goes with the base row id1, `copies` times. Matches are
+    those of match_visits; a visit of many base rows counts by its best one. Only ids, codes and days move: rows combine into dates, and a subject's
+    dates into arrays no longer than the calendar. An id on several dates of a subject goes with all of them. No filter or join on the keys
+    comes before the arrays, since Spark would push it below the aggregates of add, whose shuffle other branches of the plan read too."""
+    has = code is not None and code in base.columns and code in add.columns
+    kinds = {c: dict(base.dtypes)[c] for c in (subject, row_id)}
+    code_kind = dict(base.dtypes)[code] if has else "string"
+
+    def dates(df: DataFrame, rank: Sequence[Column]) -> DataFrame:
+        mark = F.col(code) if has else F.lit(None).cast("string")
+        best = F.min(F.struct(*[c.alias(f"r{k}") for k, c in enumerate(rank)], F.col(row_id).alias("id"), mark.alias("code")))
+        found = df.groupBy(F.col(subject).alias("subject"), F.col(date).cast("date").alias("date")).agg(
+            best.alias("best"), F.count("*").alias("n"), F.collect_list(row_id).alias("ids")
+        )
+        same = F.size(F.filter("ids", lambda x: x == F.col("best.id")))
+        day = F.datediff("date", F.lit("1970-01-01").cast("date"))
+        row = F.struct(day.alias("day"), F.col("best.id").alias("id"), F.col("best.code").alias("code"), F.col("n").cast("int").alias("n"), same.alias("same"))
+        return found.select("subject", F.when(F.col("subject").isNotNull() & F.col("date").isNotNull(), row).alias("row"))
+
+    none = F.lit(None)
+    one, two = dates(base, best_rank(measures, status, strength)), dates(add, [])
+    kind = dict(one.dtypes)["row"]
+    sides = one.select("subject", F.col("row").alias("one"), none.cast(kind).alias("two")).unionByName(
+        two.select("subject", none.cast(kind).alias("one"), F.col("row").alias("two"))
+    )
+    lists = sides.groupBy("subject").agg(F.collect_list("one").alias("one"), F.collect_list("two").alias("two"))
+    both = lists.where((F.size("one") > 0) & (F.size("two") > 0))
+    parts = [F.col(f"{side}.{c}").alias(f"{c}{k}") for k, side in ((1, "one"), (2, "two")) for c in ("day", "id", "code", "n", "same")]
+    columns = ["subject", "day", "id2", "id1", "code1", "code2", "gap", "kind", "n2", "copies"]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            out = []
+            for r in batch.itertuples(index=False):
+                at1, at2 = ({d: k for k, d in enumerate(days.tolist())} for days in (r.day1, r.day2))
+                exact = at1.keys() & at2.keys()
+                pairs = [(d, d, "exact") for d in exact]
+                pairs += [(x, y, "buffer") for x, y in _greedy([d for d in at1 if d not in exact], [d for d in at2 if d not in exact], buffer_days)]
+                times: dict[object, int] = {}
+                for i, n in zip(r.id1, r.same1, strict=True):
+                    times[i] = times.get(i, 0) + int(n)
+                places: dict[object, list[int]] = {}
+                for k, i in enumerate(r.id2):
+                    places.setdefault(i, []).append(k)
+                for x, y, how in pairs:
+                    i, j = at1[x], at2[y]
+                    here = places[r.id2[j]]
+                    copies = times[r.id1[i]] * sum(int(r.same2[k]) for k in here)
+                    out += [(r.subject, int(r.day2[k]), r.id2[j], r.id1[i], r.code1[i], r.code2[j], x - y, how, int(r.n2[j]), copies) for k in here]
+            yield pd.DataFrame(out, columns=columns)
+
+    schema = f"subject {kinds[subject]}, day int, id2 {dict(add.dtypes)[row_id]}, id1 {kinds[row_id]}, code1 {code_kind}, code2 {code_kind}, gap int, kind string, n2 int, copies int"
+    return both.select("subject", *parts).mapInPandas(run, schema)
+
+
 def merge_pair(
     base: DataFrame, add: DataFrame, subject: str, date: str, code: str | None, measures: Sequence[str],
     row_id: str = "row_id", buffer_days: int = 80, status: str | None = None, strength: str | None = None,
 ) -> DataFrame:
-    """One step of the incremental merge: match, check, reduce, decide, merge. An add side with
-    several rows on one matched visit fails the job. The matches are kept, base and add are read by three joins."""
-    matches = materialize(match_visits(base, add, subject, date, row_id, buffer_days))
-    guard = F.assert_true(F.size("ids2") == 1, F.lit("a matched visit has several rows to add"))
-    single = reduce_to_one(matches, base, measures, row_id, status, strength).where(guard.isNull())
-    flat = single.select(
-        F.get("ids1", F.lit(0)).alias("id1"), F.get("ids2", F.lit(0)).alias("id2"), "kind",
-        F.datediff("date1", "date2").alias("gap"),
+    """One step of the incremental merge: match, check, reduce, decide, merge. Base rows get the add-only columns of the row they are linked
+    to, then the add rows without a link follow; common columns keep the base's value. An add side with several rows on one matched visit
+    fails the job. The links go to the rows of add, which needn't move for it if they are partitioned by visits already, and only linked ones go on to base."""
+    links = _row_links(base, add, subject, date, code, measures, row_id, buffer_days, status, strength)
+    guard = F.assert_true(F.col("n2") == 1, F.lit("a matched visit has several rows to add"))
+    decision = decide_buffered(F.col("code1"), F.col("code2"), F.col("gap")) if code is not None and code in base.columns and code in add.columns else F.lit("merge")
+    kept = links.where(guard.isNull()).where((F.col("kind") == "exact") | (decision == "merge"))
+    on_day = kept.groupBy(F.col("subject").alias("__subject"), F.date_add(F.lit("1970-01-01").cast("date"), F.col("day")).alias("__date")).agg(
+        F.collect_list(F.struct("id1", "id2", "copies")).alias("__links")
     )
-    has_code = code is not None and code in base.columns and code in add.columns
-    if has_code:
-        flat = flat.join(base.select(F.col(row_id).alias("id1"), F.col(code).alias("code1")), "id1").join(
-            add.select(F.col(row_id).alias("id2"), F.col(code).alias("code2")), "id2"
-        )
-        decision = decide_buffered(F.col("code1"), F.col("code2"), F.col("gap"))
-    else:
-        decision = F.lit("merge")
-    links = flat.where((F.col("kind") == "exact") | (decision == "merge")).select("id1", "id2")
-    return merge_matched(base, add, links, subject, date, row_id)
+    own = F.filter("__links", lambda x: x["id2"] == F.col(f"`{row_id}`"))
+    to = F.flatten(F.transform(own, lambda x: F.array_repeat(x["id1"], x["copies"])))
+    # the explode isn't taken apart by a filter on its result, so both branches read one shuffle of add
+    told = add.join(on_day, (add[subject] == on_day["__subject"]) & (add[date].cast("date") == on_day["__date"]), "left").select(
+        *[add[c] for c in add.columns], F.explode_outer(to).alias("__id1")
+    )
+    only = [c for c in add.columns if c not in base.columns]
+    linked = told.where(F.col("__id1").isNotNull()).select("__id1", *[F.col(f"`{c}`") for c in only])
+    merged = base.join(linked, base[row_id] == linked["__id1"], "left").drop("__id1")
+    rest = told.where(F.col("__id1").isNull()).select(*[F.col(f"`{c}`") for c in add.columns])
+    return merged.unionByName(rest, allowMissingColumns=True)
 
 
 def merge_all(tables: Sequence[DataFrame], row_id: str = "row_id", **kw) -> DataFrame:
     """Left fold of merge_pair in the given order, which matters: base values win. Row ids come out as
-    text, `table:id`, which tells the rows of all tables apart. What several tables were merged into is kept before the next."""
+    text, `table:id`, which tells the rows of all tables apart. What three tables, five and so on were merged into is kept before the next."""
     named = [t.withColumn(row_id, F.concat(F.lit(f"{k}:"), F.col(row_id).cast("string"))) for k, t in enumerate(tables)]
     merged = named[0]
     for k, t in enumerate(named[1:]):
-        merged = merge_pair(materialize(merged) if k else merged, t, row_id=row_id, **kw)
+        merged = merge_pair(materialize(merged) if k and k % 2 == 0 else merged, t, row_id=row_id, **kw)
     return merged
 
 
@@ -293,7 +317,7 @@ def merge_combinations(
     numbered = [exploded(t, k) for k, t in enumerate(tables.values())]
     merged = numbered[0]
     for k, t in enumerate(numbered[1:]):
-        merged = merge_pair(materialize(merged) if k else merged, t, "__key", date, row_id=row_id, **kw)
+        merged = merge_pair(materialize(merged) if k and k % 2 == 0 else merged, t, "__key", date, row_id=row_id, **kw)
     return merged.drop("__key")
 
 

@@ -65,24 +65,30 @@ def one_row_per_visit(
     return out.drop("__no", "__nulls", "__code", "__n", "__distinct", "__least", "__tied", "__coded", "__equal")
 
 
+def best_rank(measures: Sequence[str], status: str | None = None, strength: str | None = None) -> list[Column]:
+    """What ranks the rows of a visit: fewest NULL measures, then status complete before partial before others, then the higher strength."""
+    rank = [nulls_in(measures)]
+    if status:
+        s = F.lower(F.trim(F.col(status).cast("string")))
+        rank.append(F.when(s == "complete", 0).when(s == "partial", 1).otherwise(2))
+    if strength:
+        rank.append(F.coalesce(-F.col(strength).cast("double"), F.lit(float("inf"))))
+    return rank
+
+
 def best_row(
     df: DataFrame, keys: Sequence[str], measures: Sequence[str], order: Sequence[str], status: str | None = None,
     strength: str | None = None,
 ) -> DataFrame:
-    """Of each key's rows the best: fewest NULL measures, then status complete before partial
-    before others, then the higher strength, then the first. An arg-min that combines on the map
-    side: struct order is the ranking."""
-    rank = [nulls_in(measures).alias("r1")]
-    if status:
-        s = F.lower(F.trim(F.col(status).cast("string")))
-        rank.append(F.when(s == "complete", 0).when(s == "partial", 1).otherwise(2).alias("r2"))
-    if strength:
-        rank.append(F.coalesce(-F.col(strength).cast("double"), F.lit(float("inf"))).alias("r3"))
-    rank += [F.col(c).alias(f"o_{c}") for c in order]
-    rest = [c for c in df.columns if c not in keys]
-    packed = df.select(*keys, F.struct(*rank, F.struct(*[F.col(f"`{c}`") for c in rest]).alias("row")).alias("__r"))
+    """Of each key's rows the best by best_rank, then the first. An arg-min that combines on the map
+    side: struct order is the ranking. Every column moves once, those of the order as part of the ranking."""
+    rank = [c.alias(f"r{k}") for k, c in enumerate(best_rank(measures, status, strength))]
+    ordered = [c for c in dict.fromkeys(order) if c not in keys]
+    rest = [c for c in df.columns if c not in keys and c not in ordered]
+    packed = df.select(*keys, F.struct(*rank, *[F.col(c).alias(f"o_{c}") for c in ordered], F.struct(F.lit(0).alias("__"), *[F.col(f"`{c}`") for c in rest]).alias("row")).alias("__r"))
     picked = packed.groupBy(*keys).agg(F.min("__r").alias("__r"))
-    return picked.select(*keys, "__r.row.*").select(*[F.col(f"`{c}`") for c in df.columns])
+    found = {c: F.col(f"__r.`o_{c}`") for c in ordered} | {c: F.col(f"__r.row.`{c}`") for c in rest}
+    return picked.select(*[found[c].alias(c) if c in found else F.col(f"`{c}`") for c in df.columns])
 
 
 def dedup_visits(

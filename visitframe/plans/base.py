@@ -75,19 +75,17 @@ def ship_visits(spark: SparkSession, sf: str) -> DataFrame:
     code = F.when(F.col("l_linenumber") == 1, F.lit("bl")).otherwise(
         F.concat(F.lit("m"), F.lpad((F.col("l_orderkey") % 24).cast("string"), 2, "0"))
     )
-    items = t(spark, sf, "lineitem")
+    # only what the visits hold goes through the join
+    items = t(spark, sf, "lineitem").select(
+        "l_orderkey", "l_linenumber", F.col("l_shipdate").cast("date").alias("visit"), F.col("l_returnflag").alias("flag"),
+        F.when(F.col("l_partkey") % 6 != 0, F.col("l_quantity")).alias("quantity"), F.when(F.col("l_suppkey") % 5 != 0, F.col("l_extendedprice")).alias("amount"),
+        F.col("l_tax").alias("tax"), F.col("l_discount").alias("discount"),
+    )
     orders = t(spark, sf, "orders").select("o_orderkey", "o_custkey")
     return items.join(orders, items["l_orderkey"] == orders["o_orderkey"]).select(
-        F.col("o_custkey").alias("subject"),
-        F.col("l_shipdate").cast("date").alias("visit"),
-        (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"),
-        code.alias("code"),
-        F.col("l_returnflag").alias("flag"),
-        F.when(F.col("l_partkey") % 6 != 0, F.col("l_quantity")).alias("quantity"),
-        F.when(F.col("l_suppkey") % 5 != 0, F.col("l_extendedprice")).alias("amount"),
-        F.col("l_tax").alias("tax"),
-        F.col("l_discount").alias("discount"),
-    )
+        F.col("o_custkey").alias("subject"), "visit", (F.col("l_orderkey") * 8 + F.col("l_linenumber")).alias("row_id"), code.alias("code"),
+        "flag", "quantity", "amount", "tax", "discount",
+    )
 
 
 def halves(df: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
