@@ -115,3 +115,36 @@ def test_an_id_on_several_dates_goes_with_all_of_them(spark):
     rows = matching.merge_pair(base, add, "s", "d", None, ["m"]).collect()
     got = sorted((r["s"], r["row_id"], str(r["m"]), str(r["n"])) for r in rows)
     assert got == [(1, 1, "5.0", "0.25")] * 2 + [(1, 1, "5.0", "0.5")] * 2 + [(1, 2, "6.0", "None"), (2, 3, "7.0", "None"), (2, 8, "None", "0.125")]
+
+
+def test_buffered_pairs_move_the_rows_of_a_side_once(spark):
+    """Over all days, on both sides of a stretch's ends, with exact dates there, negative days and NULLs; and by one shuffle, where no side is broadcast."""
+    import random
+
+    from visitframe.operators import matching
+
+    rng = random.Random(7)
+
+    def rows():
+        day = lambda: None if rng.random() < 0.05 else dt.date(1969, 6, 1) + dt.timedelta(rng.randrange(60))
+        return [(None if rng.random() < 0.05 else rng.randrange(8), day(), k, rng.choice([None, "x", "y"])) for k in range(200)]
+
+    a, b = rows(), rows()
+    left, right = spark.createDataFrame(a, "s long, d1 date, i1 long, c1 string"), spark.createDataFrame(b, "s long, d2 date, i2 long, c2 string")
+    keys = lambda side: {(s, d) for s, d, *_ in side if s is not None and d is not None}
+    exact = keys(a) & keys(b)
+    want = {
+        (x[2], y[2], x[1], y[1], x[3], y[3]) for x in a for y in b
+        if x[0] is not None and x[0] == y[0] and x[1] and y[1] and abs((x[1] - y[1]).days) <= 2 and (x[0], x[1]) not in exact and (y[0], y[1]) not in exact
+    }
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        for equal in ((), [("c1", "c2")]):
+            found = matching.buffered_pairs(left, right, "s", "d1", "d2", 2, equal).select("i1", "i2", "d1", "d2", "c1", "c2")
+            got = [tuple(r) for r in found.collect()]
+            assert len(got) == len(set(got)) and set(got) == {w for w in want if not equal or w[4] == w[5]}
+            plan = found._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+            assert plan.count(" Exchange hashpartitioning") - plan.count("ReusedExchange") == 1
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)

@@ -34,27 +34,47 @@ def outer_natural(a: DataFrame, b: DataFrame) -> DataFrame:
     return joined.select(*keys, *[c for c in a.columns if c not in common], *[c for c in b.columns if c not in common])
 
 
+#: Stretches of the calendar are so many tolerances long; a row also goes to the next one if it lies within a tolerance of it.
+STRETCH = 8
+
+
 def buffered_pairs(
     a: DataFrame, b: DataFrame, subject: str, date1: str, date2: str, buffer_days: int,
     equal: Sequence[tuple[str, str]] = (),
 ) -> DataFrame:
-    """Pairs of rows of a subject within the tolerance whose dates take part in no exact pair. Dates
-    fall into slots as long as the tolerance, so a row meets the rows of three slots, not all of
-    its subject's. a and b share only the subject column; `equal` pairs match NULL-safely."""
-    width = max(buffer_days, 1)
-    day1, day2 = (F.datediff(F.col(d), F.lit("1970-01-01").cast("date")) for d in (date1, date2))
-    exact = a.select(subject, F.col(date1).alias("__d")).join(b.select(subject, F.col(date2).alias("__d")), [subject, "__d"])
-    exact = exact.distinct()
-    left = a.join(exact, (a[subject] == exact[subject]) & (a[date1] == exact["__d"]), "left_anti")
-    right = b.join(exact, (b[subject] == exact[subject]) & (b[date2] == exact["__d"]), "left_anti")
-    left = left.withColumn("__slot", F.floor(day1 / F.lit(width)))
-    right = right.withColumn("__near", F.explode(F.array(*[F.floor(day2 / F.lit(width)) + k for k in (-1, 0, 1)])))
-    right = right.withColumnRenamed(subject, "__subject")
-    on = (F.col(subject) == F.col("__subject")) & (F.col("__slot") == F.col("__near"))
-    for x, y in equal:
-        on = on & F.col(x).eqNullSafe(F.col(y))
-    within = F.abs(F.datediff(date1, date2)) <= buffer_days
-    return left.join(right, on & within).drop("__slot", "__near", "__subject")
+    """Pairs of rows of a subject within the tolerance whose dates take part in no exact pair. Rows of both sides go once to
+    stretches of the subject's calendar, with a tolerance on either end, and a window finds the exact dates there: a row meets those of
+    its stretch, not all of its subject's. a and b share only the subject column; `equal` pairs match NULL-safely. Columns
+    of both sides travel under common names in their order, so that both sides of the join read the same shuffle."""
+    buffer, width = max(buffer_days, 0), max(buffer_days, 1) * STRETCH
+    own = [[c for c in df.columns if c not in (subject, date)] for df, date in ((a, date1), (b, date2))]
+    kinds = [[dict(df.dtypes)[c] for c in names] for df, names in ((a, own[0]), (b, own[1]))]
+    dated = dict(a.dtypes)[date1] == dict(b.dtypes)[date2] == "date"  # then the day tells the date
+    shared = [k for k in range(min(map(len, own))) if kinds[0][k] == kinds[1][k]]
+    places = [{c: f"__c{k}" if k in shared else f"__{side}{k}" for k, c in enumerate(names)} for side, names in (("a", own[0]), ("b", own[1]))]
+
+    def spread(df: DataFrame, date: str, side: int) -> DataFrame:
+        day = F.datediff(F.col(date), F.lit("1970-01-01").cast("date"))
+        rows = df.where(F.col(subject).isNotNull() & F.col(date).isNotNull())
+        ends = [F.floor((F.col("__day") + k) / F.lit(width)).cast("int") for k in (-buffer, buffer)]
+        rows = rows.select(F.col(subject).alias("__s"), day.alias("__day"), *([] if dated else [F.col(date).alias("__date")]), *[F.col(c).alias(n) for c, n in places[side].items()])
+        rows = rows.withColumn("__at", F.explode(F.sequence(*ends)))
+        home = F.floor(F.col("__day") / F.lit(width)) == F.col("__at")
+        return rows.withColumn("__side", F.lit(1) if side else F.when(home, 0).otherwise(2))  # 1: b, 0: a at home, 2: a beyond an end
+
+    # what is filtered behind the window isn't on its keys: Spark would push that below the shuffle, of which there would then be two
+    both = spread(a, date1, 0).unionByName(spread(b, date2, 1), allowMissingColumns=True).repartition("__s", "__at")
+    same = Window.partitionBy("__s", "__at", "__day")
+    in_b = F.col("__side") == 1
+    left_over = both.withColumn("__exact", F.max(in_b).over(same) & F.max(~in_b).over(same)).where("not __exact")
+    day_or_date = F.date_add(F.lit("1970-01-01").cast("date"), F.col("__day")) if dated else F.col("__date")
+    left = left_over.where("__side = 0").select("__s", "__at", F.col("__day").alias("__day1"), day_or_date.alias(date1), *[F.col(n).alias(c) for c, n in places[0].items()])
+    right = left_over.where("__side = 1").select("__s", "__at", F.col("__day").alias("__day2"), day_or_date.alias(date2), *[F.col(n).alias(c) for c, n in places[1].items()])
+    near = F.abs(F.col("__day1") - F.col("__day2")) <= buffer_days
+    for x, y in equal:  # not as keys of the join, by which the rows would move again
+        near = near & F.coalesce(F.col(x) == F.col(y), F.col(x).isNull() & F.col(y).isNull())
+    found = left.join(right, ["__s", "__at"]).where(near)
+    return found.select(F.col("__s").alias(subject), date1, *own[0], date2, *own[1])
 
 
 def _greedy(days1: list[int], days2: list[int], buffer_days: int) -> list[tuple[int, int]]:
@@ -149,10 +169,14 @@ def decide_buffered(code1: Column, code2: Column, gap: Column, max_gap: int = 30
     return F.when(~same & m[0] & m[1], "manual").when(same | (F.abs(gap) < max_gap), "merge").otherwise("skip")
 
 
-def align_dates(base: DataFrame, add: DataFrame, links: DataFrame, date: str, row_id: str = "row_id") -> DataFrame:
+def align_dates(base: DataFrame, add: DataFrame, links: DataFrame, date: str, row_id: str = "row_id", base_date: str | None = None) -> DataFrame:
     """add with the date of the base row that a row is linked to (links: id1, id2); rows without a link keep theirs. A row
-    with several links takes the smallest base id's date; NULL dates of the base count as they are."""
-    known = links.join(base.select(F.col(row_id).alias("id1"), F.col(date).alias("__d")), "id1")
+    with several links takes the smallest base id's date; NULL dates of the base count as they are. Where links have that date in a column
+    already, base_date names it, and base isn't read."""
+    if base_date is not None:
+        known = links.select("id1", "id2", F.col(base_date).alias("__d"))
+    else:
+        known = links.join(base.select(F.col(row_id).alias("id1"), F.col(date).alias("__d")), "id1")
     first = known.groupBy("id2").agg(F.min_by(F.struct("__d"), "id1").alias("__hit"))
     joined = add.join(first.withColumnRenamed("id2", row_id), row_id, "left")
     return joined.select(*[(F.when(F.col("__hit").isNotNull(), F.col("__hit.__d")).otherwise(F.col(c)) if c == date else F.col(f"`{c}`")).alias(c) for c in add.columns])

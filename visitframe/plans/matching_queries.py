@@ -118,9 +118,9 @@ def buffer_decision(spark, sf):
 def aligned_dates(spark, sf):
     """Shipments with the date of the order within 80 days that comes first by its id."""
     a, b = _sides(spark, sf)
-    links = M.buffered_pairs(a, b, "subject", "d1", "d2", 80).select("id1", "id2")
+    links = M.buffered_pairs(a, b, "subject", "d1", "d2", 80).select("id1", "id2", "d1")
     base, add = a.select(F.col("id1").alias("row_id"), F.col("d1").alias("visit")), b.select(F.col("id2").alias("row_id"), F.col("d2").alias("visit"), F.col("d2").alias("was"))
-    return M.align_dates(base, add, links, "visit").select("row_id", "visit", "was")
+    return M.align_dates(base, add, links, "visit", base_date="d1").select("row_id", "visit", "was")
 
 
 @query()
