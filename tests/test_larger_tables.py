@@ -114,7 +114,7 @@ def test_an_id_on_several_dates_goes_with_all_of_them(spark):
     add = spark.createDataFrame([(1, day, 9, 0.5), (1, day + dt.timedelta(600), 9, 0.25), (2, day, 8, 0.125)], "s long, d date, row_id long, n double")
     rows = matching.merge_pair(base, add, "s", "d", None, ["m"]).collect()
     got = sorted((r["s"], r["row_id"], str(r["m"]), str(r["n"])) for r in rows)
-    assert got == [(1, 1, "5.0", "0.25")] * 2 + [(1, 1, "5.0", "0.5")] * 2 + [(1, 2, "6.0", "None"), (2, 3, "7.0", "None"), (2, 8, "None", "0.125")]
+    assert got == [(1, 1, "5.0", "0.25"), (1, 1, "5.0", "0.5"), (1, 2, "6.0", "None"), (2, 3, "7.0", "None"), (2, 8, "None", "0.125")]
 
 
 def test_buffered_pairs_move_the_rows_of_a_side_once(spark):

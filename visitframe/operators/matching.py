@@ -233,7 +233,7 @@ def _row_links(
                 for x, y, how in pairs:
                     i, j = at1[x], at2[y]
                     here = places[r.id2[j]]
-                    copies = times[r.id1[i]] * sum(int(r.same2[k]) for k in here)
+                    copies = times[r.id1[i]] * sum(int(r.same2[k]) for k in here) if has else 1  # codes are looked up by id, one row each
                     out += [(r.subject, int(r.day2[k]), r.id2[j], r.id1[i], r.code1[i], r.code2[j], x - y, how, int(r.n2[j]), copies) for k in here]
             yield pd.DataFrame(out, columns=columns)
 
