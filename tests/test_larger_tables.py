@@ -148,3 +148,46 @@ def test_buffered_pairs_move_the_rows_of_a_side_once(spark):
             assert plan.count(" Exchange hashpartitioning") - plan.count("ReusedExchange") == 1
     finally:
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+
+
+def test_a_forest_reads_each_text_once(spark, monkeypatch):
+    """Both fits and tests and the split of subjects go by rows computed once."""
+    from pyspark.sql import functions as F
+
+    from visitframe.plans import validation_queries
+
+    seen, load = spark.sparkContext.accumulator(0), validation_queries.t
+
+    def count(x):
+        seen.add(1)
+        return x
+
+    def counted(session, sf, name):
+        df = load(session, sf, name)
+        return df.withColumn("text", F.udf(count, "string")("text")) if name == "documents" else df
+
+    monkeypatch.setattr(validation_queries, "t", counted)
+    rows = validation_queries.tstr_forest(spark, SMALL).collect()
+    assert len(rows) == 6 and 0 < seen.value <= load(spark, SMALL, "documents").count()
+
+
+def test_sizes_of_texts_are_those_of_a_plain_loop(spark, tmp_path, monkeypatch):
+    from visitframe.operators import validation
+    from visitframe.plans import validation_queries
+
+    texts = ["", " ", "  two  spaces ", "A", "AbC dE\nF\tG", "$5 & |x| #!*%", "é𝔄Z $", "ABC" * 50, "no marks", " A b", None]
+    documents = [(k, text, "en", "web", len(text or "")) for k, text in enumerate(texts)]
+    sf = folder(spark, tmp_path, documents=documents, labels=[(k, k % 2, 0) for k in range(len(texts))])
+    got = []
+
+    def keep(real, synthetic, *rest):
+        got.extend(real.unionByName(synthetic).collect())
+        return real.limit(0)
+
+    monkeypatch.setattr(validation, "utility", keep)
+    validation_queries.tstr_forest(spark, sf)
+    assert len(got) == len(texts)
+    for r in got:
+        text = texts[r["doc_id"]]
+        want = (None,) * 4 if text is None else (len(text), len(text) / len(text.split(" ")), sum("A" <= c <= "Z" for c in text), sum(c in "%$#*&!|" for c in text))
+        assert (r["size"], r["mean_word"], r["capitals"], r["symbols"]) == want and r["quality"] == str(r["doc_id"] % 2) and r["subject"] == r["doc_id"]

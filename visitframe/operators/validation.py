@@ -12,6 +12,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from visitframe.operators import cleaning, encoding, privacy, profiling, splitting, stats
+from visitframe.session import materialize
 
 RESULT = "test string, variable string, metric string, value double, threshold double, passed boolean"
 
@@ -62,9 +63,12 @@ def forest_scores(train: DataFrame, test: DataFrame, features: Sequence[str], ta
 
 
 def utility(real: DataFrame, synthetic: DataFrame, subject: str, features: Sequence[str], target: str, trees: int = 100, share: float = 0.7) -> DataFrame:
-    """Train on synthetic against train on real, both tested on the same real subjects."""
+    """Train on synthetic against train on real, both tested on the same real subjects. A fit and a test read their rows many times, so the columns
+    in use are computed once and kept."""
+    used = list(dict.fromkeys([subject, *features, target]))
+    real, synthetic = (materialize(df.select(*used)) for df in (real, synthetic))
     parts = splitting.stratified_subjects(real, subject, share, least_one=True).select(subject, "part")
-    tagged = real.join(parts, subject)
+    tagged = materialize(real.join(parts, subject))
     train, test = (tagged.where(F.col("part") == p).drop("part") for p in ("train", "validation"))
     ts, tr = forest_scores(synthetic, test, features, target, trees), forest_scores(train, test, features, target, trees)
     rows = []
