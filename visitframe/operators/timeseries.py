@@ -246,17 +246,22 @@ def _adf_solve(info: dict, s: dict[str, np.ndarray]) -> tuple[float, float, int]
 
 def adf_per_subject(df: DataFrame, subject: str, time: str, value: str, least: int = 8) -> DataFrame:
     """(subject, n, statistic, p_value, lags, stationary) of the augmented Dickey-Fuller test with a constant; lags by AIC."""
-    values, info = numbered(df, subject, time, value, least)
+    return _adf_of(*numbered(df, subject, time, value, least)).withColumnRenamed("s", subject)
+
+
+def _adf_of(values: DataFrame, info: DataFrame) -> DataFrame:
     sums = by_blocks(values, info, largest(info, lambda n: schwert(n) + 2), _adf_sums)
     found = per_subject(info, sums, _adf_solve, ["statistic", "p_value", "lags"])
-    return found.withColumnRenamed("s", subject).withColumn("stationary", F.col("p_value") < 0.05)
+    return found.withColumn("stationary", F.col("p_value") < 0.05)
 
 
 def kpss_per_subject(df: DataFrame, subject: str, time: str, value: str, least: int = 3) -> DataFrame:
     """(subject, n, statistic, p_value, lags, stationary) of the KPSS test for a level; p-values lie between 0.01 and 0.1. A first
     pass finds how many lags the long-run variance takes, a second one adds them up."""
-    values, info = numbered(df, subject, time, value, least)
+    return _kpss_of(*numbered(df, subject, time, value, least)).withColumnRenamed("s", subject)
 
+
+def _kpss_of(values: DataFrame, info: DataFrame) -> DataFrame:
     def lags_of(n: int) -> int:
         return int(n ** (2 / 9))
 
@@ -296,7 +301,7 @@ def kpss_per_subject(df: DataFrame, subject: str, time: str, value: str, least:
 
     most = int(known.agg(F.max("lags")).first()[0] or 0)
     found = per_subject(known, by_blocks(values, known, most, second), statistic, ["statistic", "p_value", "lags"])
-    return found.withColumnRenamed("s", subject).withColumn("stationary", F.col("p_value") >= 0.05)
+    return found.withColumn("stationary", F.col("p_value") >= 0.05)
 
 
 def autocorrelations(df: DataFrame, subject: str, time: str, value: str, lags: int, least: int, solve: Callable[[np.ndarray], Sequence[float]], names: Sequence[str]) -> DataFrame:
@@ -344,8 +349,10 @@ def long_lags(n: int, most: int) -> int:
 def orders_per_subject(df: DataFrame, subject: str, time: str, value: str, least: int = 10, most: int = 3, criterion: str = "bic") -> DataFrame:
     """(subject, n, ar_order, ma_order): AR order by least squares; MA order by regressing on the residuals of a long autoregression
     (Hannan-Rissanen), each on a sample that all orders share."""
-    values, info = numbered(df, subject, time, value, least)
+    return _orders_of(*numbered(df, subject, time, value, least), most, criterion).withColumnRenamed("s", subject)
+
 
+def _orders_of(values: DataFrame, info: DataFrame, most: int = 3, criterion: str = "bic") -> DataFrame:
     def sums(info: dict, block: int, pos: np.ndarray, v: np.ndarray, own: int) -> Sums:
         reach = max(long_lags(int(info["n"]), most), most)
         return lagged("rr", v, v, own, reach) + ends(pos, v, own, int(info["n"]), reach)
@@ -389,18 +396,41 @@ def orders_per_subject(df: DataFrame, subject: str, time: str, value: str, least
             return info["ar_order"], 0.0
         return info["ar_order"], float(np.argmin(score(s["gram"].reshape(most + 1, -1), rows)))
 
-    found = per_subject(known, by_blocks(values, known, reach + most, shocks), moving, ["ar_order", "ma_order"])
-    return found.withColumnRenamed("s", subject)
+    return per_subject(known, by_blocks(values, known, reach + most, shocks), moving, ["ar_order", "ma_order"])
+
+
+def tests_of_columns(real: DataFrame, synthetic: DataFrame, subject: str, time: str, columns: Sequence[str]) -> dict[str, tuple[DataFrame, DataFrame]]:
+    """`adf`, `kpss` and `orders` of every column's series, of the real and the synthetic subjects, with the column as `variable`. The series of all
+    columns and both sides are those of one table, placed once, so jobs don't grow with the columns."""
+    sides = []
+    for k, df in enumerate((real, synthetic)):
+        own = df.select(F.col(subject).cast("string").alias("id"), F.col(time).alias("time"), *[F.col(f"`{c}`").cast("double").alias(str(no)) for no, c in enumerate(columns)])
+        long = own.unpivot(["id", "time"], [str(no) for no in range(len(columns))], "no", "value")
+        sides.append(long.select(F.concat(F.lit(f"{k}|"), "no", F.lit("|"), "id").alias("series"), "time", "value"))
+    values, info = numbered(sides[0].unionByName(sides[1]), "series", "time", "value", 3)
+    names, part = F.array(*[F.lit(c) for c in columns]), F.split("s", r"\|", 3)
+
+    def split(found: DataFrame) -> tuple[DataFrame, DataFrame]:
+        named = materialize(found).withColumn("variable", F.get(names, F.get(part, F.lit(1)).cast("int")))
+        one, other = (named.where(F.get(part, F.lit(0)) == str(k)).drop("s") for k in range(2))
+        return one, other
+
+    return {"adf": split(_adf_of(values, info.where("n >= 8"))), "kpss": split(_kpss_of(values, info)), "orders": split(_orders_of(values, info.where("n >= 10")))}
 
 
 def mean_series(df: DataFrame, time: str, value: str) -> DataFrame:
     return df.groupBy(time).agg(F.avg(value).alias(value))
 
 
-def compare_stationarity(real: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """One row: shares of stationary series and the verdict."""
-    share = lambda t, n: t.agg((F.count_if(F.col("stationary")) * 100.0 / F.count("*")).alias(n))
-    both = share(real, "real").crossJoin(F.broadcast(share(synthetic, "synthetic")))
+def _both(real: DataFrame, synthetic: DataFrame, by: Sequence[str]) -> DataFrame:
+    """Rows of both sides side by side: those of the same `by`, or the one row of each."""
+    return real.join(F.broadcast(synthetic), list(by)) if by else real.crossJoin(F.broadcast(synthetic))
+
+
+def compare_stationarity(real: DataFrame, synthetic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per value of `by` that both have: shares of stationary series and the verdict."""
+    share = lambda t, n: t.groupBy(*by).agg((F.count_if(F.col("stationary")) * 100.0 / F.count("*")).alias(n))
+    both = _both(share(real, "real"), share(synthetic, "synthetic"), by)
     verdict = (
         F.when((F.col("real") < 50) & (F.col("synthetic") >= 50), "fail")
         .when(F.abs(F.col("real") - F.col("synthetic")) < 20, "pass")
@@ -409,10 +439,10 @@ def compare_stationarity(real: DataFrame, synthetic: DataFrame) -> DataFrame:
     return both.withColumn("verdict", verdict)
 
 
-def compare_orders(real: DataFrame, synthetic: DataFrame) -> DataFrame:
-    """One row: modal orders of both sides and the verdict."""
-    modes = lambda t, n: t.agg(F.mode("ar_order", True).alias(f"{n}_ar"), F.mode("ma_order", True).alias(f"{n}_ma"))
-    both = modes(real, "real").crossJoin(F.broadcast(modes(synthetic, "synthetic")))
+def compare_orders(real: DataFrame, synthetic: DataFrame, by: Sequence[str] = ()) -> DataFrame:
+    """One row, or one per value of `by` that both have: modal orders of both sides and the verdict."""
+    modes = lambda t, n: t.groupBy(*by).agg(F.mode("ar_order", True).alias(f"{n}_ar"), F.mode("ma_order", True).alias(f"{n}_ma"))
+    both = _both(modes(real, "real"), modes(synthetic, "synthetic"), by)
     same = [(F.col(f"real_{k}") == F.col(f"synthetic_{k}")).cast("int") for k in ("ar", "ma")]
     n = same[0] + same[1]
     return both.withColumn("verdict", F.when(n == 2, "pass").when(n == 1, "warning").otherwise("fail"))

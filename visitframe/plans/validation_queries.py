@@ -61,7 +61,7 @@ def fidelity_verdict(spark, sf):
 def validation_report(spark, sf):
     e = vectors(spark, sf).withColumn("subject", F.col("vec_id") % 97).withColumn("label", F.col("label").cast("string"))
     real, synthetic = halves(e, "vec_id")
-    return rounded(validation.full_report(real, synthetic, "vec_id", "subject", FEATURES, ["label"]))
+    return rounded(validation.full_report(real, synthetic, "vec_id", "subject", FEATURES, ["label"], target="label", time="vec_id"))
 
 
 @query(
