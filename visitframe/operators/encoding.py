@@ -150,6 +150,14 @@ def median_impute(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.crossJoin(F.broadcast(m)).withColumns({c: F.coalesce(F.col(f"`{c}`").cast("double"), F.col(f"`__m_{c}`")) for c in columns}).drop(*m.columns)
 
 
+def impute_gaps(df: DataFrame, columns: Sequence[str]) -> DataFrame:
+    """median_impute, where only columns with NULLs have their medians looked for: one pass counts these. df is read several times."""
+    nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in columns]).first() if columns else {}
+    gaps = [c for c in columns if nulls[c]]
+    whole = {c: F.col(f"`{c}`").cast("double") for c in columns if c not in gaps}
+    return (median_impute(df, gaps) if gaps else df).withColumns(whole)
+
+
 def standardize(df: DataFrame, columns: Sequence[str], of: DataFrame | None = None) -> DataFrame:
     """Zero mean, unit population deviation, measured on `of` (df by default); constant columns keep
     a scale of 1."""

@@ -37,7 +37,7 @@ def fidelity(real: DataFrame, synthetic: DataFrame, numeric: Sequence[str], cate
         value = stats.chi_square_p(found["statistic"], found["degrees"])
         one = real.sparkSession.createDataFrame([(value,)], "p_value double")
         rows.append(_row(one, "chi_square", "p_value", 0.05, F.col("p_value") > 0.05, c))
-    corr = stats.correlation_distance(real, synthetic, numeric)
+    corr = materialize(stats.correlation_distance(real, synthetic, numeric))  # one row
     rows.append(_row(corr, "correlation", "mad", 0.15, F.col("mad") < 0.15))
     rows.append(_row(corr, "correlation", "meta_correlation", 0.8, F.col("meta_correlation") > 0.8))
     return reduce(DataFrame.unionByName, rows)
@@ -62,18 +62,11 @@ def forest_scores(train: DataFrame, test: DataFrame, features: Sequence[str], ta
     return sum(n for y, p, n in cells if y == p) / max(sum(n for _, _, n in cells), 1), sum(f1) / max(len(f1), 1)
 
 
-def _imputed(df: DataFrame, columns: Sequence[str]) -> DataFrame:
-    """df with the table's own median in place of NULLs, of the columns that have any."""
-    nulls = df.agg(*[F.count_if(F.col(f"`{c}`").isNull()).alias(c) for c in columns]).first()
-    gaps = [c for c in columns if nulls[c]]
-    return materialize(encoding.median_impute(df, gaps)) if gaps else df
-
-
 def utility(real: DataFrame, synthetic: DataFrame, subject: str, features: Sequence[str], target: str, trees: int = 100, share: float = 0.7) -> DataFrame:
     """Train on synthetic against train on real, both tested on the same real subjects. A fit and a test read their rows many times, so the columns
     in use are computed once and kept."""
     used = list(dict.fromkeys([subject, *features, target]))
-    real, synthetic = (_imputed(materialize(df.select(*used)), features) for df in (real, synthetic))
+    real, synthetic = (materialize(encoding.impute_gaps(materialize(df.select(*used)), features)) for df in (real, synthetic))
     parts = splitting.stratified_subjects(real, subject, share, least_one=True).select(subject, "part")
     tagged = materialize(real.join(parts, subject))
     train, test = (tagged.where(F.col("part") == p).drop("part") for p in ("train", "validation"))
@@ -99,13 +92,13 @@ def _coded(real: DataFrame, synthetic: DataFrame, column: str) -> tuple[DataFram
 
 def privacy_tests(real: DataFrame, synthetic: DataFrame, key: str, numeric: Sequence[str], categorical: Sequence[str] = ()) -> DataFrame:
     """Identical rows, the closest records by the numbers, and maximum similarities over numbers and categories."""
-    same = privacy.identical_share(real, synthetic, [*numeric, *categorical])
-    near = privacy.closest_record_ratio(real, synthetic, numeric, key, order=key)
+    same = materialize(privacy.identical_share(real, synthetic, [*numeric, *categorical]))
+    near = materialize(privacy.closest_record_ratio(real, synthetic, numeric, key, order=key))
     sides = real, synthetic
     for c in categorical:
         sides = _coded(*sides, c)
-    most = privacy.similarity_tests(*(materialize(t) if categorical else t for t in sides), key, [*numeric, *categorical], categorical)
-    most = materialize(most)
+    sides = [materialize(t) if categorical else t for t in sides]
+    most = materialize(privacy.similarity_tests(*sides, key, [*numeric, *categorical], categorical))
     return reduce(
         DataFrame.unionByName,
         [
@@ -145,7 +138,7 @@ def pre_checks(real: DataFrame, synthetic: DataFrame, subject: str, numeric: Seq
         _row(one, "size", "ratio", 0.5, F.col("ratio") >= 0.5),
         _row(one, "size", "ratio", 2, F.col("ratio") <= 2),
     ]
-    shape = profiling.longitudinal_check(real, synthetic, subject)
+    shape = materialize(profiling.longitudinal_check(real, synthetic, subject))  # one row
     parts += [
         _row(shape, "longitudinal", "subjects_difference", 0.3, F.col("subjects_ok")),
         _row(shape, "longitudinal", "visits_difference", 0.4, F.col("visits_ok")),
@@ -195,15 +188,16 @@ def full_report(
     once, since every part reads them."""
     real, synthetic = (materialize(t) for t in (real, synthetic))
     features = [c for c in numeric if c != time]
+    # parts are a few rows a column, each computed by itself: all plans at once would fill the driver
     parts = [
-        pre_checks(real, synthetic, subject, features, target),
-        fidelity(real, synthetic, numeric, categorical),
-        privacy_tests(real, synthetic, key, numeric, categorical),
+        materialize(pre_checks(real, synthetic, subject, features, target)),
+        materialize(fidelity(real, synthetic, numeric, categorical)),
+        materialize(privacy_tests(real, synthetic, key, numeric, categorical)),
     ]
     if target:
         parts.append(utility(real, synthetic, subject, [c for c in numeric if c != target], target))
     if time:
-        parts.append(temporal(real, synthetic, subject, time, features))
+        parts.append(materialize(temporal(real, synthetic, subject, time, features)))
     return reduce(DataFrame.unionByName, parts)
 
 
