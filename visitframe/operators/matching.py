@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from visitframe.operators.nearest import nearest_in_grid
 from visitframe.operators.visits import best_rank
 from visitframe.session import materialize
 
@@ -616,6 +617,10 @@ def nearest_candidates(
     return kept.select("query_id", "base_id").distinct(), q, b
 
 
+#: From so many features on the triangle inequality rules out next to nothing, and blocks of rows meet instead of cells.
+GRID_FEATURES = 16
+
+
 def blocked_nearest(
     queries: DataFrame, base: DataFrame, id_col: str, features: Sequence[str], k: int, metric: str = "euclidean",
     categorical: Sequence[str] = (), ranges: Mapping[str, float] | None = None, same_id: bool = True, block: int = 1 << 16,
@@ -627,7 +632,15 @@ def blocked_nearest(
     are ordered by their squares, which may differ where their roots round to the same number.
 
     Candidates come from approximations (nearest_candidates). Only their vectors are fetched, and compared in
-    column expressions."""
+    column expressions. From GRID_FEATURES features on, all blocks of rows meet instead (nearest_in_grid)."""
+    if len(features) >= GRID_FEATURES:
+        flags = np.array([c in set(categorical) for c in features])
+        scale = np.array([1.0 if not ranges else ranges.get(c, 1.0) or 1.0 for c in features])
+        near = nearest_in_grid(queries, base, id_col, features, k, metric, flags, scale, same_id, by_square)
+        distance = F.sqrt("key") if metric == "euclidean" and by_square else F.col("key")
+        first = Window.partitionBy("query_id").orderBy("key", "base_id")
+        near = near.withColumn("rank", F.row_number().over(first)).where(F.col("rank") <= k)
+        return near.select("query_id", "base_id", distance.alias("distance"), "rank")
     pairs, q, b = nearest_candidates(queries, base, id_col, features, k, metric, categorical, ranges, same_id, block, most_pivots)
     both = pairs.join(b.select(F.col("id").alias("base_id"), F.col("x").alias("v")), "base_id").join(
         q.select(F.col("id").alias("query_id"), F.col("x").alias("u")), "query_id"
