@@ -191,3 +191,25 @@ def test_sizes_of_texts_are_those_of_a_plain_loop(spark, tmp_path, monkeypatch):
         text = texts[r["doc_id"]]
         want = (None,) * 4 if text is None else (len(text), len(text) / len(text.split(" ")), sum("A" <= c <= "Z" for c in text), sum(c in "%$#*&!|" for c in text))
         assert (r["size"], r["mean_word"], r["capitals"], r["symbols"]) == want and r["quality"] == str(r["doc_id"] % 2) and r["subject"] == r["doc_id"]
+
+
+def test_links_move_base_rows_once_by_subject(spark):
+    """As they are, without lists of their ids; of the rows to add only a subject's arrays move. Subjects on one side alone, or NULL, have no links."""
+    import re
+
+    from visitframe.operators import matching, visits
+
+    d = lambda n: dt.date(2020, 1, 1) + dt.timedelta(n)
+    base = spark.createDataFrame([(1, d(0), 1, 5.0), (1, d(0), 2, None), (2, d(0), 3, 5.0), (None, d(9), 4, 5.0), (5, None, 5, 5.0), (6, d(4), 6, 5.0)], "s long, d date, row_id long, m double")
+    add = spark.createDataFrame([(1, d(7), 11, 0.5), (3, d(0), 12, 0.5), (None, d(9), 13, 0.5), (5, d(0), 14, 0.5), (6, d(4), 15, 0.5)], "s long, d date, row_id long, n double")
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        links = matching._row_links(base, visits.best_row(add, ["s", "d"], ["n"], ["row_id"]), "s", "d", None, ["m"], "row_id", 80, None, None)
+        got = {(r["subject"], r["id1"], r["id2"], r["kind"], r["gap"]) for r in links.collect()}
+        plan = links._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[-1]
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    assert got == {(1, 1, 11, "buffer", -7), (6, 6, 15, "exact", 0)}
+    assert "Union" not in plan and len(re.findall(r"Exchange hashpartitioning\(subject#\d+L, \d+\), REPARTITION_BY_COL", plan)) == 1
+    assert plan.count("Exchange hashpartitioning") == 3

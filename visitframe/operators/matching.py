@@ -188,32 +188,27 @@ def _row_links(
     buffer_days: int, status: str | None, strength: str | None,
 ) -> DataFrame:
     """(subject, day, id2, id1, code1, code2, gap, kind, n2, copies): the row of add on `day` goes with the base row id1, `copies` times. Matches are
-    those of match_visits; a visit of many base rows counts by its best one. Only ids, codes and days move: rows combine into dates, and a subject's
-    dates into arrays no longer than the calendar. An id on several dates of a subject goes with all of them. No filter or join on the keys
+    those of match_visits; a visit of many base rows counts by its best one. Only ids, codes and days move, of base once, to the subject: rows combine into dates,
+    and a subject's dates into arrays no longer than the calendar. An id on several dates of a subject goes with all of them. No filter or join on the keys
     comes before the arrays, since Spark would push it below the aggregates of add, whose shuffle other branches of the plan read too."""
     has = code is not None and code in base.columns and code in add.columns
     kinds = {c: dict(base.dtypes)[c] for c in (subject, row_id)}
     code_kind = dict(base.dtypes)[code] if has else "string"
 
-    def dates(df: DataFrame, rank: Sequence[Column]) -> DataFrame:
+    def dates(df: DataFrame, rank: Sequence[Column], side: str) -> DataFrame:
         mark = F.col(code) if has else F.lit(None).cast("string")
-        best = F.min(F.struct(*[c.alias(f"r{k}") for k, c in enumerate(rank)], F.col(row_id).alias("id"), mark.alias("code")))
-        found = df.groupBy(F.col(subject).alias("subject"), F.col(date).cast("date").alias("date")).agg(
-            best.alias("best"), F.count("*").alias("n"), F.collect_list(row_id).alias("ids")
-        )
+        row = F.struct(*[c.alias(f"r{k}") for k, c in enumerate(rank)], F.col(row_id).alias("id"), mark.alias("code")).alias("row")
+        rows = df.select(F.col(subject).alias("subject"), F.col(date).cast("date").alias("date"), row)
+        # base rows move to their subjects as they are, and no more; those of add lie by visits, and only their arrays move
+        found = (rows.repartition("subject") if side == "one" else rows).groupBy("subject", "date").agg(F.min("row").alias("best"), F.count("*").alias("n"), F.collect_list("row.id").alias("ids"))
         same = F.size(F.filter("ids", lambda x: x == F.col("best.id")))
         day = F.datediff("date", F.lit("1970-01-01").cast("date"))
         row = F.struct(day.alias("day"), F.col("best.id").alias("id"), F.col("best.code").alias("code"), F.col("n").cast("int").alias("n"), same.alias("same"))
-        return found.select("subject", F.when(F.col("subject").isNotNull() & F.col("date").isNotNull(), row).alias("row"))
+        dated = F.when(F.col("subject").isNotNull() & F.col("date").isNotNull(), row)
+        return found.groupBy("subject").agg(F.collect_list(dated).alias(side))
 
-    none = F.lit(None)
-    one, two = dates(base, best_rank(measures, status, strength)), dates(add, [])
-    kind = dict(one.dtypes)["row"]
-    sides = one.select("subject", F.col("row").alias("one"), none.cast(kind).alias("two")).unionByName(
-        two.select("subject", none.cast(kind).alias("one"), F.col("row").alias("two"))
-    )
-    lists = sides.groupBy("subject").agg(F.collect_list("one").alias("one"), F.collect_list("two").alias("two"))
-    both = lists.where((F.size("one") > 0) & (F.size("two") > 0))
+    # a full join, and no filter behind it: those of an inner one would go below the aggregates of add
+    both = dates(base, best_rank(measures, status, strength), "one").join(dates(add, [], "two"), "subject", "full_outer")
     parts = [F.col(f"{side}.{c}").alias(f"{c}{k}") for k, side in ((1, "one"), (2, "two")) for c in ("day", "id", "code", "n", "same")]
     columns = ["subject", "day", "id2", "id1", "code1", "code2", "gap", "kind", "n2", "copies"]
 
@@ -221,6 +216,8 @@ def _row_links(
         for batch in batches:
             out = []
             for r in batch.itertuples(index=False):
+                if r.day1 is None or r.day2 is None:
+                    continue
                 at1, at2 = ({d: k for k, d in enumerate(days.tolist())} for days in (r.day1, r.day2))
                 exact = at1.keys() & at2.keys()
                 pairs = [(d, d, "exact") for d in exact]
